@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from indicata.plans import oracle as O
+from indicata.plans import register_queries as RQ
 from indicata.plans import survey_queries as SQ
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,17 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "null_safe_flags": (SQ.null_safe_flags, O.q_null_safe_flags),
     "code_list_flag": (SQ.code_list_flag, O.q_code_list_flag),
     "survey_breakdown": (SQ.survey_breakdown, O.q_survey_breakdown),
+    "closures_by_month": (RQ.closures_by_month, O.q_closures_by_month),
+    "closures_by_day": (RQ.closures_by_day, O.q_closures_by_day),
+    "mean_of_sums": (RQ.mean_of_sums, O.q_mean_of_sums),
+    "closure_summary": (RQ.closure_summary, O.q_closure_summary),
+    "compare_years": (RQ.compare_years, O.q_compare_years),
+    "capacity_on_spine": (RQ.capacity_on_spine, O.q_capacity_on_spine),
+    "moe_sum": (RQ.moe_sum, O.q_moe_sum),
+    "impute_gap": (RQ.impute_gap, O.q_impute_gap),
+    "sum_strict": (RQ.sum_strict, O.q_sum_strict),
+    "rate_per_base": (RQ.rate_per_base, O.q_rate_per_base),
+    "paired_unpivot": (RQ.paired_unpivot, O.q_paired_unpivot),
 }
 
 

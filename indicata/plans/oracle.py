@@ -263,3 +263,209 @@ def q_survey_breakdown(cut: float = 100) -> str:
   WITH fine AS ({fine})
   SELECT * FROM ({rate_sql(unions, ['geoid', 'dimension', 'subgroup'], 'indicator')}) r
   WHERE indicator = 'at or below poverty' AND subgroup IS NOT NULL AND subgroup NOT IN ({supp})"""
+
+
+# ------------------------------------------------------------- register
+
+def register_sql() -> str:
+    from indicata.plans import register_queries as RQ
+    pri = ", ".join(f"'{p}'" for p in RQ.CENTER_PRIORITIES)
+    return f"""
+  SELECT CASE WHEN o_orderpriority IN ({pri}) THEN '{RQ.CENTER}' ELSE '{RQ.HOME}' END AS facility_type,
+         g.geoid AS county_name,
+         CAST(floor(o_totalprice / 10000) AS INTEGER) AS facility_capacity,
+         CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'P' THEN 'PENDING' WHEN 'O' THEN 'LICENSED'
+              ELSE o_orderstatus END AS facility_status,
+         CAST(o_orderdate AS DATE) AS closed_date,
+         CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS open,
+         CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS close,
+         strftime(CAST(o_orderdate AS DATE), '%m') AS month,
+         strftime(CAST(o_orderdate AS DATE), '%Y') AS year
+  FROM orders o LEFT JOIN ({GEO_CTE}) g ON o.o_custkey = g.o_custkey"""
+
+
+def tagged_sql() -> str:
+    from indicata.plans import register_queries as RQ
+    return f"""
+  SELECT *, '{RQ.WHOLE}' AS geography FROM ({register_sql()}) r
+  UNION ALL SELECT *, '{RQ.FOCUS}' AS geography FROM ({register_sql()}) r WHERE county_name = '{RQ.FOCUS}'"""
+
+
+def q_closures_by_month() -> str:
+    from indicata.plans import register_queries as RQ
+    yrs = ", ".join(f"'{y}'" for y in RQ.YEARS)
+    return f"""
+  SELECT facility_type, geography, year, month, CAST(sum(close) AS BIGINT) AS closed,
+         CAST(sum(facility_capacity) AS BIGINT) AS seats
+  FROM ({tagged_sql()}) t
+  WHERE year IN ({yrs}) AND open = 0 AND closed_date IS NOT NULL
+  GROUP BY facility_type, geography, year, month"""
+
+
+def q_closures_by_day() -> str:
+    from indicata.plans import register_queries as RQ
+    return f"""
+  SELECT facility_type, geography, closed_date AS day, CAST(sum(close) AS BIGINT) AS closed,
+         CAST(sum(facility_capacity) AS BIGINT) AS seats
+  FROM ({tagged_sql()}) t
+  WHERE year = '{RQ.DAY_YEAR}' AND closed_date IS NOT NULL
+  GROUP BY facility_type, geography, closed_date"""
+
+
+def q_mean_of_sums() -> str:
+    return f"""
+  SELECT facility_type, geography, year, avg(closed) AS mean_closed
+  FROM ({q_closures_by_month()}) m GROUP BY facility_type, geography, year"""
+
+
+def q_closure_summary() -> str:
+    from indicata.plans import register_queries as RQ
+    yearly = f"""
+    SELECT facility_type, geography, year, CAST(sum(closed) AS BIGINT) AS closed,
+           CAST(sum(seats) AS BIGINT) AS seats
+    FROM ({q_closures_by_month()}) m GROUP BY facility_type, geography, year"""
+    long = f"""
+    SELECT year, geography, facility_type || '-Closures' AS type, closed AS value FROM ({yearly}) y
+    UNION ALL
+    SELECT year, geography, facility_type || '-Seats Lost' AS type, seats AS value FROM ({yearly}) y"""
+    return f"""
+  SELECT year, type,
+         first(value) FILTER (WHERE geography = '{RQ.WHOLE}') AS "{RQ.WHOLE}",
+         first(value) FILTER (WHERE geography = '{RQ.FOCUS}') AS "{RQ.FOCUS}"
+  FROM ({long}) l GROUP BY year, type"""
+
+
+def q_compare_years() -> str:
+    from indicata.plans import register_queries as RQ
+    src = f"""
+    SELECT * FROM ({register_sql()}) r WHERE county_name = '{RQ.FOCUS}' AND year = '{RQ.YEARS[1]}'
+    UNION ALL
+    SELECT * FROM ({register_sql()}) r WHERE county_name = '{RQ.FOCUS}' AND year = '{RQ.YEARS[0]}' AND open = 0"""
+    monthly = f"""
+    SELECT year, month, CAST(sum(close) AS BIGINT) AS closed FROM ({src}) s
+    WHERE closed_date IS NOT NULL GROUP BY year, month"""
+    return f"""
+  SELECT year, month, monthname(make_date(2000, CAST(month AS INTEGER), 1)) AS month_name, closed,
+         avg(closed) OVER (PARTITION BY year) AS mean
+  FROM ({monthly}) m"""
+
+
+def q_capacity_on_spine() -> str:
+    centers = """
+    SELECT CAST(s_nationkey AS VARCHAR) AS facility_zip,
+           CASE WHEN s_acctbal >= 0 THEN 'LICENSED' ELSE 'CLOSED' END AS facility_status,
+           CASE WHEN s_suppkey % 10 = 3 THEN 'n/a'
+                ELSE CAST(CAST(floor(abs(s_acctbal) / 100) AS BIGINT) AS VARCHAR) END AS facility_capacity
+    FROM supplier"""
+    homes = """
+    SELECT CAST(c_nationkey AS VARCHAR) AS facility_zip,
+           CASE WHEN c_acctbal >= 0 THEN 'LICENSED' ELSE 'CLOSED' END AS facility_status,
+           CAST(CAST(floor(abs(c_acctbal) / 1000) AS BIGINT) AS VARCHAR) AS facility_capacity
+    FROM customer"""
+    spine = "SELECT CAST(n_nationkey AS VARCHAR) AS area FROM nation"
+
+    def agg(src, n, s):
+        return f"""
+    SELECT facility_zip AS area, count(*) AS {n},
+           CASE WHEN count(*) FILTER (WHERE cap IS NULL) > 0 THEN NULL ELSE sum(cap) END AS {s}
+    FROM (SELECT *, TRY_CAST(trim(facility_capacity) AS DOUBLE) AS cap FROM ({src}) x
+          WHERE facility_status = 'LICENSED' AND facility_zip IN ({spine})) y
+    GROUP BY facility_zip"""
+    pop = """
+    SELECT CAST(c_nationkey AS VARCHAR) AS area, count(*) AS total_0_5,
+           sqrt(CAST(count(*) AS DOUBLE)) * CAST(1.645 AS DOUBLE) AS moe_0_5
+    FROM customer WHERE c_mktsegment = 'HOUSEHOLD' GROUP BY c_nationkey"""
+    return f"""
+  SELECT s.area, coalesce(c.total_centers, 0) AS total_centers,
+         coalesce(c.capacity_centers, 0) AS capacity_centers,
+         coalesce(h.total_family_homes, 0) AS total_family_homes,
+         coalesce(h.capacity_family_homes, 0) AS capacity_family_homes,
+         coalesce(p.total_0_5, 0) AS total_0_5, coalesce(p.moe_0_5, 0) AS moe_0_5
+  FROM ({spine}) s
+  LEFT JOIN ({agg(centers, 'total_centers', 'capacity_centers')}) c ON s.area = c.area
+  LEFT JOIN ({agg(homes, 'total_family_homes', 'capacity_family_homes')}) h ON s.area = h.area
+  LEFT JOIN ({pop}) p ON s.area = p.area"""
+
+
+EVENT_ROWS = """
+  SELECT event_type, CAST(ts AS DATE) AS day, CAST(floor(value) AS BIGINT) AS estimate,
+         CAST(ceil(value / 2) AS BIGINT) AS moe, value
+  FROM events"""
+
+
+def q_moe_sum() -> str:
+    return f"""
+  SELECT event_type, day, CAST(sum(estimate) AS BIGINT) AS population,
+         sqrt(sum(CASE WHEN estimate <> 0 THEN CAST(moe AS DOUBLE) * CAST(moe AS DOUBLE) ELSE 0.0 END)
+              + coalesce(max(CASE WHEN estimate = 0 THEN CAST(moe AS DOUBLE) * CAST(moe AS DOUBLE) END), 0.0)) AS moe
+  FROM ({EVENT_ROWS}) e GROUP BY event_type, day"""
+
+
+def q_impute_gap() -> str:
+    from indicata.plans import register_queries as RQ
+    s = f"""SELECT event_type, day, CAST(population AS DOUBLE) AS population, moe
+            FROM ({q_moe_sum()}) m WHERE day <> DATE '{RQ.MISSING_DAY}'"""
+    return f"""
+  WITH s AS ({s}),
+  b AS (SELECT event_type, min(day) AS lo, max(day) AS hi FROM s GROUP BY event_type),
+  spine AS (SELECT event_type, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
+  f AS (SELECT sp.event_type, sp.day, s.population, s.moe FROM spine sp
+        LEFT JOIN s ON sp.event_type = s.event_type AND sp.day = s.day)
+  SELECT event_type, day,
+    CASE WHEN population IS NULL THEN
+      (last_value(population IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+       + first_value(population IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day
+         ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) / 2.0
+    ELSE population END AS population,
+    CASE WHEN population IS NULL THEN 0.0 ELSE moe END AS moe,
+    population IS NULL AS imputed
+  FROM f"""
+
+
+COUNT_ROWS = """
+  SELECT event_type, CAST(ts AS DATE) AS day, CASE WHEN value >= 1 THEN 1 END AS count FROM events"""
+
+
+def q_sum_strict() -> str:
+    return f"""
+  SELECT event_type, day,
+         CAST(CASE WHEN count(*) FILTER (WHERE count IS NULL) > 0 THEN NULL ELSE sum(count) END AS BIGINT) AS strict_total,
+         CAST(sum(count) AS BIGINT) AS lenient_total
+  FROM ({COUNT_ROWS}) e GROUP BY event_type, day"""
+
+
+def q_rate_per_base() -> str:
+    return f"""
+  WITH e AS ({COUNT_ROWS}),
+  d AS (SELECT day, CAST(CASE WHEN count(*) FILTER (WHERE count IS NULL) > 0 THEN NULL ELSE sum(count) END AS BIGINT) AS deaths
+        FROM e WHERE event_type = 'error' GROUP BY day),
+  b AS (SELECT day, CAST(sum(count) AS BIGINT) AS births FROM e WHERE event_type = 'view' GROUP BY day)
+  SELECT d.day, deaths, births,
+         (CASE WHEN CAST(births AS DOUBLE) = 0 THEN NULL ELSE CAST(deaths AS DOUBLE) / CAST(births AS DOUBLE) END)
+           * CAST(1000.0 AS DOUBLE) AS mortality
+  FROM d LEFT JOIN b ON d.day = b.day"""
+
+
+def q_paired_unpivot() -> str:
+    from indicata.plans import register_queries as RQ
+    parts = []
+    for s in RQ.SEGMENTS:
+        k = s.lower()
+        parts.append(f"""
+    SELECT c_nationkey AS county, '{k}' AS stem,
+           CAST(count_if(c_mktsegment = '{s}' AND c_acctbal < 0) AS DOUBLE) AS num_value,
+           CASE WHEN count_if(c_mktsegment = '{s}') >= 10 THEN
+             CAST(count_if(c_mktsegment = '{s}' AND c_acctbal < 0) AS DOUBLE)
+             / CAST(count_if(c_mktsegment = '{s}') AS DOUBLE) END AS pct
+    FROM customer GROUP BY c_nationkey""")
+    long = " UNION ALL ".join(parts)
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RQ.SEGMENT_LABELS.items())
+    return f"""
+  SELECT county, stem, CASE stem {labels} ELSE 'Machinery' END AS label,
+         round_even(num_value, 1) AS num_value, round_even(pct_value, 1) AS pct_value
+  FROM (SELECT county, stem, num_value,
+               CASE WHEN stem = '{RQ.OVERRIDE_STEM}' THEN {dbl(RQ.OVERRIDE_VALUE)}
+                    ELSE pct * CAST(100.0 AS DOUBLE) END AS pct_value
+        FROM ({long}) l) x
+  WHERE pct_value IS NOT NULL"""
