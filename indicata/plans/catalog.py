@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from indicata.plans import oracle as O
 from indicata.plans import register_queries as RQ
+from indicata.plans import spatial_queries as SPQ
 from indicata.plans import survey_queries as SQ
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,10 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "sum_strict": (RQ.sum_strict, O.q_sum_strict),
     "rate_per_base": (RQ.rate_per_base, O.q_rate_per_base),
     "paired_unpivot": (RQ.paired_unpivot, O.q_paired_unpivot),
+    "ring_area": (SPQ.ring_area, O.q_ring_area),
+    "ring_centroid": (SPQ.ring_centroid, O.q_ring_centroid),
+    "overlay_crosswalk": (SPQ.overlay_crosswalk, O.q_overlay_crosswalk),
+    "survey_by_crosswalk": (SPQ.survey_by_crosswalk, O.q_survey_by_crosswalk),
 }
 
 

@@ -469,3 +469,91 @@ def q_paired_unpivot() -> str:
                     ELSE pct * CAST(100.0 AS DOUBLE) END AS pct_value
         FROM ({long}) l) x
   WHERE pct_value IS NOT NULL"""
+
+
+# ------------------------------------------------------------- spatial
+
+def _spatial_parts() -> str:
+    from indicata.plans import spatial_queries as SP
+    a = SP.STRIP_X
+    rows = [(0, a[0], a[1], 0, SP.TOP), (1, a[1], a[2], 0, SP.TOP), (2, a[2], a[3], 0, SP.TOP),
+            (3, a[3], a[4], 0, SP.NOTCH_Y), (4, a[4], a[5], 0, SP.TOP), (4, a[3], a[4], SP.NOTCH_Y, SP.TOP)]
+    vals = ", ".join(f"({k}, {dbl(x0)}, {dbl(x1)}, {dbl(y0)}, {dbl(y1)})" for k, x0, x1, y0, y1 in rows)
+    return f"SELECT * FROM (VALUES {vals}) v(k, x0, x1, y0, y1)"
+
+
+def _puma_rects(clipped: bool) -> str:
+    from indicata.plans import spatial_queries as SP
+    top = f"least(y0 + {dbl(SP.SIDE)}, {dbl(SP.CLIP_TOP)})" if clipped else f"y0 + {dbl(SP.SIDE)}"
+    return f"""
+    SELECT PUMA, NAMELSAD20, x0, x0 + {dbl(SP.SIDE)} AS x1, y0, {top} AS y1 FROM (
+      SELECT CAST(n_nationkey AS VARCHAR) AS PUMA, n_name AS NAMELSAD20,
+             CAST(n_nationkey % {SP.GRID} AS DOUBLE) * {dbl(SP.SIDE)} AS x0,
+             CAST(floor(n_nationkey / {SP.GRID}) AS DOUBLE) * {dbl(SP.SIDE)} AS y0
+      FROM nation) n"""
+
+
+def _spa_parts() -> str:
+    return f"""
+    SELECT CAST(r_regionkey AS VARCHAR) AS SPA, r_name AS SPA_NAME, x0, x1, y0, y1
+    FROM region JOIN ({_spatial_parts()}) p ON r_regionkey = p.k"""
+
+
+def _xwalk_sql() -> str:
+    from indicata.plans import spatial_queries as SP
+    inter = ("greatest(0.0, least(p.x1, s.x1) - greatest(p.x0, s.x0)) "
+             "* greatest(0.0, least(p.y1, s.y1) - greatest(p.y0, s.y0))")
+    return f"""
+  WITH p AS ({_puma_rects(True)}),
+  s AS ({_spa_parts()}),
+  sa AS (SELECT SPA, sum((x1 - x0) * (y1 - y0)) AS spa_area FROM s GROUP BY SPA),
+  i AS (SELECT p.PUMA, p.NAMELSAD20, s.SPA, s.SPA_NAME, sum({inter}) AS ia,
+               max((p.x1 - p.x0) * (p.y1 - p.y0)) AS puma_area
+        FROM p, s GROUP BY p.PUMA, p.NAMELSAD20, s.SPA, s.SPA_NAME)
+  SELECT i.PUMA, NAMELSAD20, i.SPA, SPA_NAME, ia / spa_area AS prc_spas_area, ia / puma_area AS prc_pumas_area
+  FROM i JOIN sa ON i.SPA = sa.SPA
+  WHERE ia > 0 AND ia / puma_area >= {dbl(SP.MIN_SHARE)}"""
+
+
+def q_overlay_crosswalk() -> str:
+    from indicata.plans import spatial_queries as SP
+    d = SP.DIGITS
+    return f"""SELECT PUMA, NAMELSAD20, SPA, SPA_NAME, round(prc_spas_area, {d}) AS prc_spas_area,
+                     round(prc_pumas_area, {d}) AS prc_pumas_area FROM ({_xwalk_sql()}) x"""
+
+
+def _all_parts() -> str:
+    from indicata.plans import spatial_queries as SP
+    a = SP.STRIP_X
+    return f"""
+    SELECT 'puma' AS layer, PUMA AS id, x0, x1, y0, y1 FROM ({_puma_rects(False)}) p
+    UNION ALL SELECT 'spa', SPA, x0, x1, y0, y1 FROM ({_spa_parts()}) s
+    UNION ALL SELECT 'state', 'state', {dbl(a[0])}, {dbl(a[-1])}, {dbl(0.0)}, {dbl(SP.CLIP_TOP)}"""
+
+
+def q_ring_area() -> str:
+    from indicata.plans import spatial_queries as SP
+    return f"""SELECT layer, id, round(sum((x1 - x0) * (y1 - y0)), {SP.DIGITS}) AS area
+               FROM ({_all_parts()}) p GROUP BY layer, id"""
+
+
+def q_ring_centroid() -> str:
+    from indicata.plans import spatial_queries as SP
+    d = SP.DIGITS
+    ar = "(x1 - x0) * (y1 - y0)"
+    return f"""SELECT layer, id,
+                 round(sum({ar} * (x0 + x1) / 2) / sum({ar}), {d}) AS cx,
+                 round(sum({ar} * (y0 + y1) / 2) / sum({ar}), {d}) AS cy
+               FROM ({_all_parts()}) p GROUP BY layer, id"""
+
+
+def q_survey_by_crosswalk(cut: float = 100) -> str:
+    el = eligible_sql(person_filter="AGEP < 5")
+    el = el.replace("g.geoid", "g.nationkey")
+    cells = f"""
+    SELECT geoid, indicator, {totals_sql(hh_weights())}
+    FROM (SELECT e.*, x.SPA_NAME AS geoid, {indicator_sql(cut)} AS indicator
+          FROM ({el}) e LEFT JOIN ({_xwalk_sql()}) x ON CAST(e.nationkey AS VARCHAR) = x.PUMA) y
+    GROUP BY geoid, indicator"""
+    return f"""SELECT * FROM ({rate_sql(cells, ['geoid'], 'indicator')}) r
+  WHERE indicator = 'at or below poverty' AND geoid IS NOT NULL"""

@@ -22,7 +22,8 @@ def _indicator(cut: float):
 
 
 def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
-             person_filter=None, recoded: bool = False) -> DataFrame:
+             person_filter=None, recoded: bool = False,
+             geo_cols: tuple = ("geoid",)) -> DataFrame:
     """Households with their representative person, weights and area."""
     people = S.persons(spark, sf_dir)
     if recoded:
@@ -31,7 +32,7 @@ def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
     picked = hh.eligible_households(
         people, households, serial="SERIALNO", join_keys=["SERIALNO"], order=list(S.PERSON_ORDER),
         universe="POVPIP", weight="WGTP", person_filter=person_filter, population=population)
-    return picked.join(S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
+    return picked.join(S.geography(spark, sf_dir).select("o_custkey", *geo_cols), "o_custkey", "left")
 
 
 def eligible_households(spark: SparkSession, sf_dir: str) -> DataFrame:
