@@ -21,7 +21,6 @@ zero) contributes nothing to the sum; that is a documented choice.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,25 +78,28 @@ def replicate_totals(df: DataFrame, design: ReplicateDesign, by: Sequence[str])
     return df.groupBy(*by).agg(*aggs)
 
 
-def replicate_se(estimate: Column, replicates: Sequence[Column], design: ReplicateDesign) -> Column:
-    """Replicate standard error of one estimate given its replicate versions.
+def replicate_se(estimate: Column, replicates, design: ReplicateDesign) -> Column:
+    """Replicate standard error of one estimate given its replicate versions
+    (a list of columns or one array column).
 
-    Terms are summed left to right (a fixed order, so results are
-    reproducible to the last bit); undefined replicate terms count as zero.
+    The replicate estimates are packed into one array and reduced with the
+    ``aggregate`` higher-order function: the plan holds one small expression
+    instead of an 80-term tree, and it is only ever evaluated on cell tables
+    (one row per estimate).  Terms are summed left to right, so results are
+    reproducible to the last bit; undefined replicate terms count as zero.
     """
-    reps = [r.cast("double") for r in replicates]
+    reps = replicates if isinstance(replicates, Column) else F.array(*[r.cast("double") for r in replicates])
+    reps = F.transform(reps, lambda x: x.cast("double"))
     if design.mse:
         centre = estimate.cast("double")
     else:
-        centre = reduce(lambda a, b: a + b, reps) / F.lit(float(len(reps)))
-    terms = []
-    for i, r in enumerate(reps):
-        d = r - centre
-        t = d * d
-        if design.rscales is not None and design.rscales[i] != 1:
-            t = t * F.lit(float(design.rscales[i]))
-        terms.append(F.coalesce(t, F.lit(0.0)))
-    ssq = reduce(lambda a, b: a + b, terms)
+        centre = F.aggregate(reps, F.lit(0.0), lambda acc, x: acc + x) / F.size(reps).cast("double")
+    if design.rscales is not None and any(r != 1 for r in design.rscales):
+        rs = F.array(*[F.lit(float(r)) for r in design.rscales])
+        sq = F.zip_with(reps, rs, lambda x, r: (x - centre) * (x - centre) * r)
+    else:
+        sq = F.transform(reps, lambda x: (x - centre) * (x - centre))
+    ssq = F.aggregate(sq, F.lit(0.0), lambda acc, t: acc + F.coalesce(t, F.lit(0.0)))
     return F.when(centre.isNull(), F.lit(None).cast("double")) \
         .otherwise(F.sqrt(F.lit(float(design.scale)) * ssq))
 
@@ -116,9 +118,9 @@ def survey_total(df: DataFrame, design: ReplicateDesign, by: Sequence[str],
 def totals_from_cells(cells: DataFrame, design: ReplicateDesign, by: Sequence[str],
                       name: str = "num") -> DataFrame:
     t = [F.col(c) for c in total_names(design)]
-    return cells.select(*by,
-                        t[0].cast("double").alias(name),
-                        replicate_se(t[0], t[1:], design).alias(f"{name}_se"))
+    packed = cells.select(*by, t[0].alias("_n0"), F.array(*[c.cast("double") for c in t[1:]]).alias("_ts"))
+    return packed.select(*by, F.col("_n0").cast("double").alias(name),
+                         replicate_se(F.col("_n0"), F.col("_ts"), design).alias(f"{name}_se"))
 
 
 def survey_rate(df: DataFrame, design: ReplicateDesign, within: Sequence[str],
@@ -148,15 +150,20 @@ def rate_from_cells(cells: DataFrame, design: ReplicateDesign, within: Sequence[
         *[F.sum(F.col(t[i])).over(w).alias(f"_p{i}") for i in range(n)])
     num = F.col(t[0])
     pop = F.col("_p0")
-    theta = [_ratio(F.col(t[i]), F.col(f"_p{i}")) for i in range(n)]
-    est = with_parent.select(
+    t_arr = F.array(*[F.col(c).cast("double") for c in t[1:]])
+    p_arr = F.array(*[F.col(f"_p{i}").cast("double") for i in range(1, n)])
+    packed = with_parent.select(*within, indicator, num.alias("_n0"), pop.alias("_q0"),
+                                t_arr.alias("_ts"), p_arr.alias("_ps"))
+    theta0 = _ratio(F.col("_n0"), F.col("_q0"))
+    thetas = F.zip_with("_ts", "_ps", lambda a, b: F.try_divide(a, b))
+    est = packed.select(
         *within, indicator,
-        num.cast("double").alias("num"),
-        replicate_se(num, [F.col(c) for c in t[1:]], design).alias("num_se"),
-        theta[0].alias("_rate"),
-        replicate_se(theta[0], theta[1:], design).alias("rate_se"),
-        pop.cast("double").alias("pop"),
-        replicate_se(pop, [F.col(f"_p{i}") for i in range(1, n)], design).alias("pop_se"),
+        F.col("_n0").cast("double").alias("num"),
+        replicate_se(F.col("_n0"), F.col("_ts"), design).alias("num_se"),
+        theta0.alias("_rate"),
+        replicate_se(theta0, thetas, design).alias("rate_se"),
+        F.col("_q0").cast("double").alias("pop"),
+        replicate_se(F.col("_q0"), F.col("_ps"), design).alias("pop_se"),
     )
     return reliability(est, z)
 

@@ -80,10 +80,24 @@ def persons(spark: SparkSession, sf_dir: str, with_weights: bool = False) -> Dat
     return li.select(*cols)
 
 
-def households(spark: SparkSession, sf_dir: str) -> DataFrame:
+def households(spark: SparkSession, sf_dir: str, with_replicates: bool = False) -> DataFrame:
+    """Household file: key, customer (for the area) and the full-sample
+    weight.  The stand-in's replicate weights are a function of the key, so
+    plans add them with ``add_household_replicates`` after the joins: rows
+    cross the shuffles narrow, and the 80 derived columns only feed the
+    map-side partial aggregate."""
     o = table(spark, sf_dir, "orders")
+    w = household_weights(F.col("o_orderkey"))
     return o.select(F.col("o_orderkey").alias("SERIALNO"), F.col("o_custkey"),
-                    *household_weights(F.col("o_orderkey")))
+                    *(w if with_replicates else w[:1]))
+
+
+def add_household_replicates(df: DataFrame, key: str = "SERIALNO") -> DataFrame:
+    return df.select("*", *household_weights(F.col(key))[1:])
+
+
+def add_person_weights(df: DataFrame, serial: str = "SERIALNO", line: str = "l_linenumber") -> DataFrame:
+    return df.select("*", *person_weights(F.col(serial) + F.col(line)))
 
 
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:

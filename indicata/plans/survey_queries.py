@@ -32,7 +32,8 @@ def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
     picked = hh.eligible_households(
         people, households, serial="SERIALNO", join_keys=["SERIALNO"], order=list(S.PERSON_ORDER),
         universe="POVPIP", weight="WGTP", person_filter=person_filter, population=population)
-    return picked.join(S.geography(spark, sf_dir).select("o_custkey", *geo_cols), "o_custkey", "left")
+    placed = picked.join(S.geography(spark, sf_dir).select("o_custkey", *geo_cols), "o_custkey", "left")
+    return S.add_household_replicates(placed)
 
 
 def eligible_households(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +69,9 @@ def survey_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def person_weighted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7 + C6: person-weighted share of persons under 5, by area."""
-    people = S.persons(spark, sf_dir, with_weights=True)
+    people = S.persons(spark, sf_dir).select("SERIALNO", "l_linenumber", "AGEP")
     homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
-    df = (people.join(homes, "SERIALNO")
+    df = (S.add_person_weights(people.join(homes, "SERIALNO"))
                 .join(S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
                 .withColumn("age_group", F.when(F.col("AGEP") < 5, F.lit("Under 5"))
                             .when(F.col("AGEP") >= 5, F.lit("Not under 5"))))

@@ -34,6 +34,10 @@ def get_session(master: str | None = None, app: str = "indicata",
         builder = builder.master(master)
         builder = builder.config("spark.driver.memory",
                                  os.environ.get("INDICATA_DRIVER_MEMORY", "16g"))
+        # Replicate designs aggregate 81 weight columns at once; the JIT
+        # must compile the resulting large generated methods.  On a cluster
+        # the same flag belongs in spark.executor.extraJavaOptions.
+        builder = builder.config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
