@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from indicata.plans import oracle as O
 from indicata.plans import register_queries as RQ
+from indicata.plans import report_queries as RPQ
 from indicata.plans import spatial_queries as SPQ
 from indicata.plans import survey_queries as SQ
 
@@ -39,6 +40,10 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "ring_centroid": (SPQ.ring_centroid, O.q_ring_centroid),
     "overlay_crosswalk": (SPQ.overlay_crosswalk, O.q_overlay_crosswalk),
     "survey_by_crosswalk": (SPQ.survey_by_crosswalk, O.q_survey_by_crosswalk),
+    "indicator_frame": (RPQ.indicator_frame, O.q_indicator_frame),
+    "top_subgroup": (RPQ.top_subgroup, O.q_top_subgroup),
+    "headline": (RPQ.headline, O.q_headline),
+    "fallback_text": (RPQ.fallback_text, O.q_fallback_text),
 }
 
 

@@ -557,3 +557,63 @@ def q_survey_by_crosswalk(cut: float = 100) -> str:
     GROUP BY geoid, indicator"""
     return f"""SELECT * FROM ({rate_sql(cells, ['geoid'], 'indicator')}) r
   WHERE indicator = 'at or below poverty' AND geoid IS NOT NULL"""
+
+
+# ------------------------------------------------------------- reports
+
+def _race_rows_sql() -> str:
+    return f"SELECT * FROM ({q_survey_breakdown()}) b WHERE dimension IN ('race', 'total')"
+
+
+def _clean_sql(c: str) -> str:
+    x = f"regexp_replace({c}, ' NL', '')"
+    x = f"regexp_replace({x}, ' Alone or in Combination', '')"
+    x = f"regexp_replace({x}, 'Two or More', 'Multiracial')"
+    return f"regexp_replace({x}, '^nh_', '')"
+
+
+def q_indicator_frame() -> str:
+    from indicata.plans import report_queries as RP
+    return f"""
+  SELECT geoid, subgroup, population, total, pct, '{RP.GROUP_LABEL}' AS "group" FROM (
+    SELECT geoid, {_clean_sql('subgroup')} AS subgroup, num AS population,
+           max(CASE WHEN subgroup = 'Total' THEN num END) OVER (PARTITION BY geoid) AS total,
+           subgroup AS raw
+    FROM ({_race_rows_sql()}) r) x
+  CROSS JOIN LATERAL (SELECT CASE WHEN total = 0 THEN NULL ELSE population / total END * CAST(100.0 AS DOUBLE) AS pct) p
+  WHERE raw <> 'Total'"""
+
+
+def q_top_subgroup() -> str:
+    return f"""
+  SELECT geoid, subgroup, population, pct FROM (
+    SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY population DESC NULLS LAST, subgroup) AS rk
+    FROM ({q_indicator_frame()}) f) x WHERE rk = 1"""
+
+
+def q_headline() -> str:
+    return f"""
+  SELECT geoid, subgroup || ' households make up the largest group at or below poverty in ' || geoid AS title
+  FROM ({q_top_subgroup()}) t"""
+
+
+def q_fallback_text() -> str:
+    from indicata.plans import report_queries as RP
+    cv = dbl(RP.MAX_CV)
+    sub = f"""
+    SELECT *, max(CASE WHEN subgroup = 'Total' THEN rate END) OVER (PARTITION BY geoid) AS total_rate
+    FROM ({_race_rows_sql()}) r"""
+    gated = f"""
+    SELECT *, sum(CASE WHEN rate_cv < {cv} THEN 1 ELSE 0 END) OVER (PARTITION BY geoid) AS n_subgroups
+    FROM ({sub}) s WHERE subgroup <> 'Total'"""
+    best = f"""
+    SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY rate DESC NULLS LAST, subgroup) AS rk
+      FROM ({gated}) g WHERE rate_cv < {cv}) x WHERE rk = 1"""
+    txt = ("'The ' || geoid || ' under 5 poverty rate is ' || CAST(round_even(total_rate, 1) AS VARCHAR) || "
+           "'%. The only racial/ethnic group with statistically stable poverty rates is ' || subgroup || "
+           "' whose poverty rate is ' || CAST(round_even(rate, 1) AS VARCHAR) || '%.'")
+    return f"""
+  SELECT geoid, CAST(n_subgroups AS BIGINT) AS n_subgroups, n_subgroups >= 2 AS chartable,
+         CASE WHEN NOT (n_subgroups >= 2) THEN {txt} END AS text
+  FROM ({best}) b"""
