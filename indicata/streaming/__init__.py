@@ -1,0 +1 @@
+from indicata.streaming.register_feed import closures_stream  # noqa: F401
