@@ -15,11 +15,12 @@ a relational job:
    Arrow-batched pandas UDF (the one piece of Python worker code).
 
 Exact area of intersection of simple (possibly concave) polygons without a
-geometry library: each ring is fanned into signed triangles from its first
-vertex, so its indicator function is a signed sum of triangle indicators;
-the overlap area is the signed sum of the areas of triangle ∩ triangle,
-each a convex clip (Sutherland-Hodgman).  A third factor (a clip shape) is
-the same sum over triangle triples.
+geometry library: a convex polygon clips the other one half-plane by
+half-plane (Sutherland-Hodgman keeps the signed area of any closed ring,
+concave or not).  When more than one polygon is concave, the extra ones are
+fanned into signed triangles from their first vertex (their indicator
+function is the signed sum of the triangle indicators) and the clipped areas
+are summed with those signs.  A clip shape is one more factor.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,33 +153,57 @@ def _clip(subject: np.ndarray, clipper: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ccw(xs, ys) -> np.ndarray:
+    pts = np.column_stack([np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)])
+    return pts[::-1] if _signed_area(pts[:, 0], pts[:, 1]) < 0 else pts
+
+
+def _is_convex(pts: np.ndarray) -> bool:
+    d = np.roll(pts, -1, axis=0) - pts
+    cross = d[:, 0] * np.roll(d[:, 1], -1) - d[:, 1] * np.roll(d[:, 0], -1)
+    return bool(np.all(cross >= 0))
+
+
 def intersection_area(rings: Sequence[tuple]) -> float:
-    """Exact area of the intersection of 2 or 3 simple polygons."""
-    fans = [_fan(x, y) for x, y in rings]
-    if any(len(f) == 0 for f in fans):
+    """Exact area of the intersection of simple polygons.
+
+    One polygon (a concave one if there is any) is the subject; every
+    convex polygon clips it directly, half-plane by half-plane.  Half-plane
+    clipping keeps the area of any closed ring, so the subject may be
+    concave.  Further concave polygons are fanned into signed triangles and
+    the clipped areas are summed with the triangle signs.
+    """
+    polys = [_ccw(x, y) for x, y in rings]
+    if any(len(p) < 3 or _signed_area(p[:, 0], p[:, 1]) == 0 for p in polys):
         return 0.0
-    total = 0.0
-    if len(fans) == 2:
-        for ta, sa, *ba in fans[0]:
-            for tb, sb, *bb in fans[1]:
-                if ba[0] > bb[1] or bb[0] > ba[1] or ba[2] > bb[3] or bb[2] > ba[3]:
-                    continue
-                p = _clip(ta, tb)
-                if len(p) >= 3:
-                    total += sa * sb * _signed_area(p[:, 0], p[:, 1])
-    else:
-        for ta, sa, *ba in fans[0]:
-            for tb, sb, *bb in fans[1]:
-                if ba[0] > bb[1] or bb[0] > ba[1] or ba[2] > bb[3] or bb[2] > ba[3]:
-                    continue
-                p = _clip(ta, tb)
-                if len(p) < 3:
-                    continue
-                for tc, sc, *bc in fans[2]:
-                    q = _clip(p, tc)
-                    if len(q) >= 3:
-                        total += sa * sb * sc * _signed_area(q[:, 0], q[:, 1])
-    return max(total, 0.0)
+    convex = [_is_convex(p) for p in polys]
+    subject_i = next((i for i, c in enumerate(convex) if not c), 0)
+    subject = polys[subject_i]
+    sx0, sx1 = subject[:, 0].min(), subject[:, 0].max()
+    sy0, sy1 = subject[:, 1].min(), subject[:, 1].max()
+    factors = []
+    for i, p in enumerate(polys):
+        if i == subject_i:
+            continue
+        if convex[i]:
+            factors.append([(p, 1.0)])
+        else:
+            factors.append([(tri, sign) for tri, sign, *_ in _fan(p[:, 0], p[:, 1])])
+
+    def walk(poly, k, sign):
+        if k == len(factors):
+            return sign * _signed_area(poly[:, 0], poly[:, 1])
+        acc = 0.0
+        for clipper, s in factors[k]:
+            if (clipper[:, 0].min() > sx1 or clipper[:, 0].max() < sx0
+                    or clipper[:, 1].min() > sy1 or clipper[:, 1].max() < sy0):
+                continue
+            q = _clip(poly, clipper)
+            if len(q) >= 3:
+                acc += walk(q, k + 1, sign * s)
+        return acc
+
+    return max(walk(subject, 0, 1.0), 0.0)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -219,27 +244,31 @@ def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share:
     small_b = with_bbox(small)
     large_b = with_bbox(large).withColumn("large_area", ring_area())
     if clip is None:
-        small_area = small_b.select(*s_ids, ring_area().alias("small_area"))
+        small_b = small_b.withColumn("small_area", ring_area())
         pairs = candidate_pairs(small_b, large_b, cell)
         pieces = pairs.withColumn("intersect_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
     else:
         cut = candidate_pairs(small_b, with_bbox(clip.select("xs", "ys")), cell)
         cut = cut.withColumn("clip_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
         cut = cut.filter(F.col("clip_area") > 0)
-        small_area = cut.groupBy(*[F.col(f"a_{c}").alias(c) for c in s_ids]).agg(
-            F.sum("clip_area").alias("small_area"))
+        # the clipped area of a unit is the sum over the clip polygons it
+        # meets (one, for a single outline); a window carries it along so
+        # the area UDF runs once per (unit, clip polygon)
+        whole = Window.partitionBy(*[F.col(f"a_{c}") for c in s_ids])
         clipped = cut.select(*[F.col(f"a_{c}").alias(c) for c in s_ids], F.col("a_xs").alias("xs"),
                              F.col("a_ys").alias("ys"), F.col("b_xs").alias("cxs"),
-                             F.col("b_ys").alias("cys"), "minx", "maxx", "miny", "maxy")
+                             F.col("b_ys").alias("cys"), "minx", "maxx", "miny", "maxy",
+                             F.sum("clip_area").over(whole).alias("small_area"))
         pairs = candidate_pairs(clipped, large_b, cell)
         pieces = pairs.withColumn("intersect_area",
                                   overlap_area3("a_xs", "a_ys", "a_cxs", "a_cys", "b_xs", "b_ys"))
     pieces = pieces.filter(F.col("intersect_area") > 0)
     pieces = pieces.groupBy(*[F.col(f"a_{c}").alias(c) for c in s_ids],
                             *[F.col(f"b_{c}").alias(c) for c in l_ids],
-                            F.col("b_large_area").alias("large_area")).agg(
+                            F.col("b_large_area").alias("large_area"),
+                            F.col("a_small_area").alias("small_area")).agg(
         F.sum("intersect_area").alias("intersect_area"))
-    out = pieces.join(small_area, s_ids).select(
+    out = pieces.select(
         *s_ids, *l_ids,
         (F.col("intersect_area") / F.col("large_area")).alias("prc_large_area"),
         (F.col("intersect_area") / F.col("small_area")).alias("prc_small_area"))

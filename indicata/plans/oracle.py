@@ -473,24 +473,31 @@ def q_paired_unpivot() -> str:
 
 # ------------------------------------------------------------- spatial
 
+def _top_sql() -> str:
+    from indicata.plans import spatial_queries as SP
+    return f"(SELECT (floor(max(c_custkey) / {SP.GRID}) + 1) * {dbl(SP.SIDE)} FROM customer)"
+
+
 def _spatial_parts() -> str:
     from indicata.plans import spatial_queries as SP
-    a = SP.STRIP_X
-    rows = [(0, a[0], a[1], 0, SP.TOP), (1, a[1], a[2], 0, SP.TOP), (2, a[2], a[3], 0, SP.TOP),
-            (3, a[3], a[4], 0, SP.NOTCH_Y), (4, a[4], a[5], 0, SP.TOP), (4, a[3], a[4], SP.NOTCH_Y, SP.TOP)]
-    vals = ", ".join(f"({k}, {dbl(x0)}, {dbl(x1)}, {dbl(y0)}, {dbl(y1)})" for k, x0, x1, y0, y1 in rows)
-    return f"SELECT * FROM (VALUES {vals}) v(k, x0, x1, y0, y1)"
+    a, t, n = SP.STRIP_X, _top_sql(), SP.NOTCH_Y
+    rows = [(0, a[0], a[1], 0, None), (1, a[1], a[2], 0, None), (2, a[2], a[3], 0, None),
+            (3, a[3], a[4], n, None), (4, a[4], a[5], 0, None), (4, a[3], a[4], 0, n)]
+    sel = " UNION ALL ".join(
+        f"SELECT {k} AS k, {dbl(x0)} AS x0, {dbl(x1)} AS x1, {dbl(y0)} AS y0, "
+        f"{t if y1 is None else dbl(y1)} AS y1" for k, x0, x1, y0, y1 in rows)
+    return f"SELECT * FROM ({sel}) v"
 
 
 def _puma_rects(clipped: bool) -> str:
     from indicata.plans import spatial_queries as SP
-    top = f"least(y0 + {dbl(SP.SIDE)}, {dbl(SP.CLIP_TOP)})" if clipped else f"y0 + {dbl(SP.SIDE)}"
+    left = f"greatest(x0, {dbl(SP.CLIP_X)})" if clipped else "x0"
     return f"""
-    SELECT PUMA, NAMELSAD20, x0, x0 + {dbl(SP.SIDE)} AS x1, y0, {top} AS y1 FROM (
-      SELECT CAST(n_nationkey AS VARCHAR) AS PUMA, n_name AS NAMELSAD20,
-             CAST(n_nationkey % {SP.GRID} AS DOUBLE) * {dbl(SP.SIDE)} AS x0,
-             CAST(floor(n_nationkey / {SP.GRID}) AS DOUBLE) * {dbl(SP.SIDE)} AS y0
-      FROM nation) n"""
+    SELECT PUMA, NAMELSAD20, {left} AS x0, x0 + {dbl(SP.SIDE)} AS x1, y0, y0 + {dbl(SP.SIDE)} AS y1 FROM (
+      SELECT CAST(c_custkey AS VARCHAR) AS PUMA, c_name AS NAMELSAD20,
+             CAST(c_custkey % {SP.GRID} AS DOUBLE) * {dbl(SP.SIDE)} AS x0,
+             CAST(floor(c_custkey / {SP.GRID}) AS DOUBLE) * {dbl(SP.SIDE)} AS y0
+      FROM customer) n"""
 
 
 def _spa_parts() -> str:
@@ -509,7 +516,8 @@ def _xwalk_sql() -> str:
   sa AS (SELECT SPA, sum((x1 - x0) * (y1 - y0)) AS spa_area FROM s GROUP BY SPA),
   i AS (SELECT p.PUMA, p.NAMELSAD20, s.SPA, s.SPA_NAME, sum({inter}) AS ia,
                max((p.x1 - p.x0) * (p.y1 - p.y0)) AS puma_area
-        FROM p, s GROUP BY p.PUMA, p.NAMELSAD20, s.SPA, s.SPA_NAME)
+        FROM p JOIN s ON p.x0 < s.x1 AND s.x0 < p.x1 AND p.y0 < s.y1 AND s.y0 < p.y1
+        GROUP BY p.PUMA, p.NAMELSAD20, s.SPA, s.SPA_NAME)
   SELECT i.PUMA, NAMELSAD20, i.SPA, SPA_NAME, ia / spa_area AS prc_spas_area, ia / puma_area AS prc_pumas_area
   FROM i JOIN sa ON i.SPA = sa.SPA
   WHERE ia > 0 AND ia / puma_area >= {dbl(SP.MIN_SHARE)}"""
@@ -528,7 +536,7 @@ def _all_parts() -> str:
     return f"""
     SELECT 'puma' AS layer, PUMA AS id, x0, x1, y0, y1 FROM ({_puma_rects(False)}) p
     UNION ALL SELECT 'spa', SPA, x0, x1, y0, y1 FROM ({_spa_parts()}) s
-    UNION ALL SELECT 'state', 'state', {dbl(a[0])}, {dbl(a[-1])}, {dbl(0.0)}, {dbl(SP.CLIP_TOP)}"""
+    UNION ALL SELECT 'state', 'state', {dbl(SP.CLIP_X)}, {dbl(a[-1])}, {dbl(0.0)}, {_top_sql()}"""
 
 
 def q_ring_area() -> str:
@@ -553,7 +561,7 @@ def q_survey_by_crosswalk(cut: float = 100) -> str:
     cells = f"""
     SELECT geoid, indicator, {totals_sql(hh_weights())}
     FROM (SELECT e.*, x.SPA_NAME AS geoid, {indicator_sql(cut)} AS indicator
-          FROM ({el}) e LEFT JOIN ({_xwalk_sql()}) x ON CAST(e.nationkey AS VARCHAR) = x.PUMA) y
+          FROM ({el}) e LEFT JOIN ({_xwalk_sql()}) x ON CAST(e.o_custkey AS VARCHAR) = x.PUMA) y
     GROUP BY geoid, indicator"""
     return f"""SELECT * FROM ({rate_sql(cells, ['geoid'], 'indicator')}) r
   WHERE indicator = 'at or below poverty' AND geoid IS NOT NULL"""

@@ -1,10 +1,12 @@
-"""Polygon layers derived from the nation and region tables, the crosswalk
-built from their overlap, and a survey run through it (SURVEY §7 steps 5, 13).
-
-Small units (PUMA-like) are the nations laid out on a 5 x 5 grid of 10 x 10
-squares; large units (planning areas) are the regions as vertical strips,
-the last one an L-shape (concave) that takes the top of the previous strip;
-the clip shape (the "state" outline) cuts the top row of squares.
+"""Polygon layers derived from the customer and region tables, the
+crosswalk built from their overlap, and a survey run through it (SURVEY §7
+steps 5, 13).
+
+Small units (PUMA-like) are the customers, one 10 x 10 square each on a grid
+50 squares wide, so the layer grows with the table.  Large units (planning
+areas) are the regions as vertical strips as tall as the grid; the last one
+is an L-shape (concave) that takes the bottom of the previous strip.  The
+clip shape (the "state" outline) cuts the first column of squares.
 """
 
 from __future__ import annotations
@@ -18,60 +20,66 @@ from indicata.plans import standins as S
 from indicata.plans import survey_queries as SQ
 
 # Fixed values of the test layout.
-GRID = 5
+GRID = 50
 SIDE = 10.0
-STRIP_X = (0.0, 8.5, 23.0, 31.0, 42.5, 50.0)
-TOP = 50.0
-NOTCH_Y = 45.0
-CLIP_TOP = 46.0
-CELL = 10.0
+STRIP_X = (0.0, 87.0, 233.0, 313.0, 428.5, 500.0)
+NOTCH_Y = 20.0
+CLIP_X = 4.0
+CELL = 50.0
 MIN_SHARE = 0.20
-DIGITS = 6
+DIGITS = 9
 
 
 def _arr(*vals):
-    return F.array(*[F.lit(float(v)) for v in vals])
+    return F.array(*[v if not isinstance(v, (int, float)) else F.lit(float(v)) for v in vals])
 
 
 def pumas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = S.table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey")
+    c = S.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
     x0 = (k % GRID).cast("double") * F.lit(SIDE)
     y0 = F.floor(k / GRID).cast("double") * F.lit(SIDE)
     x1, y1 = x0 + F.lit(SIDE), y0 + F.lit(SIDE)
-    return n.select(k.cast("string").alias("PUMA"), F.col("n_name").alias("NAMELSAD20"),
+    return c.select(k.cast("string").alias("PUMA"), F.col("c_name").alias("NAMELSAD20"),
                     F.array(x0, x1, x1, x0).alias("xs"), F.array(y0, y0, y1, y1).alias("ys"))
 
 
+def _extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the height of the square grid."""
+    c = S.table(spark, sf_dir, "customer")
+    return c.agg(((F.floor(F.max("c_custkey") / GRID) + 1) * F.lit(SIDE)).alias("top"))
+
+
 def _strip_ring(j: int):
     a, b = STRIP_X[j], STRIP_X[j + 1]
-    if j == 3:   # gives its top to the L-shaped last strip
-        return _arr(a, b, b, a), _arr(0, 0, NOTCH_Y, NOTCH_Y)
+    top = F.col("top")
+    if j == 3:   # gives its bottom to the L-shaped last strip
+        return _arr(a, b, b, a), _arr(NOTCH_Y, NOTCH_Y, top, top)
     if j == 4:   # L-shape, counter-clockwise, concave at (a, NOTCH_Y)
         p = STRIP_X[3]
-        return _arr(a, b, b, p, p, a), _arr(0, 0, TOP, TOP, NOTCH_Y, NOTCH_Y)
-    return _arr(a, b, b, a), _arr(0, 0, TOP, TOP)
+        return _arr(p, b, b, a, a, p), _arr(0, 0, top, top, NOTCH_Y, NOTCH_Y)
+    return _arr(a, b, b, a), _arr(0, 0, top, top)
 
 
 def spas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = S.table(spark, sf_dir, "region")
-    key = F.col("r_regionkey")
-    xs = ys = None
+    """Strips built from the one-row extent (exploded to one row per strip)
+    and named by an equi-join with the region table."""
+    strips = []
     for j in range(len(STRIP_X) - 1):
         rx, ry = _strip_ring(j)
-        xs = F.when(key == j, rx) if xs is None else xs.when(key == j, rx)
-        ys = F.when(key == j, ry) if ys is None else ys.when(key == j, ry)
-    return r.select(key.cast("string").alias("SPA"), F.col("r_name").alias("SPA_NAME"),
-                    xs.alias("xs"), ys.alias("ys")).filter(F.col("xs").isNotNull())
+        strips.append(F.struct(F.lit(j).alias("r_regionkey"), rx.alias("xs"), ry.alias("ys")))
+    rings = _extent(spark, sf_dir).select(F.inline(F.array(*strips)))
+    r = S.table(spark, sf_dir, "region")
+    return rings.join(r, "r_regionkey").select(F.col("r_regionkey").cast("string").alias("SPA"),
+                                               F.col("r_name").alias("SPA_NAME"), "xs", "ys")
 
 
 def state_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clip polygon spanning all strips, cut at CLIP_TOP."""
-    r = S.table(spark, sf_dir, "region")
-    lo, hi = STRIP_X[0], STRIP_X[-1]
-    return r.agg(F.count(F.lit(1)).alias("_n")).select(
-        F.lit("state").alias("GEOID"), _arr(lo, hi, hi, lo).alias("xs"),
-        _arr(0, 0, CLIP_TOP, CLIP_TOP).alias("ys"))
+    """One clip polygon over the whole grid except a band on the left."""
+    lo, hi = CLIP_X, STRIP_X[-1]
+    top = F.col("top")
+    return _extent(spark, sf_dir).select(F.lit("state").alias("GEOID"), _arr(lo, hi, hi, lo).alias("xs"),
+                                         _arr(0, 0, top, top).alias("ys"))
 
 
 def _layers(spark, sf_dir) -> DataFrame:
@@ -112,10 +120,14 @@ def overlay_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def survey_by_crosswalk(spark: SparkSession, sf_dir: str, cut: float = 100) -> DataFrame:
     """Households of a unit that falls in two planning areas count in
-    both; rates by planning area for households with a child under 5."""
-    df = SQ.eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, geo_cols=("nationkey",))
-    df = df.withColumn("PUMA", F.col("nationkey").cast("string"))
+    both; rates by planning area for households with a child under 5.
+
+    Here the small units are customers, so the crosswalk grows with the data
+    and is not forced to broadcast (a real PUMA crosswalk is a few thousand
+    rows and would be)."""
+    df = SQ.eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, geo_cols=())
+    df = df.withColumn("PUMA", F.col("o_custkey").cast("string"))
     xw = crosswalk(spark, sf_dir).select("PUMA", F.col("SPA_NAME").alias("geoid"))
-    df = X.attach_crosswalk(df, xw, "PUMA").withColumn("indicator", SQ._indicator(cut))
+    df = X.attach_crosswalk(df, xw, "PUMA", bounded=False).withColumn("indicator", SQ._indicator(cut))
     out = survey.survey_rate(df, S.HH_DESIGN, ["geoid"], "indicator")
     return out.filter((F.col("indicator") == SQ.AT_OR_BELOW) & F.col("geoid").isNotNull())
