@@ -25,6 +25,7 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "null_safe_flags": (SQ.null_safe_flags, O.q_null_safe_flags),
     "code_list_flag": (SQ.code_list_flag, O.q_code_list_flag),
     "survey_breakdown": (SQ.survey_breakdown, O.q_survey_breakdown),
+    "weighted_population": (SQ.weighted_population, O.q_weighted_population),
     "closures_by_month": (RQ.closures_by_month, O.q_closures_by_month),
     "closures_by_day": (RQ.closures_by_day, O.q_closures_by_day),
     "mean_of_sums": (RQ.mean_of_sums, O.q_mean_of_sums),

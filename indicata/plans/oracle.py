@@ -625,3 +625,11 @@ def q_fallback_text() -> str:
   SELECT geoid, CAST(n_subgroups AS BIGINT) AS n_subgroups, n_subgroups >= 2 AS chartable,
          CASE WHEN NOT (n_subgroups >= 2) THEN {txt} END AS text
   FROM ({best}) b"""
+
+
+def q_weighted_population() -> str:
+    return f"""
+  SELECT g.geoid, p.AGEP < 5 AS under_5, CAST(sum(p.PWGTP) AS BIGINT) AS population, count(*) AS persons
+  FROM ({person_cte(True)}) p JOIN orders o ON p.SERIALNO = o.o_orderkey
+  LEFT JOIN ({GEO_CTE}) g ON o.o_custkey = g.o_custkey
+  GROUP BY g.geoid, p.AGEP < 5"""

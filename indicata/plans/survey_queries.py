@@ -115,3 +115,15 @@ def survey_breakdown(spark: SparkSession, sf_dir: str, cut: float = 100) -> Data
     out = survey.survey_breakdown(df, S.HH_DESIGN, ["geoid"], BREAKDOWN_DIMS, "indicator")
     out = out.filter(F.col("indicator") == AT_OR_BELOW)
     return recode.drop_subgroups(out)
+
+
+def weighted_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Person-weighted population by area and age group, the magnitude
+    check the reference keeps next to its runs (all persons, no universe)."""
+    people = S.persons(spark, sf_dir).select("SERIALNO", "l_linenumber", "AGEP")
+    homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
+    df = people.join(homes, "SERIALNO").join(
+        S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
+    df = S.add_person_weights(df).select("geoid", "AGEP", "PWGTP")
+    return df.groupBy("geoid", (F.col("AGEP") < 5).alias("under_5")).agg(
+        F.sum("PWGTP").alias("population"), F.count(F.lit(1)).alias("persons"))
