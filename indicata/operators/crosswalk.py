@@ -165,7 +165,8 @@ def _is_convex(pts: np.ndarray) -> bool:
 
 
 def intersection_area(rings: Sequence[tuple]) -> float:
-    """Exact area of the intersection of simple polygons.
+    """Exact area of the intersection of simple polygons, one tuple of rings
+    at a time (the readable form; the UDFs use ``intersection_areas``).
 
     One polygon (a concave one if there is any) is the subject; every
     convex polygon clips it directly, half-plane by half-plane.  Half-plane
@@ -206,16 +207,177 @@ def intersection_area(rings: Sequence[tuple]) -> float:
     return max(walk(subject, 0, 1.0), 0.0)
 
 
+# Batched version used by the UDFs: every row of an Arrow batch at once.
+# Rings are padded to one width; Sutherland-Hodgman runs one clipper edge at
+# a time over all rows, compacting the kept vertices with a stable sort.
+
+def _bpad(rings, width=None):
+    """List of (xs, ys) -> (N, M, 2) array + counts."""
+    n = np.array([len(x) for x, _ in rings], dtype=np.int64)
+    M = int(max(n.max() if len(n) else 1, 1)) if width is None else width
+    P = np.zeros((len(rings), M, 2))
+    for i, (x, y) in enumerate(rings):
+        k = len(x)
+        P[i, :k, 0] = x
+        P[i, :k, 1] = y
+    return P, n
+
+
+def _bshoelace(P, n):
+    N, M, _ = P.shape
+    idx = np.arange(M)[None, :]
+    valid = idx < n[:, None]
+    nxt = np.where(n[:, None] > 0, (idx + 1) % np.maximum(n[:, None], 1), 0)
+    Q = np.take_along_axis(P, nxt[..., None].repeat(2, axis=2), axis=1)
+    cross = P[:, :, 0] * Q[:, :, 1] - Q[:, :, 0] * P[:, :, 1]
+    return 0.5 * np.where(valid, cross, 0.0).sum(axis=1)
+
+
+def _breverse(P, n, rows):
+    """Reverse the valid prefix of the selected rows (orientation flip)."""
+    if not rows.any():
+        return P
+    M = P.shape[1]
+    idx = np.arange(M)[None, :]
+    rev = np.where(idx < n[:, None], n[:, None] - 1 - idx, idx)
+    rev = np.where(rows[:, None], rev, idx)
+    return np.take_along_axis(P, rev[..., None].repeat(2, axis=2), axis=1)
+
+
+def _bconvex(P, n):
+    N, M, _ = P.shape
+    idx = np.arange(M)[None, :]
+    valid = idx < n[:, None]
+    m = np.maximum(n[:, None], 1)
+    i1 = (idx + 1) % m
+    i2 = (idx + 2) % m
+    g = lambda ix: np.take_along_axis(P, ix[..., None].repeat(2, axis=2), axis=1)
+    A, B, C = P, g(i1), g(i2)
+    cr = (B[:, :, 0] - A[:, :, 0]) * (C[:, :, 1] - B[:, :, 1]) - (B[:, :, 1] - A[:, :, 1]) * (C[:, :, 0] - B[:, :, 0])
+    return np.all(np.where(valid, cr >= 0, True), axis=1)
+
+
+def _bclip(S, ns, C, nc):
+    """Clip every subject row by its CCW convex clipper row (Sutherland-Hodgman)."""
+    N = S.shape[0]
+    rows = np.arange(N)
+    for k in range(C.shape[1]):
+        act = k < nc
+        if not act.any():
+            break
+        a = C[:, k]
+        b = C[rows, np.where(nc > 0, (k + 1) % np.maximum(nc, 1), 0)]
+        M = S.shape[1]
+        idx = np.arange(M)[None, :]
+        valid = idx < ns[:, None]
+        nxt = np.where(ns[:, None] > 0, (idx + 1) % np.maximum(ns[:, None], 1), 0)
+        Sn = np.take_along_axis(S, nxt[..., None].repeat(2, axis=2), axis=1)
+        ex, ey = (b - a)[:, 0:1], (b - a)[:, 1:2]
+        side = ex * (S[:, :, 1] - a[:, 1:2]) - ey * (S[:, :, 0] - a[:, 0:1])
+        side_n = np.take_along_axis(side, nxt, axis=1)
+        inside = side >= 0
+        cross = inside != (side_n >= 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(cross, side / (side - side_n), 0.0)
+        I = S + t[..., None] * (Sn - S)
+        keep = np.stack([inside & valid, cross & valid], axis=2).reshape(N, 2 * M)
+        cand = np.stack([S, I], axis=2).reshape(N, 2 * M, 2)
+        keep_old = np.stack([valid, np.zeros_like(valid)], axis=2).reshape(N, 2 * M)
+        cand_old = np.stack([S, S], axis=2).reshape(N, 2 * M, 2)
+        keep = np.where(act[:, None], keep, keep_old)
+        cand = np.where(act[:, None, None], cand, cand_old)
+        order = np.argsort(~keep, axis=1, kind="stable")
+        S = np.take_along_axis(cand, order[..., None].repeat(2, axis=2), axis=1)
+        ns = keep.sum(axis=1)
+        S = S[:, :max(int(ns.max()) if N else 1, 1)]
+    return S, ns
+
+
+def _bfan(P, n, owner, sign):
+    """Expand concave rows into their fan triangles (CCW) with signs."""
+    out_P, out_owner, out_sign = [], [], []
+    tri_owner = np.repeat(np.arange(len(P)), np.maximum(n - 2, 0))
+    j = np.concatenate([np.arange(1, k - 1) for k in n]) if len(n) else np.array([], dtype=int)
+    T = np.stack([P[tri_owner, 0], P[tri_owner, j], P[tri_owner, j + 1]], axis=1)
+    a = _bshoelace(T, np.full(len(T), 3))
+    nz = a != 0
+    T, a, tri_owner = T[nz], a[nz], tri_owner[nz]
+    T = _breverse(T, np.full(len(T), 3), a < 0)
+    return T, np.full(len(T), 3), owner[tri_owner], sign[tri_owner] * np.sign(a)
+
+
+def intersection_areas(polys):
+    """Batched ``intersection_area``: ``polys`` is a list of k layers, each a
+    list of N rings (xs, ys); returns the N intersection areas."""
+    N = len(polys[0])
+    if N == 0:
+        return np.zeros(0)
+    width = max(max(len(x) for x, _ in layer) for layer in polys)
+    layers = []
+    for layer in polys:
+        P, n = _bpad(layer, width)
+        P = _breverse(P, n, _bshoelace(P, n) < 0)
+        layers.append((P, n, _bconvex(P, n) & (n >= 3)))
+    degenerate = np.zeros(N, dtype=bool)
+    for P, n, _ in layers:
+        degenerate |= (n < 3) | (_bshoelace(P, n) == 0)
+    # subject: the first concave polygon of the row, else the first one
+    subj_layer = np.zeros(N, dtype=int)
+    for li in range(len(layers) - 1, -1, -1):
+        subj_layer = np.where(~layers[li][2], li, subj_layer)
+    S = np.zeros((N, width, 2)); ns = np.zeros(N, dtype=np.int64)
+    for li, (P, n, _) in enumerate(layers):
+        m = subj_layer == li
+        S[m], ns[m] = P[m], n[m]
+    owner = np.arange(N)
+    sign = np.ones(N)
+    for li, (P, n, cvx) in enumerate(layers):
+        if len(owner) == 0:
+            break
+        is_subj = subj_layer[owner] == li
+        Pc, nc, cv = P[owner], n[owner], cvx[owner]
+        skip = is_subj
+        direct = ~skip & cv
+        fan = ~skip & ~cv
+        parts_S, parts_ns, parts_C, parts_nc, parts_o, parts_s = [], [], [], [], [], []
+        if skip.any():
+            parts_S.append(S[skip]); parts_ns.append(ns[skip]); parts_C.append(None)
+            parts_nc.append(None); parts_o.append(owner[skip]); parts_s.append(sign[skip])
+        if direct.any():
+            parts_S.append(S[direct]); parts_ns.append(ns[direct]); parts_C.append((Pc[direct], nc[direct]))
+            parts_nc.append(True); parts_o.append(owner[direct]); parts_s.append(sign[direct])
+        if fan.any():
+            fi = np.nonzero(fan)[0]
+            T, tn, t_owner_local, t_sign = _bfan(Pc[fi], nc[fi], np.arange(len(fi)), sign[fi])
+            parts_S.append(S[fi][t_owner_local]); parts_ns.append(ns[fi][t_owner_local])
+            parts_C.append((T, tn)); parts_nc.append(True)
+            parts_o.append(owner[fi][t_owner_local]); parts_s.append(t_sign)
+        newS, newns, newo, news = [], [], [], []
+        for Sx, nsx, Cx, flag, ox, sx in zip(parts_S, parts_ns, parts_C, parts_nc, parts_o, parts_s):
+            if Cx is not None:
+                Sx, nsx = _bclip(Sx, nsx, Cx[0], Cx[1])
+            newS.append(Sx); newns.append(nsx); newo.append(ox); news.append(sx)
+        w = max(x.shape[1] for x in newS)
+        S = np.concatenate([np.pad(x, ((0, 0), (0, w - x.shape[1]), (0, 0))) for x in newS])
+        ns = np.concatenate(newns); owner = np.concatenate(newo); sign = np.concatenate(news)
+        keep = ns >= 3
+        S, ns, owner, sign = S[keep], ns[keep], owner[keep], sign[keep]
+    out = np.zeros(N)
+    if len(owner):
+        np.add.at(out, owner, sign * _bshoelace(S, ns))
+    out[degenerate] = 0.0
+    return np.maximum(out, 0.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def overlap_area2(xa: pd.Series, ya: pd.Series, xb: pd.Series, yb: pd.Series) -> pd.Series:
-    return pd.Series([intersection_area([(a, b), (c, d)]) for a, b, c, d in zip(xa, ya, xb, yb)])
+    return pd.Series(intersection_areas([list(zip(xa, ya)), list(zip(xb, yb))]))
 
 
 @F.pandas_udf(T.DoubleType())
 def overlap_area3(xa: pd.Series, ya: pd.Series, xb: pd.Series, yb: pd.Series,
                   xc: pd.Series, yc: pd.Series) -> pd.Series:
-    return pd.Series([intersection_area([(a, b), (c, d), (e, f)])
-                      for a, b, c, d, e, f in zip(xa, ya, xb, yb, xc, yc)])
+    return pd.Series(intersection_areas([list(zip(xa, ya)), list(zip(xb, yb)), list(zip(xc, yc))]))
 
 
 # ------------------------------------------------------------- crosswalk

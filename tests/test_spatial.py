@@ -80,3 +80,25 @@ def test_attach_crosswalk_is_broadcast(spark):
     out = X.attach_crosswalk(df, xw, "PUMA")
     assert out.count() == 2
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batched_areas_match_scalar():
+    rng = np.random.default_rng(11)
+
+    def poly():
+        k = int(rng.integers(3, 8))
+        ang = np.sort(rng.uniform(0, 2 * np.pi, k))
+        r = rng.uniform(0.5, 3, k)
+        c = rng.uniform(0, 4, 2)
+        xs, ys = list(c[0] + r * np.cos(ang)), list(c[1] + r * np.sin(ang))
+        return (xs[::-1], ys[::-1]) if rng.integers(2) else (xs, ys)
+
+    A = [poly() for _ in range(200)] + [(L_XS, L_YS), (L_XS, L_YS)]
+    B = [poly() for _ in range(200)] + [rect(1, 1, 3, 3), (L_XS[::-1], L_YS[::-1])]
+    C = [poly() for _ in range(202)]
+    two = X.intersection_areas([A, B])
+    three = X.intersection_areas([A, B, C])
+    for i in range(len(A)):
+        assert two[i] == pytest.approx(X.intersection_area([A[i], B[i]]), abs=1e-9)
+        assert three[i] == pytest.approx(X.intersection_area([A[i], B[i], C[i]]), abs=1e-9)
+    assert two[-2] == pytest.approx(3.0) and two[-1] == pytest.approx(12.0)
