@@ -17,7 +17,7 @@ __all__ = [
     "matches", "replace_first", "paste", "title_case", "snake_case",
     "clean_names", "parse_date", "date_part_text", "month_name",
     "parse_number", "round_half_even", "safe_divide", "is_missing",
-    "strict_sum", "cast_all_text", "level_order",
+    "strict_sum", "cast_all_text", "level_order", "comma",
 ]
 
 
@@ -149,3 +149,9 @@ def level_order(c, levels) -> Column:
     arr = F.array(*[F.lit(v) for v in levels])
     pos = F.array_position(arr, col_of(c))
     return F.when(pos == 0, F.lit(len(levels) + 1)).otherwise(pos).cast("int")
+
+
+def comma(c, digits: int = 0) -> Column:
+    """``scales::comma``: number as text with thousands separators (I6); only
+    at the report edge, after all arithmetic."""
+    return F.format_number(col_of(c).cast("double"), digits)

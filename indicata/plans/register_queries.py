@@ -178,8 +178,9 @@ def impute_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series with one unreleased period filled by its neighbours."""
     s = moe_sum(spark, sf_dir).filter(F.col("day") != F.lit(MISSING_DAY).cast("date"))
     s = s.withColumn("population", F.col("population").cast("double"))
-    return series.impute_gap(s, ["event_type"], "day", "population", moe="moe",
-                             step=F.expr("INTERVAL 1 DAY"))
+    filled = series.impute_gap(s, ["event_type"], "day", "population", moe="moe",
+                               step=F.expr("INTERVAL 1 DAY"))
+    return filled.orderBy("event_type", "day")   # G2
 
 
 def sum_strict(spark: SparkSession, sf_dir: str) -> DataFrame:

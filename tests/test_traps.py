@@ -147,3 +147,30 @@ def test_whole_and_part_one_pass(spark):
     t = A.whole_and_part(df, F.col("county") == "LA", "CA", "LA")
     out = {r.geography: r.n for r in t.groupBy("geography").agg(F.sum("close").alias("n")).collect()}
     assert out == {"CA": 2, "LA": 1}
+
+
+def test_comma_and_text_cast(spark):
+    df = spark.createDataFrame([(1234567, 2.5)], "n long, x double")
+    assert one(df, S.comma("n")) == ["1,234,567"]
+    assert S.cast_all_text(df).dtypes == [("n", "string"), ("x", "string")]
+
+
+def test_stack_with_tags_and_label_order(spark):
+    from indicata.operators import reshape
+    a = spark.createDataFrame([("037", 1.0)], "geoid string, rate double")
+    b = spark.createDataFrame([(2.0, "037")], "rate double, geoid string")
+    out = reshape.stack([a, b], {"population": ["under 5", "all"]})
+    assert sorted((r.population, r.rate) for r in out.collect()) == [("all", 2.0), ("under 5", 1.0)]
+    levels = ["Child Care", "Food", "Housing"]
+    df = spark.createDataFrame([("Housing",), ("Other",), ("Child Care",), ("Food",)], "expense string")
+    assert [r.expense for r in reshape.order_by_labels(df, "expense", levels).collect()] == \
+        ["Child Care", "Food", "Housing", "Other"]
+
+
+def test_pair_measures_by_stem(spark):
+    from indicata.operators import reshape
+    long = spark.createDataFrame([("LA", "pct_white_hh", 0.2), ("LA", "num_white_hh", 10.0),
+                                  ("LA", "num_black_hh", 5.0), ("LA", "pct_black_hh", 0.1),
+                                  ("LA", "county_total", 1.0)], "county string, variable string, value double")
+    out = {r.stem: (r.num, r.pct) for r in reshape.pair_measures(long, ["county"], "variable", "value").collect()}
+    assert out == {"white_hh": (10.0, 0.2), "black_hh": (5.0, 0.1)}
