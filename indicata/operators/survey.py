@@ -74,7 +74,7 @@ def total_names(design: ReplicateDesign) -> list[str]:
 
 def replicate_totals(df: DataFrame, design: ReplicateDesign, by: Sequence[str]) -> DataFrame:
     """Weighted totals per cell: ``by`` + ``_t0`` (full sample) .. ``_tR``."""
-    aggs = [F.sum(F.col(c)).alias(total_name(i)) for i, c in enumerate(design.columns)]
+    aggs = [F.expr(f"sum(`{c}`) AS `{total_name(i)}`") for i, c in enumerate(design.columns)]
     return df.groupBy(*by).agg(*aggs)
 
 
@@ -104,6 +104,29 @@ def replicate_se(estimate: Column, replicates, design: ReplicateDesign) -> Colum
         .otherwise(F.sqrt(F.lit(float(design.scale)) * ssq))
 
 
+def _dbl(x: float) -> str:
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def replicate_se_sql(estimate: str, replicates: str, design: ReplicateDesign) -> str:
+    """``replicate_se`` as SQL text over an estimate expression and an array
+    expression of replicate estimates (the same operations, in the same
+    order; used where many columns are built at once)."""
+    reps = f"transform({replicates}, x -> CAST(x AS DOUBLE))"
+    if design.mse:
+        centre = f"CAST({estimate} AS DOUBLE)"
+    else:
+        centre = f"(aggregate({reps}, {_dbl(0.0)}, (acc, x) -> acc + x) / CAST(size({reps}) AS DOUBLE))"
+    if design.rscales is not None and any(r != 1 for r in design.rscales):
+        rs = "array(" + ", ".join(_dbl(r) for r in design.rscales) + ")"
+        sq = f"zip_with({reps}, {rs}, (x, r) -> (x - {centre}) * (x - {centre}) * r)"
+    else:
+        sq = f"transform({reps}, x -> (x - {centre}) * (x - {centre}))"
+    ssq = f"aggregate({sq}, {_dbl(0.0)}, (acc, t) -> acc + coalesce(t, {_dbl(0.0)}))"
+    return (f"CASE WHEN {centre} IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"ELSE sqrt({_dbl(design.scale)} * {ssq}) END")
+
+
 def _ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
@@ -117,10 +140,11 @@ def survey_total(df: DataFrame, design: ReplicateDesign, by: Sequence[str],
 
 def totals_from_cells(cells: DataFrame, design: ReplicateDesign, by: Sequence[str],
                       name: str = "num") -> DataFrame:
-    t = [F.col(c) for c in total_names(design)]
-    packed = cells.select(*by, t[0].alias("_n0"), F.array(*[c.cast("double") for c in t[1:]]).alias("_ts"))
-    return packed.select(*by, F.col("_n0").cast("double").alias(name),
-                         replicate_se(F.col("_n0"), F.col("_ts"), design).alias(f"{name}_se"))
+    t = total_names(design)
+    arr = "array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in t[1:]) + ")"
+    packed = cells.selectExpr(*[f"`{c}`" for c in by], f"`{t[0]}` AS _n0", f"{arr} AS _ts")
+    return packed.selectExpr(*[f"`{c}`" for c in by], f"CAST(_n0 AS DOUBLE) AS `{name}`",
+                             f"{replicate_se_sql('_n0', '_ts', design)} AS `{name}_se`")
 
 
 def survey_rate(df: DataFrame, design: ReplicateDesign, within: Sequence[str],
@@ -144,26 +168,26 @@ def rate_from_cells(cells: DataFrame, design: ReplicateDesign, within: Sequence[
     """
     n = design.replicates + 1
     t = total_names(design)
-    w = Window.partitionBy(*[F.col(c) for c in within])
-    with_parent = cells.select(
-        *within, indicator, *t,
-        *[F.sum(F.col(t[i])).over(w).alias(f"_p{i}") for i in range(n)])
-    num = F.col(t[0])
-    pop = F.col("_p0")
-    t_arr = F.array(*[F.col(c).cast("double") for c in t[1:]])
-    p_arr = F.array(*[F.col(f"_p{i}").cast("double") for i in range(1, n)])
-    packed = with_parent.select(*within, indicator, num.alias("_n0"), pop.alias("_q0"),
-                                t_arr.alias("_ts"), p_arr.alias("_ps"))
-    theta0 = _ratio(F.col("_n0"), F.col("_q0"))
-    thetas = F.zip_with("_ts", "_ps", lambda a, b: F.try_divide(a, b))
-    est = packed.select(
-        *within, indicator,
-        F.col("_n0").cast("double").alias("num"),
-        replicate_se(F.col("_n0"), F.col("_ts"), design).alias("num_se"),
-        theta0.alias("_rate"),
-        replicate_se(theta0, thetas, design).alias("rate_se"),
-        F.col("_q0").cast("double").alias("pop"),
-        replicate_se(F.col("_q0"), F.col("_ps"), design).alias("pop_se"),
+    part = ", ".join(f"`{c}`" for c in within)
+    # built as SQL text: 2 x 81 columns in a handful of JVM calls
+    with_parent = cells.selectExpr(
+        *[f"`{c}`" for c in [*within, indicator, *t]],
+        *[f"sum(`{t[i]}`) OVER (PARTITION BY {part}) AS `_p{i}`" for i in range(n)])
+    t_arr = "array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in t[1:]) + ")"
+    p_arr = "array(" + ", ".join(f"CAST(`_p{i}` AS DOUBLE)" for i in range(1, n)) + ")"
+    packed = with_parent.selectExpr(*[f"`{c}`" for c in [*within, indicator]], f"`{t[0]}` AS _n0",
+                                    "_p0 AS _q0", f"{t_arr} AS _ts", f"{p_arr} AS _ps")
+    theta0 = "try_divide(CAST(_n0 AS DOUBLE), CAST(_q0 AS DOUBLE))"
+    thetas = "zip_with(_ts, _ps, (a, b) -> try_divide(a, b))"
+    keys = [f"`{c}`" for c in [*within, indicator]]
+    est = packed.selectExpr(
+        *keys,
+        "CAST(_n0 AS DOUBLE) AS num",
+        f"{replicate_se_sql('_n0', '_ts', design)} AS num_se",
+        f"{theta0} AS _rate",
+        f"{replicate_se_sql(theta0, thetas, design)} AS rate_se",
+        "CAST(_q0 AS DOUBLE) AS pop",
+        f"{replicate_se_sql('_q0', '_ps', design)} AS pop_se",
     )
     return reliability(est, z)
 

@@ -38,24 +38,38 @@ HH_DESIGN = ReplicateDesign.acs("WGTP", REPLICATES)
 PERSON_DESIGN = ReplicateDesign.acs("PWGTP", REPLICATES)
 
 
+_READERS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table; the reader (schema from the footers) is reused
+    within a session, so repeated plans do not list and read footers again."""
+    key = (id(spark), sf_dir, name)
+    df = _READERS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _READERS[key] = df
+    return df
+
+
+def _weight_exprs(key: str, mod: int, rep_mod: int, shift: int, prefix: str,
+                  replicates: bool = True, full: bool = True) -> list[str]:
+    """Weight columns as SQL expressions: one JVM parse each instead of a
+    chain of Python-side Column calls for 81 columns."""
+    w0 = f"({key} % {mod} + 1)"
+    out = [f"{w0} AS `{prefix}`"] if full else []
+    if replicates:
+        out += [f"{w0} + ({key} * {k}) % {rep_mod} - {shift} AS `{prefix}{k}`"
+                for k in range(1, REPLICATES + 1)]
+    return out
 
 
-def household_weights(key: Column, prefix: str = "WGTP") -> list[Column]:
-    w0 = key % HOUSEHOLD_WEIGHT_MOD + 1
-    cols = [w0.alias(prefix)]
-    for k in range(1, REPLICATES + 1):
-        cols.append((w0 + (key * k) % HOUSEHOLD_REP_MOD - HOUSEHOLD_REP_SHIFT).alias(f"{prefix}{k}"))
-    return cols
+def household_weights(key: str, prefix: str = "WGTP", **kw) -> list[str]:
+    return _weight_exprs(key, HOUSEHOLD_WEIGHT_MOD, HOUSEHOLD_REP_MOD, HOUSEHOLD_REP_SHIFT, prefix, **kw)
 
 
-def person_weights(key: Column, prefix: str = "PWGTP") -> list[Column]:
-    w0 = key % PERSON_WEIGHT_MOD + 1
-    cols = [w0.alias(prefix)]
-    for k in range(1, REPLICATES + 1):
-        cols.append((w0 + (key * k) % PERSON_REP_MOD - PERSON_REP_SHIFT).alias(f"{prefix}{k}"))
-    return cols
+def person_weights(key: str, prefix: str = "PWGTP", **kw) -> list[str]:
+    return _weight_exprs(key, PERSON_WEIGHT_MOD, PERSON_REP_MOD, PERSON_REP_SHIFT, prefix, **kw)
 
 
 def persons(spark: SparkSession, sf_dir: str, with_weights: bool = False) -> DataFrame:
@@ -75,9 +89,10 @@ def persons(spark: SparkSession, sf_dir: str, with_weights: bool = False) -> Dat
         pk.cast("string").alias("ANC1P"),
         F.when(F.col("l_linenumber") % 2 == 0, sk.cast("string")).alias("ANC2P"),
     ]
+    df = li.select(*cols)
     if with_weights:
-        cols += person_weights(F.col("l_orderkey") + F.col("l_linenumber"))
-    return li.select(*cols)
+        df = df.selectExpr("*", *person_weights("(SERIALNO + l_linenumber)"))
+    return df
 
 
 def households(spark: SparkSession, sf_dir: str, with_replicates: bool = False) -> DataFrame:
@@ -87,17 +102,16 @@ def households(spark: SparkSession, sf_dir: str, with_replicates: bool = False)
     cross the shuffles narrow, and the 80 derived columns only feed the
     map-side partial aggregate."""
     o = table(spark, sf_dir, "orders")
-    w = household_weights(F.col("o_orderkey"))
-    return o.select(F.col("o_orderkey").alias("SERIALNO"), F.col("o_custkey"),
-                    *(w if with_replicates else w[:1]))
+    return o.selectExpr("o_orderkey AS SERIALNO", "o_custkey",
+                        *household_weights("o_orderkey", replicates=with_replicates))
 
 
 def add_household_replicates(df: DataFrame, key: str = "SERIALNO") -> DataFrame:
-    return df.select("*", *household_weights(F.col(key))[1:])
+    return df.selectExpr("*", *household_weights(key, full=False))
 
 
 def add_person_weights(df: DataFrame, serial: str = "SERIALNO", line: str = "l_linenumber") -> DataFrame:
-    return df.select("*", *person_weights(F.col(serial) + F.col(line)))
+    return df.selectExpr("*", *person_weights(f"({serial} + {line})"))
 
 
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
