@@ -40,14 +40,27 @@ PERSON_DESIGN = ReplicateDesign.acs("PWGTP", REPLICATES)
 
 _READERS: dict = {}
 
+# row-level inputs whose scans carry the heavy per-row work
+ROW_TABLES = ("lineitem",)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table; the reader (schema from the footers) is reused
-    within a session, so repeated plans do not list and read footers again."""
+    within a session, so repeated plans do not list and read footers again.
+
+    A row-level table that arrives in fewer splits than the session has
+    task slots (one large row group, as in small test files) is spread
+    round-robin first, so the per-row work is not serialised in one task.
+    On a cluster the input has far more splits than slots and this is a
+    no-op."""
     key = (id(spark), sf_dir, name)
     df = _READERS.get(key)
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name in ROW_TABLES:
+            slots = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < slots:
+                df = df.repartition(slots)
         _READERS[key] = df
     return df
 
