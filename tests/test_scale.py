@@ -38,3 +38,30 @@ def test_strict_reference_drops_areas_without_centers(spark):
     spine = RQ.capacity_on_spine(spark, sf).count()
     strict = RQ.capacity_on_spine(spark, sf, strict_reference=True).count()
     assert spine == 25 and strict < spine
+
+
+def _filescans(df, table):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len([line for line in plan.split("\n") if "FileScan" in line and f"/{table}.parquet" in line])
+
+
+def test_breakdown_reads_each_input_once(spark):
+    from indicata.plans import survey_queries as SQ
+    df = SQ.survey_breakdown(spark, "/root/testdata/sf0.001")
+    assert _filescans(df, "lineitem") == 1
+    assert _filescans(df, "orders") == 1
+
+
+def test_whole_and_part_reads_register_once(spark):
+    from indicata.plans import register_queries as RQ
+    df = RQ.closures_by_month(spark, "/root/testdata/sf0.001")
+    assert _filescans(df, "orders") == 1
+
+
+def test_no_python_outside_spatial(spark):
+    import __spark_entry__ as E
+    for name, fn in E.queries().items():
+        if name in ("overlay_crosswalk", "survey_by_crosswalk"):
+            continue
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "InPandas" not in plan, name

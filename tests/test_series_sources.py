@@ -12,11 +12,11 @@ from indicata.operators import series
 
 
 def test_impute_gap_mean_of_neighbours(spark):
-    rows = [("LA", 2018, 10.0, 1.0), ("LA", 2019, 20.0, 2.0), ("LA", 2021, 40.0, 4.0), ("SF", 2020, 5.0, 1.0)]
+    rows = [("North", 2018, 10.0, 1.0), ("North", 2019, 20.0, 2.0), ("North", 2021, 40.0, 4.0), ("South", 2020, 5.0, 1.0)]
     df = spark.createDataFrame(rows, "name string, year int, population double, moe double")
     out = {(r.name, r.year): r for r in series.impute_gap(df, ["name"], "year", "population", "moe").collect()}
-    assert out[("LA", 2020)].population == 30.0 and out[("LA", 2020)].moe == 0.0 and out[("LA", 2020)].imputed
-    assert not out[("LA", 2019)].imputed and len(out) == 5
+    assert out[("North", 2020)].population == 30.0 and out[("North", 2020)].moe == 0.0 and out[("North", 2020)].imputed
+    assert not out[("North", 2019)].imputed and len(out) == 5
 
 
 def test_read_register_promotes_header_and_parses(spark, tmp_path):
@@ -68,7 +68,7 @@ def test_select_variables(spark):
 
 
 def test_write_indicator_roundtrip(spark, tmp_path):
-    df = spark.createDataFrame([("037", "Total", 1.5, "2023")], "geoid string, subgroup string, rate double, year string")
+    df = spark.createDataFrame([("A01", "Total", 1.5, "2023")], "geoid string, subgroup string, rate double, year string")
     SRC.write_indicator(df, str(tmp_path / "out"), "csv", partition_by=["year"])
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.count() == 1 and "year" in back.columns
@@ -89,8 +89,8 @@ def test_closures_stream(spark, tmp_path):
     feed.mkdir()
     (feed / "w1.csv").write_text(
         "facility_type,facility_name,county_name,facility_capacity,facility_status,closed_date_text\n"
-        "Center,a,LA,10,CLOSED,1/7/2020\nCenter,b,SF,5,CLOSED,1/9/2020\nCenter,c,LA,7,LICENSED,1/9/2020\n")
-    q = (closures_stream(spark, str(feed), "CA", "LA").writeStream.outputMode("complete")
+        "Center,a,North,10,CLOSED,1/7/2020\nCenter,b,South,5,CLOSED,1/9/2020\nCenter,c,North,7,LICENSED,1/9/2020\n")
+    q = (closures_stream(spark, str(feed), "State", "North").writeStream.outputMode("complete")
          .format("memory").queryName("closures_feed")
          .option("checkpointLocation", str(tmp_path / "ckpt")).start())
     try:
@@ -98,4 +98,4 @@ def test_closures_stream(spark, tmp_path):
         out = {r.geography: (r.closed, r.seats) for r in spark.sql("select * from closures_feed").collect()}
     finally:
         q.stop()
-    assert out == {"CA": (2, 15), "LA": (1, 10)}
+    assert out == {"State": (2, 15), "North": (1, 10)}
