@@ -66,19 +66,25 @@ def mean_of_sums(df: DataFrame, by: Sequence[str], value: str, out: str = "mean"
     return df.groupBy(*by).agg(F.avg(F.col(value)).alias(out))
 
 
-def moe_sum(moe, estimate=None) -> Column:
+def moe_sum(moe, estimate=None, na_rm: bool = False) -> Column:
     """Root-sum-square MOE of a sum of estimates.
 
     With estimates, only the largest MOE among zero estimates is counted,
     as the census guidance for aggregating zero estimates prescribes.
+    Without ``na_rm`` one missing MOE makes the result missing, as in the
+    published call.
     """
     m = col_of(moe).cast("double")
     if estimate is None:
-        return F.sqrt(F.sum(m * m))
-    e = col_of(estimate)
-    nonzero = F.sum(F.when(e != 0, m * m).otherwise(F.lit(0.0)))
-    zero_max = F.coalesce(F.max(F.when(e == 0, m * m)), F.lit(0.0))
-    return F.sqrt(nonzero + zero_max)
+        out = F.sqrt(F.sum(m * m))
+    else:
+        e = col_of(estimate)
+        nonzero = F.sum(F.when(e != 0, m * m).otherwise(F.lit(0.0)))
+        zero_max = F.coalesce(F.max(F.when(e == 0, m * m)), F.lit(0.0))
+        out = F.sqrt(nonzero + zero_max)
+    if na_rm:
+        return out
+    return F.when(F.count_if(m.isNull()) > 0, F.lit(None).cast("double")).otherwise(out)
 
 
 def rate_per(num, den, base: float = 1.0) -> Column:

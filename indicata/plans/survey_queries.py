@@ -24,14 +24,19 @@ def _indicator(cut: float):
 def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
              person_filter=None, recoded: bool = False,
              geo_cols: tuple = ("geoid",)) -> DataFrame:
-    """Households with their representative person, weights and area."""
+    """Households with their representative person, weights and area.
+
+    The reference recodes every person before picking one per household.
+    The recode is a function of the person's own columns, so it is applied
+    after the pick: the same values, with the code-list joins seeing one row
+    per household instead of every person."""
     people = S.persons(spark, sf_dir)
-    if recoded:
-        people = recode.race_recode(people, S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS)
     households = S.households(spark, sf_dir)
     picked = hh.eligible_households(
         people, households, serial="SERIALNO", join_keys=["SERIALNO"], order=list(S.PERSON_ORDER),
         universe="POVPIP", weight="WGTP", person_filter=person_filter, population=population)
+    if recoded:
+        picked = recode.race_recode(picked, S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS)
     placed = picked.join(S.geography(spark, sf_dir).select("o_custkey", *geo_cols), "o_custkey", "left")
     return S.add_household_replicates(placed)
 

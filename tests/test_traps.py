@@ -174,3 +174,9 @@ def test_pair_measures_by_stem(spark):
                                   ("North", "county_total", 1.0)], "county string, variable string, value double")
     out = {r.stem: (r.num, r.pct) for r in reshape.pair_measures(long, ["county"], "variable", "value").collect()}
     assert out == {"white_hh": (10.0, 0.2), "black_hh": (5.0, 0.1)}
+
+
+def test_moe_sum_missing_moe_is_missing(spark):
+    df = spark.createDataFrame([(10, 3.0), (2, None)], "e int, m double")
+    (r,) = df.agg(A.moe_sum("m", "e").alias("v"), A.moe_sum("m", "e", na_rm=True).alias("w")).collect()
+    assert r.v is None and r.w == pytest.approx(3.0)
