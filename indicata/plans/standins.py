@@ -58,8 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if name in ROW_TABLES:
-            slots = spark.sparkContext.defaultParallelism
-            if df.rdd.getNumPartitions() < slots:
+            try:
+                slots = spark.sparkContext.defaultParallelism
+                splits = df.rdd.getNumPartitions()
+            except Exception:       # no RDD view (e.g. a Connect session): leave as is
+                slots = splits = 0
+            if splits < slots:
                 df = df.repartition(slots)
         _READERS[key] = df
     return df
