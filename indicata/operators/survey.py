@@ -239,3 +239,29 @@ def survey_breakdown(df: DataFrame, design: ReplicateDesign, geo: Sequence[str],
     by_group = replicate_totals(expanded, cdesign, [*geo, "dimension", "subgroup", indicator])
     out = rate_from_cells(by_group, cdesign, [*geo, "dimension", "subgroup"], indicator, z)
     return out
+
+
+def survey_threshold_runs(df: DataFrame, design: ReplicateDesign, within: Sequence[str], value: str,
+                          cuts: Sequence[float], low: str, high: str, cut_col: str = "cut",
+                          indicator: str = "indicator", z: float = Z90) -> DataFrame:
+    """Rates of ``value <= cut`` for several cuts in one pass (the published
+    100% and 138% runs, C5 + E1-E5).
+
+    Rows are aggregated once into the bands between consecutive cuts; the
+    cells of each cut are sums of bands (band <= j is at or below cut j), so
+    adding a cut adds one band to the cell table, not another pass over the
+    rows.  A null ``value`` has no band and no indicator, as in a single run.
+    """
+    cuts = sorted(float(c) for c in cuts)
+    v = F.col(value)
+    band = sum((F.when(v > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    banded = df.withColumn("_band", F.when(v.isNotNull(), band))
+    cells = replicate_totals(banded, design, [*within, "_band"])
+    cdesign = design.cells()
+    entries = [F.struct(F.lit(c).alias(cut_col),
+                        F.when(F.col("_band").isNull(), F.lit(None).cast("string"))
+                         .when(F.col("_band") <= j, F.lit(low)).otherwise(F.lit(high)).alias(indicator))
+               for j, c in enumerate(cuts)]
+    expanded = cells.select(*within, F.inline(F.array(*entries)), *total_names(cdesign))
+    per_cut = replicate_totals(expanded, cdesign, [*within, cut_col, indicator])
+    return rate_from_cells(per_cut, cdesign, [*within, cut_col], indicator, z)

@@ -18,6 +18,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "eligible_households": (SQ.eligible_households, O.q_eligible_households),
     "poverty_by_area": (SQ.poverty_by_area, O.q_poverty_by_area),
+    "poverty_runs": (SQ.poverty_runs, O.q_poverty_runs),
     "survey_total": (SQ.survey_total, O.q_survey_total),
     "survey_rate": (SQ.survey_rate, O.q_survey_rate),
     "person_weighted_rate": (SQ.person_weighted_rate, O.q_person_weighted_rate),

@@ -633,3 +633,17 @@ def q_weighted_population() -> str:
   FROM ({person_cte(True)}) p JOIN orders o ON p.SERIALNO = o.o_orderkey
   LEFT JOIN ({GEO_CTE}) g ON o.o_custkey = g.o_custkey
   GROUP BY g.geoid, p.AGEP < 5"""
+
+
+def q_poverty_runs() -> str:
+    from indicata.plans import survey_queries as SQ
+    el = eligible_sql(population={"under 5": "AGEP < 5", "all": None})
+    parts = []
+    for c in SQ.CUTS:
+        cells = f"""
+    SELECT population, {dbl(c)} AS cut, geoid, indicator, {totals_sql(hh_weights())}
+    FROM (SELECT *, {indicator_sql(c)} AS indicator FROM ({el}) e) x
+    GROUP BY population, geoid, indicator"""
+        parts.append(f"SELECT * FROM ({rate_sql(cells, ['population', 'cut', 'geoid'], 'indicator')}) r "
+                     f"WHERE indicator = 'at or below poverty' AND geoid IS NOT NULL")
+    return " UNION ALL ".join(parts)

@@ -132,3 +132,16 @@ def weighted_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = S.add_person_weights(df).select("geoid", "AGEP", "PWGTP")
     return df.groupBy("geoid", (F.col("AGEP") < 5).alias("under_5")).agg(
         F.sum("PWGTP").alias("population"), F.count(F.lit(1)).alias("persons"))
+
+
+CUTS = (100.0, 138.0)
+
+
+def poverty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The county runs at both published cuts for both populations in one
+    pass over the rows (C5 E1-E5 H1): one household pick, one aggregate into
+    cut bands, per-cut cells summed from the bands."""
+    df = eligible(spark, sf_dir, population={UNDER5: F.col("AGEP") < 5, "all": None})
+    out = survey.survey_threshold_runs(df, S.HH_DESIGN, ["population", "geoid"], "POVPIP", CUTS,
+                                       AT_OR_BELOW, ABOVE)
+    return out.filter((F.col("indicator") == AT_OR_BELOW) & F.col("geoid").isNotNull())

@@ -143,3 +143,19 @@ def test_survey_plan_has_no_python(spark):
     from indicata.plans import survey_queries as SQ
     plan = SQ.survey_breakdown(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_threshold_runs_equal_single_runs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v) if v >= 0 else None, *w)
+            for (g, _, *w), v in zip(make_rows(rng, 300), rng.integers(-20, 200, 300))]
+    df = spark.createDataFrame(rows, ["geo", "val", "w", *DESIGN.rep_weights])
+    multi = {(r.geo, r.cut, r.indicator): r for r in
+             survey.survey_threshold_runs(df, DESIGN, ["geo"], "val", [138, 100], "low", "high").collect()}
+    from pyspark.sql import functions as F
+    for cut in (100.0, 138.0):
+        single = df.withColumn("ind", F.when(F.col("val") <= cut, "low").when(F.col("val") > cut, "high"))
+        for r in survey.survey_rate(single, DESIGN, ["geo"], "ind").collect():
+            m = multi[(r.geo, cut, r.ind)]
+            for c in ("num", "num_se", "rate", "rate_se", "pop", "pop_se"):
+                assert m[c] == pytest.approx(r[c], rel=1e-12), (cut, c)
