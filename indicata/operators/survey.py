@@ -215,6 +215,32 @@ def reliability(df: DataFrame, z: float = Z90, rate: str = "_rate") -> DataFrame
     )
 
 
+def _expand_dimensions(cells: DataFrame, design: ReplicateDesign, keep: Sequence[str],
+                       dims: dict[str, str], total_label: str) -> DataFrame:
+    """One row per (cell, dimension): ``dimension`` and ``subgroup`` columns
+    plus the cell's totals; the Total row is one more dimension."""
+    entries = [F.struct(F.lit(name).alias("dimension"), F.col(c).cast("string").alias("subgroup"))
+               for name, c in dims.items()]
+    entries.append(F.struct(F.lit("total").alias("dimension"), F.lit(total_label).alias("subgroup")))
+    return cells.select(*keep, F.inline(F.array(*entries)), *total_names(design.cells()))
+
+
+def survey_total_breakdown(df: DataFrame, design: ReplicateDesign, geo: Sequence[str],
+                           dims: dict[str, str], total_label: str = "Total",
+                           z: float = Z90) -> DataFrame:
+    """Weighted counts with SE, MOE and CV for several overlapping
+    dimensions plus a Total (E1, E5, E6 for counts): the same two stages as
+    ``survey_breakdown``."""
+    cells = replicate_totals(df, design, [*geo, *dims.values()])
+    cdesign = design.cells()
+    expanded = _expand_dimensions(cells, design, geo, dims, total_label)
+    by_group = replicate_totals(expanded, cdesign, [*geo, "dimension", "subgroup"])
+    out = totals_from_cells(by_group, cdesign, [*geo, "dimension", "subgroup"])
+    zl = F.lit(float(z))
+    return out.select("*", (F.col("num_se") * zl).alias("count_moe"),
+                      (F.try_divide(F.col("num_se") * zl / zl, F.col("num")) * F.lit(100.0)).alias("count_cv"))
+
+
 def survey_breakdown(df: DataFrame, design: ReplicateDesign, geo: Sequence[str],
                      dims: dict[str, str], indicator: str, total_label: str = "Total",
                      z: float = Z90) -> DataFrame:
@@ -232,10 +258,7 @@ def survey_breakdown(df: DataFrame, design: ReplicateDesign, geo: Sequence[str],
     keys = [*geo, *dims.values(), indicator]
     cells = replicate_totals(df, design, keys)
     cdesign = design.cells()
-    entries = [F.struct(F.lit(name).alias("dimension"), F.col(c).cast("string").alias("subgroup"))
-               for name, c in dims.items()]
-    entries.append(F.struct(F.lit("total").alias("dimension"), F.lit(total_label).alias("subgroup")))
-    expanded = cells.select(*geo, indicator, F.inline(F.array(*entries)), *total_names(cdesign))
+    expanded = _expand_dimensions(cells, design, [*geo, indicator], dims, total_label)
     by_group = replicate_totals(expanded, cdesign, [*geo, "dimension", "subgroup", indicator])
     out = rate_from_cells(by_group, cdesign, [*geo, "dimension", "subgroup"], indicator, z)
     return out

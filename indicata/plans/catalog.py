@@ -27,6 +27,7 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "code_list_flag": (SQ.code_list_flag, O.q_code_list_flag),
     "survey_breakdown": (SQ.survey_breakdown, O.q_survey_breakdown),
     "weighted_population": (SQ.weighted_population, O.q_weighted_population),
+    "children_by_race": (SQ.children_by_race, O.q_children_by_race),
     "closures_by_month": (RQ.closures_by_month, O.q_closures_by_month),
     "closures_by_day": (RQ.closures_by_day, O.q_closures_by_day),
     "mean_of_sums": (RQ.mean_of_sums, O.q_mean_of_sums),

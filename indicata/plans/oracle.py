@@ -75,12 +75,14 @@ RACE_SQL = """
        ELSE 'Latinx placeholder' END AS race"""
 
 
-def recoded_people_cte() -> str:
+def recoded_people_cte(kids: bool = False, with_weights: bool = False) -> str:
     descs = ", ".join(f"'{d}'" for d in S.CODE_LIST_DESCRIPTIONS)
+    race = RACE_SQL.replace("WHEN RAC1P = '7' THEN", "WHEN RAC1P = '7' AND latino = 'Not Latinx' THEN") \
+        if kids else RACE_SQL
     return f"""
-  SELECT r.*, {RACE_SQL} FROM (
+  SELECT r.*, {race} FROM (
     SELECT p.*, {RECODE_SQL}
-    FROM ({person_cte()}) p
+    FROM ({person_cte(with_weights)}) p
     LEFT JOIN (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS ANC_Code FROM part
                WHERE p_type IN ({descs})) a1 ON p.ANC1P = a1.ANC_Code
     LEFT JOIN (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS ANC_Code FROM part
@@ -647,3 +649,31 @@ def q_poverty_runs() -> str:
         parts.append(f"SELECT * FROM ({rate_sql(cells, ['population', 'cut', 'geoid'], 'indicator')}) r "
                      f"WHERE indicator = 'at or below poverty' AND geoid IS NOT NULL")
     return " UNION ALL ".join(parts)
+
+
+def q_children_by_race() -> str:
+    dims = ["latino", "aian", "nhpi", "swana", "race"]
+    tw = totals_sql(person_weights())
+    fine = f"""
+    SELECT g.geoid, {', '.join(dims)}, {tw}
+    FROM ({recoded_people_cte(kids=True, with_weights=True)}) p
+    JOIN orders o ON p.SERIALNO = o.o_orderkey
+    LEFT JOIN ({GEO_CTE}) g ON o.o_custkey = g.o_custkey
+    WHERE p.AGEP < 5
+    GROUP BY g.geoid, {', '.join(dims)}"""
+    tsum = ", ".join(f"sum(_t{i}) AS _t{i}" for i in range(R + 1))
+    unions = " UNION ALL ".join(
+        [f"SELECT geoid, '{d}' AS dimension, CAST({d} AS VARCHAR) AS subgroup, {tsum} FROM fine GROUP BY geoid, {d}"
+         for d in dims]
+        + [f"SELECT geoid, 'total' AS dimension, 'Total' AS subgroup, {tsum} FROM fine GROUP BY geoid"])
+    z, h = dbl(Z90), dbl(100.0)
+    supp = ", ".join(f"'{x}'" for x in SUPPRESSED)
+    return f"""
+  WITH fine AS ({fine}),
+  t AS (SELECT {total_se_select(['geoid', 'dimension', 'subgroup'])} FROM ({unions}) u)
+  SELECT geoid, dimension, subgroup, num, num_se, num_se * {z} AS count_moe,
+         (CASE WHEN num = 0 THEN NULL ELSE (num_se * {z} / {z}) / num END) * {h} AS count_cv,
+         (CASE WHEN max(CASE WHEN subgroup = 'Total' THEN num END) OVER (PARTITION BY geoid) = 0 THEN NULL
+               ELSE num / max(CASE WHEN subgroup = 'Total' THEN num END) OVER (PARTITION BY geoid) END) * {h} AS pct
+  FROM t
+  WHERE subgroup = 'Total' OR subgroup NOT IN ({supp})"""

@@ -145,3 +145,22 @@ def poverty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = survey.survey_threshold_runs(df, S.HH_DESIGN, ["population", "geoid"], "POVPIP", CUTS,
                                        AT_OR_BELOW, ABOVE)
     return out.filter((F.col("indicator") == AT_OR_BELOW) & F.col("geoid").isNotNull())
+
+
+def children_by_race(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children under 5 by race/ethnicity (E6 E7 F3 F4, C10 children's
+    variant): person-weighted counts with SE, MOE and CV for the five
+    overlapping groupings plus the Total, each with its share of the area's
+    Total, suppressed as published."""
+    from indicata.operators import reports
+    people = S.persons(spark, sf_dir).filter(F.col("AGEP") < 5)
+    people = recode.race_recode(people, S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS,
+                                nhpi_needs_not_latinx=True)
+    homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
+    df = people.join(homes, "SERIALNO").join(
+        S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
+    df = S.add_person_weights(df)
+    out = survey.survey_total_breakdown(df, S.PERSON_DESIGN, ["geoid"], BREAKDOWN_DIMS)
+    out = out.withColumn("pct", F.try_divide(F.col("num"), reports.total_of("num", ["geoid"]))
+                         * F.lit(100.0))
+    return out.filter((F.col("subgroup") == "Total") | ~F.col("subgroup").isin(*recode.SUPPRESSED_SUBGROUPS))

@@ -159,3 +159,17 @@ def test_threshold_runs_equal_single_runs(spark):
             m = multi[(r.geo, cut, r.ind)]
             for c in ("num", "num_se", "rate", "rate_se", "pop", "pop_se"):
                 assert m[c] == pytest.approx(r[c], rel=1e-12), (cut, c)
+
+
+def test_total_breakdown_equals_separate_totals(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, str(rng.choice(["p", "q", None])), *w) for g, _, *w in make_rows(rng, 150)]
+    df = spark.createDataFrame(rows, ["geo", "d1", "w", *DESIGN.rep_weights])
+    got = {(r.geo, r.dimension, r.subgroup): r for r in
+           survey.survey_total_breakdown(df, DESIGN, ["geo"], {"d1": "d1"}).collect()}
+    for r in survey.survey_total(df, DESIGN, ["geo", "d1"]).collect():
+        g = got[(r.geo, "d1", r.d1)]
+        assert g.num == r.num and g.num_se == pytest.approx(r.num_se, rel=1e-12)
+        assert g.count_moe == pytest.approx(r.num_se * 1.645, rel=1e-12)
+    for r in survey.survey_total(df, DESIGN, ["geo"]).collect():
+        assert got[(r.geo, "total", "Total")].num == r.num
