@@ -22,3 +22,10 @@ def test_query_runs(spark, name):
     df = E.queries()[name](spark, "/root/testdata/sf0.001")
     df.limit(5).collect()
     assert len(df.columns) > 0
+
+
+def test_cli_list(capsys):
+    from indicata.__main__ import main
+    assert main(["list"]) == 0
+    out = capsys.readouterr().out
+    assert "survey_breakdown" in out and "poverty_runs" in out
