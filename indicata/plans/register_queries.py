@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from indicata.functions.scalars import month_name, parse_date, parse_number, round_half_even
+from indicata.functions.scalars import (month_name, parse_date, parse_number, round_half_even,
+                                        strict_sum)
 from indicata.operators import aggregate as A
 from indicata.operators import recode, reshape, series
 from indicata.plans import standins as S
@@ -101,7 +102,6 @@ def compare_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = reg.filter(F.col("year") == YEARS[1])
     early = reg.filter((F.col("year") == YEARS[0]) & (F.col("open") == 0))
     monthly = A.by_period(late.unionByName(early), "closed_date", "month", [], {"closed": "close"})
-    from pyspark.sql import Window
     return monthly.select(
         "year", "month", month_name(F.make_date(F.lit(2000), F.col("month").cast("int"), F.lit(1)))
         .alias("month_name"), "closed",
@@ -188,7 +188,6 @@ def sum_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.table(spark, sf_dir, "events").select(
         "event_type", F.col("ts").cast("date").alias("day"),
         F.when(F.col("value") >= 1, F.lit(1)).alias("count"))
-    from indicata.functions.scalars import strict_sum
     return e.groupBy("event_type", "day").agg(strict_sum("count").alias("strict_total"),
                                               F.sum("count").alias("lenient_total"))
 
@@ -199,7 +198,6 @@ def rate_per_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.table(spark, sf_dir, "events").select(
         "event_type", F.col("ts").cast("date").alias("day"),
         F.when(F.col("value") >= 1, F.lit(1)).alias("count"))
-    from indicata.functions.scalars import strict_sum
     deaths = e.filter(F.col("event_type") == "error").groupBy("day").agg(strict_sum("count").alias("deaths"))
     births = e.filter(F.col("event_type") == "view").groupBy("day").agg(F.sum("count").alias("births"))
     return deaths.join(births, "day", "left").withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicata.operators import households as hh
-from indicata.operators import recode, survey
+from indicata.operators import recode, reports, survey
 from indicata.plans import standins as S
 
 AT_OR_BELOW = "at or below poverty"
@@ -152,7 +152,6 @@ def children_by_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     variant): person-weighted counts with SE, MOE and CV for the five
     overlapping groupings plus the Total, each with its share of the area's
     Total, suppressed as published."""
-    from indicata.operators import reports
     people = S.persons(spark, sf_dir).filter(F.col("AGEP") < 5)
     people = recode.race_recode(people, S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS,
                                 nhpi_needs_not_latinx=True)
