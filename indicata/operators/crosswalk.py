@@ -25,6 +25,7 @@ are summed with those signs.  A clip shape is one more factor.
 
 from __future__ import annotations
 
+import sys
 from typing import Sequence
 
 import numpy as np
@@ -369,6 +370,16 @@ def intersection_areas(polys):
     return np.maximum(out, 0.0)
 
 
+# The area UDFs run in Python workers.  Pickle this module's functions by
+# value so executors need nothing but NumPy/pandas: no package install,
+# no --py-files, whatever the driver's working directory.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle: ship the package instead
+    pass
+
+
 @F.pandas_udf(T.DoubleType())
 def overlap_area2(xa: pd.Series, ya: pd.Series, xb: pd.Series, yb: pd.Series) -> pd.Series:
     return pd.Series(intersection_areas([list(zip(xa, ya)), list(zip(xb, yb))]))

@@ -243,7 +243,8 @@ def q_null_safe_flags() -> str:
 
 
 def q_code_list_flag() -> str:
-    return f"SELECT SERIALNO, {ORDER_SQL}, ANC1P, ANC2P, swana FROM ({recoded_people_cte()}) r"
+    cols = ORDER_SQL.replace("l_shipdate", "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate")
+    return f"SELECT SERIALNO, {cols}, ANC1P, ANC2P, swana FROM ({recoded_people_cte()}) r"
 
 
 SUPPRESSED = ("Not AIAN", "Not Latinx", "Not NHPI", "Not SWANA", "AIAN placeholder",
@@ -307,7 +308,7 @@ def q_closures_by_month() -> str:
 
 def q_closures_by_day() -> str:
     return f"""
-  SELECT facility_type, geography, closed_date AS day, CAST(sum(close) AS BIGINT) AS closed,
+  SELECT facility_type, geography, strftime(closed_date, '%Y-%m-%d') AS day, CAST(sum(close) AS BIGINT) AS closed,
          CAST(sum(facility_capacity) AS BIGINT) AS seats
   FROM ({tagged_sql()}) t
   WHERE year = '{RQ.DAY_YEAR}' AND closed_date IS NOT NULL
@@ -393,7 +394,7 @@ EVENT_ROWS = """
   FROM events"""
 
 
-def q_moe_sum() -> str:
+def _daily_sql() -> str:
     return f"""
   SELECT event_type, day, CAST(sum(estimate) AS BIGINT) AS population,
          sqrt(sum(CASE WHEN estimate <> 0 THEN CAST(moe AS DOUBLE) * CAST(moe AS DOUBLE) ELSE 0.0 END)
@@ -401,16 +402,20 @@ def q_moe_sum() -> str:
   FROM ({EVENT_ROWS}) e GROUP BY event_type, day"""
 
 
+def q_moe_sum() -> str:
+    return f"SELECT event_type, strftime(day, '%Y-%m-%d') AS day, population, moe FROM ({_daily_sql()}) d"
+
+
 def q_impute_gap() -> str:
     s = f"""SELECT event_type, day, CAST(population AS DOUBLE) AS population, moe
-            FROM ({q_moe_sum()}) m WHERE day <> DATE '{RQ.MISSING_DAY}'"""
+            FROM ({_daily_sql()}) m WHERE day <> DATE '{RQ.MISSING_DAY}'"""
     return f"""
   WITH s AS ({s}),
   b AS (SELECT event_type, min(day) AS lo, max(day) AS hi FROM s GROUP BY event_type),
   spine AS (SELECT event_type, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
   f AS (SELECT sp.event_type, sp.day, s.population, s.moe FROM spine sp
         LEFT JOIN s ON sp.event_type = s.event_type AND sp.day = s.day)
-  SELECT event_type, day,
+  SELECT event_type, strftime(day, '%Y-%m-%d') AS day,
     CASE WHEN population IS NULL THEN
       (last_value(population IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -428,8 +433,8 @@ COUNT_ROWS = """
 
 def q_sum_strict() -> str:
     return f"""
-  SELECT event_type, day,
-         CAST(CASE WHEN count(*) FILTER (WHERE count IS NULL) > 0 THEN NULL ELSE sum(count) END AS BIGINT) AS strict_total,
+  SELECT event_type, strftime(day, '%Y-%m-%d') AS day,
+         CAST(CASE WHEN count(*) FILTER (WHERE count IS NULL) > 0 THEN NULL ELSE sum(count) END AS DOUBLE) AS strict_total,
          CAST(sum(count) AS BIGINT) AS lenient_total
   FROM ({COUNT_ROWS}) e GROUP BY event_type, day"""
 
@@ -437,10 +442,10 @@ def q_sum_strict() -> str:
 def q_rate_per_base() -> str:
     return f"""
   WITH e AS ({COUNT_ROWS}),
-  d AS (SELECT day, CAST(CASE WHEN count(*) FILTER (WHERE count IS NULL) > 0 THEN NULL ELSE sum(count) END AS BIGINT) AS deaths
+  d AS (SELECT day, CAST(CASE WHEN count(*) FILTER (WHERE count IS NULL) > 0 THEN NULL ELSE sum(count) END AS DOUBLE) AS deaths
         FROM e WHERE event_type = 'error' GROUP BY day),
-  b AS (SELECT day, CAST(sum(count) AS BIGINT) AS births FROM e WHERE event_type = 'view' GROUP BY day)
-  SELECT d.day, deaths, births,
+  b AS (SELECT day, CAST(sum(count) AS DOUBLE) AS births FROM e WHERE event_type = 'view' GROUP BY day)
+  SELECT strftime(d.day, '%Y-%m-%d') AS day, deaths, births,
          (CASE WHEN CAST(births AS DOUBLE) = 0 THEN NULL ELSE CAST(deaths AS DOUBLE) / CAST(births AS DOUBLE) END)
            * CAST(1000.0 AS DOUBLE) AS mortality
   FROM d LEFT JOIN b ON d.day = b.day"""

@@ -63,11 +63,17 @@ def closures_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
                        only=F.col("open") == 0)
 
 
+def _iso_day(df: DataFrame, col: str = "day") -> DataFrame:
+    """Report edge: the period key as ISO text (yyyy-MM-dd), which every
+    consumer (CSV, pandas, other engines) reads the same way."""
+    return df.withColumn(col, F.date_format(F.col(col), "yyyy-MM-dd"))
+
+
 def closures_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-day totals without the closed-only filter (E11, as published)."""
     reg = _tagged(spark, sf_dir).filter(F.col("year") == DAY_YEAR)
-    return A.by_period(reg, "closed_date", "day", ["facility_type", "geography"],
-                       {"closed": "close", "seats": "facility_capacity"})
+    return _iso_day(A.by_period(reg, "closed_date", "day", ["facility_type", "geography"],
+                                {"closed": "close", "seats": "facility_capacity"}))
 
 
 def mean_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,20 +173,24 @@ def _event_rows(spark, sf_dir) -> DataFrame:
                     F.ceil(F.col("value") / 2).alias("moe"), "value")
 
 
-def moe_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-day sums of estimates with root-sum-square MOE."""
+def _daily_estimates(spark, sf_dir) -> DataFrame:
     rows = _event_rows(spark, sf_dir)
     return rows.groupBy("event_type", "day").agg(
         F.sum("estimate").alias("population"), A.moe_sum("moe", "estimate").alias("moe"))
 
 
+def moe_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-day sums of estimates with root-sum-square MOE."""
+    return _iso_day(_daily_estimates(spark, sf_dir))
+
+
 def impute_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series with one unreleased period filled by its neighbours."""
-    s = moe_sum(spark, sf_dir).filter(F.col("day") != F.lit(MISSING_DAY).cast("date"))
+    s = _daily_estimates(spark, sf_dir).filter(F.col("day") != F.lit(MISSING_DAY).cast("date"))
     s = s.withColumn("population", F.col("population").cast("double"))
     filled = series.impute_gap(s, ["event_type"], "day", "population", moe="moe",
                                step=F.expr("INTERVAL 1 DAY"))
-    return filled.orderBy("event_type", "day")   # G2
+    return _iso_day(filled.orderBy("event_type", "day"))   # G2
 
 
 def sum_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +198,9 @@ def sum_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.table(spark, sf_dir, "events").select(
         "event_type", F.col("ts").cast("date").alias("day"),
         F.when(F.col("value") >= 1, F.lit(1)).alias("count"))
-    return e.groupBy("event_type", "day").agg(strict_sum("count").alias("strict_total"),
-                                              F.sum("count").alias("lenient_total"))
+    out = e.groupBy("event_type", "day").agg(strict_sum("count").cast("double").alias("strict_total"),
+                                             F.sum("count").alias("lenient_total"))
+    return _iso_day(out)
 
 
 def rate_per_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +209,12 @@ def rate_per_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.table(spark, sf_dir, "events").select(
         "event_type", F.col("ts").cast("date").alias("day"),
         F.when(F.col("value") >= 1, F.lit(1)).alias("count"))
-    deaths = e.filter(F.col("event_type") == "error").groupBy("day").agg(strict_sum("count").alias("deaths"))
-    births = e.filter(F.col("event_type") == "view").groupBy("day").agg(F.sum("count").alias("births"))
-    return deaths.join(births, "day", "left").withColumn(
-        "mortality", A.rate_per("deaths", "births", 1000))
+    deaths = e.filter(F.col("event_type") == "error").groupBy("day").agg(
+        strict_sum("count").cast("double").alias("deaths"))
+    births = e.filter(F.col("event_type") == "view").groupBy("day").agg(
+        F.sum("count").cast("double").alias("births"))
+    out = deaths.join(births, "day", "left").withColumn("mortality", A.rate_per("deaths", "births", 1000))
+    return _iso_day(out)
 
 
 # ------------------------------------------------------------- reshape

@@ -105,8 +105,10 @@ def null_safe_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_list_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ancestry flag for every person."""
-    return person_recodes(spark, sf_dir).select("SERIALNO", *S.PERSON_ORDER, "ANC1P", "ANC2P", "swana")
+    """The ancestry flag for every person (the person key's
+    timestamp part printed as ISO text at the report edge)."""
+    out = person_recodes(spark, sf_dir).select("SERIALNO", *S.PERSON_ORDER, "ANC1P", "ANC2P", "swana")
+    return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 BREAKDOWN_DIMS = {d: d for d in ["latino", "aian", "nhpi", "swana", "race"]}

@@ -1,0 +1,26 @@
+"""Run the contract the way an outside driver would: plain session, foreign
+working directory, pandas comparison against the DuckDB oracle."""
+import importlib.util, sys, time
+spec = importlib.util.spec_from_file_location("__spark_entry__", "/root/repo/__spark_entry__.py")
+E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)
+from pyspark.sql import SparkSession
+import duckdb
+spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+df = E.entry(spark); rows = df.collect(); print("entry rows", len(rows), df.columns[:4])
+con = duckdb.connect()
+sf = "/root/testdata/sf0.01"
+for t in ["region","nation","customer","supplier","part","orders","lineitem","events","documents","embeddings","pages","benchmark","labels","conversations"]:
+    con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+bad = 0
+for name, fn in E.queries().items():
+    d = fn(spark, sf); r = d.toPandas()
+    o = con.execute(E.oracle_sql()[name]).df()
+    ok = len(r) == len(o) and sorted(r.columns) == sorted(o.columns)
+    if ok:
+        cols = sorted(r.columns)
+        a = r[cols].astype(str).sort_values(cols).reset_index(drop=True)
+        b = o[cols].astype(str).sort_values(cols).reset_index(drop=True)
+        ok = a.equals(b)
+    bad += not ok
+    if not ok: print("MISMATCH", name)
+print("checked", len(E.queries()), "bad", bad)
