@@ -168,11 +168,12 @@ def rate_from_cells(cells: DataFrame, design: ReplicateDesign, within: Sequence[
     """
     n = design.replicates + 1
     t = total_names(design)
-    part = ", ".join(f"`{c}`" for c in within)
+    # an empty ``within`` is the whole (cell) table as one parent
+    over = ("OVER (PARTITION BY " + ", ".join(f"`{c}`" for c in within) + ")") if within else "OVER ()"
     # built as SQL text: 2 x 81 columns in a handful of JVM calls
     with_parent = cells.selectExpr(
         *[f"`{c}`" for c in [*within, indicator, *t]],
-        *[f"sum(`{t[i]}`) OVER (PARTITION BY {part}) AS `_p{i}`" for i in range(n)])
+        *[f"sum(`{t[i]}`) {over} AS `_p{i}`" for i in range(n)])
     t_arr = "array(" + ", ".join(f"CAST(`{c}` AS DOUBLE)" for c in t[1:]) + ")"
     p_arr = "array(" + ", ".join(f"CAST(`_p{i}` AS DOUBLE)" for i in range(1, n)) + ")"
     packed = with_parent.selectExpr(*[f"`{c}`" for c in [*within, indicator]], f"`{t[0]}` AS _n0",
