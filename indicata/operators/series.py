@@ -21,7 +21,7 @@ def read_periods(frames: dict, tag: str = "year") -> DataFrame:
 
 
 def impute_gap(df: DataFrame, keys: Sequence[str], t: str, value: str, moe: str | None = None,
-               step: Column | None = None) -> DataFrame:
+               step: Column | None = None, start=None, end=None) -> DataFrame:
     """Fill missing periods with the mean of the neighbouring values.
 
     A period spine per key runs from the key's first to last period
@@ -29,8 +29,14 @@ def impute_gap(df: DataFrame, keys: Sequence[str], t: str, value: str, moe: str
     (previous + next) / 2, its MOE is set to 0 and ``imputed`` marks it.  A gap
     at the edge (no neighbour on one side) stays null.  ``t`` must be an
     integer or a date column; ``step`` is the spacing (1 or ``interval 1 day``).
+    ``start``/``end`` fix the expected range instead (e.g. the years a series
+    should have), so a missing first or last period shows up as a gap.
     """
     bounds = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    if start is not None:
+        bounds = bounds.withColumn("_lo", F.lit(start).cast(df.schema[t].dataType))
+    if end is not None:
+        bounds = bounds.withColumn("_hi", F.lit(end).cast(df.schema[t].dataType))
     seq = F.sequence(F.col("_lo"), F.col("_hi"), step) if step is not None \
         else F.sequence(F.col("_lo"), F.col("_hi"))
     spine = bounds.select(*keys, F.explode(seq).alias(t))

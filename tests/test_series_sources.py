@@ -99,3 +99,12 @@ def test_closures_stream(spark, tmp_path):
     finally:
         q.stop()
     assert out == {"State": (2, 15), "North": (1, 10)}
+
+
+def test_impute_gap_edge_stays_null(spark):
+    rows = [("North", 2019, 20.0, 2.0), ("North", 2021, 40.0, 4.0)]
+    df = spark.createDataFrame(rows, "name string, year int, population double, moe double")
+    out = {r.year: r for r in series.impute_gap(df, ["name"], "year", "population", "moe",
+                                                start=2019, end=2022).collect()}
+    assert out[2020].population == 30.0 and out[2020].imputed
+    assert out[2022].population is None and out[2022].imputed and out[2022].moe == 0.0
