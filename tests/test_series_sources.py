@@ -108,3 +108,25 @@ def test_impute_gap_edge_stays_null(spark):
                                                 start=2019, end=2022).collect()}
     assert out[2020].population == 30.0 and out[2020].imputed
     assert out[2022].population is None and out[2022].imputed and out[2022].moe == 0.0
+
+
+def test_closures_stream_resumes_from_checkpoint(spark, tmp_path):
+    """A stopped feed restarts from its checkpoint and folds in only the new drop."""
+    from indicata.streaming import closures_stream
+    header = "facility_type,facility_name,county_name,facility_capacity,facility_status,closed_date_text\n"
+    feed, ckpt = tmp_path / "feed", str(tmp_path / "ckpt")
+    feed.mkdir()
+    (feed / "w1.csv").write_text(header + "Center,a,North,10,CLOSED,1/7/2020\n")
+
+    def run_once(name):
+        q = (closures_stream(spark, str(feed), "State", "North").writeStream.outputMode("complete")
+             .format("memory").queryName(name).option("checkpointLocation", ckpt).start())
+        try:
+            q.processAllAvailable()
+            return {r.geography: (r.closed, r.seats) for r in spark.sql(f"select * from {name}").collect()}
+        finally:
+            q.stop()
+
+    assert run_once("feed_a") == {"State": (1, 10), "North": (1, 10)}
+    (feed / "w2.csv").write_text(header + "Center,b,South,5,CLOSED,1/9/2020\n")
+    assert run_once("feed_b") == {"State": (2, 15), "North": (1, 10)}
