@@ -60,7 +60,8 @@ def threshold(column: str, cut: float, low: str, high: str) -> Column:
 def eligible_households(persons: DataFrame, households: DataFrame, *, serial: str,
                         join_keys: Sequence[str], order: Sequence[str], universe: str,
                         weight: str, person_filter: Column | None = None,
-                        population: dict[str, Column | None] | None = None) -> DataFrame:
+                        population: dict[str, Column | None] | None = None,
+                        keep: Sequence[str] | None = None) -> DataFrame:
     """Households represented by their first eligible person.
 
     ``population`` maps a label to an extra person filter (``None`` = all
@@ -84,6 +85,7 @@ def eligible_households(persons: DataFrame, households: DataFrame, *, serial: st
         p = p.withColumn("population", F.explode(F.array(*tags))).filter(F.col("population").isNotNull())
         keys = ["population", serial]
     extra = [k for k in join_keys if k not in keys]
-    first = first_per(p, keys + extra, order)
+    payload = None if keep is None else [c for c in keep if c not in keys + extra]
+    first = first_per(p, keys + extra, order, keep=payload)
     joined = attach_household(first, households, join_keys, "left")
     return joined.filter(F.col(weight).isNotNull())

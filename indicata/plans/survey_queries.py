@@ -21,9 +21,12 @@ def _indicator(cut: float):
     return hh.threshold("POVPIP", cut, AT_OR_BELOW, ABOVE)
 
 
+RECODE_INPUTS = ["HISP", "RAC1P", "RACAIAN", "RACPI", "RACNH", "ANC1P", "ANC2P"]
+
+
 def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
              person_filter=None, recoded: bool = False,
-             geo_cols: tuple = ("geoid",)) -> DataFrame:
+             geo_cols: tuple = ("geoid",), keep: tuple = ("POVPIP",)) -> DataFrame:
     """Households with their representative person, weights and area.
 
     The reference recodes every person before picking one per household.
@@ -34,7 +37,8 @@ def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
     households = S.households(spark, sf_dir)
     picked = hh.eligible_households(
         people, households, serial="SERIALNO", join_keys=["SERIALNO"], order=list(S.PERSON_ORDER),
-        universe="POVPIP", weight="WGTP", person_filter=person_filter, population=population)
+        universe="POVPIP", weight="WGTP", person_filter=person_filter, population=population,
+        keep=[*keep, *(RECODE_INPUTS if recoded else [])])
     if recoded:
         picked = recode.race_recode(picked, S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS)
     placed = picked.join(S.geography(spark, sf_dir).select("o_custkey", *geo_cols), "o_custkey", "left")
@@ -43,7 +47,7 @@ def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
 
 def eligible_households(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step 1: one row per household with an eligible child under 5."""
-    df = eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5)
+    df = eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, keep=("l_linenumber", "AGEP", "POVPIP"))
     return df.select("SERIALNO", "geoid", "l_linenumber", "AGEP", "POVPIP", "WGTP", "WGTP80",
                      _indicator(100).alias("indicator"))
 
