@@ -396,10 +396,11 @@ def overlap_area3(xa: pd.Series, ya: pd.Series, xb: pd.Series, yb: pd.Series,
 def overlay_areas(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Intersection pieces of two layers with their areas.
     Output: ``a_*`` and ``b_*`` columns, ``minx..maxy`` of the piece's box,
-    ``intersect_area`` (> 0 only)."""
+    ``intersect_area``.  Pairs whose boxes meet but whose shapes only touch
+    carry area 0; filter after any aggregation (a filter on the UDF column
+    right here would be pushed into the projection and run the UDF twice)."""
     pairs = candidate_pairs(with_bbox(a), with_bbox(b), cell)
-    pairs = pairs.withColumn("intersect_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
-    return pairs.filter(F.col("intersect_area") > 0)
+    return pairs.withColumn("intersect_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
 
 
 def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share: float = 0.20,
@@ -422,8 +423,10 @@ def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share:
         pieces = pairs.withColumn("intersect_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
     else:
         cut = candidate_pairs(small_b, with_bbox(clip.select("xs", "ys")), cell)
+        # no filter on the UDF column before an aggregate: Catalyst would push
+        # it into the projection and evaluate the UDF twice; zero pieces
+        # simply add nothing to the sums below
         cut = cut.withColumn("clip_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
-        cut = cut.filter(F.col("clip_area") > 0)
         # the clipped area of a unit is the sum over the clip polygons it
         # meets (one, for a single outline); a window carries it along so
         # the area UDF runs once per (unit, clip polygon)
@@ -435,16 +438,16 @@ def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share:
         pairs = candidate_pairs(clipped, large_b, cell)
         pieces = pairs.withColumn("intersect_area",
                                   overlap_area3("a_xs", "a_ys", "a_cxs", "a_cys", "b_xs", "b_ys"))
-    pieces = pieces.filter(F.col("intersect_area") > 0)
     pieces = pieces.groupBy(*[F.col(f"a_{c}").alias(c) for c in s_ids],
                             *[F.col(f"b_{c}").alias(c) for c in l_ids],
                             F.col("b_large_area").alias("large_area"),
                             F.col("a_small_area").alias("small_area")).agg(
         F.sum("intersect_area").alias("intersect_area"))
+    pieces = pieces.filter(F.col("intersect_area") > 0)
     out = pieces.select(
         *s_ids, *l_ids,
-        (F.col("intersect_area") / F.col("large_area")).alias("prc_large_area"),
-        (F.col("intersect_area") / F.col("small_area")).alias("prc_small_area"))
+        F.try_divide(F.col("intersect_area"), F.col("large_area")).alias("prc_large_area"),
+        F.try_divide(F.col("intersect_area"), F.col("small_area")).alias("prc_small_area"))
     return out.filter(F.col("prc_small_area") >= F.lit(float(min_share))).distinct()
 
 
