@@ -26,7 +26,8 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys = list(keys)
     payload = list(keep) if keep is not None else [c for c in df.columns if c not in keys]
     order_fields = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
-    best = F.min(F.struct(*order_fields, F.struct(*[F.col(c) for c in payload]).alias("_row")))
+    row = F.struct(*[F.col(c) for c in payload]) if payload else F.struct(F.lit(True).alias("_"))
+    best = F.min(F.struct(*order_fields, row.alias("_row")))
     return (df.groupBy(*keys).agg(best.alias("_best"))
               .select(*keys, *[F.col(f"_best._row.{c}").alias(c) for c in payload]))
 

@@ -65,3 +65,23 @@ def test_no_python_outside_spatial(spark):
             continue
         plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "InPandas" not in plan, name
+
+
+def test_two_vintage_area_keys(spark):
+    """Two-vintage files: area filter OR-ed over PUMA10/PUMA20 and a
+    three-column person-household join (C2, D1)."""
+    people = spark.createDataFrame(
+        [("h1", "04401", "09999", 1, 3, 90.0), ("h1", "04401", "09999", 2, 30, 150.0),
+         ("h2", "01111", "04402", 1, 2, 200.0), ("h3", "01111", "01112", 1, 1, 50.0)],
+        "SERIALNO string, PUMA10 string, PUMA20 string, SPORDER int, AGEP int, POVPIP double")
+    homes = spark.createDataFrame([("h1", "04401", "09999", 7), ("h2", "01111", "04402", 9),
+                                   ("h3", "01111", "01112", 4)],
+                                  "SERIALNO string, PUMA10 string, PUMA20 string, WGTP long")
+    people = H.in_area(people, ["PUMA10", "PUMA20"], "044")
+    homes = H.in_area(homes, ["PUMA10", "PUMA20"], "044")
+    out = H.eligible_households(people, homes, serial="SERIALNO", join_keys=["SERIALNO", "PUMA10", "PUMA20"],
+                                order=["SPORDER"], universe="POVPIP", weight="WGTP",
+                                person_filter=F.col("AGEP") < 5, keep=["POVPIP"])
+    assert sorted((r.SERIALNO, r.POVPIP, r.WGTP) for r in out.collect()) == [("h1", 90.0, 7), ("h2", 200.0, 9)]
+    empty = H.first_per(people, ["SERIALNO"], ["SPORDER"], keep=[])
+    assert empty.columns == ["SERIALNO"] and empty.count() == 2
