@@ -11,28 +11,26 @@ a relational job:
 2. an equi-join on the cell id yields candidate pairs whose boxes meet; a
    pair is kept only in the cell holding the lower-left corner of the
    intersection of the two boxes, so no ``distinct`` shuffle is needed;
-3. the exact intersection area of each candidate pair is computed in an
-   Arrow-batched pandas UDF (the one piece of Python worker code).
+3. the exact intersection area of each candidate pair is a column
+   expression built from Spark's array higher-order functions, so the
+   whole overlay runs in the JVM with no Python worker.
 
 Exact area of intersection of simple (possibly concave) polygons without a
-geometry library: a convex polygon clips the other one half-plane by
-half-plane (Sutherland-Hodgman keeps the signed area of any closed ring,
-concave or not).  When more than one polygon is concave, the extra ones are
-fanned into signed triangles from their first vertex (their indicator
-function is the signed sum of the triangle indicators) and the clipped areas
-are summed with those signs.  A clip shape is one more factor.
+geometry library: every polygon after the first is fanned into signed
+triangles from its first vertex (its indicator function is the signed sum
+of the triangle indicators); the first polygon is clipped by each triangle
+half-plane by half-plane (Sutherland-Hodgman keeps the signed area of any
+closed ring, concave or not) and the clipped areas are summed with the
+triangle signs.  A clip shape is one more factor.
 """
 
 from __future__ import annotations
 
-import sys
+import itertools
 from typing import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 # ---------------------------------------------------------------- JVM side
@@ -101,294 +99,133 @@ def candidate_pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
                   "b_minx", "b_maxx", "b_miny", "b_maxy")
 
 
-# ------------------------------------------------------------ Python worker
-
-def _signed_area(px: np.ndarray, py: np.ndarray) -> float:
-    return 0.5 * float(np.dot(px, np.roll(py, -1)) - np.dot(np.roll(px, -1), py))
-
-
-def _fan(xs, ys):
-    """Triangles of the fan from vertex 0, counter-clockwise, with the sign
-    that makes their signed sum the polygon's indicator."""
-    xs = np.asarray(xs, dtype=float)
-    ys = np.asarray(ys, dtype=float)
-    total = _signed_area(xs, ys)
-    if total == 0 or len(xs) < 3:
-        return []
-    orient = 1.0 if total > 0 else -1.0
-    out = []
-    for i in range(1, len(xs) - 1):
-        tri = np.array([[xs[0], ys[0]], [xs[i], ys[i]], [xs[i + 1], ys[i + 1]]])
-        a = _signed_area(tri[:, 0], tri[:, 1])
-        if a == 0:
-            continue
-        if a < 0:
-            tri = tri[::-1]
-        out.append((tri, (1.0 if a > 0 else -1.0) * orient,
-                    tri[:, 0].min(), tri[:, 0].max(), tri[:, 1].min(), tri[:, 1].max()))
-    return out
-
-
-def _clip(subject: np.ndarray, clipper: np.ndarray) -> np.ndarray:
-    """Sutherland-Hodgman: subject polygon clipped by a CCW convex clipper."""
-    out = subject
-    m = len(clipper)
-    for k in range(m):
-        if len(out) == 0:
-            break
-        ax, ay = clipper[k]
-        bx, by = clipper[(k + 1) % m]
-        ex, ey = bx - ax, by - ay
-        side = ex * (out[:, 1] - ay) - ey * (out[:, 0] - ax)   # >= 0 inside
-        res = []
-        n = len(out)
-        for i in range(n):
-            j = (i + 1) % n
-            si, sj = side[i], side[j]
-            if si >= 0:
-                res.append(out[i])
-            if (si >= 0) != (sj >= 0):
-                t = si / (si - sj)
-                res.append(out[i] + t * (out[j] - out[i]))
-        out = np.array(res) if res else np.empty((0, 2))
-    return out
-
-
-def _ccw(xs, ys) -> np.ndarray:
-    pts = np.column_stack([np.asarray(xs, dtype=float), np.asarray(ys, dtype=float)])
-    return pts[::-1] if _signed_area(pts[:, 0], pts[:, 1]) < 0 else pts
-
-
-def _is_convex(pts: np.ndarray) -> bool:
-    d = np.roll(pts, -1, axis=0) - pts
-    cross = d[:, 0] * np.roll(d[:, 1], -1) - d[:, 1] * np.roll(d[:, 0], -1)
-    return bool(np.all(cross >= 0))
-
-
-def intersection_area(rings: Sequence[tuple]) -> float:
-    """Exact area of the intersection of simple polygons, one tuple of rings
-    at a time (the readable form; the UDFs use ``intersection_areas``).
-
-    One polygon (a concave one if there is any) is the subject; every
-    convex polygon clips it directly, half-plane by half-plane.  Half-plane
-    clipping keeps the area of any closed ring, so the subject may be
-    concave.  Further concave polygons are fanned into signed triangles and
-    the clipped areas are summed with the triangle signs.
-    """
-    polys = [_ccw(x, y) for x, y in rings]
-    if any(len(p) < 3 or _signed_area(p[:, 0], p[:, 1]) == 0 for p in polys):
-        return 0.0
-    convex = [_is_convex(p) for p in polys]
-    subject_i = next((i for i, c in enumerate(convex) if not c), 0)
-    subject = polys[subject_i]
-    sx0, sx1 = subject[:, 0].min(), subject[:, 0].max()
-    sy0, sy1 = subject[:, 1].min(), subject[:, 1].max()
-    factors = []
-    for i, p in enumerate(polys):
-        if i == subject_i:
-            continue
-        if convex[i]:
-            factors.append([(p, 1.0)])
-        else:
-            factors.append([(tri, sign) for tri, sign, *_ in _fan(p[:, 0], p[:, 1])])
-
-    def walk(poly, k, sign):
-        if k == len(factors):
-            return sign * _signed_area(poly[:, 0], poly[:, 1])
-        acc = 0.0
-        for clipper, s in factors[k]:
-            if (clipper[:, 0].min() > sx1 or clipper[:, 0].max() < sx0
-                    or clipper[:, 1].min() > sy1 or clipper[:, 1].max() < sy0):
-                continue
-            q = _clip(poly, clipper)
-            if len(q) >= 3:
-                acc += walk(q, k + 1, sign * s)
-        return acc
-
-    return max(walk(subject, 0, 1.0), 0.0)
-
-
-# Batched version used by the UDFs: every row of an Arrow batch at once.
-# Rings are padded to one width; Sutherland-Hodgman runs one clipper edge at
-# a time over all rows, compacting the kept vertices with a stable sort.
-
-def _bpad(rings, width=None):
-    """List of (xs, ys) -> (N, M, 2) array + counts."""
-    n = np.array([len(x) for x, _ in rings], dtype=np.int64)
-    M = int(max(n.max() if len(n) else 1, 1)) if width is None else width
-    P = np.zeros((len(rings), M, 2))
-    for i, (x, y) in enumerate(rings):
-        k = len(x)
-        P[i, :k, 0] = x
-        P[i, :k, 1] = y
-    return P, n
-
-
-def _bshoelace(P, n):
-    N, M, _ = P.shape
-    idx = np.arange(M)[None, :]
-    valid = idx < n[:, None]
-    nxt = np.where(n[:, None] > 0, (idx + 1) % np.maximum(n[:, None], 1), 0)
-    Q = np.take_along_axis(P, nxt[..., None].repeat(2, axis=2), axis=1)
-    cross = P[:, :, 0] * Q[:, :, 1] - Q[:, :, 0] * P[:, :, 1]
-    return 0.5 * np.where(valid, cross, 0.0).sum(axis=1)
-
-
-def _breverse(P, n, rows):
-    """Reverse the valid prefix of the selected rows (orientation flip)."""
-    if not rows.any():
-        return P
-    M = P.shape[1]
-    idx = np.arange(M)[None, :]
-    rev = np.where(idx < n[:, None], n[:, None] - 1 - idx, idx)
-    rev = np.where(rows[:, None], rev, idx)
-    return np.take_along_axis(P, rev[..., None].repeat(2, axis=2), axis=1)
-
-
-def _bconvex(P, n):
-    N, M, _ = P.shape
-    idx = np.arange(M)[None, :]
-    valid = idx < n[:, None]
-    m = np.maximum(n[:, None], 1)
-    i1 = (idx + 1) % m
-    i2 = (idx + 2) % m
-    g = lambda ix: np.take_along_axis(P, ix[..., None].repeat(2, axis=2), axis=1)
-    A, B, C = P, g(i1), g(i2)
-    cr = (B[:, :, 0] - A[:, :, 0]) * (C[:, :, 1] - B[:, :, 1]) - (B[:, :, 1] - A[:, :, 1]) * (C[:, :, 0] - B[:, :, 0])
-    return np.all(np.where(valid, cr >= 0, True), axis=1)
-
-
-def _bclip(S, ns, C, nc):
-    """Clip every subject row by its CCW convex clipper row (Sutherland-Hodgman)."""
-    N = S.shape[0]
-    rows = np.arange(N)
-    for k in range(C.shape[1]):
-        act = k < nc
-        if not act.any():
-            break
-        a = C[:, k]
-        b = C[rows, np.where(nc > 0, (k + 1) % np.maximum(nc, 1), 0)]
-        M = S.shape[1]
-        idx = np.arange(M)[None, :]
-        valid = idx < ns[:, None]
-        nxt = np.where(ns[:, None] > 0, (idx + 1) % np.maximum(ns[:, None], 1), 0)
-        Sn = np.take_along_axis(S, nxt[..., None].repeat(2, axis=2), axis=1)
-        ex, ey = (b - a)[:, 0:1], (b - a)[:, 1:2]
-        side = ex * (S[:, :, 1] - a[:, 1:2]) - ey * (S[:, :, 0] - a[:, 0:1])
-        side_n = np.take_along_axis(side, nxt, axis=1)
-        inside = side >= 0
-        cross = inside != (side_n >= 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = np.where(cross, side / (side - side_n), 0.0)
-        I = S + t[..., None] * (Sn - S)
-        keep = np.stack([inside & valid, cross & valid], axis=2).reshape(N, 2 * M)
-        cand = np.stack([S, I], axis=2).reshape(N, 2 * M, 2)
-        keep_old = np.stack([valid, np.zeros_like(valid)], axis=2).reshape(N, 2 * M)
-        cand_old = np.stack([S, S], axis=2).reshape(N, 2 * M, 2)
-        keep = np.where(act[:, None], keep, keep_old)
-        cand = np.where(act[:, None, None], cand, cand_old)
-        order = np.argsort(~keep, axis=1, kind="stable")
-        S = np.take_along_axis(cand, order[..., None].repeat(2, axis=2), axis=1)
-        ns = keep.sum(axis=1)
-        S = S[:, :max(int(ns.max()) if N else 1, 1)]
-    return S, ns
-
-
-def _bfan(P, n, owner, sign):
-    """Expand concave rows into their fan triangles (CCW) with signs."""
-    out_P, out_owner, out_sign = [], [], []
-    tri_owner = np.repeat(np.arange(len(P)), np.maximum(n - 2, 0))
-    j = np.concatenate([np.arange(1, k - 1) for k in n]) if len(n) else np.array([], dtype=int)
-    T = np.stack([P[tri_owner, 0], P[tri_owner, j], P[tri_owner, j + 1]], axis=1)
-    a = _bshoelace(T, np.full(len(T), 3))
-    nz = a != 0
-    T, a, tri_owner = T[nz], a[nz], tri_owner[nz]
-    T = _breverse(T, np.full(len(T), 3), a < 0)
-    return T, np.full(len(T), 3), owner[tri_owner], sign[tri_owner] * np.sign(a)
-
-
-def intersection_areas(polys):
-    """Batched ``intersection_area``: ``polys`` is a list of k layers, each a
-    list of N rings (xs, ys); returns the N intersection areas."""
-    N = len(polys[0])
-    if N == 0:
-        return np.zeros(0)
-    width = max(max(len(x) for x, _ in layer) for layer in polys)
-    layers = []
-    for layer in polys:
-        P, n = _bpad(layer, width)
-        P = _breverse(P, n, _bshoelace(P, n) < 0)
-        layers.append((P, n, _bconvex(P, n) & (n >= 3)))
-    degenerate = np.zeros(N, dtype=bool)
-    for P, n, _ in layers:
-        degenerate |= (n < 3) | (_bshoelace(P, n) == 0)
-    # subject: the first concave polygon of the row, else the first one
-    subj_layer = np.zeros(N, dtype=int)
-    for li in range(len(layers) - 1, -1, -1):
-        subj_layer = np.where(~layers[li][2], li, subj_layer)
-    S = np.zeros((N, width, 2)); ns = np.zeros(N, dtype=np.int64)
-    for li, (P, n, _) in enumerate(layers):
-        m = subj_layer == li
-        S[m], ns[m] = P[m], n[m]
-    owner = np.arange(N)
-    sign = np.ones(N)
-    for li, (P, n, cvx) in enumerate(layers):
-        if len(owner) == 0:
-            break
-        is_subj = subj_layer[owner] == li
-        Pc, nc, cv = P[owner], n[owner], cvx[owner]
-        skip = is_subj
-        direct = ~skip & cv
-        fan = ~skip & ~cv
-        parts_S, parts_ns, parts_C, parts_nc, parts_o, parts_s = [], [], [], [], [], []
-        if skip.any():
-            parts_S.append(S[skip]); parts_ns.append(ns[skip]); parts_C.append(None)
-            parts_nc.append(None); parts_o.append(owner[skip]); parts_s.append(sign[skip])
-        if direct.any():
-            parts_S.append(S[direct]); parts_ns.append(ns[direct]); parts_C.append((Pc[direct], nc[direct]))
-            parts_nc.append(True); parts_o.append(owner[direct]); parts_s.append(sign[direct])
-        if fan.any():
-            fi = np.nonzero(fan)[0]
-            T, tn, t_owner_local, t_sign = _bfan(Pc[fi], nc[fi], np.arange(len(fi)), sign[fi])
-            parts_S.append(S[fi][t_owner_local]); parts_ns.append(ns[fi][t_owner_local])
-            parts_C.append((T, tn)); parts_nc.append(True)
-            parts_o.append(owner[fi][t_owner_local]); parts_s.append(t_sign)
-        newS, newns, newo, news = [], [], [], []
-        for Sx, nsx, Cx, flag, ox, sx in zip(parts_S, parts_ns, parts_C, parts_nc, parts_o, parts_s):
-            if Cx is not None:
-                Sx, nsx = _bclip(Sx, nsx, Cx[0], Cx[1])
-            newS.append(Sx); newns.append(nsx); newo.append(ox); news.append(sx)
-        w = max(x.shape[1] for x in newS)
-        S = np.concatenate([np.pad(x, ((0, 0), (0, w - x.shape[1]), (0, 0))) for x in newS])
-        ns = np.concatenate(newns); owner = np.concatenate(newo); sign = np.concatenate(news)
-        keep = ns >= 3
-        S, ns, owner, sign = S[keep], ns[keep], owner[keep], sign[keep]
-    out = np.zeros(N)
-    if len(owner):
-        np.add.at(out, owner, sign * _bshoelace(S, ns))
-    out[degenerate] = 0.0
-    return np.maximum(out, 0.0)
-
-
-# The area UDFs run in Python workers.  Pickle this module's functions by
-# value so executors need nothing but NumPy/pandas: no package install,
-# no --py-files, whatever the driver's working directory.
-try:
-    from pyspark import cloudpickle as _cloudpickle
-    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle: ship the package instead
-    pass
-
-
-@F.pandas_udf(T.DoubleType())
-def overlap_area2(xa: pd.Series, ya: pd.Series, xb: pd.Series, yb: pd.Series) -> pd.Series:
-    return pd.Series(intersection_areas([list(zip(xa, ya)), list(zip(xb, yb))]))
-
-
-@F.pandas_udf(T.DoubleType())
-def overlap_area3(xa: pd.Series, ya: pd.Series, xb: pd.Series, yb: pd.Series,
-                  xc: pd.Series, yc: pd.Series) -> pd.Series:
-    return pd.Series(intersection_areas([list(zip(xa, ya)), list(zip(xb, yb)), list(zip(xc, yc))]))
+# ------------------------------------------------- exact area, JVM side
+#
+# Sutherland-Hodgman clipping written with array higher-order functions
+# (aggregate / transform / filter / flatten), evaluated in the JVM.  Rings
+# are arrays of (x, y) structs.  Intermediate rings are bound once to a
+# lambda variable (``bind``) so no sub-expression is evaluated twice.
+
+_ids = itertools.count()
+
+def _v(name):
+    return f"{name}{next(_ids)}"
+
+
+def ring(xs: str, ys: str) -> str:
+    i = _v("i")
+    return f"transform(sequence(0, size({xs}) - 1), {i} -> named_struct('x', CAST({xs}[{i}] AS DOUBLE), 'y', CAST({ys}[{i}] AS DOUBLE)))"
+
+
+def bind(expr: str, body) -> str:
+    """Evaluate ``expr`` once and use it through a lambda variable."""
+    v = _v("b")
+    return f"transform(array({expr}), {v} -> {body(v)})[0]"
+
+
+def area_of(P: str) -> str:
+    """Signed shoelace area of a bound ring variable."""
+    acc, i = _v("acc"), _v("i")
+    n = f"size({P})"
+    nx = f"{P}[({i} + 1) % {n}]"
+    return (f"CASE WHEN {n} < 3 THEN CAST(0 AS DOUBLE) ELSE aggregate(sequence(0, {n} - 1), CAST(0 AS DOUBLE), "
+            f"({acc}, {i}) -> {acc} + {P}[{i}].x * {nx}.y - {nx}.x * {P}[{i}].y) / 2 END")
+
+
+def ccw(R: str) -> str:
+    return bind(R, lambda r: f"IF({area_of(r)} >= 0, {r}, reverse({r}))")
+
+
+def clip(S: str, C: str) -> str:
+    """Sutherland-Hodgman: ring S clipped by the CCW convex ring C (C bound)."""
+    P, k, i, q = _v("p"), _v("k"), _v("i"), _v("q")
+    nP = f"size({P})"
+    a, b = f"{C}[{k}]", f"{C}[({k} + 1) % size({C})]"
+    cur, nxt = f"{P}[{i}]", f"{P}[({i} + 1) % {nP}]"
+
+    def side(pt):
+        return f"(({b}.x - {a}.x) * ({pt}.y - {a}.y) - ({b}.y - {a}.y) * ({pt}.x - {a}.x))"
+    si, sn = side(cur), side(nxt)
+    t = f"try_divide({si}, {si} - {sn})"
+    ipt = (f"named_struct('x', {cur}.x + {t} * ({nxt}.x - {cur}.x), "
+           f"'y', {cur}.y + {t} * ({nxt}.y - {cur}.y))")
+    step = (f"CASE WHEN {nP} = 0 THEN {P} ELSE flatten(transform(sequence(0, {nP} - 1), {i} -> concat("
+            f"filter(array({cur}), {q} -> {si} >= 0), "
+            f"filter(array({ipt}), {q} -> ({si} >= 0) <> ({sn} >= 0))))) END")
+    return f"aggregate(sequence(0, size({C}) - 1), {S}, ({P}, {k}) -> {step})"
+
+
+def fan(C: str) -> str:
+    """Fan triangles of a bound CCW ring, each CCW, with its sign."""
+    j = _v("j")
+    p0, pj, pk = f"{C}[0]", f"{C}[{j}]", f"{C}[{j} + 1]"
+    cr = f"(({pj}.x - {p0}.x) * ({pk}.y - {p0}.y) - ({pj}.y - {p0}.y) * ({pk}.x - {p0}.x))"
+    return (f"transform(sequence(1, size({C}) - 2), {j} -> named_struct('s', signum({cr}), "
+            f"'t', IF({cr} >= 0, array({p0}, {pj}, {pk}), array({p0}, {pk}, {pj}))))")
+
+
+def convex(C: str) -> str:
+    """True when the bound CCW ring turns left (or goes straight) at every vertex."""
+    i = _v("i")
+    n = f"size({C})"
+    a, b, c = f"{C}[{i}]", f"{C}[({i} + 1) % {n}]", f"{C}[({i} + 2) % {n}]"
+    return (f"forall(sequence(0, {n} - 1), {i} -> "
+            f"({b}.x - {a}.x) * ({c}.y - {b}.y) - ({b}.y - {a}.y) * ({c}.x - {b}.x) >= 0)")
+
+
+def pieces(C: str) -> str:
+    """Signed convex pieces of a bound CCW ring: the ring itself when it is
+    convex (one clip with all its edges), otherwise its fan triangles."""
+    return (f"IF({convex(C)}, array(named_struct('s', CAST(1 AS DOUBLE), 't', {C})), {fan(C)})")
+
+
+def overlap_area(rings) -> str:
+    """Area of the intersection of 2 or 3 rings given as (xs, ys) SQL exprs.
+
+    area(A ∩ B ∩ C) = Σ_j Σ_k s_j s_k area(clip(clip(A, T_j), T_k)) over the
+    signed convex pieces T of B and C (the polygon itself when convex, else
+    its fan triangles); half-plane clipping keeps the area of any ring, so A
+    may be concave."""
+    first, *others = rings
+
+    def nest(P, rest):
+        if not rest:
+            return bind(P, area_of)
+        xs, ys = rest[0]
+        acc, t = _v("acc"), _v("t")
+        return bind(ccw(ring(xs, ys)), lambda c: (
+            f"aggregate({pieces(c)}, CAST(0 AS DOUBLE), ({acc}, {t}) -> {acc} + {t}.s * "
+            f"{bind(clip(P, f'{t}.t'), lambda p: nest(p, rest[1:]))})"))
+    expr = bind(ccw(ring(*first)), lambda a: nest(a, others))
+    return f"greatest({expr}, CAST(0 AS DOUBLE))"
+
+
+def overlap_area_expr(rings: Sequence[tuple[str, str]]) -> Column:
+    """Column with the exact intersection area of 2 or 3 rings, each given
+    by its x and y array column names."""
+    return F.expr(overlap_area(list(rings)))
+
+
+def prepared_ring(xs: str = "xs", ys: str = "ys") -> Column:
+    """Per polygon, once: the ring as counter-clockwise (x, y) structs."""
+    return F.expr(ccw(ring(xs, ys)))
+
+
+def prepared_pieces(xs: str = "xs", ys: str = "ys") -> Column:
+    """Per polygon, once: its signed convex pieces (itself when convex)."""
+    return F.expr(bind(ccw(ring(xs, ys)), pieces))
+
+
+def prepared_overlap_expr(subject_ring: str, piece_cols: Sequence[str]) -> Column:
+    """Per pair: area of the subject ring intersected with polygons given as
+    precomputed piece lists; only the clipping runs per pair."""
+    def nest(P, rest):
+        if not rest:
+            return bind(P, area_of)
+        acc, t = _v("acc"), _v("t")
+        return (f"aggregate({rest[0]}, CAST(0 AS DOUBLE), ({acc}, {t}) -> {acc} + {t}.s * "
+                f"{bind(clip(P, f'{t}.t'), lambda p: nest(p, rest[1:]))})")
+    return F.expr(f"greatest({nest(subject_ring, list(piece_cols))}, CAST(0 AS DOUBLE))")
 
 
 # ------------------------------------------------------------- crosswalk
@@ -397,10 +234,11 @@ def overlay_areas(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Intersection pieces of two layers with their areas.
     Output: ``a_*`` and ``b_*`` columns, ``minx..maxy`` of the piece's box,
     ``intersect_area``.  Pairs whose boxes meet but whose shapes only touch
-    carry area 0; filter after any aggregation (a filter on the UDF column
-    right here would be pushed into the projection and run the UDF twice)."""
-    pairs = candidate_pairs(with_bbox(a), with_bbox(b), cell)
-    return pairs.withColumn("intersect_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
+    carry area 0; filter after any aggregation (a filter on the area right
+    here would be pushed into the projection and compute it twice)."""
+    pairs = candidate_pairs(with_bbox(a).withColumn("ring", prepared_ring()),
+                            with_bbox(b).withColumn("pieces", prepared_pieces()), cell)
+    return pairs.withColumn("intersect_area", prepared_overlap_expr("a_ring", ["b_pieces"]))
 
 
 def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share: float = 0.20,
@@ -415,35 +253,35 @@ def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share:
     """
     s_ids = [c for c in small.columns if c not in ("xs", "ys")]
     l_ids = [c for c in large.columns if c not in ("xs", "ys")]
-    small_b = with_bbox(small)
-    large_b = with_bbox(large).withColumn("large_area", ring_area())
+    # ring orientation, convexity and fan are facts of a polygon, computed
+    # once per polygon here rather than once per candidate pair
+    small_b = with_bbox(small).withColumn("ring", prepared_ring())
+    large_b = (with_bbox(large).withColumn("large_area", ring_area())
+               .withColumn("pieces", prepared_pieces()))
     if clip is None:
-        small_b = small_b.withColumn("small_area", ring_area())
+        small_area = small_b.select(*s_ids, ring_area().alias("small_area"))
         pairs = candidate_pairs(small_b, large_b, cell)
-        pieces = pairs.withColumn("intersect_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
+        pieces = pairs.withColumn("intersect_area", prepared_overlap_expr("a_ring", ["b_pieces"]))
     else:
-        cut = candidate_pairs(small_b, with_bbox(clip.select("xs", "ys")), cell)
-        # no filter on the UDF column before an aggregate: Catalyst would push
-        # it into the projection and evaluate the UDF twice; zero pieces
-        # simply add nothing to the sums below
-        cut = cut.withColumn("clip_area", overlap_area2("a_xs", "a_ys", "b_xs", "b_ys"))
-        # the clipped area of a unit is the sum over the clip polygons it
-        # meets (one, for a single outline); a window carries it along so
-        # the area UDF runs once per (unit, clip polygon)
-        whole = Window.partitionBy(*[F.col(f"a_{c}") for c in s_ids])
-        clipped = cut.select(*[F.col(f"a_{c}").alias(c) for c in s_ids], F.col("a_xs").alias("xs"),
-                             F.col("a_ys").alias("ys"), F.col("b_xs").alias("cxs"),
-                             F.col("b_ys").alias("cys"), "minx", "maxx", "miny", "maxy",
-                             F.sum("clip_area").over(whole).alias("small_area"))
+        clip_b = with_bbox(clip.select("xs", "ys")).withColumn("pieces", prepared_pieces())
+        cut = candidate_pairs(small_b, clip_b, cell)
+        # the clipped area of a unit: its pieces inside every clip polygon,
+        # summed in a small aggregate of its own and joined at the end
+        small_area = (cut.withColumn("clip_area", prepared_overlap_expr("a_ring", ["b_pieces"]))
+                         .groupBy(*[F.col(f"a_{c}").alias(c) for c in s_ids])
+                         .agg(F.sum("clip_area").alias("small_area")))
+        clipped = cut.select(*[F.col(f"a_{c}").alias(c) for c in s_ids], F.col("a_ring").alias("ring"),
+                             F.col("b_pieces").alias("cpieces"), "minx", "maxx", "miny", "maxy")
+        # the three-way areas are computed right in the candidate-join
+        # stage (no shuffle in between), where the pairs are spread widest
         pairs = candidate_pairs(clipped, large_b, cell)
         pieces = pairs.withColumn("intersect_area",
-                                  overlap_area3("a_xs", "a_ys", "a_cxs", "a_cys", "b_xs", "b_ys"))
+                                  prepared_overlap_expr("a_ring", ["a_cpieces", "b_pieces"]))
     pieces = pieces.groupBy(*[F.col(f"a_{c}").alias(c) for c in s_ids],
                             *[F.col(f"b_{c}").alias(c) for c in l_ids],
-                            F.col("b_large_area").alias("large_area"),
-                            F.col("a_small_area").alias("small_area")).agg(
+                            F.col("b_large_area").alias("large_area")).agg(
         F.sum("intersect_area").alias("intersect_area"))
-    pieces = pieces.filter(F.col("intersect_area") > 0)
+    pieces = pieces.filter(F.col("intersect_area") > 0).join(small_area, s_ids)
     out = pieces.select(
         *s_ids, *l_ids,
         F.try_divide(F.col("intersect_area"), F.col("large_area")).alias("prc_large_area"),

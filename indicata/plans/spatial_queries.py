@@ -40,8 +40,9 @@ def pumas(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0 = (k % GRID).cast("double") * F.lit(SIDE)
     y0 = F.floor(k / GRID).cast("double") * F.lit(SIDE)
     x1, y1 = x0 + F.lit(SIDE), y0 + F.lit(SIDE)
-    return c.select(k.cast("string").alias("PUMA"), F.col("c_name").alias("NAMELSAD20"),
-                    F.array(x0, x1, x1, x0).alias("xs"), F.array(y0, y0, y1, y1).alias("ys"))
+    out = c.select(k.cast("string").alias("PUMA"), F.col("c_name").alias("NAMELSAD20"),
+                   F.array(x0, x1, x1, x0).alias("xs"), F.array(y0, y0, y1, y1).alias("ys"))
+    return S.spread(out)   # each unit carries per-pair geometry work downstream
 
 
 def _extent(spark: SparkSession, sf_dir: str) -> DataFrame:

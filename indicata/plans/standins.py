@@ -58,17 +58,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if df is None or df.sparkSession is not spark:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if name in ROW_TABLES:
-            try:
-                slots = spark.sparkContext.defaultParallelism
-                splits = df.rdd.getNumPartitions()
-            except Exception:       # no RDD view (e.g. a Connect session): leave as is
-                slots = splits = 0
-            if splits < slots:
-                df = df.repartition(slots)
+            df = spread(df)
         _READERS[key] = df
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a DataFrame over the session's task slots when it has
+    fewer partitions than slots and heavy per-row work follows (row-level
+    scans, per-pair geometry).  A no-op for cluster-sized inputs."""
+    spark = df.sparkSession
+    try:
+        slots = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:       # no RDD view (e.g. a Connect session): leave as is
+        return df
+    return df.repartition(slots) if splits < slots else df
+
+
 def _weight_exprs(key: str, mod: int, rep_mod: int, shift: int, prefix: str,
                   replicates: bool = True, full: bool = True) -> list[str]:
     """Weight columns as SQL expressions: one JVM parse each instead of a

@@ -58,11 +58,9 @@ def test_whole_and_part_reads_register_once(spark):
     assert _filescans(df, "orders") == 1
 
 
-def test_no_python_outside_spatial(spark):
+def test_no_python_in_any_query(spark):
     import __spark_entry__ as E
     for name, fn in E.queries().items():
-        if name in ("overlay_crosswalk", "survey_by_crosswalk"):
-            continue
         plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "InPandas" not in plan, name
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from indicata.operators import crosswalk as X
+from spatial_reference import intersection_area as reference_area
 
 L_XS, L_YS = [0.0, 4.0, 4.0, 2.0, 2.0, 0.0], [0.0, 0.0, 2.0, 2.0, 4.0, 4.0]       # concave L, area 12
 
@@ -15,24 +16,38 @@ def rect(x0, y0, x1, y1, cw=False):
     return (xs[::-1], ys[::-1]) if cw else (xs, ys)
 
 
-def test_intersection_concave_and_orientation():
-    assert X.intersection_area([(L_XS, L_YS), rect(1, 1, 3, 3)]) == pytest.approx(3.0)
-    assert X.intersection_area([(L_XS[::-1], L_YS[::-1]), rect(1, 1, 3, 3, cw=True)]) == pytest.approx(3.0)
-    assert X.intersection_area([(L_XS, L_YS), rect(2.5, 2.5, 3, 3)]) == pytest.approx(0.0)
-    assert X.intersection_area([(L_XS, L_YS), (L_XS, L_YS)]) == pytest.approx(12.0)
-    assert X.intersection_area([(L_XS, L_YS), rect(1, 1, 3, 3), rect(0, 0, 10, 1.5)]) == pytest.approx(1.0)
+def spark_areas(spark, layers):
+    """Evaluate the JVM-side area expression on rows of rings."""
+    k = len(layers)
+    schema = ", ".join(f"x{i} array<double>, y{i} array<double>" for i in range(k))
+    rows = [tuple(v for ring in combo for v in (list(map(float, ring[0])), list(map(float, ring[1]))))
+            for combo in zip(*layers)]
+    df = spark.createDataFrame(rows, schema)
+    expr = X.overlap_area_expr([(f"x{i}", f"y{i}") for i in range(k)])
+    return [r.a for r in df.select(expr.alias("a")).collect()]
 
 
-def test_random_rectangles_match_closed_form():
+def test_intersection_concave_and_orientation(spark):
+    got = spark_areas(spark, [
+        [(L_XS, L_YS), (L_XS[::-1], L_YS[::-1]), (L_XS, L_YS), (L_XS, L_YS)],
+        [rect(1, 1, 3, 3), rect(1, 1, 3, 3, cw=True), rect(2.5, 2.5, 3, 3), (L_XS, L_YS)]])
+    assert got == [pytest.approx(3.0), pytest.approx(3.0), pytest.approx(0.0, abs=1e-12), pytest.approx(12.0)]
+    three = spark_areas(spark, [[(L_XS, L_YS)], [rect(1, 1, 3, 3)], [rect(0, 0, 10, 1.5)]])
+    assert three == [pytest.approx(1.0)]
+
+
+def test_random_rectangles_match_closed_form(spark):
     rng = np.random.default_rng(3)
+    A, B, exp = [], [], []
     for _ in range(200):
         a = sorted(rng.uniform(0, 10, 2)), sorted(rng.uniform(0, 10, 2))
         b = sorted(rng.uniform(0, 10, 2)), sorted(rng.uniform(0, 10, 2))
-        exp = max(0, min(a[0][1], b[0][1]) - max(a[0][0], b[0][0])) * \
-            max(0, min(a[1][1], b[1][1]) - max(a[1][0], b[1][0]))
-        got = X.intersection_area([rect(a[0][0], a[1][0], a[0][1], a[1][1], cw=bool(rng.integers(2))),
-                                   rect(b[0][0], b[1][0], b[0][1], b[1][1])])
-        assert got == pytest.approx(exp, abs=1e-9)
+        exp.append(max(0, min(a[0][1], b[0][1]) - max(a[0][0], b[0][0]))
+                   * max(0, min(a[1][1], b[1][1]) - max(a[1][0], b[1][0])))
+        A.append(rect(a[0][0], a[1][0], a[0][1], a[1][1], cw=bool(rng.integers(2))))
+        B.append(rect(b[0][0], b[1][0], b[0][1], b[1][1]))
+    for g, e in zip(spark_areas(spark, [A, B]), exp):
+        assert g == pytest.approx(e, abs=1e-9)
 
 
 def test_ring_area_and_centroid(spark):
@@ -82,7 +97,7 @@ def test_attach_crosswalk_is_broadcast(spark):
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_batched_areas_match_scalar():
+def test_random_polygons_match_reference(spark):
     rng = np.random.default_rng(11)
 
     def poly():
@@ -93,12 +108,18 @@ def test_batched_areas_match_scalar():
         xs, ys = list(c[0] + r * np.cos(ang)), list(c[1] + r * np.sin(ang))
         return (xs[::-1], ys[::-1]) if rng.integers(2) else (xs, ys)
 
-    A = [poly() for _ in range(200)] + [(L_XS, L_YS), (L_XS, L_YS)]
-    B = [poly() for _ in range(200)] + [rect(1, 1, 3, 3), (L_XS[::-1], L_YS[::-1])]
-    C = [poly() for _ in range(202)]
-    two = X.intersection_areas([A, B])
-    three = X.intersection_areas([A, B, C])
+    A = [poly() for _ in range(150)] + [(L_XS, L_YS), (L_XS, L_YS)]
+    B = [poly() for _ in range(150)] + [rect(1, 1, 3, 3), (L_XS[::-1], L_YS[::-1])]
+    C = [poly() for _ in range(152)]
+    two = spark_areas(spark, [A, B])
+    three = spark_areas(spark, [A, B, C])
     for i in range(len(A)):
-        assert two[i] == pytest.approx(X.intersection_area([A[i], B[i]]), abs=1e-9)
-        assert three[i] == pytest.approx(X.intersection_area([A[i], B[i], C[i]]), abs=1e-9)
+        assert two[i] == pytest.approx(reference_area([A[i], B[i]]), abs=1e-9)
+        assert three[i] == pytest.approx(reference_area([A[i], B[i], C[i]]), abs=1e-9)
     assert two[-2] == pytest.approx(3.0) and two[-1] == pytest.approx(12.0)
+
+
+def test_overlay_plan_has_no_python(spark):
+    from indicata.plans import spatial_queries as SP
+    plan = SP.overlay_crosswalk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
