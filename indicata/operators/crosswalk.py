@@ -137,21 +137,28 @@ def ccw(R: str) -> str:
 
 
 def clip(S: str, C: str) -> str:
-    """Sutherland-Hodgman: ring S clipped by the CCW convex ring C (C bound)."""
-    P, k, i, q = _v("p"), _v("k"), _v("i"), _v("q")
-    nP = f"size({P})"
+    """Sutherland-Hodgman: ring S clipped by the CCW convex ring C (C bound).
+
+    For each clipper edge the side value of every vertex is computed once
+    (bound with the ring), then each vertex emits itself when inside and the
+    crossing point when the edge to the next vertex crosses the line."""
+    P, k, i, q, v = _v("p"), _v("k"), _v("i"), _v("q"), _v("v")
     a, b = f"{C}[{k}]", f"{C}[({k} + 1) % size({C})]"
-    cur, nxt = f"{P}[{i}]", f"{P}[({i} + 1) % {nP}]"
-
-    def side(pt):
-        return f"(({b}.x - {a}.x) * ({pt}.y - {a}.y) - ({b}.y - {a}.y) * ({pt}.x - {a}.x))"
-    si, sn = side(cur), side(nxt)
-    t = f"try_divide({si}, {si} - {sn})"
-    ipt = (f"named_struct('x', {cur}.x + {t} * ({nxt}.x - {cur}.x), "
-           f"'y', {cur}.y + {t} * ({nxt}.y - {cur}.y))")
-    step = (f"CASE WHEN {nP} = 0 THEN {P} ELSE flatten(transform(sequence(0, {nP} - 1), {i} -> concat("
-            f"filter(array({cur}), {q} -> {si} >= 0), "
-            f"filter(array({ipt}), {q} -> ({si} >= 0) <> ({sn} >= 0))))) END")
+    side = f"(({b}.x - {a}.x) * ({v}.y - {a}.y) - ({b}.y - {a}.y) * ({v}.x - {a}.x))"
+
+    def emit(e):
+        n = f"size({e}.p)"
+        j = f"({i} + 1) % {n}"
+        cur, nxt = f"{e}.p[{i}]", f"{e}.p[{j}]"
+        si, sn = f"{e}.s[{i}]", f"{e}.s[{j}]"
+        t = f"try_divide({si}, {si} - {sn})"
+        ipt = (f"named_struct('x', {cur}.x + {t} * ({nxt}.x - {cur}.x), "
+               f"'y', {cur}.y + {t} * ({nxt}.y - {cur}.y))")
+        return (f"flatten(transform(sequence(0, {n} - 1), {i} -> concat("
+                f"filter(array({cur}), {q} -> {si} >= 0), "
+                f"filter(array({ipt}), {q} -> ({si} >= 0) <> ({sn} >= 0)))))")
+    with_sides = f"named_struct('p', {P}, 's', transform({P}, {v} -> {side}))"
+    step = f"CASE WHEN size({P}) = 0 THEN {P} ELSE {bind(with_sides, emit)} END"
     return f"aggregate(sequence(0, size({C}) - 1), {S}, ({P}, {k}) -> {step})"
 
 
