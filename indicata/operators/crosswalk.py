@@ -108,6 +108,7 @@ def candidate_pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
 
 _ids = itertools.count()
 
+
 def _v(name):
     return f"{name}{next(_ids)}"
 
@@ -186,6 +187,16 @@ def pieces(C: str) -> str:
     return (f"IF({convex(C)}, array(named_struct('s', CAST(1 AS DOUBLE), 't', {C})), {fan(C)})")
 
 
+def _nest(P: str, piece_lists: Sequence[str]) -> str:
+    """Σ over the signed convex pieces of each further polygon of the area
+    of the bound ring P clipped by them (recursively for a third polygon)."""
+    if not piece_lists:
+        return bind(P, area_of)
+    acc, t = _v("acc"), _v("t")
+    return (f"aggregate({piece_lists[0]}, CAST(0 AS DOUBLE), ({acc}, {t}) -> {acc} + {t}.s * "
+            f"{bind(clip(P, f'{t}.t'), lambda p: _nest(p, piece_lists[1:]))})")
+
+
 def overlap_area(rings) -> str:
     """Area of the intersection of 2 or 3 rings given as (xs, ys) SQL exprs.
 
@@ -194,17 +205,8 @@ def overlap_area(rings) -> str:
     its fan triangles); half-plane clipping keeps the area of any ring, so A
     may be concave."""
     first, *others = rings
-
-    def nest(P, rest):
-        if not rest:
-            return bind(P, area_of)
-        xs, ys = rest[0]
-        acc, t = _v("acc"), _v("t")
-        return bind(ccw(ring(xs, ys)), lambda c: (
-            f"aggregate({pieces(c)}, CAST(0 AS DOUBLE), ({acc}, {t}) -> {acc} + {t}.s * "
-            f"{bind(clip(P, f'{t}.t'), lambda p: nest(p, rest[1:]))})"))
-    expr = bind(ccw(ring(*first)), lambda a: nest(a, others))
-    return f"greatest({expr}, CAST(0 AS DOUBLE))"
+    lists = [bind(ccw(ring(xs, ys)), pieces) for xs, ys in others]
+    return f"greatest({bind(ccw(ring(*first)), lambda a: _nest(a, lists))}, CAST(0 AS DOUBLE))"
 
 
 def overlap_area_expr(rings: Sequence[tuple[str, str]]) -> Column:
@@ -226,13 +228,7 @@ def prepared_pieces(xs: str = "xs", ys: str = "ys") -> Column:
 def prepared_overlap_expr(subject_ring: str, piece_cols: Sequence[str]) -> Column:
     """Per pair: area of the subject ring intersected with polygons given as
     precomputed piece lists; only the clipping runs per pair."""
-    def nest(P, rest):
-        if not rest:
-            return bind(P, area_of)
-        acc, t = _v("acc"), _v("t")
-        return (f"aggregate({rest[0]}, CAST(0 AS DOUBLE), ({acc}, {t}) -> {acc} + {t}.s * "
-                f"{bind(clip(P, f'{t}.t'), lambda p: nest(p, rest[1:]))})")
-    return F.expr(f"greatest({nest(subject_ring, list(piece_cols))}, CAST(0 AS DOUBLE))")
+    return F.expr(f"greatest({_nest(subject_ring, list(piece_cols))}, CAST(0 AS DOUBLE))")
 
 
 # ------------------------------------------------------------- crosswalk
