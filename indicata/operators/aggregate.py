@@ -92,6 +92,11 @@ def rate_per(num, den, base: float = 1.0) -> Column:
     return F.try_divide(col_of(num).cast("double"), col_of(den).cast("double")) * F.lit(float(base))
 
 
+def count_from_percent(rate, pop) -> Column:
+    """``(rate / 100) * pop``: a percentage back to a count."""
+    return col_of(rate).cast("double") / F.lit(100.0) * col_of(pop).cast("double")
+
+
 def share_within(value: str, by: Sequence[str], scale: float = 100.0) -> Column:
     """value / total of its group x scale as a window."""
     w = Window.partitionBy(*by)

@@ -180,3 +180,10 @@ def test_moe_sum_missing_moe_is_missing(spark):
     df = spark.createDataFrame([(10, 3.0), (2, None)], "e int, m double")
     (r,) = df.agg(A.moe_sum("m", "e").alias("v"), A.moe_sum("m", "e", na_rm=True).alias("w")).collect()
     assert r.v is None and r.w == pytest.approx(3.0)
+
+
+def test_date_parts_and_percent_to_count(spark):
+    df = spark.createDataFrame([(dt.date(2020, 3, 9), 25.0, 80.0)], "d date, rate double, pop double")
+    (r,) = df.select(S.date_part_text("d", "month").alias("m"), S.date_part_text("d", "year").alias("y"),
+                     A.count_from_percent("rate", "pop").alias("n"), A.rate_per("rate", "pop", 1000).alias("p")).collect()
+    assert (r.m, r.y, r.n, r.p) == ("03", "2020", 20.0, 312.5)
