@@ -137,7 +137,7 @@ def ccw(R: str) -> str:
     return bind(R, lambda r: f"IF({area_of(r)} >= 0, {r}, reverse({r}))")
 
 
-def clip(S: str, C: str) -> str:
+def clip_ring(S: str, C: str) -> str:
     """Sutherland-Hodgman: ring S clipped by the CCW convex ring C (C bound).
 
     For each clipper edge the side value of every vertex is computed once
@@ -194,13 +194,13 @@ def _nest(P: str, piece_lists: Sequence[str]) -> str:
         return bind(P, area_of)
     acc, t = _v("acc"), _v("t")
     return (f"aggregate({piece_lists[0]}, CAST(0 AS DOUBLE), ({acc}, {t}) -> {acc} + {t}.s * "
-            f"{bind(clip(P, f'{t}.t'), lambda p: _nest(p, piece_lists[1:]))})")
+            f"{bind(clip_ring(P, f'{t}.t'), lambda p: _nest(p, piece_lists[1:]))})")
 
 
 def overlap_area(rings) -> str:
     """Area of the intersection of 2 or 3 rings given as (xs, ys) SQL exprs.
 
-    area(A ∩ B ∩ C) = Σ_j Σ_k s_j s_k area(clip(clip(A, T_j), T_k)) over the
+    area(A ∩ B ∩ C) = Σ_j Σ_k s_j s_k area(clip_ring(clip_ring(A, T_j), T_k)) over the
     signed convex pieces T of B and C (the polygon itself when convex, else
     its fan triangles); half-plane clipping keeps the area of any ring, so A
     may be concave."""
@@ -268,18 +268,20 @@ def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share:
     else:
         clip_b = with_bbox(clip.select("xs", "ys")).withColumn("pieces", prepared_pieces())
         cut = candidate_pairs(small_b, clip_b, cell)
-        # the clipped area of a unit: its pieces inside every clip polygon,
-        # summed in a small aggregate of its own and joined at the end
-        small_area = (cut.withColumn("clip_area", prepared_overlap_expr("a_ring", ["b_pieces"]))
-                         .groupBy(*[F.col(f"a_{c}").alias(c) for c in s_ids])
-                         .agg(F.sum("clip_area").alias("small_area")))
-        clipped = cut.select(*[F.col(f"a_{c}").alias(c) for c in s_ids], F.col("a_ring").alias("ring"),
-                             F.col("b_pieces").alias("cpieces"), "minx", "maxx", "miny", "maxy")
+        # each unit clipped once per convex piece of the clip shape: a signed
+        # ring, reused for every planning area it meets
+        cut = cut.select(*[F.col(f"a_{c}").alias(c) for c in s_ids], "minx", "maxx", "miny", "maxy",
+                         F.explode("b_pieces").alias("_piece"), "a_ring")
+        cut = cut.select(*s_ids, "minx", "maxx", "miny", "maxy", F.col("_piece.s").alias("sign"),
+                         F.expr(clip_ring("a_ring", "_piece.t")).alias("ring"))
+        # the clipped area of a unit, in a small aggregate joined at the end
+        small_area = cut.groupBy(*s_ids).agg(
+            F.sum(F.col("sign") * F.expr(bind("ring", area_of))).alias("small_area"))
         # the three-way areas are computed right in the candidate-join
         # stage (no shuffle in between), where the pairs are spread widest
-        pairs = candidate_pairs(clipped, large_b, cell)
+        pairs = candidate_pairs(cut, large_b, cell)
         pieces = pairs.withColumn("intersect_area",
-                                  prepared_overlap_expr("a_ring", ["a_cpieces", "b_pieces"]))
+                                  F.col("a_sign") * prepared_overlap_expr("a_ring", ["b_pieces"]))
     pieces = pieces.groupBy(*[F.col(f"a_{c}").alias(c) for c in s_ids],
                             *[F.col(f"b_{c}").alias(c) for c in l_ids],
                             F.col("b_large_area").alias("large_area")).agg(
