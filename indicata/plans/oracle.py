@@ -8,6 +8,7 @@ deviations, the same divisions), so doubles agree to the last bit.
 
 from __future__ import annotations
 
+from indicata.operators import recode as RC
 from indicata.operators.survey import ACS_SCALE, Z90
 from indicata.plans import register_queries as RQ
 from indicata.plans import report_queries as RP
@@ -59,29 +60,29 @@ GEO_CTE = """
 
 ORDER_SQL = ", ".join(S.PERSON_ORDER)
 
-RECODE_SQL = """
-  CASE WHEN coalesce(HISP = '01', false) THEN 'Not Latinx' ELSE 'Latinx' END AS latino,
-  CASE WHEN coalesce(RACAIAN = '0', false) THEN 'Not AIAN' ELSE 'AIAN Alone or in Combination' END AS aian,
+RECODE_SQL = f"""
+  CASE WHEN coalesce(HISP = '01', false) THEN '{RC.NOT_LATINX}' ELSE '{RC.LATINX}' END AS latino,
+  CASE WHEN coalesce(RACAIAN = '0', false) THEN '{RC.NOT_AIAN}' ELSE '{RC.AIAN}' END AS aian,
   CASE WHEN RACPI IS NOT DISTINCT FROM '1' OR RACNH IS NOT DISTINCT FROM '1'
-       THEN 'NHPI Alone or in Combination' ELSE 'Not NHPI' END AS nhpi,
-  CASE WHEN a1.ANC_Code IS NOT NULL OR a2.ANC_Code IS NOT NULL THEN 'SWANA' ELSE 'Not SWANA' END AS swana"""
+       THEN '{RC.NHPI}' ELSE '{RC.NOT_NHPI}' END AS nhpi,
+  CASE WHEN a1.ANC_Code IS NOT NULL OR a2.ANC_Code IS NOT NULL THEN '{RC.SWANA}' ELSE '{RC.NOT_SWANA}' END AS swana"""
 
-RACE_SQL = """
+RACE_SQL = f"""
   CASE WHEN RAC1P IS NULL THEN NULL
-       WHEN RAC1P = '1' AND latino = 'Not Latinx' THEN 'White NL'
-       WHEN RAC1P = '1' AND NOT (latino = 'Not Latinx') THEN 'Latinx placeholder'
-       WHEN RAC1P = '2' AND latino = 'Not Latinx' THEN 'Black NL'
-       WHEN RAC1P IN ('3', '4', '5') THEN 'AIAN placeholder'
-       WHEN RAC1P = '6' AND latino = 'Not Latinx' THEN 'Asian NL'
-       WHEN RAC1P = '7' THEN 'NHPI placeholder'
-       WHEN RAC1P = '8' AND latino = 'Not Latinx' THEN 'Other NL'
-       WHEN RAC1P = '9' AND latino = 'Not Latinx' THEN 'Two or More NL'
-       ELSE 'Latinx placeholder' END AS race"""
+       WHEN RAC1P = '1' AND latino = '{RC.NOT_LATINX}' THEN '{RC.WHITE_NL}'
+       WHEN RAC1P = '1' AND NOT (latino = '{RC.NOT_LATINX}') THEN '{RC.LATINX_PLACEHOLDER}'
+       WHEN RAC1P = '2' AND latino = '{RC.NOT_LATINX}' THEN '{RC.BLACK_NL}'
+       WHEN RAC1P IN ('3', '4', '5') THEN '{RC.AIAN_PLACEHOLDER}'
+       WHEN RAC1P = '6' AND latino = '{RC.NOT_LATINX}' THEN '{RC.ASIAN_NL}'
+       WHEN RAC1P = '7' THEN '{RC.NHPI_PLACEHOLDER}'
+       WHEN RAC1P = '8' AND latino = '{RC.NOT_LATINX}' THEN '{RC.OTHER_NL}'
+       WHEN RAC1P = '9' AND latino = '{RC.NOT_LATINX}' THEN '{RC.MULTI_NL}'
+       ELSE '{RC.LATINX_PLACEHOLDER}' END AS race"""
 
 
 def recoded_people_cte(kids: bool = False, with_weights: bool = False) -> str:
     descs = ", ".join(f"'{d}'" for d in S.CODE_LIST_DESCRIPTIONS)
-    race = RACE_SQL.replace("WHEN RAC1P = '7' THEN", "WHEN RAC1P = '7' AND latino = 'Not Latinx' THEN") \
+    race = RACE_SQL.replace("WHEN RAC1P = '7' THEN", f"WHEN RAC1P = '7' AND latino = '{RC.NOT_LATINX}' THEN") \
         if kids else RACE_SQL
     return f"""
   SELECT r.*, {race} FROM (
@@ -247,8 +248,7 @@ def q_code_list_flag() -> str:
     return f"SELECT SERIALNO, {cols}, ANC1P, ANC2P, swana FROM ({recoded_people_cte()}) r"
 
 
-SUPPRESSED = ("Not AIAN", "Not Latinx", "Not NHPI", "Not SWANA", "AIAN placeholder",
-              "NHPI placeholder", "Latinx placeholder")
+SUPPRESSED = RC.SUPPRESSED_SUBGROUPS
 
 
 def q_survey_breakdown(cut: float = 100) -> str:
