@@ -5,7 +5,8 @@ spec = importlib.util.spec_from_file_location("__spark_entry__", "/root/repo/__s
 E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)
 from pyspark.sql import SparkSession
 import duckdb
-spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+         .config("spark.ui.enabled", "false").getOrCreate())
 df = E.entry(spark); rows = df.collect(); print("entry rows", len(rows), df.columns[:4])
 con = duckdb.connect()
 sf = "/root/testdata/sf0.01"
