@@ -122,13 +122,15 @@ def race_recode(people: DataFrame, codes: DataFrame, descriptions: Iterable[str]
 
 
 def relabel(c, mapping: dict, default=None) -> Column:
-    """Keyed relabel with a default (C11); unmapped values keep their value
-    when ``default`` is None."""
+    """Keyed relabel with a default (C11): a literal, a Column (e.g. the
+    title-cased value), or None to keep unmapped values as they are."""
     expr = None
     for k, v in mapping.items():
         cond = col_of(c) == F.lit(k)
         expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-    return expr.otherwise(col_of(c) if default is None else F.lit(default))
+    if default is None:
+        return expr.otherwise(col_of(c))
+    return expr.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
 def clean_labels(c) -> Column:

@@ -47,6 +47,7 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "top_subgroup": (RPQ.top_subgroup, O.q_top_subgroup),
     "headline": (RPQ.headline, O.q_headline),
     "fallback_text": (RPQ.fallback_text, O.q_fallback_text),
+    "ece_frame": (RPQ.ece_frame, O.q_ece_frame),
 }
 
 

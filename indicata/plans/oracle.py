@@ -667,3 +667,21 @@ def q_children_by_race() -> str:
                ELSE num / max(CASE WHEN subgroup = 'Total' THEN num END) OVER (PARTITION BY geoid) END) * {h} AS pct
   FROM t
   WHERE subgroup = 'Total' OR subgroup NOT IN ({supp})"""
+
+
+def _title_sql(c: str) -> str:
+    """Spark's initcap: split on spaces, first letter upper, the rest lower."""
+    return f"array_to_string(list_transform(string_split({c}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+
+
+def q_ece_frame() -> str:
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RP.ECE_LABELS.items())
+    first = "regexp_replace(regexp_replace(lbl, ' NL', ''), ' Alone or in Combination', '')"
+    return f"""
+  SELECT geoid, subgroup, rate, population, '{RP.ECE_GROUP}' AS "group" FROM (
+    SELECT geoid, {first} AS subgroup, rate, population FROM (
+      SELECT geoid, rate, population, CASE code {labels} ELSE {_title_sql('code')} END AS lbl FROM (
+        SELECT geoid, rate, (rate / {dbl(100.0)}) * pop AS population,
+               regexp_replace(subgroup, 'nh_', '') AS code
+        FROM ({q_survey_breakdown()}) b WHERE subgroup <> 'bipoc') x) y) z
+  WHERE subgroup <> 'Total'"""

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from indicata.functions.scalars import replace_first, title_case
+from indicata.operators import aggregate as A
+from indicata.operators import recode
 from indicata.operators import reports as K
 from indicata.plans import survey_queries as SQ
 
@@ -52,3 +55,27 @@ def fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("subgroup"), " whose poverty rate is ", K.pct_text("rate"), "%.")
     return best.select("geoid", "n_subgroups", "chartable",
                        F.when(~F.col("chartable"), text).alias("text"))
+
+
+# Subgroup codes relabelled by the access post; every other
+# code is title-cased.
+ECE_LABELS = {"twoormor": "Multiracial", "aian": "AIAN", "pacisl": "NHPI"}
+ECE_GROUP = "Percent of children under 5 enrolled in ECE"
+
+
+def ece_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access-post frame over an indicator table (E17 C11 C12 I4 G1): count
+    from percent, drop the first ``nh_``, relabel codes with a title-case
+    default, clean labels, drop the Total, sorted by rate.
+
+    The post's own input carries snake_case codes (``nh_white``); on the
+    breakdown's labels the title-case default gives ``White Nl``, after which
+    the `` NL`` clean-up no longer matches, exactly as the published steps
+    would behave on such input."""
+    t = SQ.survey_breakdown(spark, sf_dir).filter(F.col("subgroup") != "bipoc")
+    t = t.select("geoid", "rate", A.count_from_percent("rate", "pop").alias("population"),
+                 replace_first("subgroup", "nh_", "").alias("code"))
+    label = recode.relabel("code", ECE_LABELS, title_case("code"))
+    label = replace_first(replace_first(label, " NL", ""), " Alone or in Combination", "")
+    out = t.select("geoid", label.alias("subgroup"), "rate", "population", F.lit(ECE_GROUP).alias("group"))
+    return out.filter(F.col("subgroup") != "Total").orderBy(F.col("rate").desc(), "geoid", "subgroup")
