@@ -71,6 +71,18 @@ def with_bbox(df: DataFrame, xs: str = "xs", ys: str = "ys") -> DataFrame:
                            "miny": F.array_min(ys), "maxy": F.array_max(ys)})
 
 
+def grid_cell_size(df: DataFrame, quantile: float = 0.5) -> float:
+    """A grid cell about the size of a typical polygon of ``df`` (the given
+    quantile of its bounding-box extents).  Cells much smaller than the
+    polygons multiply grid rows; much larger ones put many polygons in one
+    cell.  One aggregate; only the resulting number reaches the driver."""
+    b = with_bbox(df)
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    row = b.agg(F.percentile_approx(extent, quantile).alias("cell")).first()
+    cell = row["cell"] if row is not None else None
+    return float(cell) if cell and cell > 0 else 1.0
+
+
 def _grid(df: DataFrame, cell: float) -> DataFrame:
     c = F.lit(float(cell))
     return (df.withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") / c), F.floor(F.col("maxx") / c))))
@@ -244,8 +256,8 @@ def overlay_areas(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return pairs.withColumn("intersect_area", prepared_overlap_expr("a_ring", ["b_pieces"]))
 
 
-def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share: float = 0.20,
-                    clip: DataFrame | None = None) -> DataFrame:
+def build_crosswalk(small: DataFrame, large: DataFrame, cell: float | None = None,
+                    min_share: float = 0.20, clip: DataFrame | None = None) -> DataFrame:
     """Crosswalk of small units to large units.
 
     ``small`` and ``large`` carry ``xs``, ``ys`` and their own id columns
@@ -253,7 +265,11 @@ def build_crosswalk(small: DataFrame, large: DataFrame, cell: float, min_share:
     units are first cut to the clip shape, and their areas are the clipped
     areas.  Keeps pairs holding at least ``min_share`` of the small unit's
     area; returns the id columns, ``prc_large_area`` and ``prc_small_area``.
+    ``cell`` is the candidate grid size; by default it is derived from the
+    small layer (``grid_cell_size``).
     """
+    if cell is None:
+        cell = grid_cell_size(small)
     s_ids = [c for c in small.columns if c not in ("xs", "ys")]
     l_ids = [c for c in large.columns if c not in ("xs", "ys")]
     # ring orientation, convexity and fan are facts of a polygon, computed

@@ -123,3 +123,14 @@ def test_overlay_plan_has_no_python(spark):
     from indicata.plans import spatial_queries as SP
     plan = SP.overlay_crosswalk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_grid_cell_size_from_data(spark):
+    small = spark.createDataFrame([("p1", *rect(0, 0, 10, 10)), ("p2", *rect(10, 0, 20, 10)),
+                                   ("p3", *rect(0, 10, 30, 40))],
+                                  "PUMA string, xs array<double>, ys array<double>")
+    assert X.grid_cell_size(small) == 10.0
+    large = spark.createDataFrame([("s1", *rect(0, 0, 7, 10)), ("s2", *rect(7, 0, 18.5, 10))],
+                                  "SPA string, xs array<double>, ys array<double>")
+    xw = {(r.PUMA, r.SPA) for r in X.build_crosswalk(small, large).collect()}
+    assert xw == {("p1", "s1"), ("p1", "s2"), ("p2", "s2")}
