@@ -685,3 +685,16 @@ def q_ece_frame() -> str:
                regexp_replace(subgroup, 'nh_', '') AS code
         FROM ({q_survey_breakdown()}) b WHERE subgroup <> 'bipoc') x) y) z
   WHERE subgroup <> 'Total'"""
+
+
+def q_select_variables() -> str:
+    return f"""
+  WITH cat AS (SELECT 'V' || CAST(p_partkey AS VARCHAR) AS name, p_type AS label, p_brand AS concept FROM part),
+  names AS (SELECT name || 'E' AS variable FROM cat WHERE concept = '{RQ.CATALOG_CONCEPT}' AND label = '{RQ.CATALOG_LABEL}'
+            UNION ALL
+            SELECT name || 'M' FROM cat WHERE concept = '{RQ.CATALOG_CONCEPT}' AND label = '{RQ.CATALOG_LABEL}'),
+  est AS (SELECT 'V' || CAST(l_partkey AS VARCHAR) || 'E' AS variable, l_quantity AS estimate FROM lineitem
+          UNION ALL
+          SELECT 'V' || CAST(l_partkey AS VARCHAR) || 'M', CAST(l_linenumber AS DOUBLE) FROM lineitem)
+  SELECT variable, sum(estimate) AS value, count(*) AS rows
+  FROM est WHERE variable IN (SELECT variable FROM names) GROUP BY variable"""

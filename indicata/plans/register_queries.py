@@ -11,6 +11,7 @@ from indicata.functions.scalars import (month_name, parse_date, parse_number, ro
 from indicata.operators import aggregate as A
 from indicata.operators import recode, reshape, series
 from indicata.plans import standins as S
+from indicata.sources import readers
 
 # Fixed values of the stand-in register (shared with the SQL oracle).
 CENTER_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM")
@@ -257,3 +258,27 @@ def paired_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = paired.select("county", "stem", "label", round_half_even("num_value", 1).alias("num_value"),
                         round_half_even("pct_value", 1).alias("pct_value"))
     return reshape.order_by_measure(out, "pct_value", ["county", "stem"])
+
+
+# ------------------------------------------------------------- catalogue
+
+CATALOG_CONCEPT, CATALOG_LABEL = "Brand#2", "ECONOMY"
+
+
+def select_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables picked from a catalogue by concept and label, their
+    estimate (E) and margin (M) rows fetched from a long estimates table and
+    summed per variable (A8).  Catalogue: one variable per part; estimates:
+    one E and one M row per line item.  The stand-in catalogue grows with
+    the data, so the selection is not forced to broadcast."""
+    catalog = S.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("V"), F.col("p_partkey").cast("string")).alias("name"),
+        F.col("p_type").alias("label"), F.col("p_brand").alias("concept"))
+    li = S.table(spark, sf_dir, "lineitem")
+    stem = F.concat(F.lit("V"), F.col("l_partkey").cast("string"))
+    estimates = li.select(F.inline(F.array(
+        F.struct(F.concat(stem, F.lit("E")).alias("variable"), F.col("l_quantity").alias("estimate")),
+        F.struct(F.concat(stem, F.lit("M")).alias("variable"),
+                 F.col("l_linenumber").cast("double").alias("estimate")))))
+    chosen = readers.select_variables(catalog, estimates, CATALOG_CONCEPT, CATALOG_LABEL, bounded=False)
+    return chosen.groupBy("variable").agg(F.sum("estimate").alias("value"), F.count(F.lit(1)).alias("rows"))

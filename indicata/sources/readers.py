@@ -110,14 +110,16 @@ def read_open_csv(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def select_variables(catalog: DataFrame, estimates: DataFrame, concept: str, label: str,
-                     name_col: str = "name", variable_col: str = "variable") -> DataFrame:
+                     name_col: str = "name", variable_col: str = "variable",
+                     bounded: bool = True) -> DataFrame:
     """Variables of a concept+label from the catalogue, as estimate (``E``)
     and margin (``M``) names, semi-joined to a long estimates table (A8).
-    The catalogue selection is small (a few names), so it is broadcast."""
+    A published variable catalogue selects a handful of names, so with
+    ``bounded`` the selection is broadcast; otherwise the planner decides."""
     picked = catalog.filter((F.col("concept") == concept) & (F.col("label") == label))
     names = picked.select(F.explode(F.array(F.concat(F.col(name_col), F.lit("E")),
                                             F.concat(F.col(name_col), F.lit("M")))).alias(variable_col))
-    return estimates.join(F.broadcast(names), variable_col, "left_semi")
+    return estimates.join(F.broadcast(names) if bounded else names, variable_col, "left_semi")
 
 
 def wkt_ring(wkt: Column) -> tuple[Column, Column]:
