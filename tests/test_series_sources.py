@@ -130,3 +130,25 @@ def test_closures_stream_resumes_from_checkpoint(spark, tmp_path):
     assert run_once("feed_a") == {"State": (1, 10), "North": (1, 10)}
     (feed / "w2.csv").write_text(header + "Center,b,South,5,CLOSED,1/9/2020\n")
     assert run_once("feed_b") == {"State": (2, 15), "North": (1, 10)}
+
+
+def test_to_parquet_codes_and_wkt_polygons(spark, tmp_path):
+    df = spark.createDataFrame([("A01", 2019, 1.0), ("A01", 2020, 2.0)], "geoid string, year int, v double")
+    SRC.to_parquet(df, str(tmp_path / "pq"), partition_by=["year"])
+    back = spark.read.parquet(str(tmp_path / "pq"))
+    assert back.filter("year = 2020").count() == 1 and set(back.columns) == {"geoid", "v", "year"}
+
+    (tmp_path / "codes.csv").write_text("Code_1,Description\n007,Arab\n010,Irish\n")
+    codes = SRC.read_codes(spark, str(tmp_path / "codes.csv"), {"Code_1": "ANC_Code"})
+    assert sorted(r.ANC_Code for r in codes.collect()) == ["007", "010"]     # text keeps zeros
+
+    (tmp_path / "poly.csv").write_text('id,wkt\np1,"POLYGON ((0 0, 2 0, 2 1, 0 1, 0 0))"\n')
+    polys = SRC.read_polygons(spark, str(tmp_path / "poly.csv"), fmt="csv", wkt_col="wkt")
+    (r,) = polys.collect()
+    assert r.id == "p1" and r.xs == [0.0, 2.0, 2.0, 0.0] and r.ys == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_matches_is_null_safe(spark):
+    from indicata.functions import scalars as S
+    df = spark.createDataFrame([("pct_white",), (None,), ("num_white",)], "v string")
+    assert [r[0] for r in df.select(S.matches("v", "^pct_")).collect()] == [True, False, False]
