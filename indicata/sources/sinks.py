@@ -24,3 +24,15 @@ def write_extract(df: DataFrame, predicate: Column, path: str, fmt: str = "csv")
     """A subset handed to another process (B2), e.g. one year of closures for
     geocoding."""
     write_indicator(df.filter(predicate), path, fmt)
+
+
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str,
+                   sort: bool = True) -> None:
+    """Persist a table bucketed (and sorted) by its join key, data at
+    ``path`` on shared storage.  Person and household files written with the
+    same key and bucket count join, and group by that key, without a shuffle
+    in every later run (the published runs reuse the same files many times)."""
+    w = df.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys)
+    if sort:
+        w = w.sortBy(*keys)
+    w.saveAsTable(table)

@@ -83,3 +83,24 @@ def test_two_vintage_area_keys(spark):
     assert sorted((r.SERIALNO, r.POVPIP, r.WGTP) for r in out.collect()) == [("h1", 90.0, 7), ("h2", 200.0, 9)]
     empty = H.first_per(people, ["SERIALNO"], ["SPORDER"], keep=[])
     assert empty.columns == ["SERIALNO"] and empty.count() == 2
+
+
+def test_bucketed_person_household_join_has_no_shuffle(spark, tmp_path):
+    from indicata.sources import write_bucketed
+    people = spark.createDataFrame([(f"h{i % 50}", i, i % 7, 80.0 + i) for i in range(400)],
+                                   "SERIALNO string, SPORDER int, AGEP int, POVPIP double")
+    homes = spark.createDataFrame([(f"h{i}", 10 + i) for i in range(50)], "SERIALNO string, WGTP long")
+    write_bucketed(people, "bk_people", ["SERIALNO"], 4, str(tmp_path / "people"))
+    write_bucketed(homes, "bk_homes", ["SERIALNO"], 4, str(tmp_path / "homes"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        picked = H.first_per(spark.table("bk_people"), ["SERIALNO"], ["SPORDER"], keep=["POVPIP"])
+        joined = picked.join(spark.table("bk_homes"), "SERIALNO")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE IF EXISTS bk_people")
+        spark.sql("DROP TABLE IF EXISTS bk_homes")
