@@ -63,7 +63,10 @@ def area_run(people: DataFrame, housing: DataFrame, xwalk: DataFrame, area: str,
     """Rates by planning area through a PUMA crosswalk; a PUMA in two areas
     counts fully in both, as published."""
     df = _eligible(people, housing, area, ["PUMA"], True, ["POVPIP"])
-    df = crosswalk.attach_crosswalk(df, xwalk.select("PUMA", F.col(area_key).alias("geoid")), "PUMA")
     df = df.withColumn("indicator", hh.threshold("POVPIP", cut, AT_OR_BELOW, ABOVE))
-    out = survey.survey_rate(df, DESIGN, ["geoid"], "indicator")
+    # totals are additive: sum households to (PUMA, indicator) cells before
+    # the many-to-many join, which then carries a few thousand rows
+    cells = survey.replicate_totals(df, DESIGN, ["PUMA", "indicator"])
+    cells = crosswalk.attach_crosswalk(cells, xwalk.select("PUMA", F.col(area_key).alias("geoid")), "PUMA")
+    out = survey.survey_rate(cells, DESIGN.cells(), ["geoid"], "indicator")
     return out.filter((F.col("indicator") == AT_OR_BELOW) & F.col("geoid").isNotNull())

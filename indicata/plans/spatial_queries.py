@@ -125,7 +125,11 @@ def survey_by_crosswalk(spark: SparkSession, sf_dir: str, cut: float = 100) -> D
 
     Here the small units are customers, so the crosswalk grows with the data
     and is not forced to broadcast (a real PUMA crosswalk is a few thousand
-    rows and would be)."""
+    rows and would be).  Households are joined as rows: a stand-in unit
+    holds about two eligible households, so summing them to (unit,
+    indicator) cells first costs an extra 81-column aggregate and saves
+    nothing (measured).  With real PUMAs, thousands of households per unit,
+    ``pums.area_run`` sums to cells before the join."""
     df = SQ.eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, geo_cols=())
     df = df.withColumn("PUMA", F.col("o_custkey").cast("string"))
     xw = crosswalk(spark, sf_dir).select("PUMA", F.col("SPA_NAME").alias("geoid"))
