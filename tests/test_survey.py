@@ -192,3 +192,20 @@ def test_rate_without_grouping_keys(spark):
     df = spark.createDataFrame(rows, cols())
     out = {r.ind: r.rate for r in survey.survey_rate(df, DESIGN, [], "ind").collect()}
     assert out == {"x": 25.0, "y": 75.0}
+
+
+def test_three_cuts_and_numeric_dimension(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(21)
+    rows = [(g, float(v), int(rng.integers(0, 3)), *w)
+            for (g, _, *w), v in zip(make_rows(rng, 200), rng.integers(0, 300, 200))]
+    df = spark.createDataFrame(rows, ["geo", "val", "kids", "w", *DESIGN.rep_weights])
+    multi = {(r.geo, r.cut, r.indicator): r.rate for r in
+             survey.survey_threshold_runs(df, DESIGN, ["geo"], "val", [200, 100, 138], "low", "high").collect()}
+    for cut in (100.0, 138.0, 200.0):
+        single = df.withColumn("ind", F.when(F.col("val") <= cut, "low").otherwise("high"))
+        for r in survey.survey_rate(single, DESIGN, ["geo"], "ind").collect():
+            assert multi[(r.geo, cut, r.ind)] == pytest.approx(r.rate, rel=1e-12)
+    b = survey.survey_breakdown(df.withColumn("ind", F.when(F.col("val") <= 100, "low").otherwise("high")),
+                                DESIGN, ["geo"], {"kids": "kids"}, "ind")
+    assert {r.subgroup for r in b.filter("dimension = 'kids'").collect()} == {"0", "1", "2"}
