@@ -31,7 +31,11 @@ from indicata.llm.common import text_bytes, written
 #: a block ends with the first document that brings it to this many ids
 BLOCK_IDS = 1 << 16
 #: pieces whose ids a worker remembers
-REMEMBERED = 300_000
+REMEMBERED = 800_000
+#: characters that, at the end of a piece, are told apart from a letter or digit before them
+END_MARKS = b".,;:!?"
+#: what the last token of a word ends with
+WORD_END = "</w>"
 #: the id that ends each document
 END_ID = 1
 
@@ -64,27 +68,63 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of a text by a ``tokenizers`` file whose tokens never span white space.
+    """Ids of a text by a ``tokenizers`` file that lower-cases and whose tokens never span white space.
 
-    Pieces between ASCII white space are encoded once and remembered, up to a bound;
-    then the memory starts anew."""
+    Pieces between ASCII white space are encoded once and remembered, up to a bound; then
+    the memory starts anew.  It outlives the task in a Python worker that is used again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        import tokenizers
+
+        memory = vars(tokenizers).setdefault("_piece_encoders", {})
+        if path not in memory:
+            tokenizer = tokenizers.Tokenizer.from_file(path)
+            ending = np.zeros(tokenizer.get_vocab_size(), bool)
+            ending[[i for token, i in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+            memory[path] = (tokenizer, ending, {})
+        self.tokenizer, self.ending, self.known = memory[path]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Remember pieces; end marks after a letter or digit are tokens of their own, so they are told apart."""
+        known, ends, new = self.known, [], set()
+        for piece in pieces:
+            bare = piece.rstrip(END_MARKS)
+            if bare != piece and bare[-1:].isalnum():
+                ends.append((piece, bare, piece[len(bare):]))
+                new.update(x for x in ends[-1][1:] if x not in known)
+            else:
+                new.add(piece)
+        told, plain = [], []
+        for piece in new:
+            text = piece.decode("utf-8", "replace")
+            (plain if text.isalpha() else told).append((piece, text))
+        # letters alone are one word each, and a word's last id says that it ends one: encoded together
+        for at in range(0, len(plain), 10_000):
+            part = plain[at:at + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+            edges = np.flatnonzero(self.ending[ids]) + 1
+            if len(edges) != len(part):
+                told += part
+                continue
+            raw, start = ids.tobytes(), 0
+            for (piece, _), edge in zip(part, (edges * 4).tolist()):
+                known[piece], start = raw[start:edge], edge
+        for (piece, _), got in zip(told, self.tokenizer.encode_batch_fast([t for _, t in told], add_special_tokens=False)):
+            known[piece] = np.array(got.ids, "<u4").tobytes()
+        for piece, bare, end in ends:
+            known[piece] = known[bare] + known[end]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, then END_ID."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
         known = self.known
-        for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            known[word] = np.array(got.ids, "<u4").tobytes()
+        if len(known) > REMEMBERED:
+            known.clear()
+        # A-Z lower-cased here, so that a piece is remembered once; special tokens are told by their case
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = {w for w in set().union(*split) if w not in known}
+        if new:
+            self._learn(list(new))
         end = np.array([END_ID], "<u4").tobytes()
         return [b"".join([known[w] for w in words]) + end for words in split]
 
@@ -144,7 +184,8 @@ def read_store(blocks: DataFrame) -> DataFrame:
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     offsets = totals.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("offset"))
-    placed = blocks.join(offsets, F.col("shard") == F.col("_shard")).select(
+    # a row for each shard, as many as the writing had tasks
+    placed = blocks.join(F.broadcast(offsets), F.col("shard") == F.col("_shard")).select(
         (F.col("offset") + F.col("first")).alias("base"), "n_ids", "bits", "payload", "doc_ids", "starts")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
