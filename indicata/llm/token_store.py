@@ -32,8 +32,8 @@ from indicata.llm.common import text_bytes, written
 BLOCK_IDS = 1 << 16
 #: pieces whose ids a worker remembers
 REMEMBERED = 800_000
-#: characters that, at the end of a piece, are told apart from a letter or digit before them
-END_MARKS = b".,;:!?"
+#: characters that, at the end of a piece, are told apart from a letter before them
+END_MARKS = ".,;:!?"
 #: what the last token of a word ends with
 WORD_END = "</w>"
 #: the id that ends each document
@@ -86,19 +86,23 @@ class PieceEncoder:
         self.tokenizer, self.ending, self.known = memory[path]
 
     def _learn(self, pieces: list[bytes]) -> None:
-        """Remember pieces; end marks after a letter or digit are tokens of their own, so they are told apart."""
-        known, ends, new = self.known, [], set()
-        for piece in pieces:
-            bare = piece.rstrip(END_MARKS)
-            if bare != piece and bare[-1:].isalnum():
-                ends.append((piece, bare, piece[len(bare):]))
-                new.update(x for x in ends[-1][1:] if x not in known)
+        """Remember pieces; end marks after a letter are tokens of their own, so they are told apart."""
+        known, ends, plain, told = self.known, [], set(), []
+        for piece, text in zip(pieces, b" ".join(pieces).decode("utf-8", "replace").split(" ")):
+            if text.isalpha():
+                plain.add((piece, text))
+                continue
+            bare = text.rstrip(END_MARKS)
+            if bare != text and bare.isalpha() and bare[-1].lower().isalpha():
+                word, mark = piece[:len(bare) - len(text)], piece[len(bare) - len(text):]
+                ends.append((piece, word, mark))
+                if word not in known:
+                    plain.add((word, bare))
+                if mark not in known:
+                    known[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                new.add(piece)
-        told, plain = [], []
-        for piece in new:
-            text = piece.decode("utf-8", "replace")
-            (plain if text.isalpha() else told).append((piece, text))
+                told.append((piece, text))
+        plain = list(plain)
         # letters alone are one word each, and a word's last id says that it ends one: encoded together
         for at in range(0, len(plain), 10_000):
             part = plain[at:at + 10_000]
@@ -122,11 +126,15 @@ class PieceEncoder:
             known.clear()
         # A-Z lower-cased here, so that a piece is remembered once; special tokens are told by their case
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = {w for w in set().union(*split) if w not in known}
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [i for i, got in enumerate(found) if None in got]
+        new = {w for i in gaps for w, got in zip(split[i], found[i]) if got is None}
         if new:
             self._learn(list(new))
+        for i in gaps:
+            found[i] = [got or known[w] for w, got in zip(split[i], found[i])]
         end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        return [b"".join(got) + end for got in found]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, list[bytes]]]:
@@ -141,7 +149,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, vocabulary: int, path: str
     table to ``path`` (by default into the shared scratch folder); returns it as read back.
 
     A null or empty text is a document of the end id alone; null doc_ids come first; rows
-    that repeat an id stay, ordered by text; an empty table gives no block.  A text of any
+    that repeat an id stay, ordered by a hash of the text; an empty table gives no block.  A text of any
     length is one document of one block."""
     bits = bits_for(vocabulary)
 
@@ -169,7 +177,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, vocabulary: int, path: str
         if doc_ids:
             yield row()
 
-    order = (F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # the hash of the text breaks ties: range bounds are sampled on the driver, which should hold no texts
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     sorted_docs = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = sorted_docs.mapInArrow(shard, BLOCKS)
     if path is None:
