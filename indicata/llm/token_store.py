@@ -17,6 +17,7 @@ block lies at bit i * bits of its payload, so a slice unpacks without the rest.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from indicata.llm.common import text_bytes, written
 #: a block ends with the first document that brings it to this many ids
 BLOCK_IDS = 1 << 16
 #: pieces whose ids a worker remembers
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: characters that, at the end of a piece, are told apart from a letter before them
 END_MARKS = ".,;:!?"
 #: what the last token of a word ends with
@@ -82,38 +83,43 @@ class PieceEncoder:
             tokenizer = tokenizers.Tokenizer.from_file(path)
             ending = np.zeros(tokenizer.get_vocab_size(), bool)
             ending[[i for token, i in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
-            memory[path] = (tokenizer, ending, {})
-        self.tokenizer, self.ending, self.known = memory[path]
+            lean = tokenizers.Tokenizer.from_file(path)  # for letters in lower case: without the steps that leave them as they are
+            lean.normalizer = tokenizers.normalizers.Sequence([])
+            lean.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([
+                tokenizers.pre_tokenizers.WhitespaceSplit(), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            memory[path] = (tokenizer, lean, ending, {})
+        self.tokenizer, self.lean, self.ending, self.known = memory[path]
 
     def _learn(self, pieces: list[bytes]) -> None:
         """Remember pieces; end marks after a letter are tokens of their own, so they are told apart."""
-        known, ends, plain, told = self.known, [], set(), []
+        known, ends, told, plain = self.known, [], [], {}
         for piece, text in zip(pieces, b" ".join(pieces).decode("utf-8", "replace").split(" ")):
             if text.isalpha():
-                plain.add((piece, text))
+                plain[piece] = text
                 continue
             bare = text.rstrip(END_MARKS)
             if bare != text and bare.isalpha() and bare[-1].lower().isalpha():
                 word, mark = piece[:len(bare) - len(text)], piece[len(bare) - len(text):]
                 ends.append((piece, word, mark))
                 if word not in known:
-                    plain.add((word, bare))
+                    plain[word] = bare
                 if mark not in known:
                     known[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 told.append((piece, text))
-        plain = list(plain)
-        # letters alone are one word each, and a word's last id says that it ends one: encoded together
-        for at in range(0, len(plain), 10_000):
-            part = plain[at:at + 10_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in part)], add_special_tokens=False)[0].ids, "<u4")
+        # letters alone are one word each, and a word's last id says that it ends one: encoded together,
+        # lower-cased here, unless a character makes that more than a matter of case
+        words, texts = list(plain), list(plain.values())
+        for at in range(0, len(words), 1000):
+            part, joined = words[at:at + 1000], " ".join(texts[at:at + 1000])
+            simple = unicodedata.is_normalized("NFC", joined) and not ("\u0130" in joined or "\u03a3" in joined)
+            ids = np.array(self.lean.encode_batch_fast([joined.lower()], add_special_tokens=False)[0].ids if simple else [], "<u4")
             edges = np.flatnonzero(self.ending[ids]) + 1
             if len(edges) != len(part):
-                told += part
+                told += zip(part, texts[at:at + 1000])
                 continue
-            raw, start = ids.tobytes(), 0
-            for (piece, _), edge in zip(part, (edges * 4).tolist()):
-                known[piece], start = raw[start:edge], edge
+            raw, edges = ids.tobytes(), [0, *(edges * 4).tolist()]
+            known.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:])]))
         for (piece, _), got in zip(told, self.tokenizer.encode_batch_fast([t for _, t in told], add_special_tokens=False)):
             known[piece] = np.array(got.ids, "<u4").tobytes()
         for piece, bare, end in ends:
