@@ -38,8 +38,6 @@ SKETCH_LEAST = 0.6
 BLOCK_ROWS = 2048
 #: pairs that a block proposes for two components before the others wait for the next sweep
 PROPOSED = 4
-#: words whose hash a worker remembers
-REMEMBERED = 400_000
 
 _MASK = (1 << 64) - 1
 
@@ -59,16 +57,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = got = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -80,11 +68,11 @@ def shingle_set(words: list[bytes], n: int = SHINGLE) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[k:] for k in range(n))))
 
 
-def shingle_hashes(words: list[bytes], known: WordHashes, n: int = SHINGLE) -> np.ndarray:
+def shingle_hashes(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([known[w] for w in words], np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(n, len(words))
     total = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
@@ -95,8 +83,9 @@ def shingle_hashes(words: list[bytes], known: WordHashes, n: int = SHINGLE) -> n
 def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Minimum and maximum of the shingles under each permutation."""
     low, high = np.full(PERMUTATIONS, _MASK, np.uint64), np.zeros(PERMUTATIONS, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        hashed = (shingles[None, at:at + 4096] ^ OFFSETS[:, None]) * MULTIPLIERS[:, None]
+    for at in range(0, len(shingles), 512):  # a block that stays in the cache, however long the text
+        hashed = shingles[None, at:at + 512] ^ OFFSETS[:, None]
+        hashed *= MULTIPLIERS[:, None]
         np.minimum(low, hashed.min(1), out=low)
         np.maximum(high, hashed.max(1), out=high)
     return low, high
@@ -118,13 +107,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     bands and sketch (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 sizes, s1, s2, bands, sketches = [], [], [], [], []
                 for text in text_bytes(part.column(2)):
-                    shingles = shingle_hashes(words_of(text), known)
+                    shingles = shingle_hashes(words_of(text))
                     one, two = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), ">i8").tolist()
                     sizes.append(len(shingles))
                     s1.append(one)
