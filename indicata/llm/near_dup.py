@@ -30,14 +30,13 @@ SHINGLE = 4
 PERCENT = 80
 #: 50 bands of 6 values: a pair at 0.8 is missed with probability (1 - 0.8**6)**50 = 2.5e-7
 PERMUTATIONS, PER_BAND = 150, 3
-#: permutations whose minimum and maximum give the sketch a byte each
-SKETCHED = 64
-#: share of equal sketch bytes below which a pair isn't confirmed: 5.6 standard deviations under 0.8
-SKETCH_LEAST = 0.6
+#: the sketch has a byte of each signature value; pairs with a smaller share of equal bytes aren't
+#: confirmed: 5.6 standard deviations under 0.8, so a link is missed with probability 1e-8
+SKETCH_LEAST = 0.67
 #: rows of a bucket that one block of a sweep holds
 BLOCK_ROWS = 2048
 #: pairs that a block proposes for two components before the others wait for the next sweep
-PROPOSED = 4
+PROPOSED = 2
 
 _MASK = (1 << 64) - 1
 
@@ -98,7 +97,7 @@ def bands_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(low: np.ndarray, high: np.ndarray) -> bytes:
-    both = np.concatenate([low[:SKETCHED], high[:SKETCHED]])
+    both = np.concatenate([low, high])
     return ((both ^ (both >> np.uint64(29))) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
@@ -175,8 +174,9 @@ def components(links: DataFrame) -> DataFrame:
         drop_written(before)
 
 
-def _propose(nodes, roots, sizes, sides, sketches, percent: int, most: int | None) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of one block that may be linked and aren't connected, and whether some wait."""
+def _propose(band, nodes, roots, sizes, sides, sketches, bands, percent: int, most: int | None) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of one block that may be linked and aren't connected, and whether some wait.  A pair
+    belongs to the first band that its members share."""
     found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
     two_sided = sides.min() != sides.max()
     for i in range(len(nodes) - 1):
@@ -185,6 +185,7 @@ def _propose(nodes, roots, sizes, sides, sketches, percent: int, most: int | Non
         if two_sided:
             may &= sides[rest] != sides[i]
         others = np.flatnonzero(may) + i + 1
+        others = others[(bands[others] == bands[i]).argmax(1) == band]
         if not len(others):
             continue
         alike = (sketches[others] == sketches[i]).mean(1)
@@ -200,14 +201,14 @@ def sweep(buckets: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
 
     A bucket of many rows is cut into blocks; each pair of blocks is a unit of work of at
     most about twice BLOCK_ROWS rows."""
-    rooted = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = buckets.join(roots, "node", "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
     mixed_up = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_rows"))
     mixed_up = mixed_up.filter("_low != _high").select("key", F.ceil(F.col("_rows") / BLOCK_ROWS).cast("int").alias("_blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     rows = rooted.join(mixed_up, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), F.col("_own").alias("side"), "node", "root")
-    rows = rows.join(classes.select("node", "n_shingles", "sketch"), "node")
-    rows = rows.select("key", "lo", "hi", "side", "node", "root", "n_shingles", "sketch")
+    rows = rows.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), F.col("_own").alias("side"), "band", "node", "root")
+    rows = rows.join(classes.select("node", "n_shingles", "sketch", "bands"), "node")
+    rows = rows.select("key", "lo", "hi", "side", "band", "node", "root", "n_shingles", "sketch", "bands")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
@@ -216,24 +217,39 @@ def sweep(buckets: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
             pairs, waits = [], False
             if len(held) > 1:
                 cols = list(zip(*held))
-                sketches = np.frombuffer(b"".join(cols[4]), np.uint8).reshape(len(held), -1)
-                pairs, waits = _propose(*(np.array(c, np.int64) for c in (cols[1], cols[2], cols[3], cols[0])), sketches, percent, most)
+                sketches = np.frombuffer(b"".join(cols[5]), np.uint8).reshape(len(held), -1)
+                bands = np.frombuffer(b"".join(cols[6]), np.int64).reshape(len(held), -1)
+                pairs, waits = _propose(cols[1][0], *(np.array(c, np.int64) for c in (cols[2], cols[3], cols[4], cols[0])), sketches, bands, percent, most)
             return pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([waits] * len(pairs), pa.bool_())],
                 names=["a", "b", "waits"])
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != unit:
-                    if len(held) > 1:
-                        yield work()
-                    unit, held = row[:3], []
-                held.append(row[3:])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                bands = batch.column(9).flatten().to_numpy().reshape(batch.num_rows, -1)
+                for row in zip(*(batch.column(c).to_pylist() for c in range(9)), (b.tobytes() for b in bands)):
+                    if row[:3] != unit:
+                        if len(held) > 1:
+                            yield work()
+                        unit, held = row[:3], []
+                    held.append(row[3:])
         yield work()
 
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long, waits boolean")
 
 
+def regrouped(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links: these are lifted to the components they join, of
+    which there are few, and the components' new roots passed on to their members."""
+    old = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    lifted = links.join(old, F.col("a") == F.col("_node"), "left").select(F.coalesce("_root", "a").alias("a"), "b")
+    lifted = lifted.join(old, F.col("b") == F.col("_node"), "left").select("a", F.coalesce("_root", "b").alias("b")).distinct()
+    joined = components(lifted)
+    passed = roots.join(joined.select(F.col("node").alias("_old"), F.col("root").alias("_new")), F.col("root") == F.col("_old"), "left")
+    return written(passed.select("node", F.coalesce("_new", "root").alias("root")).union(joined.select("node", "root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, tie, n_shingles, component_id, kept.
 
@@ -249,9 +265,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min(rank).alias("_first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select(
         F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("_first.doc_id").alias("low"), F.col("_first.tie").alias("tie"),
         "n_shingles", "bands", "sketch"), "classes")
-    keys = classes.select("node", F.explode("bands").alias("key"))
+    keys = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("key", "rep")
-    buckets = written(keys.join(shared, "key").select("key", "node", "rep"), "buckets")
+    buckets = written(keys.join(shared, "key").select("key", "band", "node", "rep"), "buckets")
     # texts of the classes that share a bucket with another
     near = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "low", F.col("tie").alias("_tie"))
     texts = written(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).join(
@@ -266,8 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         waits, merged = bool(proposed.filter("waits").head(1)), bool(more.head(1))
         made += [roots, proposed, more]
         if merged:
-            links = links.union(more)
-            roots = components(links)
+            roots = regrouped(roots, more)
         if not waits:
             break
         most = PROPOSED if merged else None  # the pairs that wait: with the new components, or, if there are none, all of them
