@@ -20,6 +20,8 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 #: bytes of text that the vectorised scorers take at a time
 CHUNK_BYTES = 2 << 20
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _local_scratch: dict[str, str] = {}
 _folders: dict[int, tuple[DataFrame, str]] = {}
 
@@ -47,7 +49,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table goes when the session ends."""
     spark = df.sparkSession
     folder = f"{scratch_root(spark)}/indicata-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
+    # long texts in Arrow batches of the default 10,000 rows would take much of an executor's memory
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(before), 1000) if int(before) > 0 else 1000))
+    try:
+        df.write.parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     back = spark.read.schema(df.schema).parquet(f"{folder}/{name}")

@@ -34,9 +34,7 @@ PERMUTATIONS, PER_BAND = 150, 3
 #: confirmed: 5.6 standard deviations under 0.8, so a link is missed with probability 1e-8
 SKETCH_LEAST = 0.67
 #: rows of a bucket that one block of a sweep holds
-BLOCK_ROWS = 2048
-#: pairs that a block proposes for two components before the others wait for the next sweep
-PROPOSED = 2
+BLOCK_ROWS = 1024
 
 _MASK = (1 << 64) - 1
 
@@ -174,10 +172,12 @@ def components(links: DataFrame) -> DataFrame:
         drop_written(before)
 
 
-def _propose(band, nodes, roots, sizes, sides, sketches, bands, percent: int, most: int | None) -> tuple[list[tuple[int, int]], bool]:
+def _propose(band, nodes, roots, sizes, sides, sketches, bands, percent: int, every: bool) -> tuple[list[tuple[int, list[int]]], bool]:
     """Pairs of one block that may be linked and aren't connected, and whether some wait.  A pair
-    belongs to the first band that its members share."""
-    found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    belongs to the first band that its members share.  Unless ``every`` is asked for, the pairs
+    that a likelier chain of pairs would connect wait until that chain has been confirmed or not;
+    with it, each member of a pair has a row, and the pair is listed in one of them."""
+    found: list[tuple[float, int, int]] = []
     two_sided = sides.min() != sides.max()
     for i in range(len(nodes) - 1):
         rest = slice(i + 1, None)
@@ -189,15 +189,32 @@ def _propose(band, nodes, roots, sizes, sides, sketches, bands, percent: int, mo
         if not len(others):
             continue
         alike = (sketches[others] == sketches[i]).mean(1)
-        for j, share in zip(others[alike >= SKETCH_LEAST].tolist(), alike[alike >= SKETCH_LEAST].tolist()):
-            pair = (min(roots[i], roots[j]), max(roots[i], roots[j]))
-            found.setdefault(pair, []).append((-share, int(nodes[i]), int(nodes[j])))
-    waits = most is not None and any(len(v) > most for v in found.values())
-    return [(a, b) for v in found.values() for _, a, b in sorted(v)[:most]], waits
-
-
-def sweep(buckets: DataFrame, roots: DataFrame, classes: DataFrame, percent: int = PERCENT, most: int | None = PROPOSED) -> DataFrame:
-    """Pairs (a, b, waits) that share a bucket, lie in different components and may be linked.
+        found += [(-share, i, j) for share, j in zip(alike.tolist(), others.tolist()) if share >= SKETCH_LEAST]
+    if every:
+        listed: dict[int, list[int]] = {}
+        for _, i, j in found:
+            listed.setdefault(int(nodes[i]), []).append(int(nodes[j]))
+            listed.setdefault(int(nodes[j]), [])
+        return list(listed.items()), False
+    top = {r: r for r in set(roots.tolist())}
+
+    def find(r: int) -> int:
+        while top[r] != r:
+            top[r] = r = top[top[r]]
+        return r
+
+    pairs = []
+    for _, i, j in sorted(found):
+        one, other = find(int(roots[i])), find(int(roots[j]))
+        if one != other:
+            top[max(one, other)] = min(one, other)
+            pairs.append((int(nodes[i]), [int(nodes[j])]))
+    return pairs, len(pairs) < len(found)
+
+
+def sweep(buckets: DataFrame, roots: DataFrame, classes: DataFrame, percent: int = PERCENT, every: bool = False) -> DataFrame:
+    """Rows (key, lo, hi, a, others, waits): ``a`` and each of ``others`` share a bucket, lie in
+    different components and may be linked.
 
     A bucket of many rows is cut into blocks; each pair of blocks is a unit of work of at
     most about twice BLOCK_ROWS rows."""
@@ -219,10 +236,12 @@ def sweep(buckets: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
                 cols = list(zip(*held))
                 sketches = np.frombuffer(b"".join(cols[5]), np.uint8).reshape(len(held), -1)
                 bands = np.frombuffer(b"".join(cols[6]), np.int64).reshape(len(held), -1)
-                pairs, waits = _propose(cols[1][0], *(np.array(c, np.int64) for c in (cols[2], cols[3], cols[4], cols[0])), sketches, bands, percent, most)
+                pairs, waits = _propose(cols[1][0], *(np.array(c, np.int64) for c in (cols[2], cols[3], cols[4], cols[0])), sketches, bands, percent, every)
+            n, (key, lo, hi) = len(pairs), unit or (0, 0, 0)
             return pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), pa.array([waits] * len(pairs), pa.bool_())],
-                names=["a", "b", "waits"])
+                [pa.array([key] * n, pa.int64()), pa.array([lo] * n, pa.int32()), pa.array([hi] * n, pa.int32()), pa.array([p[0] for p in pairs], pa.int64()),
+                 pa.array([p[1] for p in pairs], pa.list_(pa.int64())), pa.array([waits] * n, pa.bool_())],
+                names=["key", "lo", "hi", "a", "others", "waits"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -236,7 +255,41 @@ def sweep(buckets: DataFrame, roots: DataFrame, classes: DataFrame, percent: int
                     held.append(row[3:])
         yield work()
 
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(run, "a long, b long, waits boolean")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(
+        run, "key long, lo int, hi int, a long, others array<long>, waits boolean")
+
+
+def settle(proposed: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The listed pairs (a, b) of ``sweep(every=True)`` that are similar enough by the hashes of their
+    full shingle sets, compared within each block: what isn't is never a row."""
+    rows = proposed.join(texts.withColumnRenamed("node", "a"), "a").select("key", "lo", "hi", "a", "others", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sets, listed = None, {}, []
+
+        def work() -> pa.RecordBatch:
+            pairs = []
+            for a, others in listed:
+                for b in others:
+                    one, two = sets[a], sets[b]
+                    if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
+                        common = len(np.intersect1d(one, two, assume_unique=True))
+                        if 100 * common >= percent * (len(one) + len(two) - common):
+                            pairs.append((a, b))
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                for key, lo, hi, a, others, text in zip(*(batch.column(c).to_pylist() for c in range(5)), text_bytes(batch.column(5))):
+                    if (key, lo, hi) != unit:
+                        yield work()
+                        unit, sets, listed = (key, lo, hi), {}, []
+                    sets[a] = shingle_hashes(words_of(text))
+                    listed.append((a, others))
+        yield work()
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def regrouped(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -272,20 +325,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     near = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "low", F.col("tie").alias("_tie"))
     texts = written(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).join(
         near, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("tie") == F.col("_tie"))).select("node", "text").dropDuplicates(["node"]), "texts")
-    star = buckets.filter("node != rep").groupBy(F.col("node").alias("a")).agg(F.min("rep").alias("b"))
+    # the representative that a class shares most buckets with: likely the most similar
+    met = buckets.filter("node != rep").groupBy("node", "rep").agg(F.count("*").alias("n"))
+    star = met.groupBy(F.col("node").alias("a")).agg(F.max(F.struct(F.col("n"), (-F.col("rep")).alias("rep")))["rep"].alias("b")).select("a", (-F.col("b")).alias("b"))
     links = written(confirm(star, texts, percent), "links")
-    made, most = [signed, classes, buckets, texts, links], PROPOSED
+    made = [signed, classes, buckets, texts, links]
     roots = components(links)
     while True:
-        proposed = written(sweep(buckets, roots, classes, percent, most), "proposed")
-        more = written(confirm(proposed.select("a", "b").distinct(), texts, percent), "links")
+        # pairs that would connect components, a likely chain of them first; when no chain holds any more, each of the rest
+        proposed = written(sweep(buckets, roots, classes, percent), "proposed")
+        more = written(confirm(proposed.select("a", F.explode("others").alias("b")).distinct(), texts, percent), "links")
         waits, merged = bool(proposed.filter("waits").head(1)), bool(more.head(1))
         made += [roots, proposed, more]
         if merged:
             roots = regrouped(roots, more)
+        elif waits:
+            proposed = written(sweep(buckets, roots, classes, percent, every=True), "proposed")
+            more = written(confirm(settle(proposed, texts, percent).distinct(), texts, percent), "links")
+            made += [proposed, more]
+            if more.head(1):
+                roots = regrouped(roots, more)
+            break
         if not waits:
             break
-        most = PROPOSED if merged else None  # the pairs that wait: with the new components, or, if there are none, all of them
     grouped = classes.join(roots, "node", "left").select("s1", "s2", "low", F.coalesce("root", "node").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     named = grouped.join(lowest, "root").select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "root", "component_id")
