@@ -1,6 +1,6 @@
 """Quality rules: base counts of every text, and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed byte n-grams are counted: one over the whole raw corpus,
+Two multinomials over hashed n-grams of character shapes are counted: one over the whole raw corpus,
 one over documents that labels call good (the trusted target).  A document's score is
 the sum of log p_target - log p_raw over its n-grams, divided by their number; it is
 kept where the score reaches a threshold, the same for every document and run.
@@ -22,8 +22,11 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
-#: n of the byte n-grams, and bits of a bucket: a model is 2**BITS numbers
-GRAM, BITS = 4, 16
+#: n of the n-grams, and bits of a bucket: a model is 2**BITS numbers
+GRAM, BITS = 6, 16
+#: n-grams are of shapes: small letters and bytes beyond ASCII are alike, as are capitals and digits, so that
+#: a language that the labels hold little of isn't taken for noise; marks, spaces and line ends stay
+SHAPES = bytes.maketrans(bytes([*range(97, 123), *range(128, 256)]) + bytes(range(65, 91)) + bytes(range(48, 58)), b"a" * 154 + b"A" * 26 + b"0" * 10)
 #: labelled good documents that the target is counted over, at most
 TARGET_DOCUMENTS = 20_000
 #: documents below this score (nats per n-gram) are rejected
@@ -64,8 +67,8 @@ def trusted_ids(labels: DataFrame, most: int = TARGET_DOCUMENTS) -> list[int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCUMENTS) -> np.ndarray:
-    """Log ratio of each bucket, in 1 / SCALE.  Both counts get one added; without a
-    trusted document every ratio is 0.  Raw counts cover every document; each task sends
+    """Log ratio of each bucket, in 1 / SCALE.  Without a trusted document every ratio
+    is 0.  Raw counts cover every document; each task sends
     its buckets' sums, never texts."""
     trusted = docs.sparkSession.sparkContext.broadcast(frozenset(trusted_ids(labels, most)))
 
@@ -76,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCUMENTS) -> np.
             for into, chosen in ((raw, texts), (target, [t for k, t in zip(keys, texts) if k in trusted.value])):
                 for a, b in in_chunks(chosen):
                     # texts are told apart by GRAM - 1 line ends, which count like text on both sides
-                    joined = (b"\n" * (GRAM - 1)).join(chosen[a:b])
+                    joined = (b"\n" * (GRAM - 1)).join(chosen[a:b]).translate(SHAPES)
                     into += np.bincount(gram_buckets(np.frombuffer(joined, np.uint8), GRAM, BITS), minlength=1 << BITS)
         seen = np.flatnonzero(raw + target)
         if len(seen):
@@ -84,12 +87,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TARGET_DOCUMENTS) -> np.
 
     counted = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw long, target long")
     model = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.ones(1 << BITS), np.ones(1 << BITS)
+    raw, target = np.ones(1 << BITS), np.zeros(1 << BITS)
     raw[model["bucket"].astype(int)] += model["raw"].astype(float)
     if not model["target"].sum():
         return np.zeros(1 << BITS, np.int64)
     target[model["bucket"].astype(int)] += model["target"].astype(float)
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw /= raw.sum()
+    # the target is smoothed by as much of the raw corpus: an n-gram that a small sample missed costs no more than log 2
+    ratio = np.log((target / target.sum() + raw) / 2) - np.log(raw)
     return np.rint(np.clip(ratio, -8, 8) * SCALE).astype(np.int64)
 
 
@@ -106,7 +111,7 @@ def _judged(docs: DataFrame, labels: DataFrame, threshold: float, most: int) ->
         for batch in batches:
             texts = text_bytes(batch.column(at))
             counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-            sums, grams = gram_sums(texts, GRAM, BITS, weights)
+            sums, grams = gram_sums([t.translate(SHAPES) for t in texts], GRAM, BITS, weights)
             llr = sums[:, 0] / np.maximum(grams, 1) / SCALE
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c) for c in counts.T), pa.array(llr)], names=names)
 
