@@ -1,6 +1,6 @@
 """indicata: community indicator tables (survey estimates, register summaries,
 series and area crosswalks) computed as Spark DataFrame jobs."""
 
-from indicata.session import get_session, checkpoint_dir
+from indicata.session import get_session
 
-__all__ = ["get_session", "checkpoint_dir"]
+__all__ = ["get_session"]

@@ -56,11 +56,12 @@ def matches(c, pattern: str) -> Column:
 def replace_first(c, pattern: str, replacement: str) -> Column:
     """``str_replace``: replace only the first regex match.
 
-    The first match and everything after it are captured; the lazy prefix
-    guarantees the leftmost match is the one replaced.
+    What lies before and after the first match is captured by name, so groups
+    of the pattern's own don't matter; the lazy prefix guarantees the leftmost
+    match is the one replaced.
     """
-    rx = f"^(?s)(.*?)(?:{pattern})(.*)$"
-    rep = "$1" + replacement.replace("$", r"\$") + "$2"
+    rx = f"^(?s)(?<headOfText>.*?)(?:{pattern})(?<tailOfText>.*)$"
+    rep = "${headOfText}" + replacement.replace("\\", r"\\").replace("$", r"\$") + "${tailOfText}"
     return F.when(col_of(c).rlike(f"(?s){pattern}"),
                   F.regexp_replace(col_of(c), rx, rep)).otherwise(col_of(c))
 

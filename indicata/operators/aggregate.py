@@ -40,8 +40,9 @@ def whole_and_part(df: DataFrame, part: Column, whole_label: str, part_label: st
 
 
 def by_period(df: DataFrame, date_col: str, period: str, by: Sequence[str],
-              sums: dict[str, str], only: Column | None = None) -> DataFrame:
-    """Totals per calendar month or day.
+              sums: dict[str, str], only: Column | None = None, strict: bool = True) -> DataFrame:
+    """Totals per calendar month or day (E10, E11).  ``strict`` mirrors R's ``sum``
+    without ``na.rm``: one null makes its period's total null.
 
     ``only`` is the row filter of the caller: the monthly closure series
     keeps closed facilities only, the daily series in the reference has no
@@ -58,7 +59,19 @@ def by_period(df: DataFrame, date_col: str, period: str, by: Sequence[str],
         keys = [F.date_format(F.col(date_col), "yyyy").alias("year")]
     else:
         raise ValueError(period)
-    return d.groupBy(*by, *keys).agg(*[F.sum(F.col(c)).alias(o) for o, c in sums.items()])
+    total = strict_sum if strict else (lambda c: F.sum(F.col(c)))
+    return d.groupBy(*by, *keys).agg(*[total(c).alias(o) for o, c in sums.items()])
+
+
+def whole_and_part_by_period(df: DataFrame, part: Column, whole_label: str, part_label: str, date_col: str, period: str,
+                             by: Sequence[str], sums: dict[str, str], only: Column | None = None) -> DataFrame:
+    """``by_period`` for the whole and for a part of it, as ``geography`` (E10-E12).  Rows are summed
+    once, to cells that lie inside or outside the part; only the cells are counted twice."""
+    marked = df.withColumn("_in_part", F.coalesce(part, F.lit(False)))
+    cells = by_period(marked, date_col, period, [*by, "_in_part"], sums, only)
+    tagged = whole_and_part(cells, F.col("_in_part"), whole_label, part_label)
+    keys = [c for c in cells.columns if c not in (*by, "_in_part", *sums)]
+    return tagged.groupBy(*by, "geography", *keys).agg(*[strict_sum(o).alias(o) for o in sums])
 
 
 def mean_of_sums(df: DataFrame, by: Sequence[str], value: str, out: str = "mean") -> DataFrame:
@@ -71,8 +84,8 @@ def moe_sum(moe, estimate=None, na_rm: bool = False) -> Column:
 
     With estimates, only the largest MOE among zero estimates is counted,
     as the census guidance for aggregating zero estimates prescribes.
-    Without ``na_rm`` one missing MOE makes the result missing, as in the
-    published call.
+    Without ``na_rm`` one missing MOE or estimate makes the result missing,
+    as in the published call.
     """
     m = col_of(moe).cast("double")
     if estimate is None:
@@ -84,7 +97,8 @@ def moe_sum(moe, estimate=None, na_rm: bool = False) -> Column:
         out = F.sqrt(nonzero + zero_max)
     if na_rm:
         return out
-    return F.when(F.count_if(m.isNull()) > 0, F.lit(None).cast("double")).otherwise(out)
+    absent = m.isNull() if estimate is None else m.isNull() | col_of(estimate).isNull()
+    return F.when(F.count_if(absent) > 0, F.lit(None).cast("double")).otherwise(out)
 
 
 def rate_per(num, den, base: float = 1.0) -> Column:

@@ -245,17 +245,6 @@ def prepared_overlap_expr(subject_ring: str, piece_cols: Sequence[str]) -> Colum
 
 # ------------------------------------------------------------- crosswalk
 
-def overlay_areas(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """Intersection pieces of two layers with their areas.
-    Output: ``a_*`` and ``b_*`` columns, ``minx..maxy`` of the piece's box,
-    ``intersect_area``.  Pairs whose boxes meet but whose shapes only touch
-    carry area 0; filter after any aggregation (a filter on the area right
-    here would be pushed into the projection and compute it twice)."""
-    pairs = candidate_pairs(with_bbox(a).withColumn("ring", prepared_ring()),
-                            with_bbox(b).withColumn("pieces", prepared_pieces()), cell)
-    return pairs.withColumn("intersect_area", prepared_overlap_expr("a_ring", ["b_pieces"]))
-
-
 def build_crosswalk(small: DataFrame, large: DataFrame, cell: float | None = None,
                     min_share: float = 0.20, clip: DataFrame | None = None) -> DataFrame:
     """Crosswalk of small units to large units.

@@ -33,13 +33,18 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def attach_household(persons: DataFrame, households: DataFrame, keys: Sequence[str],
-                     how: str = "left") -> DataFrame:
-    """Person ⟕ household on the shared keys (D1).  Non-key columns must not
+                     how: str = "left", never_null: Sequence[str] = ()) -> DataFrame:
+    """Person ⟕ household on the shared keys (D1).  A null key matches a null
+    key, as in the reference (T11): a vintage's blank area column is read as
+    null on both sides.  Keys named in ``never_null`` join by plain equality,
+    which keeps a bucketed layout free of shuffles.  Non-key columns must not
     collide; prefix them before calling."""
     clash = (set(persons.columns) & set(households.columns)) - set(keys)
     if clash:
         raise ValueError(f"columns on both sides besides the keys: {sorted(clash)}")
-    return persons.join(households, list(keys), how)
+    right = households.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    pairs = [F.col(k) == F.col(f"_right_{k}") if k in never_null else F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return persons.join(right, pairs, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def in_universe(df: DataFrame, column: str) -> DataFrame:
@@ -88,5 +93,5 @@ def eligible_households(persons: DataFrame, households: DataFrame, *, serial: st
     extra = [k for k in join_keys if k not in keys]
     payload = None if keep is None else [c for c in keep if c not in keys + extra]
     first = first_per(p, keys + extra, order, keep=payload)
-    joined = attach_household(first, households, join_keys, "left")
+    joined = attach_household(first, households, join_keys, "left", never_null=[serial])
     return joined.filter(F.col(weight).isNotNull())

@@ -16,25 +16,34 @@ from pyspark.sql import functions as F
 from indicata.operators.recode import clean_labels
 
 
-def total_of(value: str, geo: Sequence[str], subgroup: str = "subgroup", total_label: str = "Total") -> Column:
-    """The Total row's value broadcast to every row of its area."""
-    return F.max(F.when(F.col(subgroup) == total_label, F.col(value))).over(Window.partitionBy(*geo))
+def total_of(value: str, geo: Sequence[str], dimension: str = "dimension", total: str = "total") -> Column:
+    """The Total row's value broadcast to every row of its area (F3): the row of the
+    total dimension, not whatever category may be called so."""
+    return F.max(F.when(F.col(dimension) == total, F.col(value))).over(Window.partitionBy(*geo))
 
 
 def indicator_frame(df: DataFrame, geo: Sequence[str], measure: str = "num", subgroup: str = "subgroup",
-                    total_label: str = "Total", group_label: str | None = None) -> DataFrame:
-    """Chart frame for all areas (K1): drop Total, clean labels, the measure
+                    group_label: str | None = None) -> DataFrame:
+    """Chart frame for all areas (K1): drop the Total, clean labels, the measure
     as ``population``, the area total and the share of it (F4)."""
-    total = total_of(measure, geo, subgroup, total_label)
-    out = df.select(*geo, clean_labels(subgroup).alias(subgroup), F.col(measure).alias("population"),
-                    total.alias("total"), F.col(subgroup).alias("_raw"))
-    out = out.filter(F.col("_raw") != total_label).drop("_raw")
+    out = df.select(*geo, "dimension", clean_labels(subgroup).alias(subgroup), F.col(measure).alias("population"),
+                    total_of(measure, geo).alias("total")).filter("dimension <> 'total'")
     out = out.withColumn("pct", F.try_divide(F.col("population"), F.col("total")) * F.lit(100.0))
     if group_label is not None:
         out = out.withColumn("group", F.lit(group_label))
     return out
 
 
+def rate_frame(df: DataFrame, geo: Sequence[str], subgroup: str = "subgroup", group_label: str | None = None) -> DataFrame:
+    """Chart frame of rates for all areas (K1): drop the Total, clean labels, the
+    count as ``population``, the rate and the area's Total rate, highest rate first."""
+    out = df.select(*geo, "dimension", clean_labels(subgroup).alias(subgroup), F.col("num").alias("population"), "rate",
+                    total_of("rate", geo).alias("total_rate")).filter("dimension <> 'total'")
+    if group_label is not None:
+        out = out.withColumn("group", F.lit(group_label))
+    return out.orderBy(*geo, F.col("rate").desc_nulls_last(), "subgroup")
+
+
 def top_by(df: DataFrame, geo: Sequence[str], value: str, tie: str = "subgroup") -> DataFrame:
     """Row with the largest value per area; ties go to the first ``tie``
     label, the deterministic stand-in for ``which.max`` (F2, T13)."""

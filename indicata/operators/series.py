@@ -27,7 +27,8 @@ def impute_gap(df: DataFrame, keys: Sequence[str], t: str, value: str, moe: str
     A period spine per key runs from the key's first to last period
     (``sequence`` + ``explode``); a missing period takes
     (previous + next) / 2, its MOE is set to 0 and ``imputed`` marks it.  A gap
-    at the edge (no neighbour on one side) stays null.  ``t`` must be an
+    at the edge (no neighbour on one side) stays as it is, without an MOE or a
+    mark, and so does a period that is there with a null value.  ``t`` must be an
     integer or a date column; ``step`` is the spacing (1 or ``interval 1 day``).
     ``start``/``end`` fix the expected range instead (e.g. the years a series
     should have), so a missing first or last period shows up as a gap.
@@ -40,13 +41,13 @@ def impute_gap(df: DataFrame, keys: Sequence[str], t: str, value: str, moe: str
     seq = F.sequence(F.col("_lo"), F.col("_hi"), step) if step is not None \
         else F.sequence(F.col("_lo"), F.col("_hi"))
     spine = bounds.select(*keys, F.explode(seq).alias(t))
-    full = spine.join(df, [*keys, t], "left")
+    full = spine.join(df.withColumn("_present", F.lit(True)), [*keys, t], "left")
     w = Window.partitionBy(*keys).orderBy(t)
     prev_v = F.last(F.col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     next_v = F.first(F.col(value), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    missing = F.col(value).isNull()
-    out = full.withColumn("imputed", missing).withColumn(
-        value, F.when(missing, (prev_v + next_v) / F.lit(2.0)).otherwise(F.col(value)))
+    mean = (prev_v + next_v) / F.lit(2.0)
+    out = full.withColumn("_mean", F.when(F.col("_present").isNull(), mean)).drop("_present")
+    out = out.withColumn("imputed", F.col("_mean").isNotNull()).withColumn(value, F.coalesce("_mean", value)).drop("_mean")
     if moe is not None:
         out = out.withColumn(moe, F.when(F.col("imputed"), F.lit(0.0)).otherwise(F.col(moe)))
     return out

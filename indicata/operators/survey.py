@@ -23,7 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the American Community Survey replicate design used by the
@@ -78,40 +78,17 @@ def replicate_totals(df: DataFrame, design: ReplicateDesign, by: Sequence[str])
     return df.groupBy(*by).agg(*aggs)
 
 
-def replicate_se(estimate: Column, replicates, design: ReplicateDesign) -> Column:
-    """Replicate standard error of one estimate given its replicate versions
-    (a list of columns or one array column).
-
-    The replicate estimates are packed into one array and reduced with the
-    ``aggregate`` higher-order function: the plan holds one small expression
-    instead of an 80-term tree, and it is only ever evaluated on cell tables
-    (one row per estimate).  Terms are summed left to right, so results are
-    reproducible to the last bit; undefined replicate terms count as zero.
-    """
-    reps = replicates if isinstance(replicates, Column) else F.array(*[r.cast("double") for r in replicates])
-    reps = F.transform(reps, lambda x: x.cast("double"))
-    if design.mse:
-        centre = estimate.cast("double")
-    else:
-        centre = F.aggregate(reps, F.lit(0.0), lambda acc, x: acc + x) / F.size(reps).cast("double")
-    if design.rscales is not None and any(r != 1 for r in design.rscales):
-        rs = F.array(*[F.lit(float(r)) for r in design.rscales])
-        sq = F.zip_with(reps, rs, lambda x, r: (x - centre) * (x - centre) * r)
-    else:
-        sq = F.transform(reps, lambda x: (x - centre) * (x - centre))
-    ssq = F.aggregate(sq, F.lit(0.0), lambda acc, t: acc + F.coalesce(t, F.lit(0.0)))
-    return F.when(centre.isNull(), F.lit(None).cast("double")) \
-        .otherwise(F.sqrt(F.lit(float(design.scale)) * ssq))
-
-
 def _dbl(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
 def replicate_se_sql(estimate: str, replicates: str, design: ReplicateDesign) -> str:
-    """``replicate_se`` as SQL text over an estimate expression and an array
-    expression of replicate estimates (the same operations, in the same
-    order; used where many columns are built at once)."""
+    """Replicate standard error of an estimate expression, given an array
+    expression of its replicate estimates, as SQL text.
+
+    One small expression reduces the array instead of an 80-term tree, and it is
+    only ever evaluated on cell tables.  Terms are summed left to right, so
+    results are reproducible to the last bit; undefined replicate terms count as zero."""
     reps = f"transform({replicates}, x -> CAST(x AS DOUBLE))"
     if design.mse:
         centre = f"CAST({estimate} AS DOUBLE)"
@@ -127,10 +104,6 @@ def replicate_se_sql(estimate: str, replicates: str, design: ReplicateDesign) ->
             f"ELSE sqrt({_dbl(design.scale)} * {ssq}) END")
 
 
-def _ratio(num: Column, den: Column) -> Column:
-    return F.try_divide(num.cast("double"), den.cast("double"))
-
-
 def survey_total(df: DataFrame, design: ReplicateDesign, by: Sequence[str],
                  name: str = "num") -> DataFrame:
     """``survey_total()`` per cell: ``name`` and ``name_se``."""

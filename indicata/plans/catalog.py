@@ -44,7 +44,12 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "ring_centroid": (SPQ.ring_centroid, O.q_ring_centroid),
     "overlay_crosswalk": (SPQ.overlay_crosswalk, O.q_overlay_crosswalk),
     "survey_by_crosswalk": (SPQ.survey_by_crosswalk, O.q_survey_by_crosswalk),
+    "closure_table": (RQ.closure_table, O.q_closure_table),
+    "rent_burden_breakdown": (SQ.rent_burden_breakdown, O.q_rent_burden_breakdown),
     "indicator_frame": (RPQ.indicator_frame, O.q_indicator_frame),
+    "children_frame": (RPQ.children_frame, O.q_children_frame),
+    "poverty_frame": (RPQ.poverty_frame, O.q_poverty_frame),
+    "rent_burden_frame": (RPQ.rent_burden_frame, O.q_rent_burden_frame),
     "top_subgroup": (RPQ.top_subgroup, O.q_top_subgroup),
     "headline": (RPQ.headline, O.q_headline),
     "fallback_text": (RPQ.fallback_text, O.q_fallback_text),

@@ -50,7 +50,8 @@ def household_cte() -> str:
     w0 = f"(o_orderkey % {S.HOUSEHOLD_WEIGHT_MOD} + 1)"
     ws = ", ".join(f"{w0} + (o_orderkey * {k}) % {S.HOUSEHOLD_REP_MOD} - {S.HOUSEHOLD_REP_SHIFT} AS WGTP{k}"
                    for k in range(1, R + 1))
-    return f"SELECT o_orderkey AS SERIALNO, o_custkey, {w0} AS WGTP, {ws} FROM orders"
+    return (f"SELECT o_orderkey AS SERIALNO, o_custkey, CASE WHEN o_orderstatus <> '{S.VACANT_STATUS}' THEN {w0} END AS WGTP, "
+            f"CAST(floor(o_totalprice / {S.RENT_DIVISOR}) AS INTEGER) AS GRPIP, {ws} FROM orders")
 
 
 GEO_CTE = """
@@ -251,25 +252,41 @@ def q_code_list_flag() -> str:
 SUPPRESSED = RC.SUPPRESSED_SUBGROUPS
 
 
-def q_survey_breakdown(cut: float = 100) -> str:
-    el = eligible_sql(person_filter="AGEP < 5", recoded=True)
-    dims = ["latino", "aian", "nhpi", "swana", "race"]
-    tw = totals_sql(hh_weights())
-    fine = f"""
-    SELECT geoid, {', '.join(dims)}, indicator, {tw}
-    FROM (SELECT *, {indicator_sql(cut)} AS indicator FROM ({el}) e) x
-    GROUP BY geoid, {', '.join(dims)}, indicator"""
+DIMS = ["latino", "aian", "nhpi", "swana", "race"]
+
+
+def breakdown_sql(rows: str, indicator: str, weights: list[str], level: str) -> str:
+    """Rates of one level of an indicator for the five dimensions and the Total, unsuppressed."""
+    fine = f"SELECT geoid, {', '.join(DIMS)}, {indicator}, {totals_sql(weights)} FROM ({rows}) x GROUP BY geoid, {', '.join(DIMS)}, {indicator}"
     tsum = ", ".join(f"sum(_t{i}) AS _t{i}" for i in range(R + 1))
     unions = " UNION ALL ".join(
-        [f"SELECT geoid, '{d}' AS dimension, CAST({d} AS VARCHAR) AS subgroup, indicator, {tsum} "
-         f"FROM fine GROUP BY geoid, {d}, indicator" for d in dims]
-        + [f"SELECT geoid, 'total' AS dimension, 'Total' AS subgroup, indicator, {tsum} "
-           f"FROM fine GROUP BY geoid, indicator"])
-    supp = ", ".join(f"'{s}'" for s in SUPPRESSED)
+        [f"SELECT geoid, '{d}' AS dimension, CAST({d} AS VARCHAR) AS subgroup, {indicator}, {tsum} "
+         f"FROM fine GROUP BY geoid, {d}, {indicator}" for d in DIMS]
+        + [f"SELECT geoid, 'total' AS dimension, 'Total' AS subgroup, {indicator}, {tsum} FROM fine GROUP BY geoid, {indicator}"])
     return f"""
   WITH fine AS ({fine})
-  SELECT * FROM ({rate_sql(unions, ['geoid', 'dimension', 'subgroup'], 'indicator')}) r
-  WHERE indicator = 'at or below poverty' AND subgroup IS NOT NULL AND subgroup NOT IN ({supp})"""
+  SELECT * FROM ({rate_sql(unions, ['geoid', 'dimension', 'subgroup'], indicator)}) r WHERE {indicator} = '{level}'"""
+
+
+def suppressed_sql() -> str:
+    return ", ".join(f"'{s}'" for s in SUPPRESSED)
+
+
+def q_survey_breakdown(cut: float = 100) -> str:
+    el = eligible_sql(person_filter="AGEP < 5", recoded=True)
+    rows = f"SELECT *, {indicator_sql(cut)} AS indicator FROM ({el}) e"
+    return f"""
+  SELECT * FROM ({breakdown_sql(rows, 'indicator', hh_weights(), SQ.AT_OR_BELOW)}) b
+  WHERE subgroup IS NOT NULL AND subgroup NOT IN ({suppressed_sql()})"""
+
+
+def q_rent_burden_breakdown() -> str:
+    el = eligible_sql(person_filter="AGEP < 5", recoded=True)
+    rows = (f"SELECT *, CASE WHEN GRPIP > {SQ.BURDEN_CUT} THEN '{SQ.BURDENED}' WHEN GRPIP <= {SQ.BURDEN_CUT} THEN '{SQ.NOT_BURDENED}' END AS indicator "
+            f"FROM ({el}) e")
+    return f"""
+  SELECT * FROM ({breakdown_sql(rows, 'indicator', hh_weights(), SQ.BURDENED)}) b
+  WHERE subgroup IS NOT NULL AND subgroup NOT IN ({suppressed_sql()})"""
 
 
 # ------------------------------------------------------------- register
@@ -279,7 +296,7 @@ def register_sql() -> str:
     return f"""
   SELECT CASE WHEN o_orderpriority IN ({pri}) THEN '{RQ.CENTER}' ELSE '{RQ.HOME}' END AS facility_type,
          g.geoid AS county_name,
-         CAST(floor(o_totalprice / 10000) AS INTEGER) AS facility_capacity,
+         CASE WHEN o_totalprice >= {RQ.KNOWN_FROM} THEN CAST(floor(o_totalprice / 10000) AS INTEGER) END AS facility_capacity,
          CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'P' THEN 'PENDING' WHEN 'O' THEN 'LICENSED'
               ELSE o_orderstatus END AS facility_status,
          CAST(o_orderdate AS DATE) AS closed_date,
@@ -290,6 +307,10 @@ def register_sql() -> str:
   FROM orders o LEFT JOIN ({GEO_CTE}) g ON o.o_custkey = g.o_custkey"""
 
 
+def strict_sql(c: str) -> str:
+    return f"CAST(CASE WHEN count(*) FILTER (WHERE {c} IS NULL) > 0 THEN NULL ELSE sum({c}) END AS BIGINT)"
+
+
 def tagged_sql() -> str:
     return f"""
   SELECT *, '{RQ.WHOLE}' AS geography FROM ({register_sql()}) r
@@ -299,8 +320,8 @@ def tagged_sql() -> str:
 def q_closures_by_month() -> str:
     yrs = ", ".join(f"'{y}'" for y in RQ.YEARS)
     return f"""
-  SELECT facility_type, geography, year, month, CAST(sum(close) AS BIGINT) AS closed,
-         CAST(sum(facility_capacity) AS BIGINT) AS seats
+  SELECT facility_type, geography, year, month, {strict_sql('close')} AS closed,
+         {strict_sql('facility_capacity')} AS seats
   FROM ({tagged_sql()}) t
   WHERE year IN ({yrs}) AND open = 0 AND closed_date IS NOT NULL
   GROUP BY facility_type, geography, year, month"""
@@ -308,8 +329,8 @@ def q_closures_by_month() -> str:
 
 def q_closures_by_day() -> str:
     return f"""
-  SELECT facility_type, geography, strftime(closed_date, '%Y-%m-%d') AS day, CAST(sum(close) AS BIGINT) AS closed,
-         CAST(sum(facility_capacity) AS BIGINT) AS seats
+  SELECT facility_type, geography, strftime(closed_date, '%Y-%m-%d') AS day, {strict_sql('close')} AS closed,
+         {strict_sql('facility_capacity')} AS seats
   FROM ({tagged_sql()}) t
   WHERE year = '{RQ.DAY_YEAR}' AND closed_date IS NOT NULL
   GROUP BY facility_type, geography, closed_date"""
@@ -323,13 +344,13 @@ def q_mean_of_sums() -> str:
 
 def q_closure_summary() -> str:
     yearly = f"""
-    SELECT facility_type, geography, year, CAST(sum(closed) AS BIGINT) AS closed,
-           CAST(sum(seats) AS BIGINT) AS seats
+    SELECT facility_type, geography, year, {strict_sql('closed')} AS closed,
+           {strict_sql('seats')} AS seats
     FROM ({q_closures_by_month()}) m GROUP BY facility_type, geography, year"""
     long = f"""
-    SELECT year, geography, facility_type || '-Closures' AS type, closed AS value FROM ({yearly}) y
+    SELECT year, geography, facility_type || '{RQ.CLOSURES}' AS type, closed AS value FROM ({yearly}) y
     UNION ALL
-    SELECT year, geography, facility_type || '-Seats Lost' AS type, seats AS value FROM ({yearly}) y"""
+    SELECT year, geography, facility_type || '{RQ.SEATS}' AS type, seats AS value FROM ({yearly}) y"""
     return f"""
   SELECT year, type,
          first(value) FILTER (WHERE geography = '{RQ.WHOLE}') AS "{RQ.WHOLE}",
@@ -337,13 +358,18 @@ def q_closure_summary() -> str:
   FROM ({long}) l GROUP BY year, type"""
 
 
+def q_closure_table() -> str:
+    cols = ", ".join(f"""format('{{:,}}', "{c}") AS "{c}\"""" for c in (RQ.WHOLE, RQ.FOCUS))
+    return f"SELECT year, type, {cols} FROM ({q_closure_summary()}) s"
+
+
 def q_compare_years() -> str:
     src = f"""
     SELECT * FROM ({register_sql()}) r WHERE county_name = '{RQ.FOCUS}' AND year = '{RQ.YEARS[1]}'
     UNION ALL
     SELECT * FROM ({register_sql()}) r WHERE county_name = '{RQ.FOCUS}' AND year = '{RQ.YEARS[0]}' AND open = 0"""
     monthly = f"""
-    SELECT year, month, CAST(sum(close) AS BIGINT) AS closed FROM ({src}) s
+    SELECT year, month, {strict_sql('close')} AS closed FROM ({src}) s
     WHERE closed_date IS NOT NULL GROUP BY year, month"""
     return f"""
   SELECT year, month, monthname(make_date(2000, CAST(month AS INTEGER), 1)) AS month_name, closed,
@@ -388,8 +414,8 @@ def q_capacity_on_spine() -> str:
   LEFT JOIN ({pop}) p ON s.area = p.area"""
 
 
-EVENT_ROWS = """
-  SELECT event_type, CAST(ts AS DATE) AS day, CAST(floor(value) AS BIGINT) AS estimate,
+EVENT_ROWS = f"""
+  SELECT event_type, CAST(ts AS DATE) AS day, CASE WHEN value >= {RQ.ESTIMATE_FROM} THEN CAST(floor(value) AS BIGINT) END AS estimate,
          CAST(ceil(value / 2) AS BIGINT) AS moe, value
   FROM events"""
 
@@ -397,8 +423,8 @@ EVENT_ROWS = """
 def _daily_sql() -> str:
     return f"""
   SELECT event_type, day, CAST(sum(estimate) AS BIGINT) AS population,
-         sqrt(sum(CASE WHEN estimate <> 0 THEN CAST(moe AS DOUBLE) * CAST(moe AS DOUBLE) ELSE 0.0 END)
-              + coalesce(max(CASE WHEN estimate = 0 THEN CAST(moe AS DOUBLE) * CAST(moe AS DOUBLE) END), 0.0)) AS moe
+         CASE WHEN count(*) FILTER (WHERE estimate IS NULL OR moe IS NULL) > 0 THEN NULL ELSE sqrt(sum(CASE WHEN estimate <> 0 THEN CAST(moe AS DOUBLE) * CAST(moe AS DOUBLE) ELSE 0.0 END)
+              + coalesce(max(CASE WHEN estimate = 0 THEN CAST(moe AS DOUBLE) * CAST(moe AS DOUBLE) END), 0.0)) END AS moe
   FROM ({EVENT_ROWS}) e GROUP BY event_type, day"""
 
 
@@ -413,18 +439,16 @@ def q_impute_gap() -> str:
   WITH s AS ({s}),
   b AS (SELECT event_type, min(day) AS lo, max(day) AS hi FROM s GROUP BY event_type),
   spine AS (SELECT event_type, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b),
-  f AS (SELECT sp.event_type, sp.day, s.population, s.moe FROM spine sp
-        LEFT JOIN s ON sp.event_type = s.event_type AND sp.day = s.day)
-  SELECT event_type, strftime(day, '%Y-%m-%d') AS day,
-    CASE WHEN population IS NULL THEN
+  f AS (SELECT sp.event_type, sp.day, s.population, s.moe, s.day IS NULL AS absent FROM spine sp
+        LEFT JOIN s ON sp.event_type = s.event_type AND sp.day = s.day),
+  m AS (SELECT *, CASE WHEN absent THEN
       (last_value(population IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
        + first_value(population IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY day
-         ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) / 2.0
-    ELSE population END AS population,
-    CASE WHEN population IS NULL THEN 0.0 ELSE moe END AS moe,
-    population IS NULL AS imputed
-  FROM f"""
+         ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) / 2.0 END AS mean FROM f)
+  SELECT event_type, strftime(day, '%Y-%m-%d') AS day, coalesce(mean, population) AS population,
+    CASE WHEN mean IS NOT NULL THEN 0.0 ELSE moe END AS moe, mean IS NOT NULL AS imputed
+  FROM m"""
 
 
 COUNT_ROWS = """
@@ -564,10 +588,6 @@ def q_survey_by_crosswalk(cut: float = 100) -> str:
 
 # ------------------------------------------------------------- reports
 
-def _race_rows_sql() -> str:
-    return f"SELECT * FROM ({q_survey_breakdown()}) b WHERE dimension IN ('race', 'total')"
-
-
 def _clean_sql(c: str) -> str:
     x = f"regexp_replace({c}, ' NL', '')"
     x = f"regexp_replace({x}, ' Alone or in Combination', '')"
@@ -575,49 +595,75 @@ def _clean_sql(c: str) -> str:
     return f"regexp_replace({x}, '^nh_', '')"
 
 
-def q_indicator_frame() -> str:
+def _frame_sql(rows: str, label: str) -> str:
     return f"""
-  SELECT geoid, subgroup, population, total, pct, '{RP.GROUP_LABEL}' AS "group" FROM (
-    SELECT geoid, {_clean_sql('subgroup')} AS subgroup, num AS population,
-           max(CASE WHEN subgroup = 'Total' THEN num END) OVER (PARTITION BY geoid) AS total,
-           subgroup AS raw
-    FROM ({_race_rows_sql()}) r) x
+  SELECT geoid, dimension, subgroup, population, total, pct, '{label}' AS "group" FROM (
+    SELECT geoid, dimension, {_clean_sql('subgroup')} AS subgroup, num AS population,
+           max(CASE WHEN dimension = 'total' THEN num END) OVER (PARTITION BY geoid) AS total
+    FROM ({rows}) r) x
   CROSS JOIN LATERAL (SELECT CASE WHEN total = 0 THEN NULL ELSE population / total END * CAST(100.0 AS DOUBLE) AS pct) p
-  WHERE raw <> 'Total'"""
+  WHERE dimension <> 'total'"""
 
 
-def q_top_subgroup() -> str:
+def _rate_frame_sql(rows: str, label: str) -> str:
     return f"""
-  SELECT geoid, subgroup, population, pct FROM (
-    SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY population DESC NULLS LAST, subgroup) AS rk
-    FROM ({q_indicator_frame()}) f) x WHERE rk = 1"""
+  SELECT geoid, dimension, subgroup, population, rate, total_rate, '{label}' AS "group" FROM (
+    SELECT geoid, dimension, {_clean_sql('subgroup')} AS subgroup, num AS population, rate,
+           max(CASE WHEN dimension = 'total' THEN rate END) OVER (PARTITION BY geoid) AS total_rate
+    FROM ({rows}) r) x
+  WHERE dimension <> 'total'"""
 
 
-def q_headline() -> str:
+def q_indicator_frame() -> str:
+    return _frame_sql(q_survey_breakdown(), RP.GROUP_LABEL)
+
+
+def q_children_frame() -> str:
+    return _frame_sql(q_children_by_race(), "Children under 5")
+
+
+def q_poverty_frame() -> str:
+    return _rate_frame_sql(q_survey_breakdown(), RP.POVERTY_GROUP)
+
+
+def q_rent_burden_frame() -> str:
+    return _rate_frame_sql(q_rent_burden_breakdown(), RP.RENT_GROUP)
+
+
+def _top_of(frame: str, value: str) -> str:
     return f"""
-  SELECT geoid, subgroup || ' households make up the largest group at or below poverty in ' || geoid AS title
-  FROM ({q_top_subgroup()}) t"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY {value} DESC NULLS LAST, subgroup) AS rk
+                   FROM ({frame}) f) x WHERE rk = 1"""
+
+
+def q_top_subgroup() -> str:
+    return f"SELECT geoid, subgroup, population, pct FROM ({_top_of(q_indicator_frame(), 'population')}) t"
+
+
+def q_headline() -> str:
+    return " UNION ALL ".join(
+        f"SELECT geoid, subgroup || '{text}' || geoid AS title, '{frame}' AS frame FROM ({_top_of(rows, value)}) t"
+        for rows, value, text, frame in (
+            (q_children_frame(), "population", RP.LARGEST, "children"), (q_poverty_frame(), "rate", RP.POVERTY_TITLE, "poverty"),
+            (q_rent_burden_frame(), "rate", RP.RENT_TITLE, "rent burden")))
 
 
 def q_fallback_text() -> str:
-    cv = dbl(RP.MAX_CV)
+    stable = f"coalesce(rate_cv < {dbl(RP.MAX_CV)}, false)"
     sub = f"""
-    SELECT *, max(CASE WHEN subgroup = 'Total' THEN rate END) OVER (PARTITION BY geoid) AS total_rate
-    FROM ({_race_rows_sql()}) r"""
+    SELECT *, max(CASE WHEN dimension = 'total' THEN rate END) OVER (PARTITION BY geoid) AS total_rate
+    FROM ({q_survey_breakdown()}) r"""
     gated = f"""
-    SELECT *, sum(CASE WHEN rate_cv < {cv} THEN 1 ELSE 0 END) OVER (PARTITION BY geoid) AS n_subgroups
-    FROM ({sub}) s WHERE subgroup <> 'Total'"""
-    best = f"""
-    SELECT * FROM (
-      SELECT *, row_number() OVER (PARTITION BY geoid ORDER BY rate DESC NULLS LAST, subgroup) AS rk
-      FROM ({gated}) g WHERE rate_cv < {cv}) x WHERE rk = 1"""
-    txt = ("'The ' || geoid || ' under 5 poverty rate is ' || CAST(round_even(total_rate, 1) AS VARCHAR) || "
-           "'%. The only racial/ethnic group with statistically stable poverty rates is ' || subgroup || "
-           "' whose poverty rate is ' || CAST(round_even(rate, 1) AS VARCHAR) || '%.'")
+    SELECT *, sum(CASE WHEN {stable} THEN 1 ELSE 0 END) OVER (PARTITION BY geoid) AS n_subgroups,
+           CASE WHEN {stable} THEN rate END AS stable_rate
+    FROM ({sub}) s WHERE dimension <> 'total'"""
+    (a, b, c), (d, e, f) = RP.TOTAL_SENTENCE, RP.ONLY_SENTENCE
+    txt = f"'{a}' || geoid || '{b}' || CAST(round_even(total_rate, 1) AS VARCHAR) || '{c}'"
+    only = f"'{d}' || subgroup || '{e}' || CAST(round_even(rate, 1) AS VARCHAR) || '{f}'"
     return f"""
   SELECT geoid, CAST(n_subgroups AS BIGINT) AS n_subgroups, n_subgroups >= 2 AS chartable,
-         CASE WHEN NOT (n_subgroups >= 2) THEN {txt} END AS text
-  FROM ({best}) b"""
+         CASE WHEN n_subgroups = 0 THEN {txt} WHEN n_subgroups < 2 THEN {txt} || {only} END AS text
+  FROM ({_top_of(gated, 'stable_rate')}) b"""
 
 
 def q_weighted_population() -> str:
@@ -642,31 +688,17 @@ def q_poverty_runs() -> str:
 
 
 def q_children_by_race() -> str:
-    dims = ["latino", "aian", "nhpi", "swana", "race"]
-    tw = totals_sql(person_weights())
-    fine = f"""
-    SELECT g.geoid, {', '.join(dims)}, {tw}
+    rows = f"""
+    SELECT p.*, g.geoid, CASE WHEN AGEP < 5 THEN '{SQ.UNDER5}' WHEN AGEP >= 5 THEN '{SQ.NOT_UNDER5}' END AS age_group
     FROM ({recoded_people_cte(kids=True, with_weights=True)}) p
     JOIN orders o ON p.SERIALNO = o.o_orderkey
-    LEFT JOIN ({GEO_CTE}) g ON o.o_custkey = g.o_custkey
-    WHERE p.AGEP < 5
-    GROUP BY g.geoid, {', '.join(dims)}"""
-    tsum = ", ".join(f"sum(_t{i}) AS _t{i}" for i in range(R + 1))
-    unions = " UNION ALL ".join(
-        [f"SELECT geoid, '{d}' AS dimension, CAST({d} AS VARCHAR) AS subgroup, {tsum} FROM fine GROUP BY geoid, {d}"
-         for d in dims]
-        + [f"SELECT geoid, 'total' AS dimension, 'Total' AS subgroup, {tsum} FROM fine GROUP BY geoid"])
-    z, h = dbl(Z90), dbl(100.0)
-    supp = ", ".join(f"'{x}'" for x in SUPPRESSED)
+    LEFT JOIN ({GEO_CTE}) g ON o.o_custkey = g.o_custkey"""
+    total = "max(CASE WHEN dimension = 'total' THEN num END) OVER (PARTITION BY geoid)"
     return f"""
-  WITH fine AS ({fine}),
-  t AS (SELECT {total_se_select(['geoid', 'dimension', 'subgroup'])} FROM ({unions}) u)
-  SELECT geoid, dimension, subgroup, num, num_se, num_se * {z} AS count_moe,
-         (CASE WHEN num = 0 THEN NULL ELSE (num_se * {z} / {z}) / num END) * {h} AS count_cv,
-         (CASE WHEN max(CASE WHEN subgroup = 'Total' THEN num END) OVER (PARTITION BY geoid) = 0 THEN NULL
-               ELSE num / max(CASE WHEN subgroup = 'Total' THEN num END) OVER (PARTITION BY geoid) END) * {h} AS pct
-  FROM t
-  WHERE subgroup = 'Total' OR subgroup NOT IN ({supp})"""
+  SELECT * FROM (
+    SELECT *, (CASE WHEN {total} = 0 THEN NULL ELSE num / {total} END) * {dbl(100.0)} AS pct
+    FROM ({breakdown_sql(rows, 'age_group', person_weights(), SQ.UNDER5)}) b) c
+  WHERE dimension = 'total' OR subgroup NOT IN ({suppressed_sql()})"""
 
 
 def _title_sql(c: str) -> str:
@@ -676,15 +708,15 @@ def _title_sql(c: str) -> str:
 
 def q_ece_frame() -> str:
     labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RP.ECE_LABELS.items())
+    codes = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RP.ECE_CODES.items())
     first = "regexp_replace(regexp_replace(lbl, ' NL', ''), ' Alone or in Combination', '')"
     return f"""
   SELECT geoid, subgroup, rate, population, '{RP.ECE_GROUP}' AS "group" FROM (
     SELECT geoid, {first} AS subgroup, rate, population FROM (
       SELECT geoid, rate, population, CASE code {labels} ELSE {_title_sql('code')} END AS lbl FROM (
         SELECT geoid, rate, (rate / {dbl(100.0)}) * pop AS population,
-               regexp_replace(subgroup, 'nh_', '') AS code
-        FROM ({q_survey_breakdown()}) b WHERE subgroup <> 'bipoc') x) y) z
-  WHERE subgroup <> 'Total'"""
+               regexp_replace(CASE subgroup {codes} ELSE subgroup END, 'nh_', '') AS code
+        FROM ({q_survey_breakdown()}) b WHERE subgroup <> 'bipoc' AND dimension <> 'total') x) y) z"""
 
 
 def q_select_variables() -> str:

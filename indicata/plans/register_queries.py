@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from indicata.functions.scalars import (month_name, parse_date, parse_number, round_half_even,
+from indicata.functions.scalars import (cast_all_text, comma, month_name, parse_date, parse_number, round_half_even,
                                         strict_sum)
 from indicata.operators import aggregate as A
 from indicata.operators import recode, reshape, series
@@ -23,12 +23,20 @@ WHOLE = "All areas"
 FOCUS = "AMERICA"
 YEARS = ("1997", "1998")
 DAY_YEAR = "1998"
+KNOWN_FROM = 1200
+CLOSURES, SEATS = "-Closures", "-Seats Lost"   # fixed values: endings of the summary's row labels
+ESTIMATE_FROM = 0.05
 MISSING_DAY = "2024-01-15"
 
 
-def register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facility register as the text feed would carry it (A3)."""
+def register(spark: SparkSession, sf_dir: str, years: tuple[str, ...] = ()) -> DataFrame:
+    """Facility register as the text feed would carry it (A3).  ``years`` bound the
+    closing date before it becomes text, so that the scan can skip the other years; the
+    capacity of a very small facility isn't known."""
     o = S.table(spark, sf_dir, "orders")
+    if years:
+        o = o.filter((F.col("o_orderdate") >= F.lit(f"{min(years)}-01-01").cast("timestamp"))
+                     & (F.col("o_orderdate") < F.lit(f"{int(max(years)) + 1}-01-01").cast("timestamp")))
     geo = S.geography(spark, sf_dir).select("o_custkey", F.col("geoid").alias("county_name"))
     reg = o.join(geo, "o_custkey", "left")
     return reg.select(
@@ -36,32 +44,30 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.lit(HOME)).alias("facility_type"),
         F.concat(F.lit("Facility "), F.col("o_orderkey").cast("string")).alias("facility_name"),
         "county_name",
-        F.floor(F.col("o_totalprice") / 10000).cast("int").alias("facility_capacity"),
+        F.when(F.col("o_totalprice") >= KNOWN_FROM, F.floor(F.col("o_totalprice") / 10000).cast("int")).alias("facility_capacity"),
         recode.relabel("o_orderstatus", STATUS_BY_CODE).alias("facility_status"),
         F.date_format(F.col("o_orderdate"), "M/d/yyyy").alias("closed_date_text"),
     )
 
 
-def prepared_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared_register(spark: SparkSession, sf_dir: str, years: tuple[str, ...] = ()) -> DataFrame:
     """Status flags, parsed close date, month and year text."""
-    reg = register(spark, sf_dir)
+    reg = register(spark, sf_dir, years)
     reg = reg.withColumns(recode.status_flags("facility_status", LICENSED))
     reg = reg.withColumn("closed_date", parse_date("closed_date_text"))
     return reg.withColumns({"month": F.date_format("closed_date", "MM"),
                             "year": F.date_format("closed_date", "yyyy")})
 
 
-def _tagged(spark, sf_dir) -> DataFrame:
-    reg = prepared_register(spark, sf_dir)
-    return A.whole_and_part(reg, F.col("county_name") == F.lit(FOCUS), WHOLE, FOCUS)
+def _periods(reg: DataFrame, period: str, only=None) -> DataFrame:
+    return A.whole_and_part_by_period(reg, F.col("county_name") == F.lit(FOCUS), WHOLE, FOCUS, "closed_date", period,
+                                      ["facility_type"], {"closed": "close", "seats": "facility_capacity"}, only)
 
 
 def closures_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed facilities and seats lost per month, whole and part."""
-    reg = _tagged(spark, sf_dir).filter(F.col("year").isin(*YEARS))
-    return A.by_period(reg, "closed_date", "month", ["facility_type", "geography"],
-                       {"closed": "close", "seats": "facility_capacity"},
-                       only=F.col("open") == 0)
+    reg = prepared_register(spark, sf_dir, YEARS).filter(F.col("year").isin(*YEARS))
+    return _periods(reg, "month", only=F.col("open") == 0)
 
 
 def _iso_day(df: DataFrame, col: str = "day") -> DataFrame:
@@ -72,9 +78,8 @@ def _iso_day(df: DataFrame, col: str = "day") -> DataFrame:
 
 def closures_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-day totals without the closed-only filter (E11, as published)."""
-    reg = _tagged(spark, sf_dir).filter(F.col("year") == DAY_YEAR)
-    return _iso_day(A.by_period(reg, "closed_date", "day", ["facility_type", "geography"],
-                                {"closed": "close", "seats": "facility_capacity"}))
+    reg = prepared_register(spark, sf_dir, (DAY_YEAR,)).filter(F.col("year") == DAY_YEAR)
+    return _iso_day(_periods(reg, "day"))
 
 
 def mean_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,16 +93,23 @@ def closure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     (K4: E13 rollup of the monthly sums, H1, H3, G3)."""
     monthly = closures_by_month(spark, sf_dir)
     yearly = monthly.groupBy("facility_type", "geography", "year").agg(
-        F.sum("closed").alias("closed"), F.sum("seats").alias("seats"))
+        strict_sum("closed").alias("closed"), strict_sum("seats").alias("seats"))
     long = yearly.select("year", "geography", F.inline(F.array(
-        F.struct(F.concat(F.col("facility_type"), F.lit("-Closures")).alias("type"),
+        F.struct(F.concat(F.col("facility_type"), F.lit(CLOSURES)).alias("type"),
                  F.col("closed").alias("value")),
-        F.struct(F.concat(F.col("facility_type"), F.lit("-Seats Lost")).alias("type"),
+        F.struct(F.concat(F.col("facility_type"), F.lit(SEATS)).alias("type"),
                  F.col("seats").alias("value")))))
     wide = reshape.pivot_wide(long, ["year", "type"], "geography", "value", [WHOLE, FOCUS])
     return wide.orderBy("year", "type")   # G3
 
 
+def closure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary as it is printed: every number as text with thousands separators."""
+    wide = closure_summary(spark, sf_dir)
+    shown = wide.select("year", "type", *[comma(c).alias(c) for c in (WHOLE, FOCUS)])
+    return cast_all_text(shown)
+
+
 def compare_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Focus-area months of two years with the yearly mean.
 
@@ -105,10 +117,10 @@ def compare_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     (months with only licensed facilities give zero rows) and the earlier one
     with it.
     """
-    reg = prepared_register(spark, sf_dir).filter(F.col("county_name") == F.lit(FOCUS))
-    late = reg.filter(F.col("year") == YEARS[1])
-    early = reg.filter((F.col("year") == YEARS[0]) & (F.col("open") == 0))
-    monthly = A.by_period(late.unionByName(early), "closed_date", "month", [], {"closed": "close"})
+    year = F.col("year")
+    reg = prepared_register(spark, sf_dir, YEARS).filter(
+        (F.col("county_name") == F.lit(FOCUS)) & ((year == YEARS[1]) | ((year == YEARS[0]) & (F.col("open") == 0))))
+    monthly = A.by_period(reg, "closed_date", "month", [], {"closed": "close"})
     return monthly.select(
         "year", "month", month_name(F.make_date(F.lit(2000), F.col("month").cast("int"), F.lit(1)))
         .alias("month_name"), "closed",
@@ -170,7 +182,7 @@ def capacity_on_spine(spark: SparkSession, sf_dir: str, strict_reference: bool =
 def _event_rows(spark, sf_dir) -> DataFrame:
     e = S.table(spark, sf_dir, "events")
     return e.select("event_type", F.col("ts").cast("date").alias("day"),
-                    F.floor(F.col("value")).alias("estimate"),
+                    F.when(F.col("value") >= ESTIMATE_FROM, F.floor(F.col("value"))).alias("estimate"),
                     F.ceil(F.col("value") / 2).alias("moe"), "value")
 
 

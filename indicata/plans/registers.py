@@ -38,9 +38,9 @@ def closure_summary(centers: DataFrame, homes: DataFrame, county: str, years: Se
         d = prepare(df).withColumn("kind", F.lit(label))
         tagged.append(d.select("kind", "county_name", "open", "close", "capacity", "closed", "year"))
     reg = reshape.stack(tagged).filter(F.col("year").isin(*years))
-    reg = A.whole_and_part(reg, F.col("county_name") == F.lit(county), state_label, county)
-    yearly = A.by_period(reg, "closed", "year", ["kind", "geography"],
-                         {"closures": "close", "seats": "capacity"}, only=F.col("open") == 0)
+    yearly = A.whole_and_part_by_period(
+        reg, F.col("county_name") == F.lit(county), state_label, county, "closed", "year", ["kind"],
+        {"closures": "close", "seats": "capacity"}, only=F.col("open") == 0)
     long = yearly.select("year", "geography", F.inline(F.array(
         F.struct(F.concat("kind", F.lit("-Closures")).alias("type"), F.col("closures").cast("double").alias("value")),
         F.struct(F.concat("kind", F.lit("-Seats Lost")).alias("type"), F.col("seats").alias("value")))))

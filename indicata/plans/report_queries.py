@@ -13,19 +13,37 @@ from indicata.plans import survey_queries as SQ
 
 GEO = ["geoid"]
 GROUP_LABEL = "Households with children under 5"
-# a rate is charted when its coefficient of variation is below this value
+# a rate counts as stable when its coefficient of variation is below this value
 MAX_CV = 40.0
 
-
-def _race_rows(spark, sf_dir) -> DataFrame:
-    """The breakdown restricted to the exclusive race dimension plus Total."""
-    b = SQ.survey_breakdown(spark, sf_dir)
-    return b.filter(F.col("dimension").isin("race", "total"))
+# Labels and sentences of the published frames.
+POVERTY_GROUP = "Percent of households with children under 5 in poverty"
+RENT_GROUP = "Percent of households with children under 5 in rent-burdened households"
+LARGEST = " children under 5 make up the largest racial-ethnic group in "
+POVERTY_TITLE = " households with children under 5 are most likely to be in poverty in "
+RENT_TITLE = " households with children under 5 are most likely to be rent-burdened in "
+TOTAL_SENTENCE = ("The ", " under 5 poverty rate is ", "%.")
+ONLY_SENTENCE = (" The only racial/ethnic group with statistically stable poverty rates is ", " whose poverty rate is ", "%.")
 
 
 def indicator_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1 F3 F4 C12 for every area at once."""
-    return K.indicator_frame(_race_rows(spark, sf_dir), GEO, "num", group_label=GROUP_LABEL)
+    """K1 F3 F4 C12 for every area and all six breakdowns at once."""
+    return K.indicator_frame(SQ.survey_breakdown(spark, sf_dir), GEO, "num", group_label=GROUP_LABEL)
+
+
+def children_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 over the children's counts, the first published frame."""
+    return K.indicator_frame(SQ.children_by_race(spark, sf_dir), GEO, "num", group_label="Children under 5")
+
+
+def poverty_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: poverty rates by subgroup with the area's Total rate."""
+    return K.rate_frame(SQ.survey_breakdown(spark, sf_dir), GEO, group_label=POVERTY_GROUP)
+
+
+def rent_burden_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: rent-burden rates by subgroup with the area's Total rate."""
+    return K.rate_frame(SQ.rent_burden_breakdown(spark, sf_dir), GEO, group_label=RENT_GROUP)
 
 
 def top_subgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,26 +53,28 @@ def top_subgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: one sentence per area from its top group."""
-    t = top_subgroup(spark, sf_dir)
-    return t.select("geoid", K.sentence(F.col("subgroup"), " households make up the largest group at "
-                                        "or below poverty in ", F.col("geoid")).alias("title"))
+    """K2: the three published titles of each area from its top groups."""
+    def title(frame, value, text):
+        return K.top_by(frame, GEO, value).select("geoid", K.sentence(F.col("subgroup"), text, F.col("geoid")).alias("title"))
+
+    largest = title(children_frame(spark, sf_dir), "population", LARGEST).withColumn("frame", F.lit("children"))
+    poverty = title(poverty_frame(spark, sf_dir), "rate", POVERTY_TITLE).withColumn("frame", F.lit("poverty"))
+    rent = title(rent_burden_frame(spark, sf_dir), "rate", RENT_TITLE).withColumn("frame", F.lit("rent burden"))
+    return largest.unionByName(poverty).unionByName(rent)
 
 
-def fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fallback_text(spark: SparkSession, sf_dir: str, max_cv: float = MAX_CV) -> DataFrame:
     """Areas with fewer than two stable subgroup rates get a sentence
-    instead of a chart."""
-    rows = _race_rows(spark, sf_dir)
-    total = K.total_of("rate", GEO)
-    sub = rows.withColumn("total_rate", total).filter(F.col("subgroup") != "Total")
-    gated = K.stability_gate(sub, GEO, F.col("rate_cv") < F.lit(MAX_CV))
-    stable = gated.filter(F.col("rate_cv") < F.lit(MAX_CV))
-    best = K.top_by(stable, GEO, "rate")
-    text = K.sentence("The ", F.col("geoid"), " under 5 poverty rate is ", K.pct_text("total_rate"),
-                      "%. The only racial/ethnic group with statistically stable poverty rates is ",
-                      F.col("subgroup"), " whose poverty rate is ", K.pct_text("rate"), "%.")
-    return best.select("geoid", "n_subgroups", "chartable",
-                       F.when(~F.col("chartable"), text).alias("text"))
+    instead of a chart; an area without any has only its Total rate to tell."""
+    rows = SQ.survey_breakdown(spark, sf_dir)
+    sub = rows.withColumn("total_rate", K.total_of("rate", GEO)).filter(F.col("dimension") != "total")
+    stable = F.coalesce(F.col("rate_cv") < F.lit(max_cv), F.lit(False))
+    gated = K.stability_gate(sub, GEO, stable).withColumn("stable_rate", F.when(stable, F.col("rate")))
+    best = K.top_by(gated, GEO, "stable_rate")
+    text = K.sentence(TOTAL_SENTENCE[0], F.col("geoid"), TOTAL_SENTENCE[1], K.pct_text("total_rate"), TOTAL_SENTENCE[2])
+    only = K.sentence(ONLY_SENTENCE[0], F.col("subgroup"), ONLY_SENTENCE[1], K.pct_text("rate"), ONLY_SENTENCE[2])
+    told = F.when(F.col("n_subgroups") > 0, F.concat(text, only)).otherwise(text)
+    return best.select("geoid", "n_subgroups", "chartable", F.when(~F.col("chartable"), told).alias("text"))
 
 
 # Subgroup codes relabelled by the access post; every other
@@ -63,19 +83,20 @@ ECE_LABELS = {"twoormor": "Multiracial", "aian": "AIAN", "pacisl": "NHPI"}
 ECE_GROUP = "Percent of children under 5 enrolled in ECE"
 
 
+# the indicator table's own codes for the breakdown's labels
+ECE_CODES = {recode.WHITE_NL: "nh_white", recode.BLACK_NL: "nh_black", recode.ASIAN_NL: "nh_asian", recode.OTHER_NL: "nh_other",
+             recode.MULTI_NL: "nh_twoormor", recode.LATINX: "latinx", recode.AIAN: "aian", recode.NHPI: "pacisl", recode.SWANA: "swana"}
+
+
 def ece_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Access-post frame over an indicator table (E17 C11 C12 I4 G1): count
-    from percent, drop the first ``nh_``, relabel codes with a title-case
-    default, clean labels, drop the Total, sorted by rate.
-
-    The post's own input carries snake_case codes (``nh_white``); on the
-    breakdown's labels the title-case default gives ``White Nl``, after which
-    the `` NL`` clean-up no longer matches, exactly as the published steps
-    would behave on such input."""
-    t = SQ.survey_breakdown(spark, sf_dir).filter(F.col("subgroup") != "bipoc")
+    """Access-post frame over an indicator table of codes (E17 C11 C12 I4 G1):
+    count from percent, drop the first ``nh_``, relabel codes with a title-case
+    default, clean labels, drop the Total, sorted by rate."""
+    t = SQ.survey_breakdown(spark, sf_dir).withColumn("subgroup", recode.relabel("subgroup", ECE_CODES))
+    t = t.filter((F.col("subgroup") != "bipoc") & (F.col("dimension") != "total"))
     t = t.select("geoid", "rate", A.count_from_percent("rate", "pop").alias("population"),
                  replace_first("subgroup", "nh_", "").alias("code"))
     label = recode.relabel("code", ECE_LABELS, title_case("code"))
     label = replace_first(replace_first(label, " NL", ""), " Alone or in Combination", "")
     out = t.select("geoid", label.alias("subgroup"), "rate", "population", F.lit(ECE_GROUP).alias("group"))
-    return out.filter(F.col("subgroup") != "Total").orderBy(F.col("rate").desc(), "geoid", "subgroup")
+    return out.orderBy(F.col("rate").desc(), "geoid", "subgroup")

@@ -29,6 +29,8 @@ PERSON_WEIGHT_MOD = 89
 PERSON_REP_MOD = 7
 PERSON_REP_SHIFT = 3
 REPLICATES = 80
+VACANT_STATUS = "P"
+RENT_DIVISOR = 5000
 PERSON_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                 "l_shipdate")
 # descriptions in the code list that count for the ancestry flag
@@ -38,42 +40,9 @@ HH_DESIGN = ReplicateDesign.acs("WGTP", REPLICATES)
 PERSON_DESIGN = ReplicateDesign.acs("PWGTP", REPLICATES)
 
 
-_READERS: dict = {}
-
-# row-level inputs whose scans carry the heavy per-row work
-ROW_TABLES = ("lineitem",)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table; the reader (schema from the footers) is reused
-    within a session, so repeated plans do not list and read footers again.
-
-    A row-level table that arrives in fewer splits than the session has
-    task slots (one large row group, as in small test files) is spread
-    round-robin first, so the per-row work is not serialised in one task.
-    On a cluster the input has far more splits than slots and this is a
-    no-op."""
-    key = (id(spark), sf_dir, name)
-    df = _READERS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if name in ROW_TABLES:
-            df = spread(df)
-        _READERS[key] = df
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a DataFrame over the session's task slots when it has
-    fewer partitions than slots and heavy per-row work follows (row-level
-    scans, per-pair geometry).  A no-op for cluster-sized inputs."""
-    spark = df.sparkSession
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:       # no RDD view (e.g. a Connect session): leave as is
-        return df
-    return df.repartition(slots) if splits < slots else df
+    """The parquet table as it is now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _weight_exprs(key: str, mod: int, rep_mod: int, shift: int, prefix: str,
@@ -126,8 +95,10 @@ def households(spark: SparkSession, sf_dir: str, with_replicates: bool = False)
     cross the shuffles narrow, and the 80 derived columns only feed the
     map-side partial aggregate."""
     o = table(spark, sf_dir, "orders")
-    return o.selectExpr("o_orderkey AS SERIALNO", "o_custkey",
-                        *household_weights("o_orderkey", replicates=with_replicates))
+    # a pending order is a vacant unit: a household without a weight (C4); the rent share is of its price
+    weights = household_weights("o_orderkey", replicates=with_replicates)
+    weights[0] = f"CASE WHEN o_orderstatus <> '{VACANT_STATUS}' THEN o_orderkey % {HOUSEHOLD_WEIGHT_MOD} + 1 END AS WGTP"
+    return o.selectExpr("o_orderkey AS SERIALNO", "o_custkey", f"CAST(floor(o_totalprice / {RENT_DIVISOR}) AS INT) AS GRPIP", *weights)
 
 
 def add_household_replicates(df: DataFrame, key: str = "SERIALNO") -> DataFrame:

@@ -153,19 +153,36 @@ def poverty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter((F.col("indicator") == AT_OR_BELOW) & F.col("geoid").isNotNull())
 
 
+NOT_UNDER5 = "not under 5"
+
+
 def children_by_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children under 5 by race/ethnicity (E6 E7 F3 F4, C10 children's
-    variant): person-weighted counts with SE, MOE and CV for the five
-    overlapping groupings plus the Total, each with its share of the area's
-    Total, suppressed as published."""
-    people = S.persons(spark, sf_dir).filter(F.col("AGEP") < 5)
-    people = recode.race_recode(people, S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS,
+    variant): over all persons, the person-weighted count and share of
+    under-fives in each of the five overlapping groupings plus the Total, with
+    SE, MOE, CV and denominators, and each count's share of the area's Total;
+    suppressed as published."""
+    people = recode.race_recode(S.persons(spark, sf_dir), S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS,
                                 nhpi_needs_not_latinx=True)
     homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
     df = people.join(homes, "SERIALNO").join(
         S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
-    df = S.add_person_weights(df)
-    out = survey.survey_total_breakdown(df, S.PERSON_DESIGN, ["geoid"], BREAKDOWN_DIMS)
-    out = out.withColumn("pct", F.try_divide(F.col("num"), reports.total_of("num", ["geoid"]))
-                         * F.lit(100.0))
-    return out.filter((F.col("subgroup") == "Total") | ~F.col("subgroup").isin(*recode.SUPPRESSED_SUBGROUPS))
+    df = df.select("SERIALNO", "l_linenumber", "geoid", *RECODE_COLS,
+                   F.when(F.col("AGEP") < 5, F.lit(UNDER5)).when(F.col("AGEP") >= 5, F.lit(NOT_UNDER5)).alias("age_group"))
+    out = survey.survey_breakdown(S.add_person_weights(df), S.PERSON_DESIGN, ["geoid"], BREAKDOWN_DIMS, "age_group")
+    out = out.filter(F.col("age_group") == UNDER5)
+    out = out.withColumn("pct", F.try_divide(F.col("num"), reports.total_of("num", ["geoid"])) * F.lit(100.0))
+    return out.filter((F.col("dimension") == "total") | ~F.col("subgroup").isin(*recode.SUPPRESSED_SUBGROUPS))
+
+
+BURDENED, NOT_BURDENED, BURDEN_CUT = "rent-burdened", "not rent-burdened", 30
+
+
+def rent_burden_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six breakdowns of households with a child under 5 that pay more than
+    the cut for rent (E6, C21)."""
+    df = eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, recoded=True)
+    share = F.col("GRPIP")
+    df = df.withColumn("indicator", F.when(share > BURDEN_CUT, F.lit(BURDENED)).when(share <= BURDEN_CUT, F.lit(NOT_BURDENED)))
+    out = survey.survey_breakdown(df, S.HH_DESIGN, ["geoid"], BREAKDOWN_DIMS, "indicator")
+    return recode.drop_subgroups(out.filter(F.col("indicator") == BURDENED))

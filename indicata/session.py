@@ -7,8 +7,8 @@ fills settings that are still unset, so cluster-wide values win.
 from __future__ import annotations
 
 import os
-import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: runtime re-planning (coalescing, skew-join
@@ -29,38 +29,32 @@ _DEFAULTS = {
 def get_session(master: str | None = None, app: str = "indicata",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    """The session of the process, or a new one.  What was submitted (or is set
+    on a session that runs) wins over the defaults here; the arguments win over both."""
+    asked = {k: str(v) for k, v in (extra or {}).items()}
+    if shuffle_partitions:
+        asked["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    defaults = dict(_DEFAULTS)
     if master:
-        builder = builder.master(master)
-        builder = builder.config("spark.driver.memory",
-                                 os.environ.get("INDICATA_DRIVER_MEMORY", "16g"))
         # Replicate designs aggregate 81 weight columns at once; the JIT
         # must compile the resulting large generated methods.  On a cluster
         # the same flag belongs in spark.executor.extraJavaOptions.
-        builder = builder.config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
+        defaults |= {"spark.driver.memory": os.environ.get("INDICATA_DRIVER_MEMORY", "16g"),
+                     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods"}
+    if SparkSession.getActiveSession() is None:
+        # the JVM starts with what it needs to start; then the submitted settings can be read
+        start = SparkConf(loadDefaults=False)
+        for k in ("spark.driver.memory", "spark.driver.extraJavaOptions"):
+            if k in defaults and k not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+                start.set(k, defaults[k])
+        SparkContext._ensure_initialized(conf=start)
+        submitted = SparkConf()
+        asked = {k: v for k, v in defaults.items() if not submitted.contains(k)} | asked
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    for k, v in asked.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    Only when the session has none (local tests) a scratch folder is created
-    and registered; on a cluster the configured shared folder is used as is.
-    """
-    sc = spark.sparkContext
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if conf_dir:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    local = tempfile.mkdtemp(prefix="indicata-ckpt-")
-    sc.setCheckpointDir(local)
-    return local

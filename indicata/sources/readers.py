@@ -17,16 +17,17 @@ from indicata.functions.scalars import clean_names, parse_number
 
 
 def read_microdata(spark: SparkSession, path: str, string_cols: Iterable[str] = (),
-                   schema: T.StructType | None = None, sampling_ratio: float = 0.01) -> DataFrame:
+                   schema: T.StructType | None = None) -> DataFrame:
     """Header CSV with chosen code columns forced to text, so leading zeros
     survive (A1).  With a ``schema`` nothing is inferred; otherwise types
-    come from a sample and ``string_cols`` are overridden to text."""
+    come from all rows, so that none is read as null, and ``string_cols``
+    are overridden to text."""
     reader = spark.read.option("header", True)
     if schema is None:
-        sampled = reader.option("inferSchema", True).option("samplingRatio", sampling_ratio).csv(path)
+        inferred = reader.option("inferSchema", True).csv(path)
         keep = set(string_cols)
         schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in keep else f.dataType, True)
-                               for f in sampled.schema.fields])
+                               for f in inferred.schema.fields])
     return reader.schema(schema).csv(path)
 
 

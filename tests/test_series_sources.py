@@ -1,4 +1,4 @@
-"""Series, sources, sinks and streaming."""
+"""Series, sources and sinks."""
 
 import datetime as dt
 import os
@@ -31,7 +31,7 @@ def test_read_register_promotes_header_and_parses(spark, tmp_path):
 def test_read_microdata_keeps_leading_zeros(spark, tmp_path):
     p = tmp_path / "p.csv"
     p.write_text("SERIALNO,PUMA,AGEP\n1,03701,4\n2,03702,40\n")
-    df = SRC.read_microdata(spark, str(p), string_cols=["PUMA"], sampling_ratio=1.0)
+    df = SRC.read_microdata(spark, str(p), string_cols=["PUMA"])
     assert [r.PUMA for r in df.orderBy("SERIALNO").collect()] == ["03701", "03702"]
     assert dict(df.dtypes)["AGEP"] == "int"
 
@@ -83,53 +83,13 @@ def test_read_period_files(spark, tmp_path):
     assert sorted(r.year for r in df.collect()) == ["2019", "2021"]
 
 
-def test_closures_stream(spark, tmp_path):
-    from indicata.streaming import closures_stream
-    feed = tmp_path / "feed"
-    feed.mkdir()
-    (feed / "w1.csv").write_text(
-        "facility_type,facility_name,county_name,facility_capacity,facility_status,closed_date_text\n"
-        "Center,a,North,10,CLOSED,1/7/2020\nCenter,b,South,5,CLOSED,1/9/2020\nCenter,c,North,7,LICENSED,1/9/2020\n")
-    q = (closures_stream(spark, str(feed), "State", "North").writeStream.outputMode("complete")
-         .format("memory").queryName("closures_feed")
-         .option("checkpointLocation", str(tmp_path / "ckpt")).start())
-    try:
-        q.processAllAvailable()
-        out = {r.geography: (r.closed, r.seats) for r in spark.sql("select * from closures_feed").collect()}
-    finally:
-        q.stop()
-    assert out == {"State": (2, 15), "North": (1, 10)}
-
-
 def test_impute_gap_edge_stays_null(spark):
     rows = [("North", 2019, 20.0, 2.0), ("North", 2021, 40.0, 4.0)]
     df = spark.createDataFrame(rows, "name string, year int, population double, moe double")
     out = {r.year: r for r in series.impute_gap(df, ["name"], "year", "population", "moe",
                                                 start=2019, end=2022).collect()}
     assert out[2020].population == 30.0 and out[2020].imputed
-    assert out[2022].population is None and out[2022].imputed and out[2022].moe == 0.0
-
-
-def test_closures_stream_resumes_from_checkpoint(spark, tmp_path):
-    """A stopped feed restarts from its checkpoint and folds in only the new drop."""
-    from indicata.streaming import closures_stream
-    header = "facility_type,facility_name,county_name,facility_capacity,facility_status,closed_date_text\n"
-    feed, ckpt = tmp_path / "feed", str(tmp_path / "ckpt")
-    feed.mkdir()
-    (feed / "w1.csv").write_text(header + "Center,a,North,10,CLOSED,1/7/2020\n")
-
-    def run_once(name):
-        q = (closures_stream(spark, str(feed), "State", "North").writeStream.outputMode("complete")
-             .format("memory").queryName(name).option("checkpointLocation", ckpt).start())
-        try:
-            q.processAllAvailable()
-            return {r.geography: (r.closed, r.seats) for r in spark.sql(f"select * from {name}").collect()}
-        finally:
-            q.stop()
-
-    assert run_once("feed_a") == {"State": (1, 10), "North": (1, 10)}
-    (feed / "w2.csv").write_text(header + "Center,b,South,5,CLOSED,1/9/2020\n")
-    assert run_once("feed_b") == {"State": (2, 15), "North": (1, 10)}
+    assert out[2022].population is None and not out[2022].imputed and out[2022].moe is None
 
 
 def test_to_parquet_codes_and_wkt_polygons(spark, tmp_path):

@@ -175,18 +175,6 @@ def test_total_breakdown_equals_separate_totals(spark):
         assert got[(r.geo, "total", "Total")].num == r.num
 
 
-def test_column_and_sql_se_agree(spark):
-    from pyspark.sql import functions as F
-    for d in (DESIGN, ReplicateDesign("w", DESIGN.rep_weights, scale=0.5, mse=False),
-              ReplicateDesign("w", DESIGN.rep_weights, scale=1.0, rscales=(1.0, 2.0, 0.5, 1.0))):
-        df = spark.createDataFrame([(10.0, [8.0, 12.0, None, 11.0]), (None, [1.0, 2.0, 3.0, 4.0])],
-                                   "e double, reps array<double>")
-        out = df.select(survey.replicate_se(F.col("e"), F.col("reps"), d).alias("a"),
-                        F.expr(survey.replicate_se_sql("e", "reps", d)).alias("b")).collect()
-        for r in out:
-            assert r.a == r.b
-
-
 def test_rate_without_grouping_keys(spark):
     rows = [("a", "x", 2, 2, 2, 2, 2), ("b", "y", 6, 5, 6, 7, 6)]
     df = spark.createDataFrame(rows, cols())
