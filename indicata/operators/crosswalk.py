@@ -1,15 +1,20 @@
 """Area crosswalks from polygon overlap, and their use.
 
 Polygons are rows with a ring as two arrays ``xs``/``ys`` (projected
-coordinates, ring not closed).  Areas and centroids are higher-order
-array expressions evaluated in the JVM.
+coordinates, ring not closed).  A polygon of several parts or with holes is
+one row per ring, with a ``sign`` of 1 for an outer ring and -1 for a hole;
+every area is a signed sum over its rings.  A ring of fewer than three
+points has area 0.  Areas and centroids are higher-order array expressions
+evaluated in the JVM.
 
 Overlay (which pieces of layer A fall in layer B, and how big they are) is
 a relational job:
 
-1. every polygon is exploded into the grid cells its bounding box touches;
-2. an equi-join on the cell id yields candidate pairs whose boxes meet; a
-   pair is kept only in the cell holding the lower-left corner of the
+1. every ring gets a level, at which a grid cell is no smaller than its
+   bounding box, so that it touches four cells at most, whatever its size;
+2. a ring is entered at the levels of the other layer that are coarser than
+   its own, and an equi-join on level and cell yields the pairs whose boxes
+   meet; a pair is kept only in the cell holding the lower-left corner of the
    intersection of the two boxes, so no ``distinct`` shuffle is needed;
 3. the exact intersection area of each candidate pair is a column
    expression built from Spark's array higher-order functions, so the
@@ -27,6 +32,7 @@ triangle signs.  A clip shape is one more factor.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,7 +53,7 @@ def ring_area(xs: str = "xs", ys: str = "ys", signed: bool = False) -> Column:
     n, idx = _cross_terms(X, Y)
     s = F.aggregate(idx, F.lit(0.0),
                     lambda acc, i: acc + X[i] * Y[(i + 1) % n] - X[(i + 1) % n] * Y[i])
-    a = s / F.lit(2.0)
+    a = F.when(n >= 3, s / F.lit(2.0)).otherwise(F.lit(0.0))
     return a if signed else F.abs(a)
 
 
@@ -63,7 +69,23 @@ def ring_centroid(xs: str = "xs", ys: str = "ys") -> tuple[Column, Column]:
             X[i] * Y[(i + 1) % n] - X[(i + 1) % n] * Y[i]))
 
     a6 = ring_area(xs, ys, signed=True) * F.lit(6.0)
-    return F.try_divide(moment(xs), a6), F.try_divide(moment(ys), a6)
+    there = n >= 3
+    return F.when(there, F.try_divide(moment(xs), a6)), F.when(there, F.try_divide(moment(ys), a6))
+
+
+def polygon_measures(rings: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Area and centroid of polygons of several rings: ``ids``, area, cx, cy (J1, J5).  Without an
+    area there is no centroid."""
+    cx, cy = ring_centroid()
+    each = signed_rings(rings).select(*ids, (F.col("sign") * ring_area()).alias("_a"), cx.alias("_cx"), cy.alias("_cy"))
+    total = F.sum("_a")
+    return each.groupBy(*ids).agg(total.alias("area"), F.try_divide(F.sum(F.col("_a") * F.col("_cx")), total).alias("cx"),
+                                  F.try_divide(F.sum(F.col("_a") * F.col("_cy")), total).alias("cy"))
+
+
+def signed_rings(df: DataFrame) -> DataFrame:
+    """``df`` with a ``sign`` for each ring: 1 where it has none."""
+    return df if "sign" in df.columns else df.withColumn("sign", F.lit(1.0))
 
 
 def with_bbox(df: DataFrame, xs: str = "xs", ys: str = "ys") -> DataFrame:
@@ -83,10 +105,24 @@ def grid_cell_size(df: DataFrame, quantile: float = 0.5) -> float:
     return float(cell) if cell and cell > 0 else 1.0
 
 
-def _grid(df: DataFrame, cell: float) -> DataFrame:
-    c = F.lit(float(cell))
-    return (df.withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") / c), F.floor(F.col("maxx") / c))))
-              .withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / c), F.floor(F.col("maxy") / c)))))
+def with_level(df: DataFrame, cell: float) -> DataFrame:
+    """The level of each box: cells of ``cell * 2**level`` are no smaller than it."""
+    extent = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    level = F.when(extent > cell, F.ceil(F.log2(extent / F.lit(float(cell))))).otherwise(F.lit(0))
+    return df.withColumn("level", level.cast("int"))
+
+
+def _entered(df: DataFrame, cell: float, level: Column) -> DataFrame:
+    """One row for each cell of ``level`` (a column, no finer than the box's own) that the box touches."""
+    at = df.withColumn("gl", level).withColumn("_side", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("gl")))
+    side = F.col("_side")
+    at = at.withColumn("gx", F.explode(F.sequence(F.floor(F.col("minx") / side), F.floor(F.col("maxx") / side))))
+    return at.withColumn("gy", F.explode(F.sequence(F.floor(F.col("miny") / side), F.floor(F.col("maxy") / side))))
+
+
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that occur: a few small numbers, whatever the layer's size."""
+    return sorted(r["level"] for r in df.filter("level is not null").select("level").distinct().collect())
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
@@ -97,18 +133,33 @@ def candidate_pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Pairs of polygons (columns prefixed ``a_``/``b_``) whose bounding
     boxes intersect, each pair exactly once, plus the bounding box of the
     intersection (``minx..maxy``).  Inputs need ``minx..maxy`` columns."""
-    ga = _prefixed(_grid(a, cell), "a_")
-    gb = _prefixed(_grid(b, cell), "b_")
-    j = ga.join(gb, (ga.a_gx == gb.b_gx) & (ga.a_gy == gb.b_gy))
-    j = j.withColumns({
-        "minx": F.greatest("a_minx", "b_minx"), "maxx": F.least("a_maxx", "b_maxx"),
-        "miny": F.greatest("a_miny", "b_miny"), "maxy": F.least("a_maxy", "b_maxy")})
-    c = F.lit(float(cell))
-    j = j.filter((F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))
-                 & (F.floor(F.col("minx") / c) == F.col("a_gx"))
-                 & (F.floor(F.col("miny") / c) == F.col("a_gy")))
-    return j.drop("a_gx", "a_gy", "b_gx", "b_gy", "a_minx", "a_maxx", "a_miny", "a_maxy",
-                  "b_minx", "b_maxx", "b_miny", "b_maxy")
+    a, b = (df if "level" in df.columns else with_level(df, cell) for df in (a, b))
+    levels_a, levels_b = _levels(a), _levels(b)
+    own = F.col("level")
+
+    def coarser(levels: list[int], strictly: bool) -> Column:
+        wanted = F.array(*[F.lit(x) for x in levels])
+        return F.explode(F.filter(wanted, lambda x: x > own if strictly else x >= own))
+
+    joins = []
+    if levels_a and levels_b:
+        if levels_b[-1] >= levels_a[0]:   # a's rings no larger than b's
+            joins.append((_entered(a, cell, coarser(levels_b, False)), _entered(b, cell, own)))
+        if levels_a[-1] > levels_b[0]:    # and the other way round
+            joins.append((_entered(a, cell, own), _entered(b, cell, coarser(levels_a, True))))
+    joins = joins or [(_entered(a, cell, own), _entered(b, cell, own))]
+    parts = []
+    for left, right in joins:
+        ga, gb = _prefixed(left, "a_"), _prefixed(right, "b_")
+        j = ga.join(gb, (ga.a_gl == gb.b_gl) & (ga.a_gx == gb.b_gx) & (ga.a_gy == gb.b_gy))
+        j = j.withColumns({
+            "minx": F.greatest("a_minx", "b_minx"), "maxx": F.least("a_maxx", "b_maxx"),
+            "miny": F.greatest("a_miny", "b_miny"), "maxy": F.least("a_maxy", "b_maxy")})
+        parts.append(j.filter((F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy"))
+                              & (F.floor(F.col("minx") / F.col("a__side")) == F.col("a_gx"))
+                              & (F.floor(F.col("miny") / F.col("a__side")) == F.col("a_gy"))))
+    boxes = [f"{p}{c}" for p in ("a_", "b_") for c in ("gl", "gx", "gy", "_side", "level", "minx", "maxx", "miny", "maxy")]
+    return reduce(DataFrame.unionByName, parts).drop(*boxes)
 
 
 # ------------------------------------------------- exact area, JVM side
@@ -127,7 +178,8 @@ def _v(name):
 
 def ring(xs: str, ys: str) -> str:
     i = _v("i")
-    return f"transform(sequence(0, size({xs}) - 1), {i} -> named_struct('x', CAST({xs}[{i}] AS DOUBLE), 'y', CAST({ys}[{i}] AS DOUBLE)))"
+    none = "CAST(array() AS array<struct<x:double,y:double>>)"
+    return f"IF(size({xs}) < 3, {none}, transform(sequence(0, size({xs}) - 1), {i} -> named_struct('x', CAST({xs}[{i}] AS DOUBLE), 'y', CAST({ys}[{i}] AS DOUBLE))))"
 
 
 def bind(expr: str, body) -> str:
@@ -196,7 +248,8 @@ def convex(C: str) -> str:
 def pieces(C: str) -> str:
     """Signed convex pieces of a bound CCW ring: the ring itself when it is
     convex (one clip with all its edges), otherwise its fan triangles."""
-    return (f"IF({convex(C)}, array(named_struct('s', CAST(1 AS DOUBLE), 't', {C})), {fan(C)})")
+    none = "CAST(array() AS array<struct<s:double,t:array<struct<x:double,y:double>>>>)"
+    return (f"IF(size({C}) < 3, {none}, IF({convex(C)}, array(named_struct('s', CAST(1 AS DOUBLE), 't', {C})), {fan(C)}))")
 
 
 def _nest(P: str, piece_lists: Sequence[str]) -> str:
@@ -249,63 +302,54 @@ def build_crosswalk(small: DataFrame, large: DataFrame, cell: float | None = Non
                     min_share: float = 0.20, clip: DataFrame | None = None) -> DataFrame:
     """Crosswalk of small units to large units.
 
-    ``small`` and ``large`` carry ``xs``, ``ys`` and their own id columns
-    (distinct names).  With ``clip`` (polygons with ``xs``/``ys``), small
+    ``small`` and ``large`` carry ``xs``, ``ys``, ``sign`` where they have parts
+    or holes, and their own id columns (distinct names).  With ``clip`` (polygons with ``xs``/``ys``), small
     units are first cut to the clip shape, and their areas are the clipped
     areas.  Keeps pairs holding at least ``min_share`` of the small unit's
     area; returns the id columns, ``prc_large_area`` and ``prc_small_area``.
     ``cell`` is the candidate grid size; by default it is derived from the
     small layer (``grid_cell_size``).
     """
+    small, large = signed_rings(small), signed_rings(large)
     if cell is None:
         cell = grid_cell_size(small)
-    s_ids = [c for c in small.columns if c not in ("xs", "ys")]
-    l_ids = [c for c in large.columns if c not in ("xs", "ys")]
-    # ring orientation, convexity and fan are facts of a polygon, computed
-    # once per polygon here rather than once per candidate pair
-    small_b = with_bbox(small).withColumn("ring", prepared_ring())
-    large_b = (with_bbox(large).withColumn("large_area", ring_area())
-               .withColumn("pieces", prepared_pieces()))
+    s_ids = [c for c in small.columns if c not in ("xs", "ys", "sign")]
+    l_ids = [c for c in large.columns if c not in ("xs", "ys", "sign")]
+    # ring orientation, convexity and fan are facts of a ring, computed
+    # once per ring here rather than once per candidate pair
+    small_b = with_level(with_bbox(small), cell).withColumn("ring", prepared_ring()).drop("xs", "ys")
+    large_area = large.groupBy(*l_ids).agg(F.sum(F.col("sign") * ring_area()).alias("large_area"))
+    large_b = with_level(with_bbox(large), cell).withColumn("pieces", prepared_pieces()).drop("xs", "ys")
     if clip is None:
-        small_area = small_b.select(*s_ids, ring_area().alias("small_area"))
-        pairs = candidate_pairs(small_b, large_b, cell)
-        pieces = pairs.withColumn("intersect_area", prepared_overlap_expr("a_ring", ["b_pieces"]))
+        cut = small_b
     else:
-        clip_b = with_bbox(clip.select("xs", "ys")).withColumn("pieces", prepared_pieces())
-        cut = candidate_pairs(small_b, clip_b, cell)
-        # each unit clipped once per convex piece of the clip shape: a signed
-        # ring, reused for every planning area it meets
-        cut = cut.select(*[F.col(f"a_{c}").alias(c) for c in s_ids], "minx", "maxx", "miny", "maxy",
-                         F.explode("b_pieces").alias("_piece"), "a_ring")
-        cut = cut.select(*s_ids, "minx", "maxx", "miny", "maxy", F.col("_piece.s").alias("sign"),
+        clip = signed_rings(clip).select("xs", "ys", "sign")
+        clip_b = with_level(with_bbox(clip), cell).withColumn("pieces", prepared_pieces()).drop("xs", "ys")
+        met = candidate_pairs(small_b.withColumn("own", F.col("level")), clip_b, cell)
+        # each ring clipped once per convex piece of the clip shape: signed
+        # rings, reused for every planning area they meet.  They keep the ring's level
+        met = met.select(*[F.col(f"a_{c}").alias(c) for c in s_ids], "minx", "maxx", "miny", "maxy", F.col("a_own").alias("level"),
+                         (F.col("a_sign") * F.col("b_sign")).alias("sign"), F.explode("b_pieces").alias("_piece"), "a_ring")
+        cut = met.select(*s_ids, "minx", "maxx", "miny", "maxy", "level", (F.col("sign") * F.col("_piece.s")).alias("sign"),
                          F.expr(clip_ring("a_ring", "_piece.t")).alias("ring"))
-        # the clipped area of a unit, in a small aggregate joined at the end
-        small_area = cut.groupBy(*s_ids).agg(
-            F.sum(F.col("sign") * F.expr(bind("ring", area_of))).alias("small_area"))
-        # the three-way areas are computed right in the candidate-join
-        # stage (no shuffle in between), where the pairs are spread widest
-        pairs = candidate_pairs(cut, large_b, cell)
-        pieces = pairs.withColumn("intersect_area",
-                                  F.col("a_sign") * prepared_overlap_expr("a_ring", ["b_pieces"]))
-    pieces = pieces.groupBy(*[F.col(f"a_{c}").alias(c) for c in s_ids],
-                            *[F.col(f"b_{c}").alias(c) for c in l_ids],
-                            F.col("b_large_area").alias("large_area")).agg(
+    # the (clipped) area of a unit, in a small aggregate joined at the end
+    small_area = cut.groupBy(*s_ids).agg(F.sum(F.col("sign") * F.expr(bind("ring", area_of))).alias("small_area"))
+    pairs = candidate_pairs(cut, large_b, cell)
+    overlap = F.col("a_sign") * F.col("b_sign") * prepared_overlap_expr("a_ring", ["b_pieces"])
+    pieces = pairs.withColumn("intersect_area", overlap).groupBy(
+        *[F.col(f"a_{c}").alias(c) for c in s_ids], *[F.col(f"b_{c}").alias(c) for c in l_ids]).agg(
         F.sum("intersect_area").alias("intersect_area"))
-    pieces = pieces.filter(F.col("intersect_area") > 0).join(small_area, s_ids)
+    pieces = pieces.filter(F.col("intersect_area") > 0).join(small_area, s_ids).join(large_area, l_ids)
     out = pieces.select(
         *s_ids, *l_ids,
         F.try_divide(F.col("intersect_area"), F.col("large_area")).alias("prc_large_area"),
         F.try_divide(F.col("intersect_area"), F.col("small_area")).alias("prc_small_area"))
-    return out.filter(F.col("prc_small_area") >= F.lit(float(min_share))).distinct()
-
+    return out.filter(F.col("prc_small_area") >= F.lit(float(min_share)))
 
-def attach_crosswalk(df: DataFrame, xwalk: DataFrame, key: str, bounded: bool = True) -> DataFrame:
-    """Many-to-many left join of rows to their crosswalk areas.
 
-    A crosswalk has one row per overlapping pair of areas, so its size is
-    set by the geography, not by the data; ``bounded`` broadcasts it.  A unit
-    in two areas counts fully in both (area totals may exceed the whole),
-    as published.
+def attach_crosswalk(df: DataFrame, xwalk: DataFrame, key: str) -> DataFrame:
+    """Many-to-many left join of rows to their crosswalk areas (D2); Spark
+    broadcasts the crosswalk where it measures it as small.  A unit in two areas
+    counts fully in both (area totals may exceed the whole), as published.
     """
-    x = F.broadcast(xwalk) if bounded else xwalk
-    return df.join(x, key, "left")
+    return df.join(xwalk, key, "left")

@@ -42,6 +42,7 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "select_variables": (RQ.select_variables, O.q_select_variables),
     "ring_area": (SPQ.ring_area, O.q_ring_area),
     "ring_centroid": (SPQ.ring_centroid, O.q_ring_centroid),
+    "wkt_layers": (SPQ.wkt_layers, O.q_wkt_layers),
     "overlay_crosswalk": (SPQ.overlay_crosswalk, O.q_overlay_crosswalk),
     "survey_by_crosswalk": (SPQ.survey_by_crosswalk, O.q_survey_by_crosswalk),
     "closure_table": (RQ.closure_table, O.q_closure_table),

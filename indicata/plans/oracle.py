@@ -574,6 +574,20 @@ def q_ring_centroid() -> str:
                FROM ({_all_parts()}) p GROUP BY layer, id"""
 
 
+def q_wkt_layers() -> str:
+    d = SP.DIGITS
+    x0, y0 = f"((c_custkey % {SP.GRID}) * {int(SP.SIDE)})", f"(c_custkey // {SP.GRID} * {int(SP.SIDE)})"
+    boxes = [(1, 0, 0, 10, 10), (-1, *SP.HOLE), (1, *SP.ISLAND)]
+    area = " + ".join(f"{s * w * h}" for s, _, _, w, h in boxes)
+    cx = " + ".join(f"{s * w * h} * ({x0} + {dx} + {w / 2})" for s, dx, _, w, _h in boxes for h in (_h,))
+    cy = " + ".join(f"{s * w * h} * ({y0} + {dy} + {h / 2})" for s, _, dy, w, h in boxes)
+    return f"""
+  SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN CAST({area} AS DOUBLE) ELSE 0.0::DOUBLE END AS area,
+         CASE WHEN c_custkey % 7 <> 0 THEN round(({cx})::DOUBLE / ({area}), {d}) END AS cx,
+         CASE WHEN c_custkey % 7 <> 0 THEN round(({cy})::DOUBLE / ({area}), {d}) END AS cy
+  FROM customer"""
+
+
 def q_survey_by_crosswalk(cut: float = 100) -> str:
     el = eligible_sql(person_filter="AGEP < 5")
     el = el.replace("g.geoid", "g.nationkey")

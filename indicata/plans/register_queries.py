@@ -292,5 +292,5 @@ def select_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.concat(stem, F.lit("E")).alias("variable"), F.col("l_quantity").alias("estimate")),
         F.struct(F.concat(stem, F.lit("M")).alias("variable"),
                  F.col("l_linenumber").cast("double").alias("estimate")))))
-    chosen = readers.select_variables(catalog, estimates, CATALOG_CONCEPT, CATALOG_LABEL, bounded=False)
+    chosen = readers.select_variables(catalog, estimates, CATALOG_CONCEPT, CATALOG_LABEL)
     return chosen.groupBy("variable").agg(F.sum("estimate").alias("value"), F.count(F.lit(1)).alias("rows"))

@@ -52,9 +52,9 @@ def capacity_by_zip(centers: DataFrame, homes: DataFrame, zips: DataFrame,
                     population: DataFrame | None = None, strict_reference: bool = False) -> DataFrame:
     """Licensed centers and homes with their capacity per requested ZIP code
     (C14 D4 D5 E9 C19).  ``zips`` is the requested list (one column
-    ``zip``), bounded by the request and broadcast; ``population`` (zip,
+    ``zip``); ``population`` (zip,
     total_0_5, moe_0_5) is optional."""
-    spine = F.broadcast(zips.select(F.col("zip").cast("string").alias("zip")).distinct())
+    spine = zips.select(F.col("zip").cast("string").alias("zip")).distinct()
 
     def summary(df, n, cap):
         d = df.filter(in_set("facility_status", [LICENSED]))

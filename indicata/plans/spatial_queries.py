@@ -18,6 +18,7 @@ from indicata.operators import crosswalk as X
 from indicata.operators import survey
 from indicata.plans import standins as S
 from indicata.plans import survey_queries as SQ
+from indicata.sources import readers
 
 # Fixed values of the test layout.
 GRID = 50
@@ -28,6 +29,7 @@ CLIP_X = 4.0
 CELL = 50.0
 MIN_SHARE = 0.20
 DIGITS = 9
+HOLE, ISLAND = (2, 2, 2, 3), (20, 0, 4, 3)   # x and y from the square's corner, width, height
 
 
 def _arr(*vals):
@@ -102,6 +104,26 @@ def ring_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.round(cy, DIGITS).alias("cy"))
 
 
+def wkt_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 J1 J5 over text: each customer's square with a hole, and an island a
+    row of squares away, as a WKT multipolygon; its area and centroid."""
+    c = S.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    x0, y0 = (k % GRID) * int(SIDE), F.floor(k / GRID) * int(SIDE)
+
+    def box(dx, dy, w, h):
+        points = [(dx, dy), (dx + w, dy), (dx + w, dy + h), (dx, dy + h), (dx, dy)]
+        text = [F.concat_ws(" ", (x0 + F.lit(x)).cast("string"), (y0 + F.lit(y)).cast("string")) for x, y in points]
+        return F.concat(F.lit("("), F.concat_ws(", ", *text), F.lit(")"))
+
+    wkt = F.concat(F.lit("MULTIPOLYGON (("), box(0, 0, 10, 10), F.lit(", "), box(*HOLE), F.lit("), ("), box(*ISLAND), F.lit("))"))
+    rings = c.select(k.alias("id"), F.inline(readers.wkt_rings(F.when(k % 7 != 0, wkt).otherwise(F.lit("POLYGON EMPTY")))))
+    measured = X.polygon_measures(rings, ["id"])
+    out = c.select(k.alias("id")).join(measured, "id", "left")   # an empty polygon has no ring to measure
+    return out.select("id", F.round(F.coalesce("area", F.lit(0.0)), DIGITS).alias("area"),
+                      F.round("cx", DIGITS).alias("cx"), F.round("cy", DIGITS).alias("cy"))
+
+
 def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     xw = X.build_crosswalk(pumas(spark, sf_dir), spas(spark, sf_dir), CELL, MIN_SHARE,
                            clip=state_outline(spark, sf_dir).select("xs", "ys"))
@@ -129,9 +151,10 @@ def survey_by_crosswalk(spark: SparkSession, sf_dir: str, cut: float = 100) -> D
     indicator) cells first costs an extra 81-column aggregate and saves
     nothing (measured).  With real PUMAs, thousands of households per unit,
     ``pums.area_run`` sums to cells before the join."""
-    df = SQ.eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, geo_cols=())
+    df = SQ.eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, geo_cols=(), replicates=False)
     df = df.withColumn("PUMA", F.col("o_custkey").cast("string"))
     xw = crosswalk(spark, sf_dir).select("PUMA", F.col("SPA_NAME").alias("geoid"))
-    df = X.attach_crosswalk(df, xw, "PUMA", bounded=False).withColumn("indicator", SQ._indicator(cut))
+    # rows cross the join narrow; the replicate weights are added after it
+    df = S.add_household_replicates(X.attach_crosswalk(df, xw, "PUMA")).withColumn("indicator", SQ._indicator(cut))
     out = survey.survey_rate(df, S.HH_DESIGN, ["geoid"], "indicator")
     return out.filter((F.col("indicator") == SQ.AT_OR_BELOW) & F.col("geoid").isNotNull())

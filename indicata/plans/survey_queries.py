@@ -26,7 +26,7 @@ RECODE_INPUTS = ["HISP", "RAC1P", "RACAIAN", "RACPI", "RACNH", "ANC1P", "ANC2P"]
 
 def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
              person_filter=None, recoded: bool = False,
-             geo_cols: tuple = ("geoid",), keep: tuple = ("POVPIP",)) -> DataFrame:
+             geo_cols: tuple = ("geoid",), keep: tuple = ("POVPIP",), replicates: bool = True) -> DataFrame:
     """Households with their representative person, weights and area.
 
     The reference recodes every person before picking one per household.
@@ -42,7 +42,7 @@ def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
     if recoded:
         picked = recode.race_recode(picked, S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS)
     placed = picked.join(S.geography(spark, sf_dir).select("o_custkey", *geo_cols), "o_custkey", "left")
-    return S.add_household_replicates(placed)
+    return S.add_household_replicates(placed) if replicates else placed
 
 
 def eligible_households(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,38 +111,41 @@ def read_open_csv(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def select_variables(catalog: DataFrame, estimates: DataFrame, concept: str, label: str,
-                     name_col: str = "name", variable_col: str = "variable",
-                     bounded: bool = True) -> DataFrame:
+                     name_col: str = "name", variable_col: str = "variable") -> DataFrame:
     """Variables of a concept+label from the catalogue, as estimate (``E``)
     and margin (``M``) names, semi-joined to a long estimates table (A8).
-    A published variable catalogue selects a handful of names, so with
-    ``bounded`` the selection is broadcast; otherwise the planner decides."""
+    Spark broadcasts the selection where it measures it as small."""
     picked = catalog.filter((F.col("concept") == concept) & (F.col("label") == label))
     names = picked.select(F.explode(F.array(F.concat(F.col(name_col), F.lit("E")),
                                             F.concat(F.col(name_col), F.lit("M")))).alias(variable_col))
-    return estimates.join(F.broadcast(names) if bounded else names, variable_col, "left_semi")
+    return estimates.join(names, variable_col, "left_semi")
 
 
-def wkt_ring(wkt: Column) -> tuple[Column, Column]:
-    """Outer ring of a WKT ``POLYGON ((x y, ...))`` as ``xs``/``ys`` arrays,
-    parsed in the JVM; a closing vertex equal to the first is dropped."""
-    body = F.regexp_extract(wkt, r"\(\(\s*([^()]*?)\s*\)", 1)
-    pts = F.split(body, r"\s*,\s*")
-    xy = F.transform(pts, lambda p: F.split(F.trim(p), r"\s+"))
-    xs = F.transform(xy, lambda a: a[0].cast("double"))
-    ys = F.transform(xy, lambda a: a[1].cast("double"))
-    n = F.size(xs)
-    closed = (xs[0] == xs[n - 1]) & (ys[0] == ys[n - 1]) & (n > 1)
-    xs = F.when(closed, F.slice(xs, 1, n - 1)).otherwise(xs)
-    ys = F.when(closed, F.slice(ys, 1, n - 1)).otherwise(ys)
-    return xs, ys
+def wkt_rings(wkt: Column) -> Column:
+    """The rings of a WKT ``POLYGON`` or ``MULTIPOLYGON`` as an array of (sign, xs, ys),
+    parsed in the JVM: sign 1 for the outer ring of a part, -1 for a hole.  A closing vertex
+    equal to the first is dropped; an empty polygon, a null or another shape has none."""
+    ring = r"(\(?)\s*\(\s*([^()]+?)\s*\)"   # a ring whose bracket follows another one opens a part
+    polygon = F.coalesce(F.upper(wkt).rlike(r"^\s*(MULTI)?POLYGON"), F.lit(False))
+    opens, bodies = (F.regexp_extract_all(wkt, F.lit(ring), F.lit(g)) for g in (1, 2))
+
+    def parsed(opening: Column, body: Column) -> Column:
+        points = F.transform(F.split(body, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
+        closed = (F.size(points) > 1) & (F.get(points, F.lit(0)) == F.get(points, F.size(points) - 1))
+        open_points = F.when(closed, F.slice(points, 1, F.size(points) - 1)).otherwise(points)
+        xs = F.transform(open_points, lambda p: F.get(p, F.lit(0)).cast("double"))
+        ys = F.transform(open_points, lambda p: F.get(p, F.lit(1)).cast("double"))
+        return F.struct(F.when(opening == "(", 1.0).otherwise(-1.0).alias("sign"), xs.alias("xs"), ys.alias("ys"))
+
+    none = F.array().cast("array<struct<sign:double,xs:array<double>,ys:array<double>>>")
+    return F.when(polygon, F.zip_with(opens, bodies, parsed)).otherwise(none)
 
 
 def read_polygons(spark: SparkSession, path: str, fmt: str = "parquet", wkt_col: str | None = None) -> DataFrame:
     """Polygon layer (A9): Parquet with ``xs``/``ys`` rings, or any table with
-    a WKT column that is parsed into rings."""
+    a WKT column that is parsed into one row per ring, with its sign."""
     df = spark.read.format(fmt).option("header", True).load(path)
     if wkt_col is not None:
-        xs, ys = wkt_ring(F.col(wkt_col))
-        df = df.withColumns({"xs": xs, "ys": ys}).drop(wkt_col)
+        others = [c for c in df.columns if c != wkt_col]
+        df = df.select(*others, F.inline(wkt_rings(F.col(wkt_col))))
     return df

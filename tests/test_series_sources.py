@@ -53,8 +53,7 @@ def test_jdbc_options():
 
 def test_wkt_ring(spark):
     df = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 2, 0 2, 0 0))",)], "wkt string")
-    xs, ys = SRC.wkt_ring(F.col("wkt"))
-    (r,) = df.select(xs.alias("xs"), ys.alias("ys")).collect()
+    (r,) = df.select(F.inline(SRC.wkt_rings(F.col("wkt")))).collect()
     assert r.xs == [0.0, 4.0, 4.0, 0.0] and r.ys == [0.0, 0.0, 2.0, 2.0]
 
 

@@ -89,12 +89,11 @@ def test_candidate_pairs_each_pair_once(spark):
     assert pairs.count() == 1
 
 
-def test_attach_crosswalk_is_broadcast(spark):
+def test_attach_crosswalk_counts_a_unit_in_each_area(spark):
     df = spark.createDataFrame([("p1", 1)], "PUMA string, v int")
     xw = spark.createDataFrame([("p1", "s1"), ("p1", "s2")], "PUMA string, SPA string")
     out = X.attach_crosswalk(df, xw, "PUMA")
     assert out.count() == 2
-    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_random_polygons_match_reference(spark):
@@ -134,3 +133,41 @@ def test_grid_cell_size_from_data(spark):
                                   "SPA string, xs array<double>, ys array<double>")
     xw = {(r.PUMA, r.SPA) for r in X.build_crosswalk(small, large).collect()}
     assert xw == {("p1", "s1"), ("p1", "s2"), ("p2", "s2")}
+
+
+def test_parts_holes_and_empty_rings(spark):
+    from indicata.sources import wkt_rings
+    texts = ["MULTIPOLYGON (((0 0, 4 0, 4 2, 0 2, 0 0)), ((10 10, 20 10, 20 20, 10 20, 10 10)))",
+             "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))", "POLYGON EMPTY", "POINT (1 2)", None, "POLYGON ((1 1, 2 2))"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, wkt string")
+    rings = df.select("id", F.inline(wkt_rings(F.col("wkt"))))
+    assert {r.id: r.area for r in X.polygon_measures(rings, ["id"]).collect()} == {0: 108.0, 1: 96.0, 5: 0.0}
+    empty = spark.createDataFrame([("e", [], [])], "id string, xs array<double>, ys array<double>")
+    assert empty.select(X.ring_area().alias("a"), X.ring_centroid()[0].alias("c")).first().asDict() == {"a": 0.0, "c": None}
+
+
+def test_crosswalk_of_parts_holes_and_empty_rings(spark):
+    schema = "xs array<double>, ys array<double>, sign double"
+    small = spark.createDataFrame([("p", *rect(0, 0, 10, 10), 1.0), ("p", *rect(0, 0, 5, 5), -1.0), ("p", *rect(100, 0, 105, 5), 1.0), ("e", [], [], 1.0)], f"PUMA string, {schema}")
+    large = spark.createDataFrame([("w", *rect(0, 0, 5, 10), 1.0), ("w", *rect(100, 0, 200, 100), 1.0), ("o", *rect(5, 0, 10, 10), 1.0), ("o", *rect(6, 6, 8, 8), -1.0)], f"SPA string, {schema}")
+    clip = spark.createDataFrame([(*rect(-5, -5, 300, 300), 1.0), (*rect(0, 9, 300, 10), -1.0)], schema)
+    got = {r.SPA: round(r.prc_small_area, 9) for r in X.build_crosswalk(small, large, cell=4.0, min_share=0.0).collect()}
+    assert got == {"w": 0.5, "o": 0.46}
+    cut = {r.SPA: round(r.prc_small_area * 90, 6) for r in X.build_crosswalk(small, large, cell=4.0, min_share=0.0, clip=clip).collect()}
+    assert cut == {"w": 45.0, "o": 41.0}
+
+
+def test_a_large_ring_enters_few_cells(spark):
+    big = X.with_level(X.with_bbox(spark.createDataFrame([("b", *rect(0.5, 0.5, 1e6, 1e6))], "id string, xs array<double>, ys array<double>")), 1.0)
+    assert X._entered(big, 1.0, F.col("level")).count() <= 4
+    tiny = spark.createDataFrame([(i, *rect(i * 1000, i * 1000, i * 1000 + 1, i * 1000 + 1)) for i in range(50)], "k int, xs array<double>, ys array<double>")
+    assert X.candidate_pairs(X.with_bbox(tiny), big, 1.0).count() == 50
+    assert X.candidate_pairs(big, X.with_bbox(tiny), 1.0).count() == 50
+
+
+def test_no_replicate_column_below_the_crosswalk_exchange(spark):
+    from indicata.plans import spatial_queries as SP
+    plan = SP.survey_by_crosswalk(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    joined = min(i for i, line in enumerate(lines) if "Join" in line)
+    assert max(i for i, line in enumerate(lines) if "AS WGTP1#" in line) < joined and "RoundRobinPartitioning" not in plan
