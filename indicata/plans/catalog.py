@@ -39,6 +39,8 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "sum_strict": (RQ.sum_strict, O.q_sum_strict),
     "rate_per_base": (RQ.rate_per_base, O.q_rate_per_base),
     "paired_unpivot": (RQ.paired_unpivot, O.q_paired_unpivot),
+    "microdata_text": (RQ.microdata_text, O.q_microdata_text),
+    "label_table": (RQ.label_table, O.q_label_table),
     "select_variables": (RQ.select_variables, O.q_select_variables),
     "ring_area": (SPQ.ring_area, O.q_ring_area),
     "ring_centroid": (SPQ.ring_centroid, O.q_ring_centroid),

@@ -744,3 +744,21 @@ def q_select_variables() -> str:
           SELECT 'V' || CAST(l_partkey AS VARCHAR) || 'M', CAST(l_linenumber AS DOUBLE) FROM lineitem)
   SELECT variable, sum(estimate) AS value, count(*) AS rows
   FROM est WHERE variable IN (SELECT variable FROM names) GROUP BY variable"""
+
+
+def q_microdata_text() -> str:
+    rows = """
+    SELECT lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS serial, lpad(CAST(l_suppkey % 100 + 3600 AS VARCHAR), 5, '0') AS puma,
+           CAST(l_quantity AS INTEGER) AS age, CASE WHEN l_tax <> 0 THEN CAST(l_partkey AS DOUBLE) END AS ratio FROM lineitem"""
+    return f"""
+  SELECT puma, count(*) AS persons, min(serial) AS first_serial, CAST(sum(age) AS BIGINT) AS ages, count(ratio) AS with_ratio, sum(ratio) AS ratios
+  FROM ({rows}) r WHERE contains(puma, '{RQ.AREA_CODE}') GROUP BY puma"""
+
+
+def q_label_table() -> str:
+    levels = " ".join(f"WHEN '{v}' THEN {i + 1}" for i, v in enumerate(RQ.LEVELS))
+    return f"""
+  SELECT n_name || ': ' || coalesce(seg, 'NA') AS label_text, seg AS market_segment, CAST(count(*) AS VARCHAR) AS no_of_accounts,
+         CAST(CASE WHEN seg IS NULL THEN NULL ELSE CASE seg {levels} ELSE {len(RQ.LEVELS) + 1} END END AS VARCHAR) AS level
+  FROM (SELECT n_name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey) x
+  GROUP BY n_name, seg"""

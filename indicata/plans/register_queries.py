@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from indicata.functions.scalars import (cast_all_text, comma, month_name, parse_date, parse_number, round_half_even,
+from indicata.functions.scalars import (cast_all_text, clean_names, comma, level_order, month_name, paste, parse_date, parse_number, round_half_even,
                                         strict_sum)
 from indicata.operators import aggregate as A
-from indicata.operators import recode, reshape, series
+from indicata.operators import households, recode, reshape, series
 from indicata.plans import standins as S
 from indicata.sources import readers
 
@@ -294,3 +294,46 @@ def select_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("l_linenumber").cast("double").alias("estimate")))))
     chosen = readers.select_variables(catalog, estimates, CATALOG_CONCEPT, CATALOG_LABEL)
     return chosen.groupBy("variable").agg(F.sum("estimate").alias("value"), F.count(F.lit(1)).alias("rows"))
+
+
+# ------------------------------------------------------------- text feeds
+
+MICRODATA = "SERIALNO STRING, PUMA10 STRING, PUMA20 STRING, AGEP INT, POVPIP DOUBLE"
+AREA_CODE = "7"
+
+
+def microdata_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items as lines of a microdata file: codes with leading zeros, each
+    vintage's area blank in the other's rows, a ratio that isn't always a number."""
+    li = S.table(spark, sf_dir, "lineitem")
+    area = F.lpad((F.col("l_suppkey") % 100 + 3600).cast("string"), 5, "0")
+    early = F.col("l_linenumber") % 2 == 0
+    blank = F.lit("")
+    return li.select(F.concat_ws(
+        ",", F.lpad(F.col("l_orderkey").cast("string"), 9, "0"), F.when(early, area).otherwise(blank), F.when(early, blank).otherwise(area),
+        F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_tax") != 0, F.col("l_partkey").cast("string")).otherwise(F.lit("n/a"))).alias("line"))
+
+
+def microdata_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines parsed, the areas that hold the code in either vintage's
+    column, persons and ratios by area."""
+    people = readers.parse_rows(microdata_lines(spark, sf_dir), "line", MICRODATA)
+    return households.in_area(people, ["PUMA10", "PUMA20"], AREA_CODE).groupBy(F.coalesce("PUMA10", "PUMA20").alias("puma")).agg(
+        F.count(F.lit(1)).alias("persons"), F.min("SERIALNO").alias("first_serial"), F.sum("AGEP").alias("ages"),
+        F.count("POVPIP").alias("with_ratio"), F.sum("POVPIP").alias("ratios"))
+
+
+LEVELS = ("HOUSEHOLD", "BUILDING", "AUTOMOBILE")
+
+
+def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts by nation and segment, labels pasted with a missing
+    segment as text, names cleaned, everything text, in the order of given levels."""
+    c = S.table(spark, sf_dir, "customer")
+    n = F.broadcast(S.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))   # 25 rows by construction
+    segment = F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(
+        paste("n_name", segment, sep=": ", na_as_text=True).alias("Label Text"), segment.alias("Market Segment")).agg(
+        F.count(F.lit(1)).alias("No. of Accounts"))
+    clean = clean_names(rows).withColumn("level", level_order("market_segment", LEVELS))
+    return cast_all_text(clean.orderBy("level", "label_text"))

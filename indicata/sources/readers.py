@@ -31,6 +31,13 @@ def read_microdata(spark: SparkSession, path: str, string_cols: Iterable[str] =
     return reader.schema(schema).csv(path)
 
 
+def parse_rows(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows of delimited text as typed columns (A1-A3): the reader's parsing for
+    text that arrives in a column.  Code columns typed as text keep leading zeros; a value
+    that doesn't fit its type is null."""
+    return df.select(F.from_csv(F.col(column), schema).alias("_row")).select("_row.*")
+
+
 def to_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Convert a text feed once to Parquet (column pruning, pushdown)."""
     w = df.write.mode("overwrite")
