@@ -80,8 +80,9 @@ def person_weighted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7 + C6: person-weighted share of persons under 5, by area."""
     people = S.persons(spark, sf_dir).select("SERIALNO", "l_linenumber", "AGEP")
     homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
-    df = (S.add_person_weights(people.join(homes, "SERIALNO"))
-                .join(S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
+    placed = people.join(homes, "SERIALNO").join(S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
+    # the weights are added where they are summed: rows cross the joins narrow
+    df = (S.add_person_weights(placed)
                 .withColumn("age_group", F.when(F.col("AGEP") < 5, F.lit("Under 5"))
                             .when(F.col("AGEP") >= 5, F.lit("Not under 5"))))
     return survey.survey_rate(df, S.PERSON_DESIGN, ["geoid"], "age_group")
