@@ -49,6 +49,7 @@ WORDS = frozenset(
     "disqus respond replies share sharing social breadcrumb breadcrumbs related recommended recommendations pagination pager widget toolbar skip "
     "copyright legal disclaimer".split())
 ARTICLE = frozenset(("article", "main"))
+BOX = frozenset(("div", "section", "ul", "ol", "table", "dl"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -59,10 +60,10 @@ _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children", "bad")
+    __slots__ = ("tag", "signature", "children", "bad", "content")
 
     def __init__(self, tag: str, mark: str = "", bad: bool = False):
-        self.tag, self.mark, self.children, self.bad = tag, mark, [], bad
+        self.tag, self.signature, self.children, self.bad, self.content = tag, f"{tag}.{mark}" if mark else tag, [], bad, ""
 
 
 def _marked(tag: str, attrs: str) -> tuple[str, bool]:
@@ -79,7 +80,7 @@ def _marked(tag: str, attrs: str) -> tuple[str, bool]:
                 bad |= value.lower() in ROLES
             elif name == "hidden" or value.lower() == "true":
                 bad = True
-    return re.sub(r"\d+", "0", mark.strip()), bad
+    return re.sub(r"\d+", "0", " ".join(mark.split())), bad
 
 
 def parse(page: str) -> Node:
@@ -142,28 +143,49 @@ def _close(stack: list[Node], tags: tuple[str, ...]) -> None:
 
 
 # ---- wrappers -------------------------------------------------------------
-# A skeleton is [signature, content hash, children]: neighbours of one signature are
-# folded into one node, so that a list of any length aligns with any other.
-
-def skeleton(node: Node) -> list:
-    children: list[list] = []
-    content = xxhash.xxh3_64()
+# A skeleton is [signature, members, children]: siblings of one signature are folded into
+# one node, so that a list of any length aligns with any other, and their children are
+# folded together.  Members are the elements themselves, in a wrapper the contents that
+# are constant.  Children are in the order of their signatures, so that matching in
+# order finds every pair.
+
+def seal(node: Node) -> Node:
+    """``node`` with a hash of its content at each element: "" where it shows no text."""
+    content, shown = xxhash.xxh3_64(), False
     for child in node.children:
         if isinstance(child, str):
-            content.update(" ".join(child.split()).encode("utf-8", "replace"))
-            continue
-        if child.tag in RAW or child.tag in VOID:
-            continue
-        one = skeleton(child)
-        content.update(one[1].encode())
-        if children and children[-1][0] == one[0]:
-            folded = children[-1]
-            folded[1] = xxhash.xxh3_64_hexdigest(folded[1] + one[1])
-            if len(one[2]) > len(folded[2]):
-                folded[2] = one[2]
-        else:
-            children.append(one)
-    return [f"{node.tag}.{node.mark}" if node.mark else node.tag, content.hexdigest(), children]
+            text = " ".join(child.split())
+            if text:
+                content.update(f"{text}\0".encode("utf-8", "replace"))
+                shown = True
+        elif not child.bad and child.tag not in RAW and child.tag not in VOID:
+            seal(child)
+            if child.content:
+                content.update(f"<{child.signature}\0{child.content}".encode("utf-8", "replace"))
+                shown = True
+    node.content = content.hexdigest() if shown else ""
+    return node
+
+
+def skeleton(members: list[Node]) -> list:
+    kinds: dict[str, list[Node]] = {}
+    for node in members:
+        for child in node.children:
+            if not isinstance(child, str) and not child.bad and child.content:
+                kinds.setdefault(child.signature, []).append(child)
+    return [members[0].signature, members, [skeleton(kinds[k]) for k in sorted(kinds)]]
+
+
+def judged(node: Node, in_article: bool) -> bool:
+    """Whether an element is dropped where it is constant."""
+    return node.tag in BOX or not in_article and node.tag in BLOCK and node.tag not in ("html", "body")
+
+
+def contents(node: list, in_article: bool = False) -> list:
+    """A skeleton with the distinct contents of its judged members for the members."""
+    inside = in_article or node[1][0].tag in ARTICLE
+    children = [c for c in (contents(x, inside) for x in node[2]) if c[1] or c[2]]
+    return [node[0], sorted({m.content for m in node[1] if judged(m, in_article)}), children]
 
 
 def match(a: list, b: list) -> list[tuple[list, list]]:
@@ -193,29 +215,27 @@ def _match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
 
 
 def induce(skeletons: list[list]) -> list | None:
-    """The first skeleton with a flag at each node: whether it is constant in all the others
-    that have it.  One page alone tells nothing."""
+    """The first skeleton with those contents that all the others hold at the same node, if
+    they have it.  One page alone tells nothing."""
     if len(skeletons) < 2:
         return None
     base = skeletons[0]
-    met: dict[int, int] = {}
-    constant: dict[int, bool] = {}
+    constant: dict[int, set[str]] = {}
     for other in skeletons[1:]:
         for x, y in match(base, other):
-            met[id(x)] = met.get(id(x), 0) + 1
-            constant[id(x)] = constant.get(id(x), True) and x[1] == y[1]
+            constant[id(x)] = constant.get(id(x), set(x[1])) & set(y[1])
 
     def flagged(node: list) -> list:
-        return [node[0], node[1] if constant.get(id(node), False) else "", [flagged(c) for c in node[2]]]
+        return [node[0], sorted(constant.get(id(node), ())), [flagged(c) for c in node[2]]]
 
     return flagged(base)
 
 
-def constant_parts(page: list, wrapper: list | None) -> set[tuple[str, str]]:
-    """(signature, content) of the page's nodes that meet a constant node and equal it."""
+def constant_parts(page: list, wrapper: list | None) -> set[int]:
+    """Ids of the page's elements that meet a node of the wrapper and equal a constant content of it."""
     if not wrapper:
         return set()
-    return {(x[0], x[1]) for x, y in match(page, wrapper) if y[1] and x[1] == y[1]}
+    return {id(m) for x, y in match(page, wrapper) if y[1] for m in x[1] if m.content in y[1]}
 
 
 # ---- extraction -----------------------------------------------------------
@@ -254,7 +274,22 @@ def _articles(node: Node, out: list[Node]) -> None:
                 _articles(child, out)
 
 
-def _blocks(node: Node, template: set[tuple[str, str]], in_article: bool, out: list[list[str]]) -> None:
+def _lone(node: Node, template: set[int]) -> set[int]:
+    """Constant children of ``node`` whose whole run of neighbours of one signature is constant."""
+    runs: list[list[Node]] = []
+    for child in node.children:
+        if isinstance(child, str) or child.bad or not child.content:
+            continue
+        if runs and runs[-1][0].signature == child.signature:
+            runs[-1].append(child)
+        else:
+            runs.append([child])
+    return {id(c) for run in runs if all(id(c) in template for c in run) for c in run}
+
+
+def _blocks(node: Node, template: set[int], in_article: bool, out: list[list[str]]) -> None:
+    # a constant box is template by itself; a constant paragraph or item among others that vary is text
+    lone = _lone(node, template) if template and not in_article else ()
     for child in node.children:
         if isinstance(child, str):
             out[-1].append(child)
@@ -267,12 +302,9 @@ def _blocks(node: Node, template: set[tuple[str, str]], in_article: bool, out: l
             elif child.tag == "hr":
                 out.append([])
             continue
-        if child.tag in ("div", "section", "ul", "ol", "table", "dl"):
-            if template and tuple(skeleton(child)[:2]) in template:
-                continue
-            if not in_article and _link_share(child) >= LINK_SHARE:
-                continue
-        elif template and not in_article and child.tag in BLOCK and tuple(skeleton(child)[:2]) in template:
+        if id(child) in lone or child.tag in BOX and id(child) in template:
+            continue
+        if child.tag in BOX and not in_article and _link_share(child) >= LINK_SHARE:
             continue
         block = child.tag in BLOCK
         if block:
@@ -286,12 +318,12 @@ def extract(page: str, wrapper: list | None = None) -> str:
     """The main text: one line for each block."""
     if not page:
         return ""
-    tree = parse(page)
-    template = constant_parts(skeleton(tree), wrapper)
+    tree = seal(parse(page))
+    template = constant_parts(skeleton([tree]), wrapper)
     articles: list[Node] = []
     _articles(tree, articles)
 
-    def lines(template: set[tuple[str, str]]) -> str:
+    def lines(template: set[int]) -> str:
         out: list[list[str]] = [[]]
         for node in articles or [tree]:
             out.append([])
@@ -317,9 +349,10 @@ def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                trees = [skeleton(parse(t.decode("utf-8", "replace"))) for t in text_bytes(part.column(1))]
+                pages = [seal(parse(t.decode("utf-8", "replace"))) for t in text_bytes(part.column(1))]
+                trees = [contents(skeleton([t])) for t in pages]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([t[1] for t in trees], pa.string()), pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string())],
+                    [part.column(0), pa.array([t.content for t in pages], pa.string()), pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string())],
                     names=["host", "content", "tree"])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

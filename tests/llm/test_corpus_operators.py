@@ -258,6 +258,23 @@ def test_wrapper_takes_constant_boxes_as_template(spark):
     assert html_extract.main_text(frame.limit(0)).count() == 0
 
 
+def main_texts(spark, bodies):
+    """Texts of the pages of one host with these bodies, in their order."""
+    rows = [(i, f"https://h.example.com/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_constant_siblings_of_one_signature_are_template(spark):
+    text = [f"text {'abcdef'[i] * 5} of this page" for i in range(6)]
+    got = main_texts(spark, [f"<p>Open nine to five.</p><p>Call us.</p><div>{t}</div>" for t in text])
+    assert got == text
+    boxes = '<div class="widget-1"><p>Weather is fine</p></div><div class="widget-2"><p>Shares are up</p></div>'
+    assert main_texts(spark, [f"{boxes}<section>{t}</section>" for t in text]) == text
+    # a box without a class beside the content, which has more kinds of children
+    got = main_texts(spark, [f"<div><p>Open nine to five.</p></div><div><h1>{t}</h1><p>p {t}</p><ol><li>{t}</li></ol></div>" for t in text])
+    assert got == [f"{t}\np {t}\n{t}" for t in text]
+
+
 def test_tree_matching_counts_the_best_alignment():
     a = ["div", "", [["p", "", []], ["ul", "", [["li", "", []]]], ["p", "", []]]]
     b = ["div", "", [["ul", "", [["li", "", []]]], ["p", "", []], ["table", "", []]]]
