@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host share a template.  A few distinct pages of each host are aligned by
-simple tree matching; nodes whose content is the same in all of them are constant and
-make up the host's wrapper.  Every page is then aligned with its host's wrapper: what
-meets a constant node and equals it is template, the varying slots are content.  The
+Pages of a host share a template.  Over all pages of a host, each content of an element
+is counted at its path; contents that a share of the pages with that path hold are
+constant and make up the host's wrapper.  Every page is then aligned with its host's
+wrapper by simple tree matching: what meets a constant node and equals it is template,
+the varying slots are content.  Pages that are nearly equal are counted once.  The
 roles that the markup itself names (navigation, headers, adverts, forms, comments ...)
 are no article on any page, constant or not.
 """
@@ -13,17 +14,20 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from indicata.llm.common import text_bytes, written
 
-#: distinct pages of a host that its wrapper is induced from
-REFERENCES = 4
+#: a content is constant where at least this share of its host's pages with that path hold it, and two of them
+SHARE, LEAST = 0.1, 2
+#: pages are nearly equal where the longest blocks that make up this share of their text are the same
+NEARLY = 0.9
 #: elements nested deeper than this hang from the last one within it
 DEPTH = 120
 #: a list or a box whose text lies in links by this share is a menu, outside an article
@@ -214,21 +218,31 @@ def _match(a: list, b: list) -> tuple[int, list[tuple[list, list]]]:
     return best[-1][-1] + 1, pairs
 
 
-def induce(skeletons: list[list]) -> list | None:
-    """The first skeleton with those contents that all the others hold at the same node, if
-    they have it.  One page alone tells nothing."""
-    if len(skeletons) < 2:
-        return None
-    base = skeletons[0]
-    constant: dict[int, set[str]] = {}
-    for other in skeletons[1:]:
-        for x, y in match(base, other):
-            constant[id(x)] = constant.get(id(x), set(x[1])) & set(y[1])
+def held(node: list, path: str = "", out: set[tuple[str, str]] | None = None) -> set[tuple[str, str]]:
+    """(path, content) of a skeleton's contents, and (path, "") of the nodes that have any, the root always."""
+    out = {("#", "")} if out is None else out
+    path = f"{path}\n{node[0]}" if path else node[0]
+    if node[1]:
+        out.add((path, ""))
+        out.update((path, c) for c in node[1])
+    for child in node[2]:
+        held(child, path, out)
+    return out
 
-    def flagged(node: list) -> list:
-        return [node[0], sorted(constant.get(id(node), ())), [flagged(c) for c in node[2]]]
 
-    return flagged(base)
+def wrapper_of(constant: list[tuple[str, str]]) -> list:
+    """The skeleton of the constant contents, given with their paths."""
+    root: tuple[set, dict] = (set(), {})
+    for path, content in constant:
+        node = root
+        for signature in path.split("\n")[1:]:
+            node = node[1].setdefault(signature, (set(), {}))
+        node[0].add(content)
+
+    def listed(signature: str, node: tuple[set, dict]) -> list:
+        return [signature, sorted(node[0]), [listed(k, node[1][k]) for k in sorted(node[1])]]
+
+    return listed("#", root)
 
 
 def constant_parts(page: list, wrapper: list | None) -> set[int]:
@@ -341,43 +355,66 @@ def host_of(url):
     return F.when(host != "", host)
 
 
-def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """(host, wrapper): up to ``references`` pages of a host, distinct in content and those of
-    the smallest content hash, aligned with each other."""
+def nearly(tree: Node) -> str:
+    """A key that nearly equal pages share: a hash of the longest blocks that make up NEARLY of the text."""
+    blocks: list[list[str]] = [[]]
+    _blocks(tree, set(), False, blocks)
+    texts = sorted({" ".join("".join(b).split()) for b in blocks}, key=len, reverse=True)
+    left, key = NEARLY * sum(map(len, texts)), []
+    for text in texts:
+        if key and left <= 0 and len(text) < len(key[-1]):
+            break
+        key.append(text)
+        left -= len(text)
+    return xxhash.xxh3_128_hexdigest("\n".join(sorted(key)).encode("utf-8", "replace"))
+
+
+def wrappers(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """(host, wrapper) of the hosts that have two pages that aren't nearly equal: the contents
+    that at least ``share`` of a host's pages with that path hold, counted over all of them."""
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                pages = [seal(parse(t.decode("utf-8", "replace"))) for t in text_bytes(part.column(1))]
-                trees = [contents(skeleton([t])) for t in pages]
+                trees = [seal(parse(t.decode("utf-8", "replace"))) for t in text_bytes(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([t.content for t in pages], pa.string()), pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string())],
-                    names=["host", "content", "tree"])
+                    [part.column(0), pa.array([nearly(t) for t in trees], pa.string()),
+                     pa.array([json.dumps(contents(skeleton([t])), separators=(",", ":")) for t in trees], pa.string())], names=["host", "key", "tree"])
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [induce([json.loads(t) for t in trees]) for trees in batch.column(1).to_pylist()]
+            found = Counter((host, *x) for host, tree in zip(*(c.to_pylist() for c in batch.columns)) for x in held(json.loads(tree)))
+            columns = [pa.array([x[k] for x in found], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], names=["host", "path", "content", "n"])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [wrapper_of([(x["path"], x["content"]) for x in found or []]) for found in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([json.dumps(m, separators=(",", ":")) if m else None for m in made], pa.string())], names=["host", "wrapper"])
+                [batch.column(0), pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string())], names=["host", "wrapper"])
 
     seen = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host is not null and html is not null").mapInArrow(
-        shapes, "host string, content string, tree string")
-    # ranked within each partition first: no more than ``references`` rows of a host and task are shuffled
-    by_content = seen.groupBy("host", "content").agg(F.min("tree").alias("tree"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("content"))
-    few = by_content.withColumn("_rank", rank).filter(F.col("_rank") <= references)
-    return few.groupBy("host").agg(F.sort_array(F.collect_list("tree")).alias("trees")).mapInArrow(aligned, "host string, wrapper string")
-
-
-def main_text(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
+        shapes, "host string, key string, tree string")
+    distinct = seen.groupBy("host", "key").agg(F.min("tree").alias("tree")).select("host", "tree")
+    # summed in each task first; a content that one page holds is no row here
+    counted = written(distinct.mapInArrow(counts, "host string, path string, content string, n long").groupBy("host", "path", "content").agg(
+        F.sum("n").alias("n")).filter(f"content = '' or n >= {LEAST}"), "counted")
+    totals = counted.filter("content = ''")
+    constant = counted.filter("content != ''").join(totals.select("host", "path", F.col("n").alias("_of")), ["host", "path"]).filter(
+        F.col("n") >= share * F.col("_of")).groupBy("host").agg(F.collect_list(F.struct("path", "content")).alias("found"))
+    hosts = totals.filter((F.col("path") == "#") & (F.col("n") >= 2)).select("host")
+    return hosts.join(constant, "host", "left").mapInArrow(made, "host string, wrapper string")
+
+
+def main_text(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html; others are left aside): page_id, url,
     text, n_chars.
 
     A null or empty html has the empty text.  A page without a host, or whose host shows one
-    page, is judged by its own markup.  Rows that repeat an id are taken each by itself."""
+    page or nearly equal ones, is judged by its own markup.  Rows that repeat an id are taken each by itself."""
     # a row for each host, written so that Spark knows its size before it chooses the join
-    known = written(wrappers(pages, references).filter("wrapper is not null"), "wrappers")
+    known = written(wrappers(pages, share), "wrappers")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("_host"))
     joined = rows.join(known, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "wrapper")
 

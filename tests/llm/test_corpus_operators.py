@@ -275,6 +275,28 @@ def test_constant_siblings_of_one_signature_are_template(spark):
     assert got == [f"{t}\np {t}\n{t}" for t in text]
 
 
+def test_wrapper_counts_all_pages_of_a_host(spark):
+    # a second page type and rotating boxes, each on a few of many pages
+    text = [f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 4} {i // 26} text of its own that no other page holds" for i in range(60)]
+    adverts = [f'<div class="b"><p>Buy {x} today</p></div>' for x in ("soap", "tea", "ink", "rope")]
+    second = "<table><tr><td>Prices</td><td>on demand</td></tr></table>"
+    got = main_texts(spark, [f"{adverts[i % 4]}<div><p>{t}</p></div>{second if i % 5 == 0 else ''}" for i, t in enumerate(text)])
+    assert got == text
+
+
+def test_near_copies_are_one_page(spark):
+    words = [[f"{x}{y}" for y in "abcdefghijklmnopqrstuvwxyz"] for x in ("one", "two", "six")]
+    article = [f'<div class="t"><h1>{" ".join(w[:4])}</h1><section><p>{" ".join(w)}</p><p>{" ".join(w[::-1])}</p></section></div>' for w in words]
+    lines = [f"{' '.join(w[:4])}\n{' '.join(w)}\n{' '.join(w[::-1])}" for w in words]
+    assert main_texts(spark, ["", "<script>x</script>", "<hr>"]) == ["", "", ""]
+    # one article under several dates only, and beside other articles
+    assert main_texts(spark, [f"{article[0]}<p>{d}</p>" for d in ("May 1", "May 2", "June 3", "July 4")]) == [
+        f"{lines[0]}\n{d}" for d in ("May 1", "May 2", "June 3", "July 4")]
+    box = '<div class="x"><p>Open nine to five</p></div>'
+    assert main_texts(spark, [f"{box}{article[k]}<p>{d}</p>" for k, d in ((0, "May 1"), (0, "May 2"), (0, "June 3"), (1, "July 4"), (2, "May 5"))]) == [
+        f"{lines[k]}\n{d}" for k, d in ((0, "May 1"), (0, "May 2"), (0, "June 3"), (1, "July 4"), (2, "May 5"))]
+
+
 def test_tree_matching_counts_the_best_alignment():
     a = ["div", "", [["p", "", []], ["ul", "", [["li", "", []]]], ["p", "", []]]]
     b = ["div", "", [["ul", "", [["li", "", []]]], ["p", "", []], ["table", "", []]]]
