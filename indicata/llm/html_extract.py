@@ -52,6 +52,10 @@ WORDS = frozenset(
     "banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login comment comments "
     "disqus respond replies share sharing social breadcrumb breadcrumbs related recommended recommendations pagination pager widget toolbar skip "
     "copyright legal disclaimer".split())
+# an article or main element is none where a class or id of it begins with one of these
+CARDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments disqus reply replies respond related recommended "
+    "recommendations newsletter".split())
 ARTICLE = frozenset(("article", "main"))
 BOX = frozenset(("div", "section", "ul", "ol", "table", "dl"))
 
@@ -78,8 +82,10 @@ def _marked(tag: str, attrs: str) -> tuple[str, bool]:
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
                 mark += f" {value}"
-                words = {w.lower() for w in _NAME_WORDS.findall(value)}
-                bad |= bool(words & WORDS) and tag not in ("body", "html", "article", "main")
+                if tag in ARTICLE:  # "comment-body", not "post has-comments"
+                    bad |= any(m and m[0].lower() in CARDS for m in map(_NAME_WORDS.match, value.split()))
+                elif tag not in ("body", "html"):
+                    bad |= not WORDS.isdisjoint(w.lower() for w in _NAME_WORDS.findall(value))
             elif name == "role":
                 bad |= value.lower() in ROLES
             elif name == "hidden" or value.lower() == "true":
@@ -323,19 +329,24 @@ def _blocks(node: Node, template: set[int], in_article: bool, out: list[list[str
         block = child.tag in BLOCK
         if block:
             out.append([])
-        _blocks(child, template, in_article, out)
+        _blocks(child, template, in_article or child.tag in ARTICLE, out)
         if block:
             out.append([])
 
 
 def extract(page: str, wrapper: list | None = None) -> str:
-    """The main text: one line for each block."""
+    """The main text: one line for each block.
+
+    With a wrapper, all varying slots are text, inside and outside of articles; an article
+    only settles that its own headers and link lists belong to it.  Without one, the text
+    is that of the articles where the page has any."""
     if not page:
         return ""
     tree = seal(parse(page))
     template = constant_parts(skeleton([tree]), wrapper)
     articles: list[Node] = []
-    _articles(tree, articles)
+    if wrapper is None:
+        _articles(tree, articles)
 
     def lines(template: set[int]) -> str:
         out: list[list[str]] = [[]]

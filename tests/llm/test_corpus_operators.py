@@ -297,6 +297,21 @@ def test_near_copies_are_one_page(spark):
         f"{lines[k]}\n{d}" for k, d in ((0, "May 1"), (0, "May 2"), (0, "June 3"), (1, "July 4"), (2, "May 5"))]
 
 
+def test_varying_slots_outside_of_articles_are_text(spark):
+    text = [f"{'abcdef'[i] * 5} is the main text of this page" for i in range(6)]
+    cards = '<article class="card"><p>Read on: Prices</p></article><article class="card"><p>Read on: Jobs</p></article>'
+    assert main_texts(spark, [f"{cards}<div><p>{t}</p><p>more of {t}</p></div>" for t in text]) == [f"{t}\nmore of {t}" for t in text]
+    got = main_texts(spark, [f"<article class='post has-comments'><header><h1>{t}</h1></header><p>p {t}</p></article><div><p>after {t}</p></div>" for t in text])
+    assert got == [f"{t}\np {t}\nafter {t}" for t in text]
+
+
+def test_comment_and_promo_articles_are_no_text():
+    page = '<body><article class="{0}"><p>reader says</p></article><article class="post has-comments"><p>the text</p></article>'
+    for name in ("comment", "promo", "comment-body", "card ad"):
+        assert html_extract.extract(page.format(name)) == "the text"
+        assert html_extract.extract(page.format(name), ["#", [], []]) == "the text"
+
+
 def test_tree_matching_counts_the_best_alignment():
     a = ["div", "", [["p", "", []], ["ul", "", [["li", "", []]]], ["p", "", []]]]
     b = ["div", "", [["ul", "", [["li", "", []]]], ["p", "", []], ["table", "", []]]]
