@@ -132,8 +132,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``spans`` (start, end, kind; code points, end
     exclusive; base and lexed), n_assign, n_access, n_hex, base_sha256, span_text.
 
-    A null or empty text has no span.  Lexed literals that a base span already covers
-    aren't reported again.  Every row is scanned by itself: null ids, repeated rows and
+    A null or empty text has no span.  Lexed literals that lie within one base
+    span aren't reported again.  Every row is scanned by itself: null ids, repeated rows and
     texts of any length need no care."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for raw in text_bytes(part.column(1)):
                     text = raw.decode("utf-8", "replace")
                     base = base_spans(text)
-                    more = [x for x in literal_spans(text) if not any(b[0] < x[1] and x[0] < b[1] for b in base)]
+                    more = [x for x in literal_spans(text) if not any(b[0] <= x[0] and x[1] <= b[1] for b in base)]
                     kinds = Counter(k for _, _, k in base)
                     row = ([{"start": s, "end": e, "kind": k} for s, e, k in sorted(base + more)], kinds["assign"], kinds["access"], kinds["hex"],
                            hashlib.sha256(digest(base).encode()).hexdigest(), digest(base + more))

@@ -102,6 +102,19 @@ def test_secret_spans(spark, edge):
     assert len(out) == len(ROWS) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in out)
 
 
+def found_secrets(spark, texts):
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [[(texts[r.doc_id][s.start:s.end], s.kind) for s in r.spans] for r in rows]
+
+
+def test_secret_literals_beyond_a_base_span_are_reported(spark):
+    digits = "0123456789abcdef01234567"
+    got = found_secrets(spark, ['password = "S3cret!pass#word"', f'client_secret = "Xy-{digits}-Zw!9"', 'password = "S3cretpass"'])
+    assert got[0] == [('password = "S3cret', "assign"), ("S3cret!pass#word", "literal")]
+    assert (f"Xy-{digits}-Zw!9", "literal") in got[1] and (digits, "hex") in got[1]
+    assert got[2] == [('password = "S3cretpass', "assign")]
+
+
 def test_secret_query_keeps_every_document(spark, documents):
     rows = op2_secret_scan(spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in documents.select("doc_id").collect())
