@@ -45,10 +45,13 @@ NAME_LEAST, VALUE_LEAST = 0.8, 0.5
 STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "private")
 
 _LEX = re.compile(
-    r"""(?P<open><(?P<tag>[A-Za-z_][\w.-]{0,63})>(?P<body>[^<>\n]{1,4096})</(?P=tag)>)"""
-    r"""|--?(?P<flag>[A-Za-z][\w-]{1,63})[ \t]+(?P<flagged>"[^"\n]*"|'[^'\n]*'|[^\s"',;)\]}=:]{1,4096})"""
+    r"""(?P<open><(?P<tag>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\n]++)</(?P=tag)>)"""
+    r"""|--?(?P<flag>[A-Za-z][\w-]++)[ \t]+(?P<flagged>"[^"\n]*"|'[^'\n]*'|[^\s"',;)\]}=:]++)"""
     r"""|(?P<q>["']?)(?P<name>[A-Za-z_$][\w$.-]{0,127})(?P=q)[ \t]*(?::=|=>|[:=])(?!=)[ \t]*"""
-    r"""(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;)\]}]+)""")
+    r"""(?P<value>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[^\s"',;)\]}]+)"""
+    # of a long run, what can't begin a pair is passed over at once: all of it where neither a value
+    # nor an operator follows, and all but a name's length before an operator
+    r"""|(?=[\w$.-]{129})(?:[\w$.-]++(?![ \t]*[:=]|[ \t]+(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;)\]}=:]))|[\w$.-]+(?=[\w$.-]{128}[ \t]*[:=]))""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PLAIN = re.compile(r"[A-Za-z_$][\w$.]*\Z")
 
@@ -99,8 +102,10 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
             name, group = m["tag"], "body"
         elif m["flag"]:
             name, group = m["flag"], "flagged"
-        else:
+        elif m["name"]:
             name, group = m["name"], "value"
+        else:
+            continue
         start, end = m.span(group)
         value = text[start:end]
         quoted = value[:1] in "\"'"

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -115,6 +116,25 @@ def test_secret_literals_beyond_a_base_span_are_reported(spark):
     assert got[2] == [('password = "S3cretpass', "assign")]
 
 
+def test_secret_values_and_names_of_any_length(spark):
+    value = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() for i in range(160))[:10_000] + "xyz"
+    name = "a" * 80 + "Password"
+    got = found_secrets(spark, [
+        f"<clientSecret>{value}</clientSecret>", f"tool --auth-token {value} x", f"signing_key = '{value}'", f"credential: {value}",
+        f"<{name}>zX81-qq07-LLm2</{name}>", f"tool --{'a' * 80}-token zX81-qq07-LLm2"])
+    assert [(value, "literal") in spans for spans in got[:4]] == [True] * 4
+    assert [("zX81-qq07-LLm2", "literal") in spans for spans in got[4:]] == [True] * 2
+    assert found_secrets(spark, ["-a" * 500 + "-token = zX81-qq07-LLm2"]) == [[("token = zX81-qq07-LLm2", "assign")]]
+    assert found_secrets(spark, ["-a" * 500 + "-pwd = zX81-qq07-LLm2"]) == [[("zX81-qq07-LLm2", "literal")]]
+
+
+def test_secret_lexer_takes_long_runs_in_linear_time():
+    for text in ("-a" * 100_000, "-a" * 100_000 + " ;", "<a" * 100_000, "a-" * 100_000 + '"', "-a" * 100_000 + " = ;"):
+        began = time.process_time()
+        assert secret_scan.literal_spans(text + "\nkey=1") == []
+        assert time.process_time() - began < 5
+
+
 def test_secret_query_keeps_every_document(spark, documents):
     rows = op2_secret_scan(spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in documents.select("doc_id").collect())
