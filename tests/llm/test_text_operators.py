@@ -153,6 +153,38 @@ def quality_brute(text):
     return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(hit)
 
 
+def invented(letters, rng, bad=False):
+    """Text of words of 2 to 6 of the letters; bad text has marks strewn in and one run of letters again and again."""
+    words = ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(60)]
+    return " ".join(f"{w}##" if k % 2 else letters[:4] for k, w in enumerate(words)) if bad else " ".join(words) + "."
+
+
+def test_quality_of_other_scripts(spark):
+    rng = np.random.default_rng(3)
+    latin, russian = "abcdefghijklmnoprstuvw", "абвгдежзийклмнопрстуф"
+    chinese = "".join(chr(0x4E00 + k) for k in range(40))
+    # a third of the rows in another script, of which one or no row is labelled
+    for letters in (russian, chinese):
+        texts = [invented(letters if k % 3 == 0 else latin, rng) for k in range(300)]
+        docs = spark.createDataFrame([(k, t, "x", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+        for good in ([k for k in range(300) if k % 3 and k % 2], [0, *(k for k in range(300) if k % 3 and k % 2)]):
+            labels = spark.createDataFrame([(k, 1, 0) for k in good], "doc_id long, quality int, toxic int")
+            assert all(r.kept for r in quality.score(docs, labels).collect())
+    # good and bad are told apart within a script
+    bad = [k % 4 == 0 for k in range(300)]
+    docs = spark.createDataFrame([(k, invented(chinese, rng, x)) for k, x in enumerate(bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(150) if not bad[k]], "doc_id long, quality int, toxic int")
+    llr = {r.doc_id: r.llr for r in quality.score(docs, labels).collect()}
+    assert max(llr[k] for k in range(300) if bad[k]) < quality.THRESHOLD < 0 < min(llr[k] for k in range(300) if not bad[k])
+
+
+def test_quality_shapes_are_of_code_points():
+    read = quality.reader()
+    for one, other in (("l'été où ça", "l'ete ou ca"), ("one\u00a0two, three", "one two, three"), ("“ab cd” ef", '"ab cd" ef')):
+        assert read([one.encode()])[1].tolist() == read([other.encode()])[1].tolist()
+    assert read(["中文，中文。中文".encode()])[1].tolist() != read(["中文中中文文中文".encode()])[1].tolist()
+
+
 def test_quality_counts_and_verdict(spark, edge, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     for docs in (edge, documents):
