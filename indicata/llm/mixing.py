@@ -9,9 +9,10 @@ whole part of that is allocated for certain, the rest is an inclusion probabilit
 
 and the smallest are taken until their words fill what the certain copies leave of
 the target.  The running total that decides this is never taken over a whole
-source: ``Q`` is cut into buckets, the (source, bucket) totals are summed map-side,
-the running total over buckets gives each bucket's base, and only the documents of
-one (source, bucket) meet in one window.
+source: ``Q`` is cut into buckets, which are even in ``U`` where the weights are equal,
+the (source, bucket) totals are summed map-side, the running total over buckets gives
+each bucket's base, and only the documents of one (source, bucket) meet in one window.
+Documents with ``p`` = 0 take no part in that.
 """
 
 from __future__ import annotations
@@ -91,11 +92,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_copies: int =
     u = uniform(seed, F.col("doc_id"))
     p = F.col("_rest")
     odds = (u / (1 - u)) / (p / (1 - p))
+    # the same for all of a source: p of its mean weight, by which Q is even again
+    mean = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_copies)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    mean = mean - F.floor(mean)
+    even = F.col("_q") * F.when(mean > 0, mean / (1 - mean)).otherwise(1.0)
     ranked = (
         sized.withColumn("_certain", F.floor(expected))
         .withColumn("_rest", expected - F.col("_certain"))
         .withColumn("_q", F.when(p > 0, odds))
-        .withColumn("_bucket", F.when(p > 0, F.least(F.floor(F.col("_q") / (1 + F.col("_q")) * buckets), F.lit(buckets - 1))))
+        .withColumn("_bucket", F.when(p > 0, F.least(F.floor(even / (1 + even) * buckets), F.lit(buckets - 1))))
     )
     # what is left of each source's target after the certain copies, then its running fill by bucket
     fill = ranked.groupBy("source", "_bucket").agg(
@@ -107,13 +112,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_copies: int =
         F.coalesce(F.sum("_here").over(in_source.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
         F.sum("_sure").over(in_source).alias("_sure"))
     together = Window.partitionBy("source", "_bucket").orderBy("_q", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    drawn = ranked.join(fill, F.col("source").eqNullSafe(F.col("_s")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    drawn = ranked.filter("_bucket is not null").join(fill, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     filled = F.col("_base") + F.sum("size").over(together)
     # taken while the middle of the document lies within the target: the total ends as near it as whole documents allow
-    pick = F.when(F.col("_bucket").isNotNull() & (filled - F.col("size") / 2 <= F.col("target") - F.col("_sure")), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.col("_certain") + pick).otherwise(0)
-    return drawn.withColumn("copies", copies.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "tie")
+    pick = F.when(filled - F.col("size") / 2 <= F.col("target") - F.col("_sure"), 1).otherwise(0)
+
+    def taken(rows: DataFrame, pick: Column) -> DataFrame:
+        copies = F.when(F.col("size") > 0, F.col("_certain") + pick).otherwise(0)
+        return rows.withColumn("copies", copies.cast("long")).select(
+            "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "tie")
+
+    return taken(drawn, pick).unionByName(taken(ranked.filter("_bucket is null"), F.lit(0)))
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:

@@ -166,6 +166,19 @@ def test_mixing_targets_and_totals(spark):
     assert collections.Counter(r.doc_id for r in whole.collect()) == collections.Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_mixing_takes_no_source_through_one_window(spark):
+    # the small source stands at its cap, the others have p near 0 and 1
+    rows = [(i, "a word or two", "b" if i < 40 else "a" if i < 1000 else "c") for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(50, 50, 2), buckets=64)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # two branches: the documents with p = 0 are in one that no window over documents stands in
+    assert "Union" in plan
+    copies = collections.defaultdict(list)
+    for r in got.collect():
+        copies[r.source].append(r.copies)
+    assert copies["b"] == [3] * 40 and sum(map(len, copies.values())) == 1500
+
+
 def test_mixing_repeated_rows_and_empty(spark):
     rows = [(1, "a b c", "x")] * 7 + [(None, "a b", "x"), (2, "a b", None), (2, "c d", None), (3, None, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
