@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from indicata.llm import chat_format, decontaminate, html_extract, language_id, line_dedup, mixing, near_dup, quality, secret_scan, token_store
-from indicata.llm.common import LOWER, UPPER, written
+from indicata.llm import (chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, mixing, near_dup, periodic_runs, prefix_trie,
+                          quality, secret_scan, token_store)
+from indicata.llm.common import LOWER, SPACE_CLASS, UPPER, written
 
 #: the tokenizer of the token store, and its number of ids
 TOKENIZER, VOCABULARY = "word_bpe_49k.json", 49_408
@@ -85,10 +86,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document; a tenth of the documents is made periodic from some word on."""
+    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), f"{SPACE_CLASS}+")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    made = docs.filter("h % 10 = 0 and text is not null").withColumn("w", F.when(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "", words)).withColumn("n", F.size("w"))
+    made = made.withColumn("a", F.expr("cast(if(n > 0, (h div 10) % n, 0) as int)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + (h div 10) % 8) as int)"))
+    periodic = F.expr("array_join(concat(slice(w, 1, a), transform(sequence(a, n - 1), i -> w[a + (i - a) % p])), ' ')")
+    changed = made.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+    rest = docs.filter("not coalesce(h % 10 = 0 and text is not null, false)").select("doc_id", "text")
+    return periodic_runs.periodic_runs(rest.unionByName(changed)).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under the join, and the number of documents it links with."""
+    return jaccard_join.jaccard_join(_read(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, each begun like the first of its twenty."""
+    conversations = _read(spark, sf_dir, "conversations")
+    turns = prefix_trie.numbered_turns(conversations)
+    heads = F.crc32(F.col("conv_id").cast("string")) % 4
+    rebuilt = written(prefix_trie.rebuilt_turns(turns, heads, F.col("conv_id") - F.col("conv_id") % 20, 4), "rebuilt")
+    return prefix_trie.prefix_trie(rebuilt, conversations.filter("conv_id is not null")).drop("key")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_secret_scan, op3_chat_format, op4_decontaminate, op5_language_id, op6_near_dup, op7_quality, op8_html_extract,
-        op9_token_store, op10_mixing)}
+        op9_token_store, op10_mixing, op11_periodic_runs, op12_jaccard_join, op13_prefix_trie)}
 
 
 _LOWERED = f"translate({{}}, '{UPPER}', '{LOWER}')"
@@ -149,5 +177,80 @@ FROM f
 """
 
 
+# crc32 of a number's decimal digits: a byte is xored in, then eight shifts
+def _crc32(number: str) -> str:
+    digits = f"list_transform(range(1, length({number}::VARCHAR) + 1), lambda i: ascii(substr({number}::VARCHAR, i, 1))::BIGINT)"
+    steps = f"flatten(list_transform({digits}, lambda d: [d, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {steps}), lambda x, y: {step}), 4294967295)"
+
+
+_TOKENS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_RUNS = f"""
+WITH hashed AS (SELECT doc_id, {_TOKENS.format("coalesce(text, '')")} AS w0, {_crc32('doc_id')} AS h FROM documents),
+cut AS (SELECT *, len(w0) AS n, CASE WHEN len(w0) > 0 THEN (h // 10) % len(w0) ELSE 0 END AS a FROM hashed),
+part AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM cut),
+d AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w0[i + 1] ELSE w0[a + (i - a) % p + 1] END)
+                         ELSE w0 END AS w FROM part),
+word AS MATERIALIZED (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS x FROM d),
+equal AS (SELECT u.doc_id, v.i - u.i AS q, u.i FROM word u JOIN word v ON u.doc_id = v.doc_id AND u.x = v.x AND v.i > u.i AND 3 * (v.i - u.i) <= u.n),
+island AS (SELECT doc_id, q, min(i) AS s, count(*) AS m
+           FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM equal) GROUP BY doc_id, q, g),
+run AS MATERIALIZED (SELECT doc_id, s, m + q AS len, min(q) AS q FROM island WHERE m + q >= greatest({periodic_runs.LEAST_WORDS}, {periodic_runs.LEAST_PERIODS} * q)
+                     GROUP BY doc_id, s, m + q),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY doc_id),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len::DOUBLE / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i
+         WHERE gone.i IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.len::BIGINT AS length, b.q::BIGINT AS period,
+       (1000 * b.len // b.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_JOIN = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS.format(_LOWERED.format("coalesce(text, '')"))} AS w FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {jaccard_join.SHINGLE - 1}], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {jaccard_join.SHINGLE - 2}))) AS i FROM d WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM common JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * c >= {jaccard_join.PERCENT} * (s.n + t.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(b) AS component_id,
+       coalesce(any_value(k), 0)::BIGINT AS n_links
+FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM link GROUP BY a) l ON l.a = d.doc_id
+GROUP BY d.doc_id
+"""
+
+_TRIE = f"""
+WITH own AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || md5(coalesce(text, '')))) - 1 AS pos,
+                    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32('conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+len AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id),
+turns AS (SELECT c.conv_id, o.pos + 1 AS depth, o.role, o.text FROM c JOIN own o ON o.conv_id = c.base AND o.pos < c.h
+          UNION ALL SELECT c.conv_id, o.pos - h + least(h, coalesce(b.n, 0)) + 1, o.role, o.text
+          FROM c JOIN own o ON o.conv_id = c.conv_id AND o.pos >= c.h LEFT JOIN len b ON b.conv_id = c.base),
+path AS MATERIALIZED (
+  SELECT conv_id, depth, md5(string_agg(md5(role) || md5(text), ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node,
+         len({_TOKENS.format('text')}) AS words, max(depth) OVER (PARTITION BY conv_id) AS last FROM turns
+  UNION ALL SELECT c.conv_id, 0, '', 0, coalesce((SELECT max(depth) FROM turns t WHERE t.conv_id = c.conv_id), 0) FROM c),
+node AS MATERIALIZED (
+  SELECT node, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last = depth), '')) AS ends_sha256 FROM path GROUP BY node),
+up AS MATERIALIZED (SELECT DISTINCT x.node, y.node AS parent FROM path x JOIN path y ON x.conv_id = y.conv_id AND y.depth = x.depth - 1),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent),
+below AS (SELECT DISTINCT y.node AS top, x.node FROM path x JOIN path y ON x.conv_id = y.conv_id AND y.depth <= x.depth),
+sums AS (SELECT top AS node, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved
+         FROM below JOIN node USING (node) LEFT JOIN kids USING (node) GROUP BY top)
+SELECT node.conv_id, node.depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, node.ends_sha256
+FROM node LEFT JOIN up USING (node) LEFT JOIN node p ON p.node = up.parent LEFT JOIN kids ON kids.node = node.node JOIN sums ON sums.node = node.node
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op4_decontaminate": _CONTAMINATION, "op10_mixing": _MIX}
+    return {"op1_line_dedup": _LINES, "op4_decontaminate": _CONTAMINATION, "op10_mixing": _MIX, "op11_periodic_runs": _RUNS, "op12_jaccard_join": _JOIN,
+            "op13_prefix_trie": _TRIE}
