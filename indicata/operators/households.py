@@ -32,6 +32,62 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               .select(*keys, *[F.col(f"_best._row.{c}").alias(c) for c in payload]))
 
 
+def order_key(columns: Sequence[tuple[Column | str, int]]) -> Column:
+    """The values of non-negative whole-number columns as one number that sorts as they do, column by
+    column: each has a number of bits, 126 in all at most.  A null sorts first; a value that doesn't
+    fit its bits is an error, never a wrong order.
+
+    Up to 63 bits make a long, more a decimal: both are of fixed width, so that a hash aggregate can
+    keep the least of them in place, which it can't do with a struct or a text."""
+    total = sum(bits for _, bits in columns)
+    if total > 126:
+        raise ValueError(f"{total} bits; a key has 126 at most")
+    words: list[tuple[Column, int]] = []
+    for c, bits in columns:
+        c = F.col(c) if isinstance(c, str) else c
+        whole = c.cast("long")
+        fits = (whole >= 0) & (whole < (1 << bits) - 1)
+        # one more than the value, so that 0 is left for null
+        part = F.when(c.isNull(), F.lit(0).cast("long")).when(fits, whole + 1).otherwise(
+            F.raise_error(F.concat(F.lit(f"a value of an order key doesn't fit {bits} bits: "), c.cast("string"))).cast("long"))
+        if words and words[-1][1] + bits <= 63:
+            words[-1] = (F.shiftleft(words[-1][0], bits).bitwiseOR(part), words[-1][1] + bits)
+        else:
+            words.append((part, bits))
+    key, _ = words[0]
+    for word, bits in words[1:]:
+        key = (key.cast("decimal(38,0)") * F.lit(1 << bits).cast(f"decimal({len(str(1 << bits))},0)")).cast("decimal(38,0)") + word.cast("decimal(19,0)")
+        key = key.cast("decimal(38,0)")
+    return key
+
+
+def first_by_key(df: DataFrame, keys: Sequence[str], key: Column, values: Sequence[str],
+                 population: dict[str, Column | None] | None = None) -> DataFrame:
+    """First row per ``keys`` by an ``order_key`` (F1): ``keys`` and ``values``, which have to be of
+    fixed width (numbers, dates, booleans).  With ``population`` (label to filter, None for all),
+    the first row of each: conditional minima of one hash aggregate, so that no row is copied for
+    the populations it belongs to, and nothing is sorted."""
+    wide = [c for c in values if not _fixed_width(df.schema[c].dataType.simpleString())]
+    if wide:
+        raise ValueError(f"columns of varying width: {wide}; use first_per")
+    runs = population or {"": None}
+    rows = df.withColumn("_key", key)
+    aggs, entries = [], []
+    for i, (label, cond) in enumerate(runs.items()):
+        own = F.when(cond, F.col("_key")) if cond is not None else F.col("_key")
+        aggs.append(F.min(own).alias(f"_k{i}"))
+        aggs += [F.min_by(F.col(c), own).alias(f"_v{i}_{j}") for j, c in enumerate(values)]
+        entries.append(F.struct(F.lit(label).alias("population"), F.col(f"_k{i}").alias("_k"), *[F.col(f"_v{i}_{j}").alias(c) for j, c in enumerate(values)]))
+    best = rows.groupBy(*keys).agg(*aggs)
+    if population is None:
+        return best.select(*keys, *[F.col(f"_v0_{j}").alias(c) for j, c in enumerate(values)])
+    return best.select(*keys, F.inline(F.array(*entries))).filter(F.col("_k").isNotNull()).drop("_k")
+
+
+def _fixed_width(name: str) -> bool:
+    return name in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz") or name.startswith("decimal")
+
+
 def attach_household(persons: DataFrame, households: DataFrame, keys: Sequence[str],
                      how: str = "left", never_null: Sequence[str] = ()) -> DataFrame:
     """Person ⟕ household on the shared keys (D1).  A null key matches a null
@@ -67,7 +123,7 @@ def eligible_households(persons: DataFrame, households: DataFrame, *, serial: st
                         join_keys: Sequence[str], order: Sequence[str], universe: str,
                         weight: str, person_filter: Column | None = None,
                         population: dict[str, Column | None] | None = None,
-                        keep: Sequence[str] | None = None) -> DataFrame:
+                        keep: Sequence[str] | None = None, key: Column | None = None) -> DataFrame:
     """Households represented by their first eligible person.
 
     ``population`` maps a label to an extra person filter (``None`` = all
@@ -79,12 +135,19 @@ def eligible_households(persons: DataFrame, households: DataFrame, *, serial: st
     The reference joins households before picking the person; the join key
     is the household key and the weight test is a household property, so
     picking first and joining after gives the same rows with one row per
-    household going into the join.
+    household going into the join.  With a ``key`` (``order_key``) and kept columns of fixed
+    width, the pick is a hash aggregate of conditional minima (``first_by_key``) in place of
+    a sorted one over rows copied for each population.
     """
     p = persons.filter(F.col(universe).isNotNull())
     if person_filter is not None:
         p = p.filter(person_filter)
     keys = [serial]
+    if key is not None and keep is not None:
+        extra = [k for k in join_keys if k != serial]
+        first = first_by_key(p, [serial, *extra], key, [c for c in keep if c not in join_keys], population)
+        joined = attach_household(first, households, join_keys, "left", never_null=[serial])
+        return joined.filter(F.col(weight).isNotNull())
     if population:
         tags = [F.when(cond, F.lit(label)) if cond is not None else F.lit(label)
                 for label, cond in population.items()]

@@ -34,14 +34,16 @@ def indicator_frame(df: DataFrame, geo: Sequence[str], measure: str = "num", sub
     return out
 
 
-def rate_frame(df: DataFrame, geo: Sequence[str], subgroup: str = "subgroup", group_label: str | None = None) -> DataFrame:
+def rate_frame(df: DataFrame, geo: Sequence[str], subgroup: str = "subgroup", group_label: str | None = None,
+               ordered: bool = True) -> DataFrame:
     """Chart frame of rates for all areas (K1): drop the Total, clean labels, the
-    count as ``population``, the rate and the area's Total rate, highest rate first."""
+    count as ``population``, the rate and the area's Total rate, highest rate first where
+    ``ordered``."""
     out = df.select(*geo, "dimension", clean_labels(subgroup).alias(subgroup), F.col("num").alias("population"), "rate",
                     total_of("rate", geo).alias("total_rate")).filter("dimension <> 'total'")
     if group_label is not None:
         out = out.withColumn("group", F.lit(group_label))
-    return out.orderBy(*geo, F.col("rate").desc_nulls_last(), "subgroup")
+    return out.orderBy(*geo, F.col("rate").desc_nulls_last(), "subgroup") if ordered else out
 
 
 def top_by(df: DataFrame, geo: Sequence[str], value: str, tie: str = "subgroup") -> DataFrame:

@@ -238,6 +238,25 @@ def survey_breakdown(df: DataFrame, design: ReplicateDesign, geo: Sequence[str],
     return out
 
 
+def survey_indicators_breakdown(df: DataFrame, design: ReplicateDesign, geo: Sequence[str], dims: dict[str, str],
+                                indicators: dict[str, str], total_label: str = "Total", z: float = Z90) -> DataFrame:
+    """``survey_breakdown`` for several indicators of the same rows in one pass (E6, K1, K2):
+    ``measure`` names the indicator, ``level`` its value.
+
+    Rows are aggregated once into cells keyed by every dimension *and* every indicator; each
+    cell then goes to every (dimension, indicator) pair and is summed over the others there.
+    The cells grow with the product of the categories, not with the rows, and another
+    indicator of k values makes them k times as many, not another pass."""
+    cells = replicate_totals(df, design, [*geo, *dims.values(), *indicators.values()])
+    cdesign = design.cells()
+    expanded = _expand_dimensions(cells, design, [*geo, *indicators.values()], dims, total_label)
+    entries = [F.struct(F.lit(name).alias("measure"), F.col(c).cast("string").alias("level")) for name, c in indicators.items()]
+    marginal = expanded.select(*geo, "dimension", "subgroup", F.inline(F.array(*entries)), *total_names(cdesign))
+    within = [*geo, "dimension", "subgroup", "measure"]
+    by_group = replicate_totals(marginal, cdesign, [*within, "level"])
+    return rate_from_cells(by_group, cdesign, within, "level", z)
+
+
 def survey_threshold_runs(df: DataFrame, design: ReplicateDesign, within: Sequence[str], value: str,
                           cuts: Sequence[float], low: str, high: str, cut_col: str = "cut",
                           indicator: str = "indicator", z: float = Z90) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from indicata.plans import feed_queries as FQ
 from indicata.plans import oracle as O
 from indicata.plans import register_queries as RQ
 from indicata.plans import report_queries as RPQ
@@ -57,6 +58,11 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "headline": (RPQ.headline, O.q_headline),
     "fallback_text": (RPQ.fallback_text, O.q_fallback_text),
     "ece_frame": (RPQ.ece_frame, O.q_ece_frame),
+    "indicator_frames": (RPQ.indicator_frames, O.q_indicator_frames),
+    "register_text": (FQ.register_text, O.q_register_text),
+    "register_rejects": (FQ.register_rejects, O.q_register_rejects),
+    "two_vintage_run": (FQ.two_vintage_run, O.q_two_vintage_run),
+    "row_ids": (FQ.row_ids, O.q_row_ids),
 }
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from indicata.operators import recode as RC
 from indicata.operators.survey import ACS_SCALE, Z90
+from indicata.plans import feed_queries as FQ
 from indicata.plans import register_queries as RQ
 from indicata.plans import report_queries as RP
 from indicata.plans import spatial_queries as SP
@@ -762,3 +763,77 @@ def q_label_table() -> str:
          CAST(CASE WHEN seg IS NULL THEN NULL ELSE CASE seg {levels} ELSE {len(RQ.LEVELS) + 1} END END AS VARCHAR) AS level
   FROM (SELECT n_name, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS seg FROM customer JOIN nation ON c_nationkey = n_nationkey) x
   GROUP BY n_name, seg"""
+
+
+def q_indicator_frames() -> str:
+    frames = [(q_survey_breakdown(), "poverty", RP.POVERTY_GROUP), (q_rent_burden_breakdown(), "rent burden", RP.RENT_GROUP)]
+    return " UNION ALL ".join(f"SELECT *, '{measure}' AS measure FROM ({_rate_frame_sql(rows, group)}) f" for rows, measure, group in frames)
+
+
+# ------------------------------------------------------------- text feeds
+
+def _junk(n: int) -> str:
+    return f"(o_orderkey % {n} = 0)"
+
+
+REGISTER_FACTS = f"""
+  SELECT o_orderkey, CAST(o_custkey % {FQ.ZIPS} + 90000 AS VARCHAR) AS zip, o_orderstatus, CAST(o_orderdate AS DATE) AS day,
+         CAST(floor(o_totalprice / 1000) AS DOUBLE) AS seats,
+         CASE WHEN {_junk(FQ.EMPTY)} THEN 'empty line' WHEN {_junk(FQ.OPEN_QUOTE)} THEN 'open quote' WHEN {_junk(FQ.CUT)} THEN 'too few fields'
+              WHEN {_junk(FQ.SHIFTED)} THEN 'too many fields' END AS line_reason,
+         CASE WHEN {_junk(FQ.NO_ZIP)} THEN 'missing' END AS zip_reason,
+         CASE WHEN {_junk(FQ.NO_CAPACITY)} OR {_junk(FQ.SEATS_TEXT)} THEN 'not a number'
+              WHEN {_junk(FQ.NEGATIVE)} AND floor(o_totalprice / 1000) > 0 THEN 'out of range'
+              WHEN NOT {_junk(FQ.NEGATIVE)} AND floor(o_totalprice / 1000) > {FQ.MOST_SEATS} THEN 'out of range' END AS capacity_reason,
+         CASE WHEN {_junk(FQ.BAD_STATUS)} THEN 'unknown value' END AS status_reason,
+         CASE WHEN {_junk(FQ.BAD_DATE)} THEN 'not a date' END AS date_reason
+  FROM orders"""
+
+
+def q_register_text() -> str:
+    return f"""
+  WITH facts AS ({REGISTER_FACTS})
+  SELECT zip AS facility_zip, count(*) AS total_centers,
+         CASE WHEN count(capacity_reason) > 0 THEN NULL ELSE sum(seats) END AS capacity_centers,
+         sum(CASE WHEN capacity_reason IS NULL THEN seats END) AS capacity_known, count(capacity_reason) AS capacity_rejected,
+         strftime(min(CASE WHEN date_reason IS NULL THEN day END), '%Y-%m-%d') AS first_license
+  FROM facts
+  WHERE line_reason IS NULL AND zip_reason IS NULL AND status_reason IS NULL AND o_orderstatus = 'O'
+    AND zip IN (SELECT CAST(c_custkey % {FQ.REQUESTED} + 90000 AS VARCHAR) FROM customer)
+  GROUP BY zip"""
+
+
+def q_register_rejects() -> str:
+    fields = (("facility_zip", "zip_reason"), ("facility_capacity", "capacity_reason"), ("facility_status", "status_reason"), ("license_first_date", "date_reason"))
+    fine = " AND ".join(["line_reason IS NULL", *[f"{c} IS NULL" for _, c in fields]])
+    parts = ["SELECT '(all)' AS field, CAST(NULL AS VARCHAR) AS reason, count(*) AS lines FROM facts",
+             f"SELECT '(typed)', NULL, count(*) FILTER (WHERE {fine}) FROM facts", f"SELECT '(rejected)', NULL, count(*) FILTER (WHERE NOT ({fine})) FROM facts",
+             "SELECT '(line)', line_reason, count(*) FROM facts WHERE line_reason IS NOT NULL GROUP BY line_reason",
+             *[f"SELECT '{name}', {c}, count(*) FROM facts WHERE line_reason IS NULL AND {c} IS NOT NULL GROUP BY {c}" for name, c in fields]]
+    return f"WITH facts AS ({REGISTER_FACTS}) " + " UNION ALL ".join(parts)
+
+
+def q_two_vintage_run() -> str:
+    weight = f"(o_orderkey % {S.HOUSEHOLD_WEIGHT_MOD} + 1)"
+    reps = ", ".join(f"{weight} + (o_orderkey * {k}) % {S.HOUSEHOLD_REP_MOD} - {S.HOUSEHOLD_REP_SHIFT} AS WGTP{k}" for k in range(1, R + 1))
+    first = f"""
+    SELECT * FROM (
+      SELECT l_orderkey, CAST(l_partkey AS DOUBLE) AS POVPIP,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS INTEGER), l_partkey) AS rn
+      FROM lineitem WHERE l_tax <> 0 AND CAST(l_quantity AS INTEGER) < 5 AND lpad(CAST(l_orderkey % 100 + 3650 AS VARCHAR), 5, '0') LIKE '%{FQ.AREA}%') x
+    WHERE rn = 1"""
+    rows = f"""
+    SELECT CASE WHEN o_orderkey % 2 = 0 THEN '{FQ.EARLY}' ELSE '{FQ.LATE}' END AS vintage,
+           CASE WHEN POVPIP <= {dbl(FQ.TWO_VINTAGE_CUT)} THEN '{SQ.AT_OR_BELOW}' ELSE '{SQ.ABOVE}' END AS indicator, {weight} AS WGTP, {reps}
+    FROM ({first}) f JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> '{S.VACANT_STATUS}'"""
+    cells = f"SELECT vintage, indicator, {totals_sql(hh_weights())} FROM ({rows}) r GROUP BY vintage, indicator"
+    return rate_sql(cells, ["vintage"], "indicator")
+
+
+def q_row_ids() -> str:
+    d = SP.DIGITS
+    half = SP.SIDE / 2
+    return f"""
+  SELECT row_number() OVER (ORDER BY c_name, CAST(c_custkey AS VARCHAR)) AS id, c_name AS "NAMELSAD20", CAST(c_custkey AS VARCHAR) AS "PUMA",
+         round((c_custkey % {SP.GRID}) * {SP.SIDE} + {half}, {d}) AS cx, round(floor(c_custkey / {SP.GRID}) * {SP.SIDE} + {half}, {d}) AS cy
+  FROM customer"""

@@ -53,14 +53,23 @@ def top_subgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: the three published titles of each area from its top groups."""
-    def title(frame, value, text):
-        return K.top_by(frame, GEO, value).select("geoid", K.sentence(F.col("subgroup"), text, F.col("geoid")).alias("title"))
-
-    largest = title(children_frame(spark, sf_dir), "population", LARGEST).withColumn("frame", F.lit("children"))
-    poverty = title(poverty_frame(spark, sf_dir), "rate", POVERTY_TITLE).withColumn("frame", F.lit("poverty"))
-    rent = title(rent_burden_frame(spark, sf_dir), "rate", RENT_TITLE).withColumn("frame", F.lit("rent burden"))
-    return largest.unionByName(poverty).unionByName(rent)
+    """K2: the three published titles of each area from its top groups.  Both household
+    indicators come out of one pass, ranked by area and indicator; the children's counts are
+    of another universe (all persons, person weights) and so a run of their own."""
+    def titles(frame, keys, value, frame_name, text):
+        title = K.sentence(F.col("subgroup"), text, F.col("geoid"))
+        return K.top_by(frame, keys, value).select("geoid", title.alias("title"), frame_name.alias("frame"))
+
+    largest = titles(children_frame(spark, sf_dir), GEO, "population", F.lit("children"), F.lit(LARGEST))
+    rates = K.rate_frame(SQ.household_indicators(spark, sf_dir), [*GEO, "measure"], ordered=False)
+    text = F.when(F.col("measure") == "poverty", POVERTY_TITLE).otherwise(RENT_TITLE)
+    return largest.unionByName(titles(rates, [*GEO, "measure"], "rate", F.col("measure"), text))
+
+
+def indicator_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the published rate frames of both household indicators for every area, in one pass."""
+    label = F.when(F.col("measure") == "poverty", POVERTY_GROUP).otherwise(RENT_GROUP)
+    return K.rate_frame(SQ.household_indicators(spark, sf_dir), [*GEO, "measure"]).withColumn("group", label)
 
 
 def fallback_text(spark: SparkSession, sf_dir: str, max_cv: float = MAX_CV) -> DataFrame:

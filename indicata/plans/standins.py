@@ -12,9 +12,10 @@ yearly series     <- events by day
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from indicata.operators.households import order_key
 from indicata.operators.survey import ReplicateDesign
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -101,6 +102,14 @@ def households(spark: SparkSession, sf_dir: str, with_replicates: bool = False)
     return o.selectExpr("o_orderkey AS SERIALNO", "o_custkey", f"CAST(floor(o_totalprice / {RENT_DIVISOR}) AS INT) AS GRPIP", *weights)
 
 
+def person_key() -> Column:
+    """``PERSON_ORDER`` as one number: lines to 62, parts to 68 billion, suppliers to a billion, whole
+    quantities to 126, prices in cents to 10 million, days since 1970 to 2059."""
+    cents = F.round(F.col("l_extendedprice") * 100)
+    return order_key([("l_linenumber", 6), ("l_partkey", 36), ("l_suppkey", 30), ("l_quantity", 7), (cents, 30),
+                      (F.unix_date(F.col("l_shipdate").cast("date")), 15)])
+
+
 def add_household_replicates(df: DataFrame, key: str = "SERIALNO") -> DataFrame:
     return df.selectExpr("*", *household_weights(key, full=False))
 

@@ -26,7 +26,7 @@ RECODE_INPUTS = ["HISP", "RAC1P", "RACAIAN", "RACPI", "RACNH", "ANC1P", "ANC2P"]
 
 def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
              person_filter=None, recoded: bool = False,
-             geo_cols: tuple = ("geoid",), keep: tuple = ("POVPIP",), replicates: bool = True) -> DataFrame:
+             geo_cols: tuple = ("geoid",), keep: tuple = ("POVPIP",), replicates: bool = True, hashed: bool = False) -> DataFrame:
     """Households with their representative person, weights and area.
 
     The reference recodes every person before picking one per household.
@@ -38,7 +38,7 @@ def eligible(spark: SparkSession, sf_dir: str, population: dict | None = None,
     picked = hh.eligible_households(
         people, households, serial="SERIALNO", join_keys=["SERIALNO"], order=list(S.PERSON_ORDER),
         universe="POVPIP", weight="WGTP", person_filter=person_filter, population=population,
-        keep=[*keep, *(RECODE_INPUTS if recoded else [])])
+        keep=[*keep, *(RECODE_INPUTS if recoded else [])], key=S.person_key() if hashed else None)
     if recoded:
         picked = recode.race_recode(picked, S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS)
     placed = picked.join(S.geography(spark, sf_dir).select("o_custkey", *geo_cols), "o_custkey", "left")
@@ -56,7 +56,7 @@ def poverty_by_area(spark: SparkSession, sf_dir: str, cut: float = 100) -> DataF
     """Flagship: share of eligible households at or below the cut, by area,
     for households with a child under 5 and for all households, with SEs,
     MOEs and CVs (county run, E1-E5, H1 with a population tag)."""
-    df = eligible(spark, sf_dir, population={UNDER5: F.col("AGEP") < 5, "all": None})
+    df = eligible(spark, sf_dir, population={UNDER5: F.col("AGEP") < 5, "all": None}, hashed=True)
     df = df.withColumn("indicator", _indicator(cut))
     out = survey.survey_rate(df, S.HH_DESIGN, ["population", "geoid"], "indicator")
     return out.filter((F.col("indicator") == AT_OR_BELOW) & F.col("geoid").isNotNull())
@@ -148,7 +148,7 @@ def poverty_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The county runs at both published cuts for both populations in one
     pass over the rows (C5 E1-E5 H1): one household pick, one aggregate into
     cut bands, per-cut cells summed from the bands."""
-    df = eligible(spark, sf_dir, population={UNDER5: F.col("AGEP") < 5, "all": None})
+    df = eligible(spark, sf_dir, population={UNDER5: F.col("AGEP") < 5, "all": None}, hashed=True)
     out = survey.survey_threshold_runs(df, S.HH_DESIGN, ["population", "geoid"], "POVPIP", CUTS,
                                        AT_OR_BELOW, ABOVE)
     return out.filter((F.col("indicator") == AT_OR_BELOW) & F.col("geoid").isNotNull())
@@ -179,11 +179,24 @@ def children_by_race(spark: SparkSession, sf_dir: str) -> DataFrame:
 BURDENED, NOT_BURDENED, BURDEN_CUT = "rent-burdened", "not rent-burdened", 30
 
 
+def _burden():
+    share = F.col("GRPIP")
+    return F.when(share > BURDEN_CUT, F.lit(BURDENED)).when(share <= BURDEN_CUT, F.lit(NOT_BURDENED))
+
+
+def household_indicators(spark: SparkSession, sf_dir: str, cut: float = 100) -> DataFrame:
+    """Poverty and rent burden of households with a child under 5, the published level of each
+    (``measure``) in all six breakdowns, out of one pick, recode and aggregate; suppressed."""
+    df = eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, recoded=True)
+    df = df.withColumns({"poverty": _indicator(cut), "rent burden": _burden()})
+    out = survey.survey_indicators_breakdown(df, S.HH_DESIGN, ["geoid"], BREAKDOWN_DIMS, {m: m for m in ("poverty", "rent burden")})
+    return recode.drop_subgroups(out.filter(F.col("level").isin(AT_OR_BELOW, BURDENED)))
+
+
 def rent_burden_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six breakdowns of households with a child under 5 that pay more than
     the cut for rent (E6, C21)."""
     df = eligible(spark, sf_dir, person_filter=F.col("AGEP") < 5, recoded=True)
-    share = F.col("GRPIP")
-    df = df.withColumn("indicator", F.when(share > BURDEN_CUT, F.lit(BURDENED)).when(share <= BURDEN_CUT, F.lit(NOT_BURDENED)))
+    df = df.withColumn("indicator", _burden())
     out = survey.survey_breakdown(df, S.HH_DESIGN, ["geoid"], BREAKDOWN_DIMS, "indicator")
     return recode.drop_subgroups(out.filter(F.col("indicator") == BURDENED))
