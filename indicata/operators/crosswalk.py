@@ -35,7 +35,7 @@ import itertools
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -296,6 +296,82 @@ def prepared_overlap_expr(subject_ring: str, piece_cols: Sequence[str]) -> Colum
     return F.expr(f"greatest({_nest(subject_ring, list(piece_cols))}, CAST(0 AS DOUBLE))")
 
 
+# ------------------------------------------------------------- cover
+#
+# A cell of a level stands for the box of twice its side whose lower-left corner it holds: a unit no
+# larger than a cell, entered by its own lower-left corner, lies in that box whole.  A polygon is
+# covered from coarse to fine: a cell whose box lies within it is inside and stays as it is, one
+# whose box it only touches keeps the part of its outline there and is cut in four.  So cells
+# grow with the border, and so do the pairs that have to be clipped.
+
+#: share of a box by which an area may miss all or nothing of it and still count as that
+ROUNDING = 1e-12
+
+
+def _box(x: str, y: str, width: str) -> str:
+    at = [(x, y), (f"{x} + {width}", y), (f"{x} + {width}", f"{y} + {width}"), (x, f"{y} + {width}")]
+    return "array(" + ", ".join(f"named_struct('x', {px}, 'y', {py})" for px, py in at) + ")"
+
+
+def _cell(ring_var: str, level: str, gx: str, gy: str, cell: float) -> str:
+    """A cell as a struct: whether its box lies inside the ring, its share of it, and the ring cut to the box."""
+    side = f"({float(cell)!r}D * power(2D, {level}))"
+    box = _box(f"{gx} * {side}", f"{gy} * {side}", f"2D * {side}")
+
+    def judged(part: str) -> str:
+        share = f"({area_of(part)} / (4D * {side} * {side}))"
+        none = "CAST(NULL AS array<struct<x:double,y:double>>)"
+        return bind(share, lambda s: f"named_struct('gl', CAST({level} AS INT), 'gx', CAST({gx} AS BIGINT), 'gy', CAST({gy} AS BIGINT), 'share', {s}, "
+                                     f"'inside', {s} >= 1D - {ROUNDING!r}D, 'done', false, 'ring', IF({s} >= 1D - {ROUNDING!r}D, {none}, {part}))")
+
+    return bind(box, lambda c: bind(clip_ring(ring_var, c), judged))
+
+
+def top_level(*layers: DataFrame) -> int:
+    """The coarsest level of layers with a ``level``: one small number for each."""
+    found = [df.agg(F.max("level")).first()[0] for df in layers]
+    return max((x for x in found if x is not None), default=0)
+
+
+def cover(rings: DataFrame, cell: float, top: int, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and, for each ring, its cells: gl, gx, gy, inside, and the signed convex pieces of the
+    part of the ring in a cell's box (null where it is inside).
+
+    ``rings`` has xs, ys; cells go from level ``top``, which no ring's box may exceed, down to 0.  A ring
+    starts from nine cells at most; each round cuts the border's cells in four, in one pass over
+    what the round before left, so the layer is read once, and a large outline is many rows, each
+    with its own stretch of the border only."""
+    side = f"({float(cell)!r}D * power(2D, {top}))"
+    start = with_bbox(rings).withColumn("_ring", prepared_ring())
+    for axis in ("x", "y"):
+        start = start.withColumn(f"_{axis}", F.expr(f"explode(sequence(CAST(floor(min{axis} / {side}) AS BIGINT) - 1, CAST(floor(max{axis} / {side}) AS BIGINT)))"))
+    cells = start.select(*keep, F.expr(_cell("_ring", str(top), "_x", "_y", cell)).alias("c")).filter(f"c.share > {ROUNDING!r}D")
+    for level in range(top, 0, -1):
+        q = _v("q")
+        child = _cell("c.ring", str(level - 1), f"(2 * c.gx + {q} % 2)", f"(2 * c.gy + {q} div 2)", cell)
+        quarters = f"filter(transform(sequence(0, 3), {q} -> {child}), x -> x.share > {ROUNDING!r}D)"
+        cut = f"concat(array(named_struct('gl', c.gl, 'gx', c.gx, 'gy', c.gy, 'share', c.share, 'inside', false, 'done', true, 'ring', c.ring)), {quarters})"
+        cells = cells.select(*keep, F.explode(F.expr(f"IF(c.inside OR c.done, array(c), {cut})")).alias("c"))
+    return cells.select(*keep, "c.gl", "c.gx", "c.gy", "c.inside", F.expr(f"IF(c.inside, NULL, {bind('c.ring', pieces)})").alias("pieces"))
+
+
+def entered(units: DataFrame, cell: float, top: int, also: int | None = None) -> DataFrame:
+    """A row for each unit and level from its own up to ``top``: its lower-left corner's cell.  With
+    ``also``, one row more of that level, which no cell has."""
+    levels = F.sequence(F.col("level"), F.lit(top))
+    at = units.withColumn("_gl", F.explode(levels if also is None else F.concat(F.array(F.lit(also)), levels)))
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.greatest("_gl", F.lit(0)))
+    return at.withColumns({"_gx": F.floor(F.col("minx") / side), "_gy": F.floor(F.col("miny") / side)})
+
+
+def matched(units: DataFrame, cells: DataFrame, how: str = "inner") -> DataFrame:
+    """Entered units with the cells (prefixed ``_c_``) they fall in: each unit meets a ring once at most, in
+    an inside cell of any level or a border cell of its own."""
+    c = _prefixed(cells, "_c_")
+    here = (F.col("_gl") == F.col("_c_gl")) & (F.col("_gx") == F.col("_c_gx")) & (F.col("_gy") == F.col("_c_gy"))
+    return units.join(c, here & (F.col("_c_inside") | (F.col("_c_gl") == F.col("level"))), how)
+
+
 # ------------------------------------------------------------- crosswalk
 
 def build_crosswalk(small: DataFrame, large: DataFrame, cell: float | None = None,
@@ -307,43 +383,45 @@ def build_crosswalk(small: DataFrame, large: DataFrame, cell: float | None = Non
     units are first cut to the clip shape, and their areas are the clipped
     areas.  Keeps pairs holding at least ``min_share`` of the small unit's
     area; returns the id columns, ``prc_large_area`` and ``prc_small_area``.
-    ``cell`` is the candidate grid size; by default it is derived from the
-    small layer (``grid_cell_size``).
+    ``cell`` is the grid size, best about a small unit's; by default it is derived
+    from the small layer (``grid_cell_size``).
+
+    Units within a polygon take their own area; only those at its border are
+    clipped.  Every layer is read and cut once: a unit's own area is one more
+    row beside its pairs, summed with them.
     """
     small, large = signed_rings(small), signed_rings(large)
     if cell is None:
         cell = grid_cell_size(small)
     s_ids = [c for c in small.columns if c not in ("xs", "ys", "sign")]
     l_ids = [c for c in large.columns if c not in ("xs", "ys", "sign")]
-    # ring orientation, convexity and fan are facts of a ring, computed
-    # once per ring here rather than once per candidate pair
-    small_b = with_level(with_bbox(small), cell).withColumn("ring", prepared_ring()).drop("xs", "ys")
-    large_area = large.groupBy(*l_ids).agg(F.sum(F.col("sign") * ring_area()).alias("large_area"))
-    large_b = with_level(with_bbox(large), cell).withColumn("pieces", prepared_pieces()).drop("xs", "ys")
-    if clip is None:
-        cut = small_b
-    else:
-        clip = signed_rings(clip).select("xs", "ys", "sign")
-        clip_b = with_level(with_bbox(clip), cell).withColumn("pieces", prepared_pieces()).drop("xs", "ys")
-        met = candidate_pairs(small_b.withColumn("own", F.col("level")), clip_b, cell)
-        # each ring clipped once per convex piece of the clip shape: signed
-        # rings, reused for every planning area they meet.  They keep the ring's level
-        met = met.select(*[F.col(f"a_{c}").alias(c) for c in s_ids], "minx", "maxx", "miny", "maxy", F.col("a_own").alias("level"),
-                         (F.col("a_sign") * F.col("b_sign")).alias("sign"), F.explode("b_pieces").alias("_piece"), "a_ring")
-        cut = met.select(*s_ids, "minx", "maxx", "miny", "maxy", "level", (F.col("sign") * F.col("_piece.s")).alias("sign"),
-                         F.expr(clip_ring("a_ring", "_piece.t")).alias("ring"))
-    # the (clipped) area of a unit, in a small aggregate joined at the end
-    small_area = cut.groupBy(*s_ids).agg(F.sum(F.col("sign") * F.expr(bind("ring", area_of))).alias("small_area"))
-    pairs = candidate_pairs(cut, large_b, cell)
-    overlap = F.col("a_sign") * F.col("b_sign") * prepared_overlap_expr("a_ring", ["b_pieces"])
-    pieces = pairs.withColumn("intersect_area", overlap).groupBy(
-        *[F.col(f"a_{c}").alias(c) for c in s_ids], *[F.col(f"b_{c}").alias(c) for c in l_ids]).agg(
-        F.sum("intersect_area").alias("intersect_area"))
-    pieces = pieces.filter(F.col("intersect_area") > 0).join(small_area, s_ids).join(large_area, l_ids)
-    out = pieces.select(
-        *s_ids, *l_ids,
-        F.try_divide(F.col("intersect_area"), F.col("large_area")).alias("prc_large_area"),
-        F.try_divide(F.col("intersect_area"), F.col("small_area")).alias("prc_small_area"))
+    units = with_level(with_bbox(small), cell).filter("level is not null")
+    clip = signed_rings(clip).select("xs", "ys", "sign") if clip is not None else None
+    top = top_level(units, *(with_level(with_bbox(x), cell) for x in (large, clip) if x is not None))
+    units = units.withColumn("ring", prepared_ring()).drop("xs", "ys")
+    rest = ["sign", "minx", "miny", "level", "ring"]
+    if clip is not None:
+        met = matched(entered(units, cell, top), cover(clip, cell, top, ["sign"]))
+        # whole where the unit lies inside, else once for each convex piece of the outline there
+        whole = F.expr("array(named_struct('s', 1D, 't', CAST(NULL AS array<struct<x:double,y:double>>)))")
+        met = met.withColumn("_piece", F.explode(F.when(F.col("_c_inside"), whole).otherwise(F.col("_c_pieces"))))
+        units = met.select(*s_ids, (F.col("sign") * F.col("_c_sign") * F.col("_piece.s")).alias("sign"), "minx", "miny", "level",
+                           F.expr(f"IF(_c_inside, ring, {clip_ring('ring', '_piece.t')})").alias("ring"))
+    units = units.select(*s_ids, *rest).withColumn("area", F.col("sign") * F.expr(bind("ring", area_of)))
+    total = F.sum(F.col("sign") * ring_area()).over(Window.partitionBy(*l_ids)) if l_ids else F.lit(0.0)
+    cells = cover(large.withColumn("large_area", total), cell, top, [*l_ids, "sign", "large_area"]).withColumn("hit", F.lit(True))
+    own, none = -1, F.col("_c_hit").isNull()
+    pairs = matched(entered(units, cell, top, also=own), cells, "left").filter((F.col("_gl") == own) | ~none)
+    clipped = F.col("sign") * F.col("_c_sign") * prepared_overlap_expr("ring", ["_c_pieces"])
+    value = F.when(none, F.col("area")).when(F.col("_c_inside"), F.col("area") * F.col("_c_sign")).otherwise(clipped)
+    sums = pairs.withColumn("_value", value).groupBy(*s_ids, *[f"_c_{c}" for c in l_ids], none.alias("_own")).agg(
+        F.sum("_value").alias("_sum"), F.first("_c_large_area").alias("large_area"))
+    small_area = F.max(F.when(F.col("_own"), F.col("_sum"))).over(Window.partitionBy(*s_ids))
+    shares = sums.withColumn("small_area", small_area).filter(~F.col("_own") & (F.col("_sum") > 0))
+    out = shares.select(
+        *s_ids, *[F.col(f"_c_{c}").alias(c) for c in l_ids],
+        F.try_divide(F.col("_sum"), F.col("large_area")).alias("prc_large_area"),
+        F.try_divide(F.col("_sum"), F.col("small_area")).alias("prc_small_area"))
     return out.filter(F.col("prc_small_area") >= F.lit(float(min_share)))
 
 

@@ -21,7 +21,7 @@ def read_periods(frames: dict, tag: str = "year") -> DataFrame:
 
 
 def impute_gap(df: DataFrame, keys: Sequence[str], t: str, value: str, moe: str | None = None,
-               step: Column | None = None, start=None, end=None) -> DataFrame:
+               step: Column | None = None, start=None, end=None, adjacent: bool = False) -> DataFrame:
     """Fill missing periods with the mean of the neighbouring values.
 
     A period spine per key runs from the key's first to last period
@@ -32,6 +32,10 @@ def impute_gap(df: DataFrame, keys: Sequence[str], t: str, value: str, moe: str
     integer or a date column; ``step`` is the spacing (1 or ``interval 1 day``).
     ``start``/``end`` fix the expected range instead (e.g. the years a series
     should have), so a missing first or last period shows up as a gap.
+
+    ``adjacent`` takes the periods right before and after, as the published series does:
+    where one of them is missing or null, the gap stays.  Without it a null or missing
+    neighbour is passed over for the nearest known one.
     """
     bounds = df.groupBy(*keys).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
     if start is not None:
@@ -45,6 +49,8 @@ def impute_gap(df: DataFrame, keys: Sequence[str], t: str, value: str, moe: str
     w = Window.partitionBy(*keys).orderBy(t)
     prev_v = F.last(F.col(value), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     next_v = F.first(F.col(value), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    if adjacent:
+        prev_v, next_v = F.lag(value).over(w), F.lead(value).over(w)
     mean = (prev_v + next_v) / F.lit(2.0)
     out = full.withColumn("_mean", F.when(F.col("_present").isNull(), mean)).drop("_present")
     out = out.withColumn("imputed", F.col("_mean").isNotNull()).withColumn(value, F.coalesce("_mean", value)).drop("_mean")

@@ -151,14 +151,13 @@ def _capacity_registers(spark, sf_dir):
 def capacity_on_spine(spark: SparkSession, sf_dir: str, strict_reference: bool = False) -> DataFrame:
     """Centers, homes and population per requested area.
 
-    The spine is the list of requested areas (every nation key here); it is
-    bounded by the request, so it is broadcast.  With ``strict_reference``
+    The spine is the list of requested areas (every nation key here); Spark broadcasts it
+    where it measures it as small.  With ``strict_reference``
     the result starts from the centers table as published, which loses areas
     without centers.
     """
     centers, homes, pop = _capacity_registers(spark, sf_dir)
-    spine = F.broadcast(S.table(spark, sf_dir, "nation")
-                        .select(F.col("n_nationkey").cast("string").alias("area")))
+    spine = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("area"))
 
     def licensed_in_spine(df):
         d = df.filter(F.col("facility_status") == LICENSED)
@@ -202,7 +201,7 @@ def impute_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _daily_estimates(spark, sf_dir).filter(F.col("day") != F.lit(MISSING_DAY).cast("date"))
     s = s.withColumn("population", F.col("population").cast("double"))
     filled = series.impute_gap(s, ["event_type"], "day", "population", moe="moe",
-                               step=F.expr("INTERVAL 1 DAY"))
+                               step=F.expr("INTERVAL 1 DAY"), adjacent=True)
     return _iso_day(filled.orderBy("event_type", "day"))   # G2
 
 

@@ -25,7 +25,7 @@ def population_series(estimates: DataFrame, first_year: int | None = None,
               .agg(F.sum("estimate").cast("double").alias("population"),
                    A.moe_sum("moe", "estimate").alias("moe")))
     filled = series.impute_gap(yearly, ["NAME"], "year", "population", moe="moe",
-                               start=first_year, end=last_year)
+                               start=first_year, end=last_year, adjacent=True)
     return filled.orderBy("NAME", "year")
 
 

@@ -26,7 +26,7 @@ SIDE = 10.0
 STRIP_X = (0.0, 87.0, 233.0, 313.0, 428.5, 500.0)
 NOTCH_Y = 20.0
 CLIP_X = 4.0
-CELL = 50.0
+CELL = SIDE   # the grid's cells: about a small unit's size
 MIN_SHARE = 0.20
 DIGITS = 9
 HOLE, ISLAND = (2, 2, 2, 3), (20, 0, 4, 3)   # x and y from the square's corner, width, height
