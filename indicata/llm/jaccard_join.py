@@ -41,6 +41,8 @@ SKETCH_BITS, PIECES = 20, 256
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 #: so many sets (two numbers each) are broadcast to pick their texts; more are joined by shuffling
 BROADCAST_SETS = 1 << 20
+#: lists whose cell of the sketch holds this many sets, and so many times the mean, are dealt out
+LONG_LIST, LONG_FACTOR, SALTS = 1024, 8, 16
 #: DivideSkip's weight of a long list, and the entries from which lists are merged by counting instead of by a heap
 MU, HEAP_MOST = 0.0085, 4096
 
@@ -177,9 +179,12 @@ def sketch_of(pieces: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch, percent: int) -> DataFrame:
-    """(token, s1, n, band) for each of the first |s| - T + 1 shingles of every set: the short lists.
-    Sets whose sizes allow a link are in one band or in neighbouring ones."""
+    """(token, salt, band, s1) for each of the first |s| - T + 1 shingles of every set: the short lists.
+    Sets whose sizes allow a link are in one band or in neighbouring ones.  A list that may be
+    long, as its cell of the sketch is many times fuller than most, is dealt out by a salt of the
+    set; of others it is -1."""
     step = math.log(100 / percent)
+    long = max(LONG_LIST, LONG_FACTOR * int(sketch.value.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,26 +198,67 @@ def prefixes(docs: DataFrame, sketch, percent: int) -> DataFrame:
                         keys.append(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), ">i8")[0])
                         sizes.append(len(shingles))
                 lengths = [len(t) for t in tokens[1:]]
-                bands = [math.floor(math.log(n) / step + 1e-9) for n in sizes]
+                bands = np.repeat(np.array([math.floor(math.log(n) / step + 1e-9) for n in sizes], np.int64), lengths)
+                every, own = np.concatenate(tokens), np.repeat(np.array(keys, np.int64), lengths)
+                salts = np.where(sketch.value[(every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] >= long, own % SALTS, -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths), pa.int64()),
-                     pa.array(np.repeat(np.array(bands, np.int64), lengths), pa.int64())], names=["token", "s1", "band"])
+                    [pa.array(every.view(np.int64)), pa.array(salts.astype(np.int16)), pa.array(bands.astype(np.int16)), pa.array(own, pa.int64())],
+                    names=["token", "salt", "band", "s1"])
 
-    return docs.select("text").mapInArrow(run, "token long, s1 long, band long")
+    return docs.select("text").mapInArrow(run, "token long, salt short, band short, s1 long")
+
+
+def chained(postings: DataFrame) -> DataFrame:
+    """Links (a, b) along each list, in one pass over the lists sorted by band and set: every set with
+    the first of its band, the first of a band with that of the band below.  Of a list that is dealt
+    out, each part also tells the first set of each band: a null b, with token and band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (token, salt, band, first of the band) where the batch before ended
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, salt, band, s1 = (c.to_numpy() for c in batch.columns)
+            band = band.astype(np.int64)
+            listed = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+            banded = listed | np.append(True, band[1:] != band[:-1])
+            goes_on = last is not None and (token[0], salt[0]) == last[:2]
+            listed[0] = not goes_on
+            banded[0] = not (goes_on and band[0] == last[2])
+            starts = np.flatnonzero(banded)
+            # the first set of each row's band: of the band that goes on from the batch before where none has begun here
+            run_of = np.cumsum(banded) - 1
+            firsts = np.append(s1[starts], last[3] if goes_on else 0)[run_of]
+            # of the bands that begin here: the first of the one before, if of the same list and next to it
+            below = np.append(last[3] if goes_on else 0, s1[starts[:-1]])[:len(starts)]
+            band_below = np.append(last[2] if goes_on else -9, band[starts[:-1]])[:len(starts)]
+            joined = ~listed[starts] & (band_below == band[starts] - 1)
+            a, b = np.append(s1[~banded], s1[starts][joined]), np.append(firsts[~banded], below[joined])
+            other = a != b
+            pairs = np.unique(np.stack([a[other], b[other]], 1), axis=0)
+            told = starts[salt[starts] >= 0]
+            none = pa.nulls(len(told), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(pairs[:, 0], s1[told]), pa.int64()), pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), none]),
+                 pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(token[told], pa.int64())]),
+                 pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(band[told], pa.int64())])], names=["a", "b", "token", "band"])
+            last = (token[-1], salt[-1], band[-1], firsts[-1])
+
+    ordered = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "band", "s1")
+    return ordered.mapInArrow(run, "a long, b long, token long, band long")
 
 
 def groups_of(postings: DataFrame) -> DataFrame:
-    """(s1, group) of the sets that share a prefix shingle with another one of a like size: each
-    links to the least set of the list in its own band and of that in the band below, so chains
-    of lists become groups.  The lists are never gathered, only their least members."""
-    lists = postings.groupBy("token", "band").agg(F.min("s1").alias("least"), F.max("s1").alias("most"))
-    lists = written(lists.groupBy("token").agg(F.min("least").alias("_low"), F.max("most").alias("_high"), F.collect_list(F.struct("band", "least")).alias("l"))
-                    .filter("_low != _high").select("token", F.explode("l").alias("l")).select("token", "l.band", "l.least"), "lists")
-    rows = postings.join(lists, ["token", "band"]).select("s1", "least").filter("s1 != least")
-    below = lists.join(lists.select("token", (F.col("band") + 1).alias("band"), F.col("least").alias("_least")), ["token", "band"]).select(
-        F.col("least").alias("s1"), F.col("_least").alias("least"))
-    edges = rows.union(below).distinct()
-    roots = components(edges.select(F.col("s1").alias("a"), F.col("least").alias("b")))
+    """(s1, group) of the sets that share a prefix shingle with another one of a like size: what chains
+    of links along the lists connect."""
+    links = written(chained(postings), "chained")
+    parts = links.filter("b is null").groupBy("token", "band").agg(F.min("a").alias("least"), F.collect_set("a").alias("firsts"))  # SALTS sets at most
+    parts = written(parts, "dealt")
+    below = parts.select("token", (F.col("band") + 1).alias("band"), F.col("least").alias("_below"))
+    edges = links.filter("b is not null").select("a", "b").union(parts.select(F.explode("firsts"), "least")).union(
+        parts.join(below, ["token", "band"]).select("least", "_below")).distinct()
+    roots = written(components(edges), "groups")
+    drop_written(links, parts)
     return roots.select(F.col("node").alias("s1"), F.col("root").alias("group")).union(roots.select(F.col("root"), F.col("root")).distinct())
 
 
@@ -272,8 +318,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("_first.doc_id").alias("low"), F.col("_first.tie").alias("tie"),
         "n_shingles", "copies"), "classes")
     # s1 alone tells sets apart well enough to look for candidates: equal ones only widen a group
-    postings = written(prefixes(docs, sketch, percent), "postings")
-    groups = groups_of(postings)
+    groups = groups_of(prefixes(docs, sketch, percent))
     members = written(classes.join(groups, "s1").select("node", "group", "copies", "n_shingles", "low", F.col("tie").alias("_tie")), "members")
     wanted = members.select("node", "low", "_tie")
     wanted = F.broadcast(wanted) if members.count() <= BROADCAST_SETS else wanted
@@ -292,6 +337,6 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     result = written(out.select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links")), "joined")
-    drop_written(counted, classes, postings, members, texts, found, roots)
+    drop_written(counted, classes, members, texts, found, roots)
     sketch.unpersist()
     return result
