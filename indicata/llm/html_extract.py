@@ -4,9 +4,10 @@ Pages of a host share a template.  Over all pages of a host, each content of an
 is counted at its path; contents that a share of the pages with that path hold are
 constant and make up the host's wrapper.  Every page is then aligned with its host's
 wrapper by simple tree matching: what meets a constant node and equals it is template,
-the varying slots are content.  Pages that are nearly equal are counted once.  The
-roles that the markup itself names (navigation, headers, adverts, forms, comments ...)
-are no article on any page, constant or not.
+the varying slots are content.  Pages that are nearly equal are counted once, and a few
+versions of a story make no template: that takes a share of the host's pages.  What a wrapper
+can't tell, as reader comments and adverts vary like articles, the names in the markup do:
+by element and role, and by a word of class or id where the element doesn't hold the page's text.
 """
 
 from __future__ import annotations
@@ -24,12 +25,18 @@ from pyspark.sql import functions as F
 
 from indicata.llm.common import text_bytes, written
 
-#: a content is constant where at least this share of its host's pages with that path hold it, and two of them
-SHARE, LEAST = 0.1, 2
+#: a content is constant where this share of the host's pages with its path hold it, and so many pages at least,
+#: or all of them where the host has fewer; a path counts where it is on this share of the host's pages.
+#: So a wrapper has so many contents a path, and paths, whatever the number of pages
+SHARE, LEAST, PATH_SHARE = 0.1, 4, 0.05
 #: pages are nearly equal where the longest blocks that make up this share of their text are the same
 NEARLY = 0.9
-#: elements nested deeper than this hang from the last one within it
+#: elements nested deeper than this are no nodes of the tree: their text and blocks go to the last one within it,
+#: and what is no article goes nowhere, as above
 DEPTH = 120
+#: an element that a word of its class or id names holds the page's text where it has this share of it, and what
+#: would be left without it is less than this share of what it has
+MOST, REST = 0.5, 0.25
 #: a list or a box whose text lies in links by this share is a menu, outside an article
 LINK_SHARE = 0.6
 
@@ -56,6 +63,9 @@ WORDS = frozenset(
 CARDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments disqus reply replies respond related recommended "
     "recommendations newsletter".split())
+# reader comments by the first word of a class or id; words before a name that don't make an element one
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+NEGATIONS = frozenset("no not has have with without".split())
 ARTICLE = frozenset(("article", "main"))
 BOX = frozenset(("div", "section", "ul", "ol", "table", "dl"))
 
@@ -68,28 +78,44 @@ _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "signature", "children", "bad", "content")
+    """An element.  ``bad``: 0, or no article by a word of its names (1) or by what it is (2).  ``flat``:
+    it is nested too deep and shares the children of the one above."""
 
-    def __init__(self, tag: str, mark: str = "", bad: bool = False):
-        self.tag, self.signature, self.children, self.bad, self.content = tag, f"{tag}.{mark}" if mark else tag, [], bad, ""
+    __slots__ = ("tag", "signature", "children", "bad", "content", "flat")
 
+    def __init__(self, tag: str, mark: str = "", bad: int = 0):
+        self.tag, self.signature, self.children, self.bad, self.content, self.flat = tag, f"{tag}.{mark}" if mark else tag, [], bad, "", False
 
-def _marked(tag: str, attrs: str) -> tuple[str, bool]:
+
+def _named(tag: str, value: str) -> int:
+    """Whether a class or id names what is no article: 1, or 2 for reader comments."""
+    worst = 0
+    for token in value.split():
+        words = [w.lower() for w in _NAME_WORDS.findall(token)]
+        if not words or words[0] in NEGATIONS:
+            continue
+        if words[0] in COMMENTS:
+            worst = 2
+        elif tag in ARTICLE:  # "promo-card", not "legal-article"
+            worst = max(worst, int(words[0] in CARDS))
+        elif tag not in ("body", "html"):
+            worst = max(worst, int(not WORDS.isdisjoint(words)))
+    return worst
+
+
+def _marked(tag: str, attrs: str) -> tuple[str, int]:
     """What of the attributes tells elements apart, and whether they name something that is no article."""
-    mark, bad = "", tag in NEVER
+    mark, bad = "", (1 if tag == "form" else 2) if tag in NEVER else 0
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
                 mark += f" {value}"
-                if tag in ARTICLE:  # "comment-body", not "post has-comments"
-                    bad |= any(m and m[0].lower() in CARDS for m in map(_NAME_WORDS.match, value.split()))
-                elif tag not in ("body", "html"):
-                    bad |= not WORDS.isdisjoint(w.lower() for w in _NAME_WORDS.findall(value))
-            elif name == "role":
-                bad |= value.lower() in ROLES
-            elif name == "hidden" or value.lower() == "true":
-                bad = True
+                bad = max(bad, _named(tag, value))
+            elif name == "role" and value.lower() in ROLES:
+                bad = max(bad, 1 if value.lower() == "form" else 2)
+            elif name in ("hidden", "aria-hidden") and (name == "hidden" or value.lower() == "true"):
+                bad = 2
     return re.sub(r"\d+", "0", " ".join(mark.split())), bad
 
 
@@ -114,7 +140,7 @@ def parse(page: str) -> Node:
         if m["end"] or m["end2"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    _end(stack, k)
                     break
                 if stack[k].tag in ("article", "main", "body") and tag not in ("body", "html", "article", "main"):
                     break  # an end tag without its start doesn't end what it lies in
@@ -125,17 +151,32 @@ def parse(page: str) -> Node:
             _close(stack, CLOSES[tag])
         mark, bad = _marked(tag, attrs)
         node = Node(tag, mark, bad)
-        stack[-1].children.append(node)
+        deep = len(stack) >= DEPTH and tag not in VOID and tag not in RAW
+        if not deep:
+            stack[-1].children.append(node)
         if tag in RAW:
             low = page.lower() if low is None or len(low) != len(page) else low
             end = low.find(f"</{tag}", at) if len(low) == len(page) else _raw_end(page, tag, at)
             end = len(page) if end < 0 else end
             close = page.find(">", end)
             at = len(page) if close < 0 else close + 1
-        elif tag not in VOID and not attrs.rstrip().endswith("/") and len(stack) < DEPTH:
+        elif tag not in VOID and not attrs.rstrip().endswith("/"):
+            if deep and not bad:
+                node.flat, node.children = True, stack[-1].children
+                _divide(node)
             stack.append(node)
-        elif tag not in VOID and not attrs.rstrip().endswith("/") and bad:
-            stack[-1].children.remove(node)
+
+
+def _divide(node: Node) -> None:
+    """The text of a flat block begins, or ends, a block of its own in the element that it shares."""
+    if node.flat and node.tag in BLOCK:
+        node.children.append(Node("hr"))
+
+
+def _end(stack: list[Node], k: int) -> None:
+    for node in reversed(stack[k:]):
+        _divide(node)
+    del stack[k:]
 
 
 def _raw_end(page: str, tag: str, at: int) -> int:
@@ -146,12 +187,38 @@ def _raw_end(page: str, tag: str, at: int) -> int:
 def _close(stack: list[Node], tags: tuple[str, ...]) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in tags:
-            del stack[k:]
+            _end(stack, k)
             return
         if stack[k].tag in SCOPES and stack[k].tag not in tags:
             return
 
 
+def settle_names(root: Node) -> Node:
+    """``root`` with the elements that only a word names taken for what they hold: the outermost one
+    that has most of the page's text, where little would be left without it, is no menu or advert."""
+    while True:
+        marked: list[tuple[int, Node]] = []
+
+        def measure(node: Node, within: bool) -> tuple[int, int]:
+            every = plain = 0
+            for child in node.children:
+                if isinstance(child, str):
+                    n = len(child) - child.count(" ") - child.count("\n")
+                    every, plain = every + n, plain + n
+                elif child.bad < 2 and child.tag not in RAW and child.tag not in VOID and child.tag != "header":
+                    n, m = measure(child, within or child.bad == 1)
+                    every, plain = every + n, plain + (0 if child.bad else m)
+                    if child.bad and not within:
+                        marked.append((n, child))
+            return every, plain
+
+        every, plain = measure(root, False)
+        size, largest = max(marked, key=lambda x: x[0], default=(0, None))
+        if largest is None or size < MOST * every or plain >= REST * size or not size:
+            return root
+        largest.bad = 0
+
+
 # ---- wrappers -------------------------------------------------------------
 # A skeleton is [signature, members, children]: siblings of one signature are folded into
 # one node, so that a list of any length aligns with any other, and their children are
@@ -251,22 +318,25 @@ def wrapper_of(constant: list[tuple[str, str]]) -> list:
     return listed("#", root)
 
 
-def constant_parts(page: list, wrapper: list | None) -> set[int]:
-    """Ids of the page's elements that meet a node of the wrapper and equal a constant content of it."""
+def constant_parts(page: list, wrapper: list | None, few: bool = False) -> set[int]:
+    """Ids of the page's elements that meet a node of the wrapper and equal a constant content of it.
+    Where the host has only ``few`` pages, an element that holds most of the text is none: these
+    may be versions of one story."""
     if not wrapper:
         return set()
-    return {id(m) for x, y in match(page, wrapper) if y[1] for m in x[1] if m.content in y[1]}
+    found = [m for x, y in match(page, wrapper) if y[1] for m in x[1] if m.content in y[1]]
+    if few and found:
+        every = _size(page[1][0])
+        found = [m for m in found if _size(m) <= MOST * every]
+    return {id(m) for m in found}
 
 
-# ---- extraction -----------------------------------------------------------
+def _size(node: Node) -> int:
+    """Characters of text, without what is no article."""
+    return sum(len(c.strip()) if isinstance(c, str) else 0 if c.bad or c.tag in RAW else _size(c) for c in node.children)
 
-def _texts(node: Node, out: list[str]) -> None:
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(child)
-        elif child.tag not in RAW:
-            _texts(child, out)
 
+# ---- extraction -----------------------------------------------------------
 
 def _link_share(node: Node) -> float:
     def size(n: Node, linked: bool) -> tuple[int, int]:
@@ -334,16 +404,16 @@ def _blocks(node: Node, template: set[int], in_article: bool, out: list[list[str
             out.append([])
 
 
-def extract(page: str, wrapper: list | None = None) -> str:
+def extract(page: str, wrapper: list | None = None, few: bool = False) -> str:
     """The main text: one line for each block.
 
     With a wrapper, all varying slots are text, inside and outside of articles; an article
     only settles that its own headers and link lists belong to it.  Without one, the text
-    is that of the articles where the page has any."""
+    is that of the articles where the page has any.  ``few``: the wrapper is of less than LEAST pages."""
     if not page:
         return ""
-    tree = seal(parse(page))
-    template = constant_parts(skeleton([tree]), wrapper)
+    tree = seal(settle_names(parse(page)))
+    template = constant_parts(skeleton([tree]), wrapper, few)
     articles: list[Node] = []
     if wrapper is None:
         _articles(tree, articles)
@@ -381,14 +451,15 @@ def nearly(tree: Node) -> str:
 
 
 def wrappers(pages: DataFrame, share: float = SHARE) -> DataFrame:
-    """(host, wrapper) of the hosts that have two pages that aren't nearly equal: the contents
-    that at least ``share`` of a host's pages with that path hold, counted over all of them."""
+    """(host, wrapper, few) of the hosts that have two pages that aren't nearly equal: the contents
+    that at least ``share`` of a host's pages with that path hold, counted over all of them;
+    ``few``: of less than LEAST pages."""
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                trees = [seal(parse(t.decode("utf-8", "replace"))) for t in text_bytes(part.column(1))]
+                trees = [seal(settle_names(parse(t.decode("utf-8", "replace")))) for t in text_bytes(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([nearly(t) for t in trees], pa.string()),
                      pa.array([json.dumps(contents(skeleton([t])), separators=(",", ":")) for t in trees], pa.string())], names=["host", "key", "tree"])
@@ -401,21 +472,24 @@ def wrappers(pages: DataFrame, share: float = SHARE) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [wrapper_of([(x["path"], x["content"]) for x in found or []]) for found in batch.column(1).to_pylist()]
+            trees = [wrapper_of([(x["path"], x["content"]) for x in found or []]) for found in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string())], names=["host", "wrapper"])
+                [batch.column(0), pa.array([json.dumps(t, separators=(",", ":")) for t in trees], pa.string()), batch.column(1)], names=["host", "wrapper", "few"])
 
     seen = pages.select(host_of(F.col("url")).alias("host"), "html").filter("host is not null and html is not null").mapInArrow(
         shapes, "host string, key string, tree string")
     distinct = seen.groupBy("host", "key").agg(F.min("tree").alias("tree")).select("host", "tree")
     # summed in each task first; a content that one page holds is no row here
     counted = written(distinct.mapInArrow(counts, "host string, path string, content string, n long").groupBy("host", "path", "content").agg(
-        F.sum("n").alias("n")).filter(f"content = '' or n >= {LEAST}"), "counted")
+        F.sum("n").alias("n")).filter("content = '' or n >= 2"), "counted")
     totals = counted.filter("content = ''")
-    constant = counted.filter("content != ''").join(totals.select("host", "path", F.col("n").alias("_of")), ["host", "path"]).filter(
-        F.col("n") >= share * F.col("_of")).groupBy("host").agg(F.collect_list(F.struct("path", "content")).alias("found"))
-    hosts = totals.filter((F.col("path") == "#") & (F.col("n") >= 2)).select("host")
-    return hosts.join(constant, "host", "left").mapInArrow(made, "host string, wrapper string")
+    hosts = totals.filter((F.col("path") == "#") & (F.col("n") >= 2)).select("host", F.col("n").alias("_pages"))
+    paths = totals.join(hosts, "host").filter(F.col("n") >= PATH_SHARE * F.col("_pages")).select("host", "path", F.col("n").alias("_of"), "_pages")
+    many = (F.col("n") >= LEAST) & (F.col("n") >= share * F.col("_of"))
+    constant = counted.filter("content != ''").join(paths, ["host", "path"]).filter(many | (F.col("n") == F.col("_pages"))).groupBy("host").agg(
+        F.collect_list(F.struct("path", "content")).alias("found"))
+    return hosts.join(constant, "host", "left").select("host", (F.col("_pages") < LEAST).alias("few"), "found").mapInArrow(
+        made, "host string, wrapper string, few boolean")
 
 
 def main_text(pages: DataFrame, share: float = SHARE) -> DataFrame:
@@ -423,11 +497,14 @@ def main_text(pages: DataFrame, share: float = SHARE) -> DataFrame:
     text, n_chars.
 
     A null or empty html has the empty text.  A page without a host, or whose host shows one
-    page or nearly equal ones, is judged by its own markup.  Rows that repeat an id are taken each by itself."""
+    page or nearly equal ones, is judged by its own markup.  Rows that repeat an id are taken each by
+    itself, and equal pages have equal texts; nothing depends on an order, so ties don't arise.  An empty
+    table gives an empty one.  A page of any length and nesting is read whole.  Columns of other
+    names are left aside, whatever they are called."""
     # a row for each host, written so that Spark knows its size before it chooses the join
     known = written(wrappers(pages, share), "wrappers")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("_host"))
-    joined = rows.join(known, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "wrapper")
+    joined = rows.join(known, F.col("_host") == F.col("host"), "left").select("page_id", "url", "html", "wrapper", "few")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str, list] = {}
@@ -435,12 +512,12 @@ def main_text(pages: DataFrame, share: float = SHARE) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = []
-                for raw, own in zip(text_bytes(part.column(2)), part.column(3).to_pylist()):
+                for raw, own, few in zip(text_bytes(part.column(2)), part.column(3).to_pylist(), part.column(4).to_pylist()):
                     if own is not None and own not in parsed:
                         if len(parsed) > 1000:
                             parsed.clear()
                         parsed[own] = json.loads(own)
-                    texts.append(extract(raw.decode("utf-8", "replace"), parsed.get(own)))
+                    texts.append(extract(raw.decode("utf-8", "replace"), parsed.get(own), bool(few)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"])
