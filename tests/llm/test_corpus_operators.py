@@ -318,6 +318,61 @@ def test_varying_slots_outside_of_articles_are_text(spark):
     assert got == [f"{t}\np {t}\nafter {t}" for t in text]
 
 
+STORY = [" ".join(f"s{i}w{j}" for j in range(40)) for i in range(60)]
+
+
+def test_versions_of_a_story_keep_its_text(spark):
+    # a passage that two versions of one story share among 18 other stories, and 50 stories of two versions each
+    shared = " ".join(f"both{j}" for j in range(30))
+    bodies = [f"<article><section><p>{t}</p></section></article>" for t in STORY[:18]]
+    bodies += [f"<article><section><p>{shared}</p></section><p>{t}</p></article>" for t in STORY[18:20]]
+    want = [*STORY[:18], *(f"{shared}\n{t}" for t in STORY[18:20])]
+    assert main_texts(spark, bodies) == want
+    ids = [f"x{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)]
+    ends = [" ".join(f"e{i}x{k}y{j}" for j in range(20)) for i in range(50) for k in range(2)]
+    bodies = [f'<div id="{ids[i // 2]}"><section><p>{STORY[i // 2]}</p></section></div><p>{t}</p>' for i, t in enumerate(ends)]
+    assert main_texts(spark, bodies) == [f"{STORY[i // 2]}\n{t}" for i, t in enumerate(ends)]
+    # a host of two versions of one story only
+    assert main_texts(spark, [f"<section><p>{STORY[0]}</p></section><p>{t}</p>" for t in ("one end", " ".join(STORY[1].split()[:12]))]) == [
+        f"{STORY[0]}\none end", f"{STORY[0]}\n{' '.join(STORY[1].split()[:12])}"]
+
+
+def test_names_do_not_drop_the_element_that_holds_the_text(spark):
+    text = STORY[0]
+    for around in ('<div class="elementor-widget-container">{}</div>', '<div class="no-sidebar">{}</div>', '<div class="post has-comments">{}</div>',
+                   '<div class="legal-article">{}</div>', '<div id="main" class="share-holder-news">{}</div>', '<form id="aspnetForm">{}</form>',
+                   '<div class="widget"><div class="widget-inner"><div class="promo">{}</div></div></div>'):
+        page = '<body><nav>Home News</nav><div class="menu">Home About</div>' + around.format(f"<p>{text}</p>") + '<div class="comments"><p>reader says</p></div></body>'
+        assert html_extract.extract(page) == text, around
+        pages = [page.replace(text, t) for t in STORY[:6]]
+        assert main_texts(spark, pages) == STORY[:6], around
+        break_at = page.replace("reader says", STORY[1] + " " + STORY[2])   # long comments are still comments
+        assert html_extract.extract(break_at) == text, around
+    assert html_extract.extract(f'<body><p>{text}</p><div class="sidebar"><p>Prices</p></div><form>Sign in <input></form></body>') == text
+
+
+@pytest.mark.parametrize("depth", [117, 118, 119, 125, 3000])
+def test_nothing_leaks_or_is_lost_at_any_depth(depth):
+    inner = "<p>one</p><nav><a>Home</a> About</nav>two<form>Contact <input>Sign in</form><script>x()</script><div>three <b>four</b></div><aside><div>ad</div></aside>five"
+    assert html_extract.extract("<div>" * depth + inner + "</div>" * depth + "<p>after</p>") == "one\ntwo\nthree four\nfive\nafter"
+
+
+def test_wrapper_size_does_not_grow_with_the_pages(spark):
+    sizes = []
+    for n in (50, 200):
+        rows = [(i, f"https://h.example.com/{i}", f'<body><div class="a"><p>Open nine to five</p></div><div class="b"><p>Buy {i % 7}</p></div>'
+                 f'<div class="c{i % (n // 2)}x"><p>part {i % (n // 2)}</p></div><div><p>{i} {STORY[i % 60]} {i}</p></div></body>') for i in range(n)]
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+        (row,) = html_extract.wrappers(frame).collect()
+        sizes.append(len(row.wrapper))
+    assert sizes[1] <= sizes[0]
+
+
+def test_a_very_long_page_is_read_whole():
+    blocks = [f"block {i} of the page" for i in range(60_000)]
+    assert html_extract.extract("<body><div>" + "".join(f"<p>{b}</p>" for b in blocks) + "</div></body>") == "\n".join(blocks)
+
+
 def test_comment_and_promo_articles_are_no_text():
     page = '<body><article class="{0}"><p>reader says</p></article><article class="post has-comments"><p>the text</p></article>'
     for name in ("comment", "promo", "comment-body", "card ad"):
