@@ -58,12 +58,11 @@ def order_of(shingles: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return shingles[np.lexsort((shingles, np.frexp(counts)[1]))]
 
 
-def merge_short(lists: list[np.ndarray], least: int, n: int) -> np.ndarray:
-    """The numbers below n that occur in at least ``least`` of the sorted lists."""
-    if sum(map(len, lists)) > HEAP_MOST:
-        return np.flatnonzero(np.bincount(np.concatenate(lists), minlength=n) >= least)
+def merge_short(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that occur in at least ``least`` of the sorted lists, in how many, by a heap."""
     merged = heapq.merge(*(x.tolist() for x in lists))
-    return np.fromiter((k for k, same in groupby(merged) if sum(1 for _ in same) >= least), np.int64)
+    found = [(k, n) for k, same in groupby(merged) if (n := sum(1 for _ in same)) >= least]
+    return np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
 class Index:
@@ -94,17 +93,16 @@ class Index:
         longest = int(ends[-1] - starts[-1])
         n_long = min(t - 1, int(t / (MU * math.log2(longest) + 1)))
         cut = len(at) - n_long
-        lists = [self.owners[s:e] for s, e in zip(starts[:cut].tolist(), ends[:cut].tolist())]
-        found = merge_short(lists, t - n_long, n)
-        if not len(found):
-            return found
-        if len(found) * n_long * max(1, longest.bit_length()) < int((ends - starts).sum()):
+        if int((ends[:cut] - starts[:cut]).sum()) <= HEAP_MOST:
+            found, common = merge_short([self.owners[s:e] for s, e in zip(starts[:cut].tolist(), ends[:cut].tolist())], t - n_long)
             probes = (at[cut:, None] * n + found).ravel()  # binary search in the long lists
             where = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
-            common = (self.keys[where] == probes).reshape(n_long, -1).sum(0)
-            common += np.bincount(np.concatenate(lists), minlength=n)[found]
-        else:  # so many candidates that reading the long lists is less work
-            common = np.bincount(np.concatenate([self.owners[s:e] for s, e in zip(starts.tolist(), ends.tolist())]), minlength=n)[found]
+            common = common + (self.keys[where] == probes).reshape(n_long, -1).sum(0)
+        else:  # most sets of the block are in most lists: all of them counted in one go are less work than a heap
+            sizes = ends - starts
+            counts = np.bincount(self.owners[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], minlength=n)
+            found = np.flatnonzero(counts >= t)
+            common = counts[found]
         return found[100 * common >= percent * (len(own) + self.sizes[found] - common)]
 
 
@@ -244,7 +242,9 @@ def chained(postings: DataFrame) -> DataFrame:
                  pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(band[told], pa.int64())])], names=["a", "b", "token", "band"])
             last = (token[-1], salt[-1], band[-1], firsts[-1])
 
-    ordered = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "band", "s1")
+    # parts of a quarter of an input partition's postings at most, on average
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * postings.rdd.getNumPartitions())
+    ordered = postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "band", "s1")
     return ordered.mapInArrow(run, "a long, b long, token long, band long")
 
 
