@@ -197,9 +197,11 @@ def test_join_equals_brute_force(spark, monkeypatch, block_sets, heap_most, long
     assert got == dict(enumerate(join_brute(rows)))
 
 
-def test_search_equals_counting():
+@pytest.mark.parametrize("heap_most", [0, 10 ** 9])
+def test_search_equals_counting(monkeypatch, heap_most):
+    monkeypatch.setattr(jaccard_join, "HEAP_MOST", heap_most)
     rng = random.Random(6)
-    for _ in range(60):
+    for _ in range(40):
         base = [rng.getrandbits(63) for _ in range(60)]
         sets = [np.array(sorted({*rng.sample(base, rng.randrange(30, 60)), *(rng.getrandbits(63) for _ in range(rng.randrange(0, 8)))}), np.uint64) for _ in range(30)]
         sets.sort(key=len)
@@ -212,14 +214,13 @@ def test_search_equals_counting():
                 assert index.search(sets[k], low, k, percent).tolist() == want if low < k else not want
 
 
-def test_short_lists_are_merged_alike_by_heap_and_by_counting(monkeypatch):
+def test_short_lists_are_merged_by_a_heap():
     rng = random.Random(7)
     lists = [np.array(sorted(rng.sample(range(100), rng.randrange(1, 60)))) for _ in range(12)]
-    found = []
-    for most in (0, 10 ** 9):
-        monkeypatch.setattr(jaccard_join, "HEAP_MOST", most)
-        found.append([jaccard_join.merge_short(lists, least, 100).tolist() for least in range(1, 13)])
-    assert found[0] == found[1]
+    counts = collections.Counter(k for x in lists for k in x.tolist())
+    for least in range(1, 13):
+        found, common = jaccard_join.merge_short(lists, least)
+        assert dict(zip(found.tolist(), common.tolist())) == {k: n for k, n in counts.items() if n >= least}
 
 
 def test_join_edge_cases(spark):

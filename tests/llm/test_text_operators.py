@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import time
 import zlib
 
@@ -116,6 +117,51 @@ def test_secret_literals_beyond_a_base_span_are_reported(spark):
     assert got[2] == [('password = "S3cretpass', "assign")]
 
 
+@pytest.mark.parametrize("text, literals", [
+    (f'secret_{"a" * 122} = "S3cr3tValue99x"', ["S3cr3tValue99x"]), (f'secret_{"a_" * 5000}x = "S3cr3tValue99x"', ["S3cr3tValue99x"]),
+    ('password = "$ecret!Pass99"', ["$ecret!Pass99"]), ('secret = "(8xQ!zz91)"', ["(8xQ!zz91)"]), ('password = """tr1ple!\nQuoted9"""', ["tr1ple!\nQuoted9"]),
+    ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]), ('password = "Enter your password here"', []),
+    ("postgres://admin:hunter2!xy@db/x", ["hunter2!xy"]), ("postgres://admin:${PASSWORD}@db/x", []),
+    ("token = self.get_token(user)", []), ('password = getpass.getpass("Enter it 99x!")', []), ("secret = config.read(x)", []), ("secret = os.environ['X9!abcdef']", []),
+    ('password = "S3cr3t!" + "morePart99"', ["S3cr3t!", "morePart99"]), ('password = ("S3cr3t!"\n)', []), ('password = u"S3cr3t!99" "more77"', ["S3cr3t!99", "more77"]),
+    ('PREFIX = "ab"\nsecret_token = PREFIX + "Cd3!efgh9"', ["ab", "Cd3!efgh9"]), ('k = "Zq8!kkWw91"\npassword = k', ["Zq8!kkWw91"]),
+    ("password: |\n  Zq8!kkWw91abc\n  d\nnext: 1", ["Zq8!kkWw91abc\n  d"]), ('"password": "${DB_PASSWORD}"', []), ("password=<your password>", []),
+    ('connect(db, password="Zq8!kkWw91", user=u)', ["Zq8!kkWw91"]), ('x = {"secret": "Zq8!kkWw91", "b": 1}', ["Zq8!kkWw91"]), ('token := `Zq8!kkWw91`', ["Zq8!kkWw91"]),
+    ('conn = "Server=x;Password=abc!12345;x"', ["abc!12345"]), ("", []), ("password =", []), ('password = "', [])])
+def test_lexed_literals(text, literals):
+    assert [text[a:b] for a, b, _ in secret_scan.literal_spans(text)] == literals
+
+
+@pytest.mark.parametrize("text", ["secret " + "a" * 400_000, "secret " + "a=" * 150_000, "secret " + 'a="' * 50_000, 'secret="""' * 20_000, "secret <a>" * 40_000,
+                                  "secret ://a:" * 40_000 + "@", "secret: |\n" * 20_000, "secret=" + "a.b(" * 50_000, 'secret="a"+' * 20_000])
+def test_lexing_takes_linear_time(text):
+    began = time.time()
+    secret_scan.literal_spans(text)
+    assert time.time() - began < 10
+
+
+def test_base_spans_against_brute_force(spark, documents):
+    """All documents of the smoke tables, and texts that hold every kind: the rules as they are written."""
+    def brute(text):
+        found = [(m.start(), m.end(), "assign") for m in re.finditer(
+            r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m[2]) >= 6]
+        found += [(m.start(), m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        order = ["assign", "access", "hex"]
+        return [f"{k}:{a}:{b}" for a, b, k in sorted(found, key=lambda x: (x[0], order.index(x[2])))]
+
+    extra = [(10 ** 6, "token: abcdef password='q' secret=abcdefg AKIA" + "Z" * 16 + " " + "0f" * 12 + " apikey = tokens/abc.def"), (10 ** 6 + 1, None), (10 ** 6 + 2, "")]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = secret_scan.scan(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in want) for k in ("assign", "access", "hex"))
+        assert set(want) <= set(r.span_text.split(",")) if want else True
+
+
 def test_secret_values_and_names_of_any_length(spark):
     value = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() for i in range(160))[:10_000] + "xyz"
     name = "a" * 80 + "Password"
