@@ -38,13 +38,15 @@ PERCENT = 85
 #: the sketch counts shingles in 2**SKETCH_BITS cells: 4 MB on the driver and on each executor, whatever the data
 SKETCH_BITS, PIECES = 20, 256
 #: sets and shingles of a block of a large group
-BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
 #: so many sets (two numbers each) are broadcast to pick their texts; more are joined by shuffling
 BROADCAST_SETS = 1 << 20
 #: lists whose cell of the sketch holds this many sets, and so many times the mean, are dealt out
 LONG_LIST, LONG_FACTOR, SALTS = 1024, 8, 16
 #: DivideSkip's weight of a long list, and the entries from which lists are merged by counting instead of by a heap
 MU, HEAP_MOST = 0.0085, 4096
+#: from so many sets on, lists that this share of them is in are kept as rows of bits
+DENSE_SETS, DENSE_SHARE = 64, 1 / 8
 
 
 def least_common(n: int, percent: int = PERCENT) -> int:
@@ -69,6 +71,7 @@ class Index:
     """Inverted lists of some sets, which are numbered by size: for each shingle the numbers of its sets."""
 
     def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
         self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.lexsort((owners, tokens))
@@ -76,34 +79,56 @@ class Index:
         self.owners, self.bounds = owners[order], np.append(first, len(tokens))
         # (list, number) as one sorted key, for binary search in any list
         self.keys = np.repeat(np.arange(len(self.tokens)), np.diff(self.bounds)) * len(sets) + self.owners
-
-    def search(self, own: np.ndarray, low: int, high: int, percent: int) -> np.ndarray:
-        """The numbers from low to high, exclusive, whose sets are similar enough to ``own``, an
-        indexed set that is at least as large: DivideSkip."""
-        n, t = len(self.sizes), least_common(len(own), percent)
-        at = np.searchsorted(self.tokens, own)
-        starts = np.searchsorted(self.keys, at * n + low)
-        ends = np.searchsorted(self.keys, at * n + high)
-        held = ends > starts
-        at, starts, ends = at[held], starts[held], ends[held]
-        if len(at) < t:
-            return np.empty(0, np.int64)
-        order = np.argsort(ends - starts, kind="stable")
-        at, starts, ends = at[order], starts[order], ends[order]
-        longest = int(ends[-1] - starts[-1])
-        n_long = min(t - 1, int(t / (MU * math.log2(longest) + 1)))
-        cut = len(at) - n_long
-        if int((ends[:cut] - starts[:cut]).sum()) <= HEAP_MOST:
-            found, common = merge_short([self.owners[s:e] for s, e in zip(starts[:cut].tolist(), ends[:cut].tolist())], t - n_long)
-            probes = (at[cut:, None] * n + found).ravel()  # binary search in the long lists
-            where = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
-            common = common + (self.keys[where] == probes).reshape(n_long, -1).sum(0)
-        else:  # most sets of the block are in most lists: all of them counted in one go are less work than a heap
-            sizes = ends - starts
-            counts = np.bincount(self.owners[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], minlength=n)
-            found = np.flatnonzero(counts >= t)
-            common = counts[found]
-        return found[100 * common >= percent * (len(own) + self.sizes[found] - common)]
+        # sets of a group share most of their shingles: what two of them share of the long lists is one product of bits
+        self.dense = np.zeros(len(self.tokens), bool)
+        if len(sets) >= DENSE_SETS:
+            self.dense = np.diff(self.bounds) >= DENSE_SHARE * len(sets)
+        if self.dense.any():
+            column = np.cumsum(self.dense) - 1
+            within = np.repeat(self.dense, np.diff(self.bounds))
+            bits = np.zeros((len(sets), int(self.dense.sum())), np.float32)
+            bits[self.owners[within], np.repeat(column, np.diff(self.bounds))[within]] = 1
+            self.together = bits @ bits.T
+
+    def search(self, k: int, low: int, percent: int) -> np.ndarray:
+        """The numbers from low to k, exclusive, whose sets are similar enough to that of k, the
+        largest of them: DivideSkip."""
+        n, size = len(self.sizes), int(self.sizes[k])
+        t = least_common(size, percent)
+        at = np.searchsorted(self.tokens, self.sets[k])
+        if self.dense.any():  # the long lists are looked up by the product, the others counted
+            at = at[~self.dense[at]]
+            counts = self._counted(np.searchsorted(self.keys, at * n + low), np.searchsorted(self.keys, at * n + k))
+            found = np.arange(low, k)
+            common = counts[low:k] + self.together[k, low:k].astype(np.int64)
+        else:
+            starts = np.searchsorted(self.keys, at * n + low)
+            ends = np.searchsorted(self.keys, at * n + k)
+            held = ends > starts
+            at, starts, ends = at[held], starts[held], ends[held]
+            if len(at) < t:
+                return np.empty(0, np.int64)
+            order = np.argsort(ends - starts, kind="stable")
+            at, starts, ends = at[order], starts[order], ends[order]
+            longest = int(ends[-1] - starts[-1])
+            n_long = min(t - 1, int(t / (MU * math.log2(longest) + 1)))
+            cut = len(at) - n_long
+            if int((ends[:cut] - starts[:cut]).sum()) <= HEAP_MOST:
+                found, common = merge_short([self.owners[s:e] for s, e in zip(starts[:cut].tolist(), ends[:cut].tolist())], t - n_long)
+                probes = (at[cut:, None] * n + found).ravel()  # binary search in the long lists
+                where = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+                common = common + (self.keys[where] == probes).reshape(n_long, -1).sum(0)
+            else:  # short lists so full that all of them counted in one go are less work than a heap
+                counts = self._counted(starts, ends)
+                found = np.flatnonzero(counts >= t)
+                common = counts[found]
+        return found[100 * common >= percent * (size + self.sizes[found] - common)]
+
+    def _counted(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """In how many of the stretches of lists each number is."""
+        sizes = ends - starts
+        at = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.owners[at], minlength=len(self.sizes))
 
 
 def join_block(sets: list[np.ndarray], sides: list[int], copies: list[int], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +140,7 @@ def join_block(sets: list[np.ndarray], sides: list[int], copies: list[int], perc
     two_sided = side.min() != side.max()
     for k in range(1, n):
         low = int(np.searchsorted(index.sizes, least_common(len(sets[k]), percent)))
-        found = index.search(sets[k], low, k, percent) if low < k else ()
+        found = index.search(k, low, percent) if low < k else ()
         if two_sided and len(found):
             found = found[side[found] != side[k]]
         if len(found):
