@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
 Each source has a target size in words.  A document's expected number of copies is
-its source's target over the source's size, times the document's own weight; the
-whole part of that is allocated for certain, the rest is an inclusion probability
-``p``.  The documents of a source are ranked by the Pareto ratio
+its weight times a level of its source, at most MAX_COPIES, and the level is such that the
+expected words of the source are its target; the whole part of that is allocated for certain,
+the rest is an inclusion probability ``p``.  The documents of a source are ranked by the Pareto
+ratio of random odds to inclusion odds
 
-    Q = (U / (1 - U)) / (p / (1 - p)),    U a uniform number hashed from the document,
+    Q = (U / (1 - U)) / (p / (1 - p)),    U a uniform number hashed from id, size and text,
 
 and the smallest are taken until their words fill what the certain copies leave of
 the target.  The running total that decides this is never taken over a whole
@@ -17,6 +18,8 @@ Documents with ``p`` = 0 take no part in that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ MAX_COPIES = 3
 WEIGHTS = (5, 2, 1)
 #: parts into which a source's order is cut
 BUCKETS = 4096
+#: an expected number of copies so near a whole one is that one: the rest is what divisions round off
+NEAR_WHOLE = 1e-9
 
 
 def word_count(text: Column) -> Column:
@@ -63,6 +68,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.0, max_co
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def levels(classes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """(source, target, weight, size) of each source's weights to (source, weight, expected): the copies
+    expected of a document of that weight.
+
+    With the weights from high to low, the first k are held at ``max_copies``; what that leaves of the
+    target is shared by weight.  The k that this settles at is the first whose highest free weight
+    stays below the limit.  A row for each source and weight crosses these windows, never a document."""
+    from_high = Window.partitionBy("source").orderBy(F.col("weight").desc())
+    before = F.coalesce(F.sum("size").over(from_high.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    onward = F.sum(F.col("size") * F.col("weight")).over(from_high.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    most = F.lit(float(max_copies))
+    ranked = classes.withColumn("_level", F.when(onward > 0, (F.col("target") - most * before) / onward))
+    settled = F.max(F.when(F.col("_level") * F.col("weight") <= most, F.struct("weight", "_level"))).over(Window.partitionBy("source"))["_level"]
+    expected = F.when(F.col("_level").isNull(), F.lit(0.0)).otherwise(F.least(most, F.coalesce(settled * F.col("weight"), most)))
+    return ranked.withColumn("_e", expected).select("source", "weight", F.when(F.abs(F.col("_e") - F.round("_e")) < NEAR_WHOLE, F.round("_e")).otherwise(F.col("_e")).alias("expected"))
+
+
 def uniform(seed: int, *of: Column) -> Column:
     """A number above 0 and below 1 from the md5 of the values: the same in every run."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("?")) for c in of])
@@ -70,27 +92,35 @@ def uniform(seed: int, *of: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_copies: int = MAX_COPIES, seed: int = 7,
-        weight: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+        weight: Column | Callable[[Column], Column] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source and any others): doc_id, source,
     size, source_size, target, copies, taken = size * copies, and ``tie``, a hash of the text.
 
-    ``weight`` (positive; default 1) makes documents of one source differ in their
-    inclusion probability.  A null source is a source of its own, the last; a null or
-    empty text has size 0 and is taken 0 times; a null doc_id is drawn like any other
-    value; rows that repeat an id are drawn apart if their texts differ, and rows that
-    are equal throughout are interchangeable.  An empty table gives an empty one."""
-    narrow = written(
-        docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"),
-                    (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w")), "sizes")
-    per_source = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_weighed"))
-    plan = source_targets(per_source.select("source", "source_size"), weights, share, max_copies).join(
-        per_source.select(F.col("source").alias("_s"), "_weighed"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    # one row per source: Spark measures it and broadcasts it where it is small, and
+    ``weight`` (positive, of few distinct values; default 1), an expression of the documents' columns or
+    a function of the size, makes documents of one source differ in their inclusion
+    probability.  A null source is a source of its own, the last; a null or empty text has size 0 and is
+    taken 0 times, a text of any length is counted whole.  Each row is drawn by its id, size and text: rows
+    that repeat an id or have none are drawn apart if their texts differ, and rows that are equal
+    throughout are interchangeable.  Ties in Q go by id, size and text hash.  Columns of other
+    names may be called anything.  An empty table gives an empty one."""
+    own = F.lit(1.0) if weight is None or not isinstance(weight, Column) else weight.cast("double")
+    narrow = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"),
+                         F.md5(F.coalesce("text", F.lit(""))).alias("_text"), own.alias("_w"))
+    if weight is not None and not isinstance(weight, Column):
+        narrow = narrow.withColumn("_w", weight(F.col("size")).cast("double"))
+    narrow = written(narrow.withColumn("_u", uniform(seed, F.col("doc_id"), F.col("size"), F.col("_text"))).drop("_text"), "sizes")
+    classes = written(narrow.groupBy("source", "_w").agg(F.sum("size").alias("size")), "classes")
+    per_source = classes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = source_targets(per_source, weights, share, max_copies).withColumnRenamed("source", "_s")
+    of_class = classes.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("source", "target", "source_size", F.col("_w").alias("weight"), "size")
+    share_of = levels(of_class, max_copies)
+    # one row per source and weight: Spark measures it and broadcasts it where it is small, and
     # splits a hot source's partition of the join where it is not
-    sized = narrow.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    expected = F.when(F.col("_weighed") > 0, F.least(F.lit(float(max_copies)), F.col("target") * F.col("_w") / F.col("_weighed"))).otherwise(0.0)
-    u = uniform(seed, F.col("doc_id"))
-    p = F.col("_rest")
+    plan = of_class.select(F.col("source").alias("_s"), F.col("weight").alias("_c"), "source_size", "target").join(
+        share_of.select(F.col("source").alias("_s2"), F.col("weight").alias("_c2"), "expected"),
+        F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_c") == F.col("_c2"))).drop("_s2", "_c2")
+    sized = narrow.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_c"))).drop("_s", "_c")
+    expected, u, p = F.col("expected"), F.col("_u"), F.col("_rest")
     odds = (u / (1 - u)) / (p / (1 - p))
     # the same for all of a source: p of its mean weight, by which Q is even again
     mean = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_copies)), F.col("target") / F.col("source_size"))).otherwise(0.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from indicata.llm import (chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, mixing, near_dup, periodic_runs, prefix_trie,
@@ -81,9 +81,20 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(token_store.write_store(_read(spark, sf_dir, "documents"), tokenizer_path(), VOCABULARY))
 
 
+#: the mix's weights by size in words: longer documents are taken more often than short ones of their source
+SIZE_WEIGHTS = ((200, 3), (50, 2))
+
+
+def by_size(size: Column) -> Column:
+    weight = F
+    for least, value in SIZE_WEIGHTS:
+        weight = weight.when(size >= least, F.lit(value))
+    return weight.otherwise(F.lit(1))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
-    return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_read(spark, sf_dir, "documents"), weight=by_size).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +168,8 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 _MIX = f"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT *, (CASE {' '.join(f'WHEN size >= {least} THEN {value}' for least, value in SIZE_WEIGHTS)} ELSE 1 END)::DOUBLE AS weight
+  FROM (SELECT doc_id, source, md5(coalesce(text, '')) AS hash, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, [{', '.join(f'{x}.0::DOUBLE' for x in mixing.WEIGHTS)}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS weight,
              source_size * {mixing.MAX_COPIES}.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
@@ -165,9 +177,15 @@ lv AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source
              / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, CASE WHEN settled IS NULL THEN cap ELSE least(cap, settled * weight) END AS target
       FROM (SELECT *, (SELECT arg_min(level, cap / weight) FROM lv WHERE level * weight <= cap) AS settled FROM lv)),
-e AS (SELECT sized.*, source_size, target, CASE WHEN source_size > 0 THEN least({mixing.MAX_COPIES}.0, target * 1.0 / source_size) ELSE 0 END::DOUBLE AS expected,
-             (('0x' || substr(md5('7:' || doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / {float(1 << 48)}::DOUBLE AS u
-      FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT s.source, weight, size, target FROM (SELECT source, weight, sum(size) AS size FROM sized GROUP BY source, weight) s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+l AS (SELECT *, CASE WHEN onward > 0 THEN (target - {mixing.MAX_COPIES}.0::DOUBLE * before) / onward END AS level
+      FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before,
+                   (sum(size * weight) OVER (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS onward FROM k)),
+x AS (SELECT source, weight, CASE WHEN level IS NULL THEN 0 ELSE least({mixing.MAX_COPIES}.0::DOUBLE, coalesce(settled * weight, {mixing.MAX_COPIES}.0::DOUBLE)) END::DOUBLE AS raw
+      FROM (SELECT *, max_by(level, weight) FILTER (WHERE level * weight <= {mixing.MAX_COPIES}) OVER (PARTITION BY source) AS settled FROM l)),
+e AS (SELECT sized.*, source_size, target, CASE WHEN abs(raw - round(raw)) < {mixing.NEAR_WHOLE!r}::DOUBLE THEN round(raw) ELSE raw END AS expected,
+             (('0x' || substr(md5('7:' || doc_id::VARCHAR || ':' || size || ':' || hash), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / {float(1 << 48)}::DOUBLE AS u
+      FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source JOIN x ON x.source IS NOT DISTINCT FROM sized.source AND x.weight = sized.weight),
 p AS (SELECT *, floor(expected) AS certain, expected - floor(expected) AS p FROM e),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, sum(size * certain) OVER (PARTITION BY source) AS sure FROM p),
 f AS (SELECT *, sum(size) OVER (PARTITION BY source, p > 0 ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS filled FROM q)
