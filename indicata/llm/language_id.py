@@ -36,6 +36,9 @@ UNKNOWN = "und"
 GRAMS, BITS = (1, 2, 3), 12
 #: labelled documents of a language that the machines are fitted on, and of all languages together
 PER_LANGUAGE, IN_ALL = 200, 2000
+#: languages that are learned: those of the most labelled documents, ties by code.  The rarest labels beyond
+#: aren't learned, so sample, separators (one a family, one a pair within) and fit are bounded whatever the labels hold
+LANGUAGES = 64
 #: weights are held as integers of 1 / SCALE
 SCALE = 1 << 20
 
@@ -109,21 +112,23 @@ def fit_separator(x: np.ndarray, y: np.ndarray, cost: float = 500.0, rounds: int
     return w[:-1], float(w[-1] * 0.1)
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> DataFrame:
-    """Labelled documents to learn from: of each language those of the smallest id hash."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, languages: int = LANGUAGES) -> DataFrame:
+    """Labelled documents to learn from, ``in_all`` at most: of each of the most frequent ``languages``
+    (at most half of ``in_all``) those of the smallest id hash."""
     named = docs.filter("lang is not null and doc_id is not null and text is not null and text != ''").select("lang", "doc_id")
     learn = named.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
-    languages = learn.select("lang").distinct().count()
-    most = max(2, min(per_language, in_all // max(1, languages)))
+    frequent = learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(min(languages, in_all // 2)).collect()
+    most = min(per_language, in_all // max(1, len(frequent)))
+    learn = learn.filter(F.col("lang").isin([r["lang"] for r in frequent]))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = learn.distinct().withColumn("_rank", rank).filter(F.col("_rank") <= most).select("lang", "doc_id")
-    # at most ``in_all`` (or two a language) rows of two columns
+    # at most ``in_all`` rows of two columns
     return docs.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").select("lang", "doc_id", "text")
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
-    """The machines, fitted on the driver on a sample of at most ``in_all`` documents, which
-    arrive as feature vectors of fixed size."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, languages: int = LANGUAGES) -> Model:
+    """The machines, fitted on the driver on a sample of at most ``in_all`` documents of ``languages``
+    languages, which arrive as feature vectors of fixed size; rows that repeat an id count once."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +138,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL)
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
                 names=["lang", "doc_id", "vector"])
 
-    got = sample(docs, per_language, in_all).mapInArrow(vectors, "lang string, doc_id long, vector binary").collect()
+    # an id that many rows repeat counts once, by its least vector: no more rows than ids reach the driver
+    got = sample(docs, per_language, in_all, languages).mapInArrow(vectors, "lang string, doc_id long, vector binary").groupBy("lang", "doc_id").agg(
+        F.min("vector").alias("vector")).collect()
     rows = {(r["lang"], r["doc_id"], bytes(r["vector"])) for r in got}
     by_lang: dict[str, list[np.ndarray]] = defaultdict(list)
     for lang, _, vector in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
@@ -166,8 +173,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything where
     no labelled document was there to learn from.  The prediction looks at nothing but the
-    text, whole; rows that repeat an id are judged each by its own.  A null id is not held
-    out and not learned from."""
+    text, whole, however long; rows that repeat an id are judged each by its own.  A null id is not held
+    out and not learned from.  Where votes or margins tie, the first language or family by code wins.
+    An empty table gives an empty one; columns of other names are left aside, whatever they are called."""
     found = model or fit(docs)
     held = docs.sparkSession.sparkContext.broadcast((found.families, found.members, found.pairs, found.weights, found.bias))
 
