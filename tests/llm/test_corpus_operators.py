@@ -189,6 +189,39 @@ def test_mixing_repeated_rows_and_empty(spark):
     assert mixing.mix(docs.withColumn("text", F.lit(""))).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mixing_draws_each_row_apart(spark):
+    rows = [(None, f"text number {k} of no id", "a") for k in range(2000)] + [(7, "b " * 40, "b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    uniform = mixing.uniform(7, F.col("doc_id"), F.lit(5), F.md5("text"))
+    assert docs.filter("source = 'a'").select(uniform).distinct().count() == 2000
+    got = mixing.mix(docs, weights=(2, 1)).filter("source = 'a'")
+    picked = got.groupBy("copies").count().collect()
+    assert {r["copies"] for r in picked} <= {0, 1, 2, 3} and sum(r["count"] for r in picked) == 2000
+
+
+def test_mixing_levels_share_the_target_by_weight(spark):
+    """The words expected of a source are its target, no document more than three times its size, whatever the weights."""
+    rng = random.Random(3)
+    for _ in range(12):
+        rows = [(s, float(w), rng.randrange(1, 500)) for s in "ab" for w in rng.sample(range(1, 20), rng.randrange(1, 6))]
+        targets = {s: rng.random() * 3 * sum(n for x, _, n in rows if x == s) for s in "ab"}
+        targets["b"] = 3.0 * sum(n for x, _, n in rows if x == "b") if rng.random() < 0.3 else targets["b"]
+        frame = spark.createDataFrame([(s, targets[s], w, n) for s, w, n in rows], "source string, target double, weight double, size long")
+        got = {(r.source, r.weight): r.expected for r in mixing.levels(frame).collect()}
+        for s in "ab":
+            assert abs(sum(got[s, w] * n for x, w, n in rows if x == s) - targets[s]) < 1e-6 * targets[s] + 1e-6
+            free = {round(got[s, w] / w, 9) for x, w, n in rows if x == s and got[s, w] < 3}
+            assert len(free) <= 1 and all(0 <= got[x, w] <= 3 for x, w, _ in rows)
+
+
+def test_mixing_takes_long_documents_of_a_source_more_often(spark):
+    from indicata.llm.queries import by_size
+    docs = spark.createDataFrame([(k, "w " * (20 if k % 2 else 300), "a" if k < 2000 else "b") for k in range(2400)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1, 4), weight=by_size).filter("source = 'a'")
+    copies = {r["size"]: r["copies"] for r in got.groupBy("size").agg(F.avg("copies").alias("copies")).collect()}
+    assert abs(copies[300] / copies[20] - 3) < 0.4      # weights 3 and 1
+
+
 def test_mixing_weights_make_inclusion_unequal(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w w w w").alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
     got = mixing.mix(docs, weights=(1, 7), weight=F.when(F.col("doc_id") % 4 == 0, 3.0).otherwise(1.0)).filter("source = 'a'")

@@ -197,9 +197,10 @@ def test_join_equals_brute_force(spark, monkeypatch, block_sets, heap_most, long
     assert got == dict(enumerate(join_brute(rows)))
 
 
-@pytest.mark.parametrize("heap_most", [0, 10 ** 9])
-def test_search_equals_counting(monkeypatch, heap_most):
+@pytest.mark.parametrize("heap_most, dense_sets", [(0, 64), (10 ** 9, 64), (10 ** 9, 2)])
+def test_search_equals_counting(monkeypatch, heap_most, dense_sets):
     monkeypatch.setattr(jaccard_join, "HEAP_MOST", heap_most)
+    monkeypatch.setattr(jaccard_join, "DENSE_SETS", dense_sets)
     rng = random.Random(6)
     for _ in range(40):
         base = [rng.getrandbits(63) for _ in range(60)]
@@ -211,7 +212,7 @@ def test_search_equals_counting(monkeypatch, heap_most):
                 low = int(np.searchsorted(index.sizes, jaccard_join.least_common(len(sets[k]), percent)))
                 own = set(sets[k].tolist())
                 want = [j for j in range(low, k) if 100 * len(own & set(sets[j].tolist())) >= percent * len(own | set(sets[j].tolist()))]
-                assert index.search(sets[k], low, k, percent).tolist() == want if low < k else not want
+                assert index.search(k, low, percent).tolist() == want if low < k else not want
 
 
 def test_short_lists_are_merged_by_a_heap():

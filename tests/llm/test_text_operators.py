@@ -313,3 +313,44 @@ def test_packing_round_trip(bits):
     assert token_store.unpack(packed, bits, 0, 1000).tolist() == ids.tolist()
     assert token_store.unpack(packed, bits, 333, 41).tolist() == ids[333:374].tolist()
     assert token_store.bits_for(1 << bits) == bits
+
+
+def test_language_sample_is_bounded_whatever_the_labels(spark):
+    rows = [(k, f"text {k} of a junk label", f"j{k % 3000:04d}", "s") for k in range(9000)] + [(10_000 + k, f"the good text {k}", "en", "s") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = language_id.sample(docs).groupBy("lang").count().collect()
+    assert sum(r["count"] for r in got) <= language_id.IN_ALL and len(got) <= language_id.LANGUAGES and max(r["count"] for r in got) <= language_id.IN_ALL // language_id.LANGUAGES
+    assert "en" in {r["lang"] for r in got}
+    model = language_id.fit(docs, in_all=60, languages=20)
+    assert len(model.families) + len(model.pairs) <= 20 and model.weights.shape[1] == len(model.bias)
+    # one id repeated by many rows is one vector
+    same = spark.createDataFrame([(1, f"text number {k}", "en", "s") for k in range(500)], "doc_id long, text string, lang string, source string")
+    assert language_id.fit(same).families == ["germanic"]
+
+
+def test_language_votes_against_brute_force(spark, documents):
+    """Frequencies counted n-gram by n-gram, margins as sums of products, every pair of the best family votes."""
+    docs = documents.select("doc_id", "text", "lang").limit(60)
+    model = language_id.fit(documents)
+    want = {}
+    for doc_id, text, _ in docs.collect():
+        if text is None or not any(c.isalpha() for c in text):
+            want[doc_id] = "und"
+            continue
+        data = text.lower().encode()
+        margins = model.bias.astype(float).copy()
+        for k, n in enumerate(language_id.GRAMS):
+            grams = collections.Counter(data[i:i + n] for i in range(len(data) - n + 1))
+            for gram, count in grams.items():
+                (bucket,) = language_id.gram_buckets(np.frombuffer(gram, np.uint8), n, language_id.BITS)
+                margins += model.weights[(k << language_id.BITS) + int(bucket)] / language_id.SCALE * count / max(1, sum(grams.values()))
+        family = model.families[int(np.argmax(margins[:len(model.families)]))]
+        votes = collections.Counter({code: 0.0 for code in model.members[family]})
+        for (one, other), margin in zip(model.pairs, margins[len(model.families):]):
+            if one in votes:
+                chance = 1 / (1 + np.exp(-margin))
+                votes[one if margin > 0 else other] += 1
+                votes[one] += 1e-3 * chance
+                votes[other] += 1e-3 * (1 - chance)
+        want[doc_id] = max(sorted(votes), key=votes.get)
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()} == want
