@@ -43,11 +43,25 @@ class ReplicateDesign:
     scale: float = ACS_SCALE
     rscales: tuple[float, ...] | None = None
     mse: bool = True
+    packed: str | None = None
 
     @classmethod
     def acs(cls, prefix: str = "WGTP", replicates: int = ACS_REPLICATES) -> "ReplicateDesign":
         return cls(prefix, tuple(f"{prefix}{i}" for i in range(1, replicates + 1)))
 
+    @classmethod
+    def stored(cls, column: str, replicates: int = ACS_REPLICATES) -> "ReplicateDesign":
+        """Weights stored as one array column: the full-sample weight, then the replicates.  Rows cross joins
+        and shuffles as one field; the elements are only taken out where they are summed."""
+        return cls(column, tuple(f"{column}[{i}]" for i in range(1, replicates + 1)), packed=column)
+
+    @property
+    def weight_exprs(self) -> list[str]:
+        """The weights as SQL expressions, the full-sample weight first."""
+        if self.packed:
+            return [f"get(`{self.packed}`, {i})" for i in range(self.replicates + 1)]
+        return [f"`{c}`" for c in self.columns]
+
     @property
     def replicates(self) -> int:
         return len(self.rep_weights)
@@ -74,7 +88,7 @@ def total_names(design: ReplicateDesign) -> list[str]:
 
 def replicate_totals(df: DataFrame, design: ReplicateDesign, by: Sequence[str]) -> DataFrame:
     """Weighted totals per cell: ``by`` + ``_t0`` (full sample) .. ``_tR``."""
-    aggs = [F.expr(f"sum(`{c}`) AS `{total_name(i)}`") for i, c in enumerate(design.columns)]
+    aggs = [F.expr(f"sum({c}) AS `{total_name(i)}`") for i, c in enumerate(design.weight_exprs)]
     return df.groupBy(*by).agg(*aggs)
 
 

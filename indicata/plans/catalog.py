@@ -63,6 +63,11 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "register_rejects": (FQ.register_rejects, O.q_register_rejects),
     "two_vintage_run": (FQ.two_vintage_run, O.q_two_vintage_run),
     "row_ids": (FQ.row_ids, O.q_row_ids),
+    "decoded_codes": (FQ.decoded_codes, O.q_decoded_codes),
+    "indicator_sink": (FQ.indicator_sink, O.q_indicator_sink),
+    "closures_extract": (FQ.closures_extract, O.q_closures_extract),
+    "stored_weights_packed": (SQ.stored_weights_packed, O.q_stored_weights),
+    "stored_weights_wide": (SQ.stored_weights_wide, O.q_stored_weights),
 }
 
 

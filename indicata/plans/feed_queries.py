@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from indicata.functions.scalars import strict_sum
 from indicata.operators import households as hh
@@ -14,7 +15,7 @@ from indicata.plans import spatial_queries as SPQ
 from indicata.plans import standins as S
 from indicata.plans import survey_queries as SQ
 from indicata.sources import quarantine as Q
-from indicata.sources import readers, vintages
+from indicata.sources import decoding, readers, sinks, staging, vintages
 
 # Fixed values of the stand-in register's text (shared with the SQL oracle): its header, of which the
 # first columns are read, and the keys whose line or field is junk (divisible by the number).
@@ -131,6 +132,64 @@ def two_vintage_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.survey_rate(rows, S.HH_DESIGN, ["vintage"], "indicator")
 
 
+# ------------------------------------------------------------- sinks
+
+SINK_KEYS = ["geography", "year"]
+EXTRACT_YEAR = "1998"
+EXTRACT = "facility_name STRING, county_name STRING, facility_capacity INT, closed_date_text STRING"
+
+
+def indicator_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: monthly closures written into a table partitioned by geography and year, the first year alone, then
+    both, then both again, which writes nothing; read back with each partition's rows as its manifest tells them."""
+    monthly = RQ.closures_by_month(spark, sf_dir)
+    path = staging.new_folder(spark, "indicator")
+    sinks.write_partitions(monthly.filter(F.col("year") == RQ.YEARS[0]), path, SINK_KEYS)
+    for _ in range(2):
+        sinks.write_partitions(monthly, path, SINK_KEYS)
+    told = sinks.read_manifest(spark, path, monthly.schema, SINK_KEYS).select(*[F.col(k).alias(f"_{k}") for k in SINK_KEYS], F.col("rows").alias("partition_rows"))
+    back = sinks.read_partitions(spark, path, monthly.schema)
+    return back.join(told, (F.col("geography") == F.col("_geography")) & (F.col("year") == F.col("_year"))).drop("_geography", "_year")
+
+
+def closures_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: one year's closures handed to another process as text, and what that reads."""
+    closed = RQ.prepared_register(spark, sf_dir, (EXTRACT_YEAR,)).filter(F.col("open") == 0)
+    path = staging.new_folder(spark, "extract")
+    sinks.write_extract(closed.select("facility_name", "county_name", "facility_capacity", "closed_date_text", "year"), F.col("year") == EXTRACT_YEAR, path)
+    return readers.read_microdata(spark, path, schema=T.StructType.fromDDL(EXTRACT + ", year STRING")).drop("year")
+
+
+# ------------------------------------------------------------- encodings
+
+# Fixed values of the encoded code list: by key, the encoding of its line, and keys of malformed lines.
+ENCODINGS = 5
+BAD_8, BAD_16 = 11, 13
+
+
+def encoded_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code list's lines (key; description, with a letter beyond ASCII) as bytes in five encodings."""
+    k = F.col("p_partkey")
+    text = F.concat_ws(";", k.cast("string"), F.concat(F.col("p_type"), F.lit(" é€ü")))
+    western = F.concat(F.encode(F.concat_ws(";", k.cast("string"), F.concat(F.col("p_type"), F.lit(" é"))), "ISO-8859-1"), F.lit(b"\x80\xfc"))
+    kind = k % ENCODINGS
+    line = (F.when(k % BAD_8 == 0, F.concat(F.lit(decoding.MARK_8), F.encode(text, "UTF-8"), F.lit(b"\xc3(")))
+            .when(k % BAD_16 == 0, F.concat(F.lit(decoding.MARK_LE), F.encode(text, "UTF-16LE"), F.lit(b"\x41")))
+            .when(kind == 0, F.encode(text, "UTF-8")).when(kind == 1, F.concat(F.lit(decoding.MARK_8), F.encode(text, "UTF-8")))
+            .when(kind == 2, F.concat(F.lit(decoding.MARK_LE), F.encode(text, "UTF-16LE")))
+            .when(kind == 3, F.concat(F.lit(decoding.MARK_BE), F.encode(text, "UTF-16BE"))).otherwise(western))
+    return S.table(spark, sf_dir, "part").select(line.alias("line"))
+
+
+def decoded_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by encoding and whether they are text in it, with the codes and descriptions read from them."""
+    rows = decoding.decode_column(encoded_codes(spark, sf_dir), "line")
+    cells = F.split("text", ";")
+    return rows.groupBy("encoding", "malformed").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(cells[0].cast("bigint")).alias("codes"), F.min(cells[1]).alias("first_description"),
+        F.max(cells[1]).alias("last_description"))
+
+
 # ------------------------------------------------------------- row ids
 
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -837,3 +837,35 @@ def q_row_ids() -> str:
   SELECT row_number() OVER (ORDER BY c_name, CAST(c_custkey AS VARCHAR)) AS id, c_name AS "NAMELSAD20", CAST(c_custkey AS VARCHAR) AS "PUMA",
          round((c_custkey % {SP.GRID}) * {SP.SIDE} + {half}, {d}) AS cx, round(floor(c_custkey / {SP.GRID}) * {SP.SIDE} + {half}, {d}) AS cy
   FROM customer"""
+
+
+def q_indicator_sink() -> str:
+    return f"SELECT *, count(*) OVER (PARTITION BY geography, year) AS partition_rows FROM ({q_closures_by_month()}) m"
+
+
+def q_closures_extract() -> str:
+    return f"""
+  SELECT 'Facility ' || o_orderkey AS facility_name, g.geoid AS county_name,
+         CASE WHEN o_totalprice >= {RQ.KNOWN_FROM} THEN CAST(floor(o_totalprice / 10000) AS INTEGER) END AS facility_capacity,
+         strftime(CAST(o_orderdate AS DATE), '%-m/%-d/%Y') AS closed_date_text
+  FROM orders o LEFT JOIN ({GEO_CTE}) g ON o.o_custkey = g.o_custkey
+  WHERE o_orderstatus <> 'O' AND strftime(CAST(o_orderdate AS DATE), '%Y') = '{FQ.EXTRACT_YEAR}'"""
+
+
+def q_stored_weights() -> str:
+    el = eligible_sql(person_filter="AGEP < 5")
+    cells = f"""
+    SELECT geoid, indicator, {totals_sql(hh_weights())}
+    FROM (SELECT *, {indicator_sql(100)} AS indicator FROM ({el}) e) x
+    GROUP BY geoid, indicator"""
+    return rate_sql(cells, ["geoid"], "indicator")
+
+
+def q_decoded_codes() -> str:
+    kind = " ".join(f"WHEN p_partkey % {FQ.ENCODINGS} = {k} THEN '{name}'" for k, name in enumerate(("utf-8", "utf-8 mark", "utf-16le", "utf-16be", "windows-1252")))
+    return f"""
+  SELECT encoding, malformed, count(*) AS lines, CAST(sum(CASE WHEN NOT malformed THEN p_partkey END) AS BIGINT) AS codes,
+         min(CASE WHEN NOT malformed THEN p_type || ' é€ü' END) AS first_description, max(CASE WHEN NOT malformed THEN p_type || ' é€ü' END) AS last_description
+  FROM (SELECT *, CASE WHEN p_partkey % {FQ.BAD_8} = 0 THEN 'utf-8 mark' WHEN p_partkey % {FQ.BAD_16} = 0 THEN 'utf-16le' {kind} END AS encoding,
+               p_partkey % {FQ.BAD_8} = 0 OR p_partkey % {FQ.BAD_16} = 0 AS malformed FROM part) p
+  GROUP BY encoding, malformed"""

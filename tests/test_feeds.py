@@ -276,3 +276,83 @@ def test_crosswalk_reads_each_layer_once(spark):
     plan = SPQ.overlay_crosswalk(spark, SF)
     assert scans(plan, "customer") == 3 and scans(plan, "region") == 1
     assert plan_of(plan).count("BroadcastNestedLoopJoin") == 0
+
+
+# ---- sinks ----------------------------------------------------------------
+
+def files_below(path):
+    import os
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def test_a_rerun_of_the_sink_changes_nothing(spark, tmp_path):
+    from indicata.sources import sinks
+    schema, keys, path = "geo string, year string, v long", ["geo", "year"], str(tmp_path / "table")
+    first = spark.createDataFrame([("a", "2019", 1), ("a", "2019", 1), ("b", "2019", 2), (None, "2019", 3), ("007", "2019", 7)], schema)
+    assert sinks.write_partitions(first, path, keys) == 4
+    before = files_below(path)
+    assert sinks.write_partitions(first.repartition(3), path, keys) == 0 and files_below(path) == before
+    # another year beside it, one partition changed (a repeated row goes), the rest as it was
+    second = spark.createDataFrame([("a", "2019", 1), ("b", "2019", 2), ("a", "2020", 4)], schema)
+    assert sinks.write_partitions(second, path, keys) == 2
+    back = sinks.read_partitions(spark, path, first.schema)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted([("a", "2019", 1), ("b", "2019", 2), (None, "2019", 3), ("007", "2019", 7), ("a", "2020", 4)], key=str)
+    assert {k: v for k, v in files_below(path).items() if "geo=b" in k or "007" in k} == {k: v for k, v in before.items() if "geo=b" in k or "007" in k}
+    told = {(r.geo, r.year): r.rows for r in sinks.read_manifest(spark, path, first.schema, keys).collect()}
+    assert told == {("a", "2019"): 1, ("b", "2019"): 1, (None, "2019"): 1, ("007", "2019"): 1, ("a", "2020"): 1}
+    assert sinks.broken_partitions(spark, path, first.schema, keys).count() == 0
+    assert sinks.write_partitions(first.filter("false"), path, keys) == 0
+
+
+def test_a_broken_run_is_seen_and_made_good(spark, tmp_path):
+    from indicata.sources import sinks
+    schema, keys, path = "geo string, year int, v double", ["geo", "year"], str(tmp_path / "table")
+    rows = spark.createDataFrame([("a", 2019, 1.5), ("b", 2019, 2.5)], schema)
+    sinks.write_partitions(rows, path, keys)
+    # a run that wrote its data and no manifest: the partition is told as broken, and written again
+    other = spark.createDataFrame([("a", 2019, 9.0)], schema)
+    other.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/data")
+    assert [tuple(r) for r in sinks.broken_partitions(spark, path, rows.schema, keys).collect()] == [("a", 2019)]
+    assert sinks.write_partitions(other, path, keys) == 1
+    assert sinks.broken_partitions(spark, path, rows.schema, keys).count() == 0
+    assert sorted(r.v for r in sinks.read_partitions(spark, path, rows.schema).collect()) == [2.5, 9.0]
+
+
+# ---- stored weights -------------------------------------------------------
+
+def test_stored_weights_cross_joins_as_one_field(spark):
+    packed, wide = SQ.stored_weights_packed(spark, SF), SQ.stored_weights_wide(spark, SF)
+    assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, wide.collect()))
+    plan = plan_of(packed)
+    assert "weights#" in plan and "WGTP1#" not in plan and "WGTP1#" in plan_of(wide)
+
+
+def test_stored_design_equals_columns(spark):
+    rows = [("a", 1, 2, 3), ("a", 4, 0, -1), ("b", 5, 5, 5), ("b", None, None, None)]
+    df = spark.createDataFrame(rows, "g string, w long, w1 long, w2 long").withColumn("all", F.array("w", "w1", "w2"))
+    one = survey.survey_total(df, ReplicateDesign("w", ("w1", "w2")), ["g"]).collect()
+    assert sorted(map(tuple, survey.survey_total(df, ReplicateDesign.stored("all", 2), ["g"]).collect())) == sorted(map(tuple, one))
+
+
+# ---- decoding -------------------------------------------------------------
+
+@pytest.mark.parametrize("data, text, encoding, malformed", [
+    (None, None, None, None), (b"", "", "utf-8", False), (b"plain", "plain", "utf-8", False), ("é€ü".encode(), "é€ü", "utf-8", False),
+    (b"\xef\xbb\xbf" + "Jahr é".encode(), "Jahr é", "utf-8 mark", False), (b"\xef\xbb\xbf\xc3(", None, "utf-8 mark", True), (b"\xef\xbb\xbf", "", "utf-8 mark", False),
+    (b"\xff\xfe" + "é𝄞x".encode("utf-16le"), "é𝄞x", "utf-16le", False), (b"\xfe\xff" + "é𝄞x".encode("utf-16be"), "é𝄞x", "utf-16be", False),
+    (b"\xff\xfea", None, "utf-16le", True), (b"\xff\xfe\x00\xd8a\x00", None, "utf-16le", True), (b"\xfe\xff\xdc\x00", None, "utf-16be", True),
+    ("no mark".encode("utf-16le"), "no mark", "utf-16le", False), ("no mark".encode("utf-16be"), "no mark", "utf-16be", False),
+    ("é€ü“”".encode("cp1252"), "é€ü“”", "windows-1252", False), (b"\xe9\x81", None, "windows-1252", True)])
+def test_encodings_are_found_from_the_bytes(spark, data, text, encoding, malformed):
+    from indicata.sources import decoding
+    frame = spark.createDataFrame([(1, bytearray(data) if data is not None else None)], "k int, line binary")
+    assert tuple(decoding.decode_column(frame, "line").first()) == (1, text, encoding, malformed)
+
+
+def test_decoded_files(spark, tmp_path):
+    from indicata.sources import decoding
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + "Year,Count\n2020,é\n".encode())
+    (tmp_path / "b.csv").write_bytes("Year,Count\n2021,é\n".encode("cp1252"))
+    got = decoding.read_decoded_files(spark, str(tmp_path))
+    assert sorted((r.text, r.encoding) for r in got.collect()) == [("Year,Count\n2020,é\n", "utf-8 mark"), ("Year,Count\n2021,é\n", "windows-1252")]
+    assert {(r.encoding, r["values"]) for r in decoding.encoding_report(got).collect()} == {("utf-8 mark", 1), ("windows-1252", 1)}
