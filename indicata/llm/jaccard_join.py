@@ -7,12 +7,13 @@ the longest lists are set aside, the short ones are heap-merged, what occurs oft
 them is looked up in the long lists by binary search, and the count decides.
 
 A list of the whole table is never in one place.  Shingles have one order everywhere, rare
-ones first, by a sketch of how many sets hold them.  A partner shares one of a set's first
-|s| - T + 1 shingles, its short lists under the largest L = T - 1; sets that share one and
-are of a like size are chained into groups, and only they go on.  A group is searched as a
-whole, or, where it is large, in blocks of bounded size, each pair of blocks a task of its
-own.  Nothing is capped and no pair becomes a row: a task returns, for each set, how many
-documents it links with and a member of its component.
+ones first, by a sketch of how many sets hold them.  Of a set's first |s| - T + C shingles, its
+short lists under L = T - C, a partner shares C: sets that share fewer with all others
+together have none, and go, which shortens the lists, and so again.  Sets of a like size that are
+left in one list are chained into groups.  A group is searched as a whole, or, where it is
+large, in blocks of bounded size, each pair of blocks a task of its own.  Nothing is capped
+and no pair becomes a row: a task returns, for each set, how many documents it links with and a
+member of its component.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ from indicata.llm.near_dup import components, shingle_hashes, words_of
 SHINGLE = 4
 #: links need 100 * intersection >= PERCENT * union
 PERCENT = 85
-#: the sketch counts shingles in 2**SKETCH_BITS cells: 4 MB on the driver and on each executor, whatever the data
-SKETCH_BITS, PIECES = 20, 256
+#: the sketch counts shingles in 2**SKETCH_BITS cells: 16 MB on the driver and on each executor, whatever the data
+SKETCH_BITS, PIECES = 22, 256
+#: one in so many shingles of a set is what a partner shares of its prefix, and rounds that drop sets without partners
+SHARED, ROUNDS = 20, 2
 #: sets and shingles of a block of a large group
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
 #: so many sets (two numbers each) are broadcast to pick their texts; more are joined by shuffling
@@ -54,10 +57,14 @@ def least_common(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def shared_least(n: int) -> int:
+    """The C of a set of n."""
+    return 1 + n // SHARED
+
+
 def order_of(shingles: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The shingles from rare to frequent: by the binary magnitude of their cells' counts, then by hash."""
-    counts = sketch[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return shingles[np.lexsort((shingles, np.frexp(counts)[1]))]
+    """The shingles from rare to frequent: by their cells' counts, then by hash."""
+    return shingles[np.lexsort((shingles, sketch[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))]
 
 
 def merge_short(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +209,7 @@ def sketch_of(pieces: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch, percent: int) -> DataFrame:
-    """(token, salt, band, s1) for each of the first |s| - T + 1 shingles of every set: the short lists.
+    """(token, salt, band, s1) for each of the first |s| - T + C shingles of every set: the short lists.
     Sets whose sizes allow a link are in one band or in neighbouring ones.  A list that may be
     long, as its cell of the sketch is many times fuller than most, is dealt out by a salt of the
     set; of others it is -1."""
@@ -216,7 +223,7 @@ def prefixes(docs: DataFrame, sketch, percent: int) -> DataFrame:
                 for text in text_bytes(batch.column(0).slice(at, 200)):
                     shingles = shingle_hashes(words_of(text), SHINGLE)
                     if len(shingles):
-                        first = order_of(shingles, sketch.value)[:len(shingles) - least_common(len(shingles), percent) + 1]
+                        first = order_of(shingles, sketch.value)[:len(shingles) - least_common(len(shingles), percent) + shared_least(len(shingles))]
                         tokens.append(first)
                         keys.append(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), ">i8")[0])
                         sizes.append(len(shingles))
@@ -231,7 +238,53 @@ def prefixes(docs: DataFrame, sketch, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, salt short, band short, s1 long")
 
 
-def chained(postings: DataFrame) -> DataFrame:
+def in_lists(postings: DataFrame, parts: int) -> DataFrame:
+    return postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "band", "s1")
+
+
+def met(postings: DataFrame, parts: int) -> DataFrame:
+    """The postings, each once, that share their list with another set of the same band or one beside it;
+    all of a list that is dealt out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, False  # the last row so far, and whether the one before it was near
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.append(h, c) for h, c in zip(held, columns)]
+            token, salt, band, s1 = columns
+            listed = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            fresh = np.append(True, ~(listed & (band[1:] == band[:-1]) & (s1[1:] == s1[:-1])))
+            if not fresh.all():
+                token, salt, band, s1 = columns = [c[fresh] for c in columns]
+                listed = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+            near = listed & (band[1:].astype(np.int64) - band[:-1] <= 1)
+            wanted = np.append(known, near) | np.append(near, False) | (salt >= 0)
+            held, known = [c[-1:] for c in columns], bool(near[-1]) if len(near) else known
+            keep = np.flatnonzero(wanted[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["token", "salt", "band", "s1"])
+        if held is not None and (known or held[1][0] >= 0):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["token", "salt", "band", "s1"])
+
+    return in_lists(postings, parts).mapInArrow(run, "token long, salt short, band short, s1 long")
+
+
+def with_partners(postings: DataFrame, sizes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """The postings of sets that may have a partner: that meet others in as many lists as a partner of the
+    least size that allows a link shares.  Each round drops sets, and with them what others met."""
+    least = F.floor(F.ceil(F.col("n_shingles") * percent / 100) / SHARED) + 1
+    kept = written(met(postings, parts), "met")
+    for _ in range(ROUNDS):
+        counts = kept.groupBy(F.col("s1").alias("_s1")).agg(F.count("*").alias("lists"))
+        able = counts.join(sizes, F.col("_s1") == F.col("s1")).filter(F.col("lists") >= least).select("_s1")
+        before, kept = kept, written(met(kept.join(able, F.col("s1") == F.col("_s1"), "left_semi"), parts), "met")
+        drop_written(before)
+    return kept
+
+
+def chained(postings: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) along each list, in one pass over the lists sorted by band and set: every set with
     the first of its band, the first of a band with that of the band below.  Of a list that is dealt
     out, each part also tells the first set of each band: a null b, with token and band."""
@@ -267,23 +320,23 @@ def chained(postings: DataFrame) -> DataFrame:
                  pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(band[told], pa.int64())])], names=["a", "b", "token", "band"])
             last = (token[-1], salt[-1], band[-1], firsts[-1])
 
+    return in_lists(postings, parts).mapInArrow(run, "a long, b long, token long, band long")
+
+
+def groups_of(postings: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(s1, group) of the sets that may have a partner: what chains of links along the lists connect.
+    ``sizes``: s1 and n_shingles of every set."""
     # parts of a quarter of an input partition's postings at most, on average
     parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * postings.rdd.getNumPartitions())
-    ordered = postings.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "band", "s1")
-    return ordered.mapInArrow(run, "a long, b long, token long, band long")
-
-
-def groups_of(postings: DataFrame) -> DataFrame:
-    """(s1, group) of the sets that share a prefix shingle with another one of a like size: what chains
-    of links along the lists connect."""
-    links = written(chained(postings), "chained")
-    parts = links.filter("b is null").groupBy("token", "band").agg(F.min("a").alias("least"), F.collect_set("a").alias("firsts"))  # SALTS sets at most
-    parts = written(parts, "dealt")
-    below = parts.select("token", (F.col("band") + 1).alias("band"), F.col("least").alias("_below"))
-    edges = links.filter("b is not null").select("a", "b").union(parts.select(F.explode("firsts"), "least")).union(
-        parts.join(below, ["token", "band"]).select("least", "_below")).distinct()
+    able = with_partners(postings, sizes, parts, percent)
+    links = written(chained(able, parts), "chained")
+    dealt = links.filter("b is null").groupBy("token", "band").agg(F.min("a").alias("least"), F.collect_set("a").alias("firsts"))  # SALTS sets at most
+    dealt = written(dealt, "dealt")
+    below = dealt.select("token", (F.col("band") + 1).alias("band"), F.col("least").alias("_below"))
+    edges = links.filter("b is not null").select("a", "b").union(dealt.select(F.explode("firsts"), "least")).union(
+        dealt.join(below, ["token", "band"]).select("least", "_below")).distinct()
     roots = written(components(edges), "groups")
-    drop_written(links, parts)
+    drop_written(links, dealt, able)
     return roots.select(F.col("node").alias("s1"), F.col("root").alias("group")).union(roots.select(F.col("root"), F.col("root")).distinct())
 
 
@@ -343,7 +396,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("_first.doc_id").alias("low"), F.col("_first.tie").alias("tie"),
         "n_shingles", "copies"), "classes")
     # s1 alone tells sets apart well enough to look for candidates: equal ones only widen a group
-    groups = groups_of(prefixes(docs, sketch, percent))
+    groups = groups_of(prefixes(docs, sketch, percent), classes.groupBy("s1").agg(F.min("n_shingles").alias("n_shingles")), percent)
     members = written(classes.join(groups, "s1").select("node", "group", "copies", "n_shingles", "low", F.col("tie").alias("_tie")), "members")
     wanted = members.select("node", "low", "_tie")
     wanted = F.broadcast(wanted) if members.count() <= BROADCAST_SETS else wanted
