@@ -187,6 +187,7 @@ def test_join_equals_brute_force(spark, monkeypatch, block_sets, heap_most, long
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block_sets)
     monkeypatch.setattr(jaccard_join, "HEAP_MOST", heap_most)
     monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 12)
     rows = list(enumerate(alike()))
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
