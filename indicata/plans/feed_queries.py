@@ -74,7 +74,7 @@ def register_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.published_rows(rows).filter(F.col("facility_status") == RQ.LICENSED)
     rows = rows.join(asked, F.col("facility_zip") == F.col("area"), "left_semi")
     return rows.groupBy("facility_zip").agg(
-        F.count(F.lit(1)).alias("total_centers"), strict_sum("facility_capacity").alias("capacity_centers"),
+        F.count(F.lit(1)).alias(RQ.CENTER_COLUMNS[0]), strict_sum("facility_capacity").alias(RQ.CENTER_COLUMNS[1]),
         F.sum("facility_capacity").alias("capacity_known"), F.count_if("_junk").alias("capacity_rejected"),
         F.date_format(F.min("license_first_date"), "yyyy-MM-dd").alias("first_license"))
 

@@ -24,7 +24,9 @@ FOCUS = "AMERICA"
 YEARS = ("1997", "1998")
 DAY_YEAR = "1998"
 KNOWN_FROM = 1200
-CLOSURES, SEATS = "-Closures", "-Seats Lost"   # fixed values: endings of the summary's row labels
+# Endings of the summary's row labels, and the published names of the capacity columns.
+CLOSURES, SEATS = "-Closures", "-Seats Lost"
+CENTER_COLUMNS, HOME_COLUMNS = ("total_centers", "capacity_centers"), ("total_family_homes", "capacity_family_homes")
 ESTIMATE_FROM = 0.05
 MISSING_DAY = "2024-01-15"
 
@@ -165,9 +167,9 @@ def capacity_on_spine(spark: SparkSession, sf_dir: str, strict_reference: bool =
         return d.withColumn("cap", parse_number("facility_capacity"))
 
     c = A.count_and_sum(licensed_in_spine(centers), ["facility_zip"], "cap",
-                        "total_centers", "capacity_centers", strict=True)
+                        *CENTER_COLUMNS, strict=True)
     h = A.count_and_sum(licensed_in_spine(homes), ["facility_zip"], "cap",
-                        "total_family_homes", "capacity_family_homes", strict=True)
+                        *HOME_COLUMNS, strict=True)
     c = c.withColumnRenamed("facility_zip", "area")
     h = h.withColumnRenamed("facility_zip", "area")
     pop = pop.withColumnRenamed("zcta", "area")

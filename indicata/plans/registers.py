@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from indicata.functions.scalars import in_set, parse_date, parse_number
 from indicata.operators import aggregate as A
 from indicata.operators import recode, reshape
-
-LICENSED = "LICENSED"
+from indicata.plans.register_queries import CENTER_COLUMNS, CLOSURES, HOME_COLUMNS, LICENSED, SEATS
 
 
 def prepare(register: DataFrame, licensed: str = LICENSED) -> DataFrame:
@@ -42,8 +41,8 @@ def closure_summary(centers: DataFrame, homes: DataFrame, county: str, years: Se
         reg, F.col("county_name") == F.lit(county), state_label, county, "closed", "year", ["kind"],
         {"closures": "close", "seats": "capacity"}, only=F.col("open") == 0)
     long = yearly.select("year", "geography", F.inline(F.array(
-        F.struct(F.concat("kind", F.lit("-Closures")).alias("type"), F.col("closures").cast("double").alias("value")),
-        F.struct(F.concat("kind", F.lit("-Seats Lost")).alias("type"), F.col("seats").alias("value")))))
+        F.struct(F.concat("kind", F.lit(CLOSURES)).alias("type"), F.col("closures").cast("double").alias("value")),
+        F.struct(F.concat("kind", F.lit(SEATS)).alias("type"), F.col("seats").alias("value")))))
     return reshape.pivot_wide(long, ["year", "type"], "geography", "value", [state_label, county]) \
         .orderBy("year", "type")
 
@@ -63,8 +62,8 @@ def capacity_by_zip(centers: DataFrame, homes: DataFrame, zips: DataFrame,
         return A.count_and_sum(d, ["facility_zip"], "cap", n, cap, strict=True) \
             .withColumnRenamed("facility_zip", "zip")
 
-    c = summary(centers, "total_centers", "capacity_centers")
-    h = summary(homes, "total_family_homes", "capacity_family_homes")
+    c = summary(centers, *CENTER_COLUMNS)
+    h = summary(homes, *HOME_COLUMNS)
     out = (c if strict_reference else spine.join(c, "zip", "left")).join(h, "zip", "left")
     if population is not None:
         out = out.join(population, "zip", "left")
