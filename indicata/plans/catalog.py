@@ -62,6 +62,8 @@ REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {
     "register_text": (FQ.register_text, O.q_register_text),
     "register_rejects": (FQ.register_rejects, O.q_register_rejects),
     "two_vintage_run": (FQ.two_vintage_run, O.q_two_vintage_run),
+    "published_county_runs": (FQ.published_county_runs, O.q_published_county_runs),
+    "published_area_run": (FQ.published_area_run, O.q_published_area_run),
     "row_ids": (FQ.row_ids, O.q_row_ids),
     "decoded_codes": (FQ.decoded_codes, O.q_decoded_codes),
     "indicator_sink": (FQ.indicator_sink, O.q_indicator_sink),

@@ -10,6 +10,7 @@ from indicata.functions.scalars import strict_sum
 from indicata.operators import households as hh
 from indicata.operators import numbering, recode, survey
 from indicata.operators import crosswalk as X
+from indicata.plans import pums
 from indicata.plans import register_queries as RQ
 from indicata.plans import spatial_queries as SPQ
 from indicata.plans import standins as S
@@ -132,6 +133,34 @@ def two_vintage_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.survey_rate(rows, S.HH_DESIGN, ["vintage"], "indicator")
 
 
+# ------------------------------------------------------------- published runs on their own columns
+
+COUNTY, COUNTY_CUTS = "06037", (100.0, 138.0)
+PLANNING_AREAS = 8
+
+
+def _microdata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Person and household files with the columns of the public-use microdata."""
+    people = S.persons(spark, sf_dir).withColumns({"SPORDER": F.col("l_linenumber"), "PUMA": _area_of(F.col("SERIALNO"))})
+    housing = S.add_household_replicates(S.households(spark, sf_dir)).withColumn("PUMA", _area_of(F.col("SERIALNO")))
+    return people, housing.select("SERIALNO", "PUMA", *S.HH_DESIGN.columns)
+
+
+def published_county_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The county runs at both cuts and for both populations."""
+    return pums.county_runs(*_microdata(spark, sf_dir), AREA, COUNTY, COUNTY_CUTS, key=S.person_key())
+
+
+def published_area_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planning-area run through a many-to-many crosswalk of area codes: a code ending in 0 is in two areas."""
+    people, housing = _microdata(spark, sf_dir)
+    codes = housing.select("PUMA").distinct()
+    number = F.col("PUMA").cast("int")
+    areas = F.array((number % PLANNING_AREAS).cast("string"), F.when(number % 10 == 0, ((number + 1) % PLANNING_AREAS).cast("string")))
+    xwalk = codes.select("PUMA", F.explode(areas).alias("SPA")).filter(F.col("SPA").isNotNull())
+    return pums.area_run(people.withColumn("SPORDER", S.person_key()), housing, xwalk, AREA)
+
+
 # ------------------------------------------------------------- sinks
 
 SINK_KEYS = ["geography", "year"]

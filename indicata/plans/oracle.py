@@ -869,3 +869,25 @@ def q_decoded_codes() -> str:
   FROM (SELECT *, CASE WHEN p_partkey % {FQ.BAD_8} = 0 THEN 'utf-8 mark' WHEN p_partkey % {FQ.BAD_16} = 0 THEN 'utf-16le' {kind} END AS encoding,
                p_partkey % {FQ.BAD_8} = 0 OR p_partkey % {FQ.BAD_16} = 0 AS malformed FROM part) p
   GROUP BY encoding, malformed"""
+
+
+PUMA_SQL = "lpad(CAST(SERIALNO % 100 + 3650 AS VARCHAR), 5, '0')"
+
+
+def q_published_county_runs() -> str:
+    el = eligible_sql(population={"under 5": "AGEP < 5", "all": None})
+    parts = " UNION ALL ".join(
+        f"""SELECT population, '{FQ.COUNTY}' AS geoid, {dbl(c)} AS cut, {indicator_sql(c)} AS indicator, * EXCLUDE (population, geoid)
+            FROM ({el}) e WHERE {PUMA_SQL} LIKE '%{FQ.AREA}%'""" for c in FQ.COUNTY_CUTS)
+    cells = f"SELECT population, geoid, cut, indicator, {totals_sql(hh_weights())} FROM ({parts}) x GROUP BY population, geoid, cut, indicator"
+    return f"SELECT * FROM ({rate_sql(cells, ['population', 'geoid', 'cut'], 'indicator')}) r WHERE indicator = '{SQ.AT_OR_BELOW}'"
+
+
+def q_published_area_run() -> str:
+    number = "(SERIALNO % 100 + 3650)"
+    rows = f"""
+    SELECT *, {indicator_sql(100)} AS indicator, unnest(CASE WHEN {number} % 10 = 0 THEN [{number} % {FQ.PLANNING_AREAS}, ({number} + 1) % {FQ.PLANNING_AREAS}]
+      ELSE [{number} % {FQ.PLANNING_AREAS}] END) AS spa
+    FROM ({eligible_sql(person_filter="AGEP < 5")}) e WHERE {PUMA_SQL} LIKE '%{FQ.AREA}%'"""
+    cells = f"SELECT CAST(spa AS VARCHAR) AS geoid, indicator, {totals_sql(hh_weights())} FROM ({rows}) x GROUP BY spa, indicator"
+    return f"SELECT * FROM ({rate_sql(cells, ['geoid'], 'indicator')}) r WHERE indicator = '{SQ.AT_OR_BELOW}'"

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from indicata.operators import crosswalk, households as hh, recode, survey
 
 AT_OR_BELOW = "at or below poverty"
 ABOVE = "above poverty"
+UNDER5, ALL = "under 5", "all"
 DESIGN = survey.ReplicateDesign.acs("WGTP")
 RACE_DIMS = {d: d for d in ("latino", "aian", "nhpi", "swana", "race")}
 
@@ -44,6 +45,20 @@ def county_run(people: DataFrame, housing: DataFrame, area: str, geoid: str, cut
     return out.filter((F.col("indicator") == AT_OR_BELOW) & F.col("geoid").isNotNull())
 
 
+def county_runs(people: DataFrame, housing: DataFrame, area: str, geoid: str, cuts: Sequence[float] = (100, 138),
+                area_cols: Sequence[str] = ("PUMA",), key: Column | None = None) -> DataFrame:
+    """The published county runs stacked: households with a child under 5 and all households
+    (``population``), at each of the ``cuts`` (``cut``), out of one pass over the persons.  ``key`` orders the
+    persons of a household (``order_key``); by default by person number."""
+    key = hh.order_key([("SPORDER", 8)]) if key is None else key
+    people, housing = hh.in_area(people, area_cols, area), hh.in_area(housing, area_cols, area)
+    df = hh.eligible_households(
+        people, housing.select("SERIALNO", *area_cols, *DESIGN.columns), serial="SERIALNO", join_keys=["SERIALNO", *area_cols], order=["SPORDER"],
+        universe="POVPIP", weight="WGTP", population={UNDER5: F.col("AGEP") < 5, ALL: None}, keep=["POVPIP"], key=key)
+    out = survey.survey_threshold_runs(df.withColumn("geoid", F.lit(geoid)), DESIGN, ["population", "geoid"], "POVPIP", cuts, AT_OR_BELOW, ABOVE)
+    return out.filter(F.col("indicator") == AT_OR_BELOW)
+
+
 def race_run(people: DataFrame, housing: DataFrame, codes: DataFrame, area: str, geoid: str,
              cut: float = 100, area_cols: Sequence[str] = ("PUMA",)) -> DataFrame:
     """Six overlapping race/ethnicity breakdowns of households with a child

@@ -62,3 +62,13 @@ def test_area_run(spark):
     out = {r.geoid: r for r in pums.area_run(_people(spark), housing, xwalk, "037").collect()}
     assert out["1"].num == 40.0 and out["1"].pop == 40.0
     assert out["2"].num == 40.0 and out["2"].pop == 60.0
+
+
+def test_county_runs_equal_single_runs(spark):
+    """Both populations and both cuts in one pass, against a run for each."""
+    housing = _housing(spark, [("a", "03701", 10), ("b", "03702", 20), ("c", "03702", 5), ("d", "05901", 7), ("e", "03701", 30)])
+    got = {(r.population, r.cut): r for r in pums.county_runs(_people(spark), housing, "037", "06037").collect()}
+    assert set(got) == {(p, c) for p in ("under 5", "all") for c in (100.0, 138.0)}
+    for (population, cut), r in got.items():
+        (own,) = pums.county_run(_people(spark), housing, "037", "06037", cut, under5=population == "under 5").collect()
+        assert (r.num, r.num_se, r.rate, r.rate_se, r.pop) == (own.num, own.num_se, own.rate, own.rate_se, own.pop)
