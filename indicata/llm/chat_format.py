@@ -28,6 +28,8 @@ from indicata.llm.common import written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
+#: characters of role and text that the range sort of turns samples to the driver
+RANGE_CHARS = 32
 
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 _ESCAPED, _ROLE_ESCAPED = re.compile(r"<(\\*)\\\|"), re.compile(r"\\(.)")
@@ -175,11 +177,15 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     replies to the one before it by turn (null first; ties by role, then text).
 
     Rows are numbered by a range sort over the whole table, so a long conversation is
-    spread over tasks like everything else."""
+    spread over tasks like everything else, and a text of any length is one row's.  A null conv_id is a
+    conversation of its own, nulls in the other columns are values; equal rows are turns of their
+    own.  An empty table gives none; columns of other names may be called anything."""
     order = [F.col(c).asc_nulls_first() for c in ("tree", "turn", "role", "text")]
+    # the beginnings of role and text are in the order of the whole: what is sampled for the ranges is short
+    ranges = [*order[:2], *[F.substring(c, 1, RANGE_CHARS).asc_nulls_first() for c in ("role", "text")]]
     tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
     rows = conversations.select(tree.alias("tree"), "turn", "role", "text")
-    rows = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "turns")
+    rows = written(rows.repartitionByRange(*ranges).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "turns")
     part, here = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
