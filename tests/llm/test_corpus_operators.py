@@ -457,3 +457,18 @@ def test_pipeline_stages_on_edges(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, SF)
             assert out.count() >= 0 and (name == "token_output" or out.columns == frame.columns)
+
+
+def test_turns_are_ordered_by_whole_texts_in_ranges_of_their_beginnings(spark):
+    rng = random.Random(5)
+    same = "b" * chat_format.RANGE_CHARS
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, 0, 1]), rng.choice([None, "user", same + "x", same]), rng.choice([None, "", "a", same, same + "a", same + "b", "c" * 100_000]))
+            for _ in range(300)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = chat_format.from_turns(with_clashes(frame)).collect()
+    key = lambda r: tuple((x is not None, x or 0 if not isinstance(x, str) else x) for x in r)
+    for tree in ("1", "2", "null"):
+        own = sorted((r for r in got if r.tree == tree), key=lambda r: r.id)
+        assert [(r.role, r.text) for r in own] == [r[2:] for r in sorted((r for r in rows if ("null" if r[0] is None else str(r[0])) == tree), key=lambda r: key(r[1:]))]
+        assert [r.parent for r in own] == [None, *(r.id for r in own[:-1])]
+    assert chat_format.from_turns(frame.filter("false")).collect() == []
