@@ -308,6 +308,10 @@ def prepared_overlap_expr(subject_ring: str, piece_cols: Sequence[str]) -> Colum
 ROUNDING = 1e-12
 
 
+#: rounds after which a cover's cells are dealt out to all cores
+SPREAD_AFTER = 3
+
+
 def _box(x: str, y: str, width: str) -> str:
     at = [(x, y), (f"{x} + {width}", y), (f"{x} + {width}", f"{y} + {width}"), (x, f"{y} + {width}")]
     return "array(" + ", ".join(f"named_struct('x', {px}, 'y', {py})" for px, py in at) + ")"
@@ -347,6 +351,8 @@ def cover(rings: DataFrame, cell: float, top: int, keep: Sequence[str]) -> DataF
         start = start.withColumn(f"_{axis}", F.expr(f"explode(sequence(CAST(floor(min{axis} / {side}) AS BIGINT) - 1, CAST(floor(max{axis} / {side}) AS BIGINT)))"))
     cells = start.select(*keep, F.expr(_cell("_ring", str(top), "_x", "_y", cell)).alias("c")).filter(f"c.share > {ROUNDING!r}D")
     for level in range(top, 0, -1):
+        if top - level == SPREAD_AFTER:  # by now a large outline is many rows: the finer rounds, which are most of the work, are dealt out
+            cells = cells.repartition(rings.sparkSession.sparkContext.defaultParallelism, "c.gx", "c.gy")
         q = _v("q")
         child = _cell("c.ring", str(level - 1), f"(2 * c.gx + {q} % 2)", f"(2 * c.gy + {q} div 2)", cell)
         quarters = f"filter(transform(sequence(0, 3), {q} -> {child}), x -> x.share > {ROUNDING!r}D)"
