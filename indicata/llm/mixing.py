@@ -114,11 +114,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_copies: int =
     plan = source_targets(per_source, weights, share, max_copies).withColumnRenamed("source", "_s")
     of_class = classes.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select("source", "target", "source_size", F.col("_w").alias("weight"), "size")
     share_of = levels(of_class, max_copies)
-    # one row per source and weight: Spark measures it and broadcasts it where it is small, and
-    # splits a hot source's partition of the join where it is not
-    plan = of_class.select(F.col("source").alias("_s"), F.col("weight").alias("_c"), "source_size", "target").join(
+    # one row per source and weight, written so that Spark knows its size: it is broadcast where it is small,
+    # and a hot source's partition of the join is split where it is not
+    plan = written(of_class.select(F.col("source").alias("_s"), F.col("weight").alias("_c"), "source_size", "target").join(
         share_of.select(F.col("source").alias("_s2"), F.col("weight").alias("_c2"), "expected"),
-        F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_c") == F.col("_c2"))).drop("_s2", "_c2")
+        F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_c") == F.col("_c2"))).drop("_s2", "_c2"), "plan")
     sized = narrow.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_c"))).drop("_s", "_c")
     expected, u, p = F.col("expected"), F.col("_u"), F.col("_rest")
     odds = (u / (1 - u)) / (p / (1 - p))
