@@ -46,9 +46,10 @@ class Field:
             return text
         return F.try_to_date(F.trim(text), self.pattern) if self.type == "date" else parse_number(text, self.type)
 
-    def reason(self, text: Column) -> Column:
-        """Why the text doesn't fit; null if it does."""
-        value, blank = self.value(text), F.coalesce(F.trim(text) == "", F.lit(True))
+    def reason(self, text: Column, value: Column | None = None) -> Column:
+        """Why the text doesn't fit; null if it does.  ``value`` is what it is read as, where that is at hand."""
+        value = self.value(text) if value is None else value
+        blank = F.coalesce(F.trim(text) == "", F.lit(True))
         found = F.when(blank, F.lit(MISSING) if self.required else F.lit(None).cast("string"))
         if self.type != "string":
             found = found.when(value.isNull(), F.lit(JUNK.format({"date": "date"}.get(self.type, "number"))))
@@ -87,6 +88,12 @@ def promote_header(lines: DataFrame, text: str, order: str) -> str | None:
     return row["header"] if row else None
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with more columns, each made once for a row.  A generator has one row for each: as conditions on
+    its columns aren't pushed below it, they don't bring the parsing with them, as often as they name a column."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def parse_lines(lines: DataFrame, text: str, header: Sequence[str], fields: Sequence[Field], n_cols: int | None = None,
                 delimiter: str = ",", keep: Sequence[str] = ()) -> DataFrame:
     """``keep``, the first ``n_cols`` columns of the header with the types of their ``fields`` (text
@@ -108,16 +115,26 @@ def parse_lines(lines: DataFrame, text: str, header: Sequence[str], fields: Sequ
               .when(count < len(header), FEW).when(count > len(header), MANY))
     schema = ", ".join(f"c{i} STRING" for i in range(len(header)))
     options = {"mode": "PERMISSIVE", "sep": delimiter, "quote": '"', "escape": '"', "nullValue": ""}
-    split = lines.withColumn("_broken", broken).withColumn("_cells", F.when(F.col("_broken").isNull(), F.from_csv(line, schema, options)))
-    cells = [F.col(f"_cells.c{i}") for i in range(len(wanted))]
+    cells = F.when(F.col("_broken").isNull(), F.from_csv(line, schema, options))
+    split = _once(lines.withColumn("_broken", broken), cells.alias("_cells"))
     told = [by_name.get(name, Field(name)) for name in wanted]
-    typed = [f.value(cell) for f, cell in zip(told, cells)]
-    checks = [F.struct(F.lit(f.name).alias("field"), f.reason(cell).alias("reason"), cell.alias("text")) for f, cell in zip(told, cells) if f in by_name.values()]
+    values = [f.value(F.col(f"_cells.c{i}")).alias(f"v{i}") for i, f in enumerate(told)]
+    reasons = [f.reason(F.col(f"_cells.c{i}"), F.col(f"_values.v{i}")).alias(f"r{i}") for i, f in enumerate(told) if f in by_name.values()]
+    if values:
+        split = _once(split, F.struct(*values).alias("_values"))
+    if reasons:
+        split = _once(split, F.struct(*reasons).alias("_reasons"))
+    checks, fits = [], []
+    for i, f in enumerate(told):
+        cell, value, reason = F.col(f"_cells.c{i}"), F.col(f"_values.v{i}"), F.col(f"_reasons.r{i}")
+        if f in by_name.values():
+            checks.append(F.struct(F.lit(f.name).alias("field"), reason.alias("reason"), cell.alias("text")))
+            # a value that is out of range or unknown isn't passed on: it is null, as junk is
+            value = F.when(reason.isNull(), value)
+        fits.append(value.alias(f.name))
     whole = F.array(F.struct(F.lit(LINE).alias("field"), F.col("_broken").alias("reason"), line.alias("text")))
     found = F.filter(F.array(*checks), lambda x: x["reason"].isNotNull()) if checks else F.filter(whole, lambda x: F.lit(False))
-    # a value that is out of range or unknown isn't passed on: it is null, as junk is
-    fits = [F.when(f.reason(cell).isNull(), value) if f in by_name.values() else value for f, cell, value in zip(told, cells, typed)]
-    return split.select(*keep, *[v.alias(f.name) for f, v in zip(told, fits)], F.when(F.col("_broken").isNotNull(), whole).otherwise(found).alias(REJECTS))
+    return split.select(*keep, *fits, F.when(F.col("_broken").isNotNull(), whole).otherwise(found).alias(REJECTS))
 
 
 def typed_rows(parsed: DataFrame) -> DataFrame:

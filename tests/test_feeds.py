@@ -68,6 +68,14 @@ def test_every_line_is_typed_or_told(spark):
     assert Q.quarantine_report(parsed.filter("false")).collect() == []
 
 
+def test_a_line_is_parsed_once_whatever_is_asked_of_it(spark):
+    lines = spark.createDataFrame([(text,) for text, _ in LINES], "line string")
+    parsed = Q.published_rows(Q.parse_lines(lines, "line", HEADER, FIELDS, n_cols=4).withColumn("junk", F.size("_rejects") > 0))
+    asked = parsed.filter("facility_status = 'LICENSED' and facility_zip > '9' and not junk")
+    assert plan_of(asked).count("from_csv(") == 1 and plan_of(asked).count("try_to_date") <= 1
+    assert [tuple(r)[:2] for r in asked.collect()] == [("90001", 12.0)]
+
+
 def test_register_file_with_header_in_each_part(spark, tmp_path):
     for k in range(2):
         (tmp_path / f"part{k}.csv").write_text("﻿Facility Zip,Facility Capacity,Closed Date,Facility Status,Facility Status\n"
