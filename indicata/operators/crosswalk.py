@@ -57,9 +57,10 @@ def ring_area(xs: str = "xs", ys: str = "ys", signed: bool = False) -> Column:
     return a if signed else F.abs(a)
 
 
-def ring_centroid(xs: str = "xs", ys: str = "ys") -> tuple[Column, Column]:
+def ring_centroid(xs: str = "xs", ys: str = "ys", area: Column | None = None) -> tuple[Column, Column]:
     """Area-weighted centroid of a ring (J5); for concave rings it may fall
-    outside the polygon, as the standard centroid does."""
+    outside the polygon, as the standard centroid does.  ``area`` is its signed
+    area where that is at hand."""
     X, Y = F.col(xs), F.col(ys)
     n, idx = _cross_terms(X, Y)
 
@@ -68,7 +69,7 @@ def ring_centroid(xs: str = "xs", ys: str = "ys") -> tuple[Column, Column]:
         return F.aggregate(idx, F.lit(0.0), lambda acc, i: acc + (C[i] + C[(i + 1) % n]) * (
             X[i] * Y[(i + 1) % n] - X[(i + 1) % n] * Y[i]))
 
-    a6 = ring_area(xs, ys, signed=True) * F.lit(6.0)
+    a6 = (ring_area(xs, ys, signed=True) if area is None else area) * F.lit(6.0)
     there = n >= 3
     return F.when(there, F.try_divide(moment(xs), a6)), F.when(there, F.try_divide(moment(ys), a6))
 
@@ -76,8 +77,10 @@ def ring_centroid(xs: str = "xs", ys: str = "ys") -> tuple[Column, Column]:
 def polygon_measures(rings: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Area and centroid of polygons of several rings: ``ids``, area, cx, cy (J1, J5).  Without an
     area there is no centroid."""
-    cx, cy = ring_centroid()
-    each = signed_rings(rings).select(*ids, (F.col("sign") * ring_area()).alias("_a"), cx.alias("_cx"), cy.alias("_cy"))
+    # the shoelace sum is a column of its own, made once for the area and both axes of the centroid
+    shoelace = signed_rings(rings).select(*ids, "sign", "xs", "ys", ring_area(signed=True).alias("_s"))
+    cx, cy = ring_centroid(area=F.col("_s"))
+    each = shoelace.select(*ids, (F.col("sign") * F.abs("_s")).alias("_a"), cx.alias("_cx"), cy.alias("_cy"))
     total = F.sum("_a")
     return each.groupBy(*ids).agg(total.alias("area"), F.try_divide(F.sum(F.col("_a") * F.col("_cx")), total).alias("cx"),
                                   F.try_divide(F.sum(F.col("_a") * F.col("_cy")), total).alias("cy"))

@@ -117,7 +117,11 @@ def wkt_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("("), F.concat_ws(", ", *text), F.lit(")"))
 
     wkt = F.concat(F.lit("MULTIPOLYGON (("), box(0, 0, 10, 10), F.lit(", "), box(*HOLE), F.lit("), ("), box(*ISLAND), F.lit("))"))
-    rings = c.select(k.alias("id"), F.inline(readers.wkt_rings(F.when(k % 7 != 0, wkt).otherwise(F.lit("POLYGON EMPTY")))))
+    # a text is a key's worth of table but much to parse: the keys are dealt out to all cores, whatever the splits
+    # of the file, by the id that the measures are grouped by
+    c = c.select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    texts = c.select(k.alias("id"), F.when(k % 7 != 0, wkt).otherwise(F.lit("POLYGON EMPTY")).alias("wkt"))
+    rings = texts.select("id", F.inline(readers.wkt_rings(F.col("wkt"))))
     measured = X.polygon_measures(rings, ["id"])
     out = c.select(k.alias("id")).join(measured, "id", "left")   # an empty polygon has no ring to measure
     return out.select("id", F.round(F.coalesce("area", F.lit(0.0)), DIGITS).alias("area"),

@@ -136,16 +136,22 @@ def wkt_rings(wkt: Column) -> Column:
     polygon = F.coalesce(F.upper(wkt).rlike(r"^\s*(MULTI)?POLYGON"), F.lit(False))
     opens, bodies = (F.regexp_extract_all(wkt, F.lit(ring), F.lit(g)) for g in (1, 2))
 
-    def parsed(opening: Column, body: Column) -> Column:
-        points = F.transform(F.split(body, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+"))
+    # each step is an array of its own, so that a ring is split once, however often its points are looked at
+    split = F.zip_with(opens, bodies, lambda opening, body: F.struct(
+        F.when(opening == "(", 1.0).otherwise(-1.0).alias("sign"),
+        F.transform(F.split(body, r"\s*,\s*"), lambda p: F.split(F.trim(p), r"\s+")).alias("points")))
+
+    def unclosed(points: Column) -> Column:
         closed = (F.size(points) > 1) & (F.get(points, F.lit(0)) == F.get(points, F.size(points) - 1))
-        open_points = F.when(closed, F.slice(points, 1, F.size(points) - 1)).otherwise(points)
-        xs = F.transform(open_points, lambda p: F.get(p, F.lit(0)).cast("double"))
-        ys = F.transform(open_points, lambda p: F.get(p, F.lit(1)).cast("double"))
-        return F.struct(F.when(opening == "(", 1.0).otherwise(-1.0).alias("sign"), xs.alias("xs"), ys.alias("ys"))
+        return F.when(closed, F.slice(points, 1, F.size(points) - 1)).otherwise(points)
+
+    def axis(points: Column, at: int) -> Column:
+        return F.transform(points, lambda p: F.get(p, F.lit(at)).cast("double"))
 
+    rings = F.transform(split, lambda r: F.struct(r["sign"].alias("sign"), unclosed(r["points"]).alias("points")))
+    rings = F.transform(rings, lambda r: F.struct(r["sign"].alias("sign"), axis(r["points"], 0).alias("xs"), axis(r["points"], 1).alias("ys")))
     none = F.array().cast("array<struct<sign:double,xs:array<double>,ys:array<double>>>")
-    return F.when(polygon, F.zip_with(opens, bodies, parsed)).otherwise(none)
+    return F.when(polygon, rings).otherwise(none)
 
 
 def read_polygons(spark: SparkSession, path: str, fmt: str = "parquet", wkt_col: str | None = None) -> DataFrame:

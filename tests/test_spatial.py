@@ -146,6 +146,18 @@ def test_parts_holes_and_empty_rings(spark):
     assert empty.select(X.ring_area().alias("a"), X.ring_centroid()[0].alias("c")).first().asDict() == {"a": 0.0, "c": None}
 
 
+def test_a_ring_is_split_once_and_texts_are_dealt_out(spark):
+    from indicata.plans import spatial_queries as SPQ
+    from indicata.sources import wkt_rings
+    one = spark.createDataFrame([("POLYGON ((0 0, 4 0, 4 2))",)], "wkt string").select(wkt_rings(F.col("wkt")).alias("r"))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2   # into points, and a point into its numbers
+    plan = SPQ.wkt_layers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Generate"):]
+    assert "MULTIPOLYGON" not in plan[:plan.index("Generate")] + below.split("\n")[0]   # the text is made below the parsing
+    assert "REPARTITION_BY_NUM" in below
+
+
 def test_crosswalk_of_parts_holes_and_empty_rings(spark):
     schema = "xs array<double>, ys array<double>, sign double"
     small = spark.createDataFrame([("p", *rect(0, 0, 10, 10), 1.0), ("p", *rect(0, 0, 5, 5), -1.0), ("p", *rect(100, 0, 105, 5), 1.0), ("e", [], [], 1.0)], f"PUMA string, {schema}")
