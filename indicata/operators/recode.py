@@ -11,7 +11,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from indicata.functions.scalars import any_equal, col_of, in_set, not_equal_flag, replace_first
+from indicata.functions.scalars import any_equal, col_of, in_set, replace_first
 
 # Subgroup labels of the published race/ethnicity recode.
 NOT_LATINX = "Not Latinx"
@@ -77,26 +77,31 @@ def race_rules(race: Column, not_latinx: Column, nhpi_needs_not_latinx: bool = F
     ]
 
 
-def flag_in_codes(df: DataFrame, columns: Sequence[str], codes: DataFrame, code_col: str,
-                  yes: str, no: str, out: str) -> DataFrame:
-    """``out`` = yes when any of ``columns`` holds a code from ``codes``.
+def hit_in_codes(df: DataFrame, columns: Sequence[str], codes: DataFrame, code_col: str, out: str) -> DataFrame:
+    """``out`` = whether any of ``columns`` holds a code from ``codes`` (C9, D7); never null.
 
     One left join per code column against the distinct code set; the planner
     broadcasts the code set when its measured size allows (a data dictionary
     is small), otherwise it shuffles.  A null code is never a member (T2).
     """
     distinct_codes = codes.select(F.col(code_col).alias("_code")).distinct()
-    flags = []
+    hits = []
     res = df
     for i, c in enumerate(columns):
         m = distinct_codes.select(F.col("_code").alias(c), F.lit(True).alias(f"_hit{i}"))
         res = res.join(m, c, "left")
-        flags.append(F.coalesce(F.col(f"_hit{i}"), F.lit(False)))
-    hit = flags[0]
-    for f in flags[1:]:
-        hit = hit | f
-    res = res.withColumn(out, F.when(hit, F.lit(yes)).otherwise(F.lit(no)))
-    return res.drop(*[f"_hit{i}" for i in range(len(columns))])
+        hits.append(F.coalesce(F.col(f"_hit{i}"), F.lit(False)))
+    hit = hits[0]
+    for h in hits[1:]:
+        hit = hit | h
+    return res.withColumn(out, hit).drop(*[f"_hit{i}" for i in range(len(columns))])
+
+
+def flag_in_codes(df: DataFrame, columns: Sequence[str], codes: DataFrame, code_col: str,
+                  yes: str, no: str, out: str) -> DataFrame:
+    """``hit_in_codes`` as a label: ``out`` = yes or no."""
+    res = hit_in_codes(df, columns, codes, code_col, out)
+    return res.withColumn(out, F.when(F.col(out), F.lit(yes)).otherwise(F.lit(no)))
 
 
 def codes_by_description(codes: DataFrame, descriptions: Iterable[str],
@@ -105,22 +110,32 @@ def codes_by_description(codes: DataFrame, descriptions: Iterable[str],
     return codes.filter(in_set(description_col, list(descriptions)))
 
 
-def race_recode(people: DataFrame, codes: DataFrame, descriptions: Iterable[str] = SWANA_DESCRIPTIONS,
-                nhpi_needs_not_latinx: bool = False) -> DataFrame:
-    """Adds latino, aian, nhpi, swana and race (C7-C10) to person rows."""
-    df = people.withColumns({
-        "latino": not_equal_flag("HISP", "01", yes=LATINX, no=NOT_LATINX),
-        "aian": not_equal_flag("RACAIAN", "0", yes=AIAN, no=NOT_AIAN),
-        "nhpi": F.when(any_equal({"RACPI": "1", "RACNH": "1"}), F.lit(NHPI)).otherwise(F.lit(NOT_NHPI)),
-    })
-    df = flag_in_codes(df, ["ANC1P", "ANC2P"], codes_by_description(codes, descriptions),
-                       "ANC_Code", SWANA, NOT_SWANA, "swana")
+FLAG_LABELS = {"latino": (LATINX, NOT_LATINX), "aian": (AIAN, NOT_AIAN), "nhpi": (NHPI, NOT_NHPI), "swana": (SWANA, NOT_SWANA)}
+
+
+def race_bits(people: DataFrame, codes: DataFrame, descriptions: Iterable[str] = SWANA_DESCRIPTIONS) -> DataFrame:
+    """Adds latino, aian, nhpi and swana (C7-C9) to person rows as bits: what the joins that follow have to carry
+    of them, beside RAC1P, until ``race_labels``.  A null code takes the same side as in the published recode."""
+    df = people.withColumns({"latino": ~in_set("HISP", ["01"]), "aian": ~in_set("RACAIAN", ["0"]),
+                             "nhpi": any_equal({"RACPI": "1", "RACNH": "1"})})
+    return hit_in_codes(df, ["ANC1P", "ANC2P"], codes_by_description(codes, descriptions), "ANC_Code", "swana")
+
+
+def race_labels(df: DataFrame, nhpi_needs_not_latinx: bool = False) -> DataFrame:
+    """The bits of ``race_bits`` as labels, and race."""
+    df = df.withColumns({c: F.when(F.col(c), F.lit(yes)).otherwise(F.lit(no)) for c, (yes, no) in FLAG_LABELS.items()})
     race = F.col("RAC1P")
     nl = F.col("latino") == F.lit(NOT_LATINX)
     return df.withColumn("race", case_chain(race_rules(race, nl, nhpi_needs_not_latinx),
                                             LATINX_PLACEHOLDER, null_when=race.isNull()))
 
 
+def race_recode(people: DataFrame, codes: DataFrame, descriptions: Iterable[str] = SWANA_DESCRIPTIONS,
+                nhpi_needs_not_latinx: bool = False) -> DataFrame:
+    """Adds latino, aian, nhpi, swana and race (C7-C10) to person rows."""
+    return race_labels(race_bits(people, codes, descriptions), nhpi_needs_not_latinx)
+
+
 def relabel(c, mapping: dict, default=None) -> Column:
     """Keyed relabel with a default (C11): a literal, a Column (e.g. the
     title-cased value), or None to keep unmapped values as they are."""

@@ -78,11 +78,17 @@ def survey_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.survey_rate(df, S.HH_DESIGN, ["geoid"], "indicator")
 
 
+def _placed_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every household with its area (null where its customer has none).  The households, of which there are fewer
+    than persons and of two columns, go to the customers; the persons then cross one join, not two."""
+    homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
+    return homes.join(S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left").select("SERIALNO", "geoid")
+
+
 def person_weighted_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E7 + C6: person-weighted share of persons under 5, by area."""
     people = S.persons(spark, sf_dir).select("SERIALNO", "l_linenumber", "AGEP")
-    homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
-    placed = people.join(homes, "SERIALNO").join(S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
+    placed = people.join(_placed_homes(spark, sf_dir), "SERIALNO")
     # the weights are added where they are summed: rows cross the joins narrow
     df = (S.add_person_weights(placed)
                 .withColumn("age_group", F.when(F.col("AGEP") < 5, F.lit("Under 5"))
@@ -135,9 +141,7 @@ def weighted_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Person-weighted population by area and age group, the magnitude
     check the reference keeps next to its runs (all persons, no universe)."""
     people = S.persons(spark, sf_dir).select("SERIALNO", "l_linenumber", "AGEP")
-    homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
-    df = people.join(homes, "SERIALNO").join(
-        S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
+    df = people.join(_placed_homes(spark, sf_dir), "SERIALNO")
     df = S.add_person_weights(df).select("geoid", "AGEP", "PWGTP")
     return df.groupBy("geoid", (F.col("AGEP") < 5).alias("under_5")).agg(
         F.sum("PWGTP").alias("population"), F.count(F.lit(1)).alias("persons"))
@@ -165,11 +169,8 @@ def children_by_race(spark: SparkSession, sf_dir: str) -> DataFrame:
     under-fives in each of the five overlapping groupings plus the Total, with
     SE, MOE, CV and denominators, and each count's share of the area's Total;
     suppressed as published."""
-    people = recode.race_recode(S.persons(spark, sf_dir), S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS,
-                                nhpi_needs_not_latinx=True)
-    homes = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("SERIALNO"), "o_custkey")
-    df = people.join(homes, "SERIALNO").join(
-        S.geography(spark, sf_dir).select("o_custkey", "geoid"), "o_custkey", "left")
+    people = recode.race_bits(S.persons(spark, sf_dir), S.code_list(spark, sf_dir), S.CODE_LIST_DESCRIPTIONS)
+    df = recode.race_labels(people.join(_placed_homes(spark, sf_dir), "SERIALNO"), nhpi_needs_not_latinx=True)
     df = df.select("SERIALNO", "l_linenumber", "geoid", *RECODE_COLS,
                    F.when(F.col("AGEP") < 5, F.lit(UNDER5)).when(F.col("AGEP") >= 5, F.lit(NOT_UNDER5)).alias("age_group"))
     out = survey.survey_breakdown(S.add_person_weights(df), S.PERSON_DESIGN, ["geoid"], BREAKDOWN_DIMS, "age_group")

@@ -145,6 +145,23 @@ def test_survey_plan_has_no_python(spark):
     assert "Python" not in plan and "ArrowEval" not in plan
 
 
+def test_persons_cross_the_joins_narrow(spark):
+    from indicata.operators import recode
+    from indicata.plans import survey_queries as SQ
+    plan = SQ.children_by_race(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan[plan.index("Join"):]
+    assert recode.NOT_LATINX not in joins and recode.NOT_AIAN not in joins and recode.NHPI not in joins   # labels are written above them
+    persons = joins[:joins.index("l_orderkey")]
+    assert persons.count("Join") == 3   # households and both codes; the area is joined to the households
+    rows = [("01", "0", "0", "0", "7", "a", None), (None, None, None, None, None, None, "b"), ("02", "1", "1", None, "1", "c", "a")]
+    people = spark.createDataFrame(rows, "HISP string, RACAIAN string, RACPI string, RACNH string, RAC1P string, ANC1P string, ANC2P string")
+    codes = spark.createDataFrame([("a", "Arab"), ("b", "Other")], "ANC_Code string, Description string")
+    bits = recode.race_bits(people, codes)
+    assert {(r.latino, r.aian, r.nhpi, r.swana) for r in bits.collect()} == {(False, False, False, True), (True, True, False, False), (True, True, True, True)}
+    assert sorted((r.latino, r.swana, str(r.race)) for r in recode.race_labels(bits, True).collect()) == [
+        (recode.LATINX, recode.NOT_SWANA, "None"), (recode.LATINX, recode.SWANA, recode.LATINX_PLACEHOLDER), (recode.NOT_LATINX, recode.SWANA, recode.NHPI_PLACEHOLDER)]
+
+
 def test_threshold_runs_equal_single_runs(spark):
     rng = np.random.default_rng(5)
     rows = [(g, float(v) if v >= 0 else None, *w)
