@@ -20,6 +20,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from indicata.llm.common import text_bytes, written
+from indicata.llm.common import in_chunks, text_bytes, written
 
 #: a block ends with the first document that brings it to this many ids
 BLOCK_IDS = 1 << 16
 #: pieces whose ids a worker remembers
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 #: characters that, at the end of a piece, are told apart from a letter before them
 END_MARKS = ".,;:!?"
 #: what the last token of a word ends with
@@ -68,11 +69,64 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return flat.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
+class Pieces(dict):
+    """The number of each piece, given when it is first asked for; ``new`` are those without ids so far."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+    def clear(self) -> None:
+        super().clear()
+        self.new = []
+
+
+class Pool:
+    """Sequences of ids by number, in one array that grows."""
+
+    def __init__(self):
+        self.ids, self.used = np.empty(1 << 16, np.uint16), 0
+        self.starts, self.sizes, self.uses, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32), 0
+
+    def clear(self) -> None:
+        self.used = self.count = 0
+
+    def grow(self, count: int) -> None:
+        """Room for ``count`` sequences, empty until they are put."""
+        if count > len(self.starts):
+            self.starts, self.sizes, self.uses = (np.resize(x, count * 3 // 2) for x in (self.starts, self.sizes, self.uses))
+        self.starts[self.count:count] = self.sizes[self.count:count] = self.uses[self.count:count] = 0
+        self.count = max(self.count, count)
+
+    def put(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """``ids`` are the sequences of ``numbers``, one after the other, ``sizes`` ids each."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids.astype(np.result_type(self.ids, np.min_scalar_type(ids.max()))), (self.used + len(ids)) * 3 // 2)
+        elif len(ids) and ids.max() > np.iinfo(self.ids.dtype).max:
+            self.ids = self.ids.astype(np.uint32)
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts[numbers], self.sizes[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += len(ids)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``numbers``, one after the other, and where each begins and the last ends."""
+        sizes = self.sizes[numbers]
+        edges = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(sizes, out=edges[1:])
+        at = np.repeat(self.starts[numbers] - edges[:-1], sizes)
+        at += np.arange(len(at))
+        return self.ids[at], edges
+
+
 class PieceEncoder:
     """Ids of a text by a ``tokenizers`` file that lower-cases and whose tokens never span white space.
 
-    Pieces between ASCII white space are encoded once and remembered, up to a bound; then
-    the memory starts anew.  It outlives the task in a Python worker that is used again."""
+    Pieces between ASCII white space are encoded once and remembered, up to a bound; then those
+    that came once are forgotten.  The memory outlives the task in a Python worker that is used again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,67 +141,100 @@ class PieceEncoder:
             lean.normalizer = tokenizers.normalizers.Sequence([])
             lean.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([
                 tokenizers.pre_tokenizers.WhitespaceSplit(), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            memory[path] = (tokenizer, lean, ending, {})
-        self.tokenizer, self.lean, self.ending, self.known = memory[path]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Remember pieces; end marks after a letter are tokens of their own, so they are told apart."""
-        known, ends, told, plain = self.known, [], [], {}
+            memory[path] = (tokenizer, lean, ending, Pieces(), Pool())
+        self.tokenizer, self.lean, self.ending, self.known, self.pool = memory[path]
+
+    def _put_each(self, numbers: list[int], found: list[list[int]]) -> None:
+        if numbers:
+            sizes = np.array([len(ids) for ids in found])
+            self.pool.put(np.array(numbers), np.array([i for ids in found for i in ids], np.uint32), sizes)
+
+    def _learn(self) -> None:
+        """Ids of the new pieces; end marks after a letter are tokens of their own, so they are told apart."""
+        known, told, words, texts, ends = self.known, [], [], [], []
+        pieces, known.new = known.new, []
+        number = len(known) - len(pieces)
         for piece, text in zip(pieces, b" ".join(pieces).decode("utf-8", "replace").split(" ")):
             if text.isalpha():
-                plain[piece] = text
-                continue
-            bare = text.rstrip(END_MARKS)
-            if bare != text and bare.isalpha() and bare[-1].lower().isalpha():
-                word, mark = piece[:len(bare) - len(text)], piece[len(bare) - len(text):]
-                ends.append((piece, word, mark))
-                if word not in known:
-                    plain[word] = bare
-                if mark not in known:
-                    known[mark] = np.array(self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                words.append(number)
+                texts.append(text)
+            else:
+                bare = text.rstrip(END_MARKS)
+                if bare != text and bare.isalpha() and bare[-1].lower().isalpha():
+                    cut = len(bare) - len(text)
+                    ends.append((number, known[piece[:cut]], known[piece[cut:]]))
+                else:
+                    told.append((number, text))
+            number += 1
+        # words and marks first met here are pieces too
+        for piece, text in zip(known.new, b" ".join(known.new).decode("utf-8", "replace").split(" ")):
+            if text.isalpha():
+                words.append(number)
+                texts.append(text)
             else:
-                told.append((piece, text))
+                told.append((number, text))
+            number += 1
+        known.new = []
+        self.pool.grow(number)
         # letters alone are one word each, and a word's last id says that it ends one: encoded together,
         # lower-cased here, unless a character makes that more than a matter of case
-        words, texts = list(plain), list(plain.values())
         for at in range(0, len(words), 1000):
             part, joined = words[at:at + 1000], " ".join(texts[at:at + 1000])
-            simple = unicodedata.is_normalized("NFC", joined) and not ("\u0130" in joined or "\u03a3" in joined)
-            ids = np.array(self.lean.encode_batch_fast([joined.lower()], add_special_tokens=False)[0].ids if simple else [], "<u4")
+            simple = joined.isascii() or unicodedata.is_normalized("NFC", joined) and not ("\u0130" in joined or "\u03a3" in joined)
+            ids = np.array(self.lean.encode_batch_fast([joined.lower()], add_special_tokens=False)[0].ids if simple else [], np.uint32)
             edges = np.flatnonzero(self.ending[ids]) + 1
-            if len(edges) != len(part):
+            if len(edges) == len(part):
+                self.pool.put(np.array(part), ids, np.diff(edges, prepend=0))
+            else:
                 told += zip(part, texts[at:at + 1000])
-                continue
-            raw, edges = ids.tobytes(), [0, *(edges * 4).tolist()]
-            known.update(zip(part, [raw[a:b] for a, b in zip(edges, edges[1:])]))
-        for (piece, _), got in zip(told, self.tokenizer.encode_batch_fast([t for _, t in told], add_special_tokens=False)):
-            known[piece] = np.array(got.ids, "<u4").tobytes()
-        for piece, bare, end in ends:
-            known[piece] = known[bare] + known[end]
+        for at in range(0, len(told), 1000):
+            part = told[at:at + 1000]
+            self._put_each([n for n, _ in part], [got.ids for got in self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)])
+        if ends:
+            both = np.array(ends)
+            ids, edges = self.pool.take(both[:, 1:].ravel())
+            self.pool.put(both[:, 0], ids, edges[2::2] - edges[:-2:2])
+
+    def _forget(self) -> None:
+        """Keep the pieces that more than one call of ``encode`` asked for, the most used half of the bound at most."""
+        known, pool = self.known, self.pool
+        uses = pool.uses[:pool.count]
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > REMEMBERED // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[:REMEMBERED // 2]])
+        keep = np.zeros(pool.count, bool)
+        keep[kept] = True
+        pieces, (ids, edges) = list(compress(known, keep.tolist())), pool.take(kept)
+        known.clear()
+        known.update(zip(pieces, range(len(pieces))))
+        pool.clear()
+        pool.grow(len(pieces))
+        pool.put(np.arange(len(pieces)), ids, np.diff(edges))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, then END_ID."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.known) > REMEMBERED:
+            self._forget()
         # A-Z lower-cased here, so that a piece is remembered once; special tokens are told by their case
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        found = [list(map(known.get, words)) for words in split]
-        gaps = [i for i, got in enumerate(found) if None in got]
-        new = {w for i in gaps for w, got in zip(split[i], found[i]) if got is None}
-        if new:
-            self._learn(list(new))
-        for i in gaps:
-            found[i] = [got or known[w] for w, got in zip(split[i], found[i])]
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join(got) + end for got in found]
+        words = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(own) for own in split], out=words[1:])
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, words[-1])
+        if self.known.new:
+            self._learn()
+        self.pool.uses[numbers] += 1  # once for a call, however often a piece is in it
+        ids, edges = self.pool.take(numbers)
+        ids, cuts, end = ids.astype("<u4"), edges[words].tolist(), np.array([END_ID], "<u4").tobytes()
+        return [ids[a:b].tobytes() + end for a, b in zip(cuts, cuts[1:])]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[list, list[bytes]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            yield part.column(0).to_pylist(), text_bytes(part.column(1))
+            keys, texts = part.column(0).to_pylist(), text_bytes(part.column(1))
+            for a, b in in_chunks(texts):
+                yield keys[a:b], texts[a:b]
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, vocabulary: int, path: str | None = None) -> DataFrame:

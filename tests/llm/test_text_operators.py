@@ -288,6 +288,24 @@ def test_token_store_equals_the_tokenizer(spark, documents):
     assert [tuple(r) for r in got] == want
 
 
+def test_frequent_pieces_outlive_a_full_memory(monkeypatch):
+    import tokenizers
+    monkeypatch.setattr(token_store, "REMEMBERED", 60)
+    monkeypatch.setattr(tokenizers, "_piece_encoders", {}, raising=False)
+    encoder, whole = token_store.PieceEncoder(tokenizer_path()), tokenizers.Tokenizer.from_file(tokenizer_path())
+    for k in range(12):
+        texts = [f"Often, seen word{k}x, caf\u00e9{k}... {chr(97 + k) * 3}q. it's", "", "A <|endoftext|>", "\u0130stanbul " + " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for j in range(20))]
+        got = [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode([t.encode() for t in texts])]
+        assert got == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts], k
+        assert len(encoder.known) <= 120
+    encoder.known.clear()
+    encoder.pool.clear()
+    for part in ("a", "b"):
+        encoder.encode([("often, " + " ".join(part + chr(97 + j) * 2 for j in range(26)) + " " + " ".join(part + chr(97 + j) * 3 for j in range(26))).encode()])
+    assert encoder.encode([b"other often,"])[0] == encoder.encode([b"other"])[0][:-4] + encoder.encode([b"often,"])[0]
+    assert b"often," in encoder.known and b"other" in encoder.known and len(encoder.known) < 10   # what came once made room
+
+
 def test_token_store_edges(spark, edge, tmp_path):
     from tokenizers import Tokenizer
 
